@@ -215,3 +215,71 @@ def q_a8(spark, sf_dir):
     synced, dead = CL.sync_and_route(arts, sync_outcome())
     return (synced.select(F.col("id").alias("key"), F.lit("synced").alias("route"))
                   .unionByName(dead.select("key", F.lit("dead_letter").alias("route"))))
+
+
+# -------------------------------------------------------- sources (A1-A3, A5, A10)
+from articleflow.operators import streaks as SK  # noqa: E402
+from articleflow.sources import logs as LG  # noqa: E402
+from articleflow.sources import pages as PG  # noqa: E402
+from articleflow.sources import registry as RG  # noqa: E402
+
+
+@query("a1_load_sources")
+def q_a1(spark, sf_dir):
+    out = RG.parse_sources(FX.registry_files(spark, sf_dir))
+    return out.select("file_no", "pos", "name", "url", "transformer", "valid", "reject_reason")
+
+
+@query("a2_plan_pages")
+def q_a2(spark, sf_dir):
+    src = FX.source_entries(spark, sf_dir).withColumn("name", F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    return RG.plan_pages(src.select("name", "url", "pagination"), 3).select("name", "page_no", "request_url")
+
+
+@query("a3_scan_raw_pages")
+def q_a3(spark, sf_dir):
+    from articleflow.session import scratch_path
+    path = scratch_path(spark, "landed-pages")
+    PG.land_pages(FX.document_pages(spark, sf_dir, 0), path)
+    arts = P.parse_pulselive(PG.scan_raw_pages(spark, path))
+    return arts.select("feed", "run_id", "page_no", "pos", "id")
+
+
+@query("a5_walk_pages")
+def q_a5(spark, sf_dir):
+    walked = PG.walk_pages(FX.fetch_log(spark, sf_dir))
+    return walked.select("feed", "run_id", "page_no", "known_pages", "streak", "reached", "outcome")
+
+
+@query("a10_ingest_logs")
+def q_a10(spark, sf_dir):
+    from pyspark.sql import types as T
+    ev = FX.table(spark, sf_dir, "events")
+    lines = ev.select("event_id", F.col("user_id").alias("k"),
+                      F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("not json "), F.col("props")))
+                       .otherwise(F.col("props")).alias("message"))
+    out = LG.ingest_logs(lines, T.StructType([T.StructField("k", T.LongType())]), "message",
+                         {"environment": "local", "application": "articleflow"})
+    return out.select("event_id", "k", "error", "environment", "application")
+
+
+# ----------------------------------------------------- streaks & sampling
+@query("e2_sample_nth")
+def q_e2(spark, sf_dir):
+    ev = FX.events_with_day(spark, sf_dir).withColumn("reset", F.col("value") < 0.5)
+    s = SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset="reset", chunk="day")
+    return s.select("event_id", "event_type", "epoch", "occurrence", "emit")
+
+
+@query("e2_sample_counts")
+def q_e2_counts(spark, sf_dir):
+    ev = FX.events_with_day(spark, sf_dir).withColumn("reset", F.col("value") < 0.5)
+    return SK.sample_counts(SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset="reset", chunk="day"),
+                            "event_type")
+
+
+@query("e3_failure_streaks")
+def q_e3(spark, sf_dir):
+    ev = FX.events_with_day(spark, sf_dir)
+    s = SK.failure_streaks(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 3, chunk="day")
+    return s.select("event_id", "user_id", "streak", "tripped")

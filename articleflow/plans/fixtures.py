@@ -197,3 +197,66 @@ def with_damaged_messages(events: DataFrame) -> DataFrame:
                  .select(F.concat(F.col("key"), F.lit("#bad")).alias("key"),
                          F.substring("value", 1, 25).alias("value")))
     return events.unionByName(bad)
+
+
+# ------------------------------------------------------------- registry files
+def source_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry entry per row of ``pages``, with the invalid shapes a
+    hand-written registry has (missing name / url / parser, wrong scheme,
+    unknown parser) and every pagination variant."""
+    p = table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/#?]+)", 1)
+    return p.select(
+        (pid / 50).cast("long").alias("file_no"), pid,
+        F.when(pid % 11 == 0, F.lit("")).otherwise(F.concat(host, F.lit("-"), pid.cast("string"))).alias("name"),
+        F.when(pid % 13 == 0, F.lit("")).when(pid % 7 == 0, F.replace(F.col("url"), F.lit("http"), F.lit("ftp")))
+         .otherwise(F.col("url")).alias("url"),
+        F.when(pid % 5 == 0, F.lit("pulselive")).when(pid % 5 == 1, F.lit("dummy")).when(pid % 5 == 2, F.lit("rss"))
+         .when(pid % 5 == 3, F.lit("")).otherwise(F.lit("pulselive")).alias("transformer"),
+        F.struct(F.when(pid % 2 == 0, F.lit("offset")).otherwise(F.lit("page")).alias("type"),
+                 F.when(pid % 4 == 1, F.lit("")).otherwise(F.lit("p")).alias("page_param"),
+                 F.when(pid % 4 == 2, F.lit("")).otherwise(F.lit("limit")).alias("limit_param"),
+                 F.when(pid % 3 == 0, F.lit(0)).otherwise(F.lit(10) + pid % 50).cast("long").alias("default_limit"))
+         .alias("pagination"))
+
+
+def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry documents (JSON arrays of 50 entries); every 4th file is cut
+    short and every 5th (from the 2nd) has numbers for names, so both fail
+    to decode as a whole."""
+    e = source_entries(spark, sf_dir)
+    doc = (e.groupBy("file_no")
+            .agg(F.array_sort(F.collect_list(F.struct("page_id", F.struct("name", "url", "transformer", "pagination").alias("s"))))
+                 .alias("its"))
+            .select("file_no", F.to_json(F.transform("its", lambda x: x["s"])).alias("value")))
+    v = F.col("value")
+    return doc.withColumn("value", F.when(F.col("file_no") % 4 == 3, F.substring(v, 1, (F.length(v) / 2).cast("int")))
+                                    .when(F.col("file_no") % 5 == 1, F.regexp_replace(v, '"name":"', '"name":7,"alias":"'))
+                                    .otherwise(v))
+
+
+# ---------------------------------------------------------------- event logs
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a page fetch log: feed = user, run = week of January,
+    pages numbered by time within the run; purchases above 300 fail to
+    fetch, low-value signups are empty pages, errors and clicks fail the
+    page handler, low-value clicks carry no page info."""
+    ev = table(spark, sf_dir, "events")
+    run = ((F.dayofmonth("ts") - 1) / 7).cast("long")
+    from pyspark.sql import Window
+    w = Window.partitionBy("user_id", "run_id").orderBy("ts", "event_id")
+    return (ev.withColumn("run_id", run)
+              .select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed"), "run_id",
+                      (F.row_number().over(w) - 1).cast("long").alias("page_no"),
+                      ((F.col("event_type") == "purchase") & (F.col("value") > 300)).alias("fetch_error"),
+                      F.when((F.col("event_type") == "click") & (F.col("value") < 5), F.lit(None))
+                       .otherwise(F.lit(10) + F.col("user_id") % 60).cast("long").alias("num_pages"),
+                      F.when((F.col("event_type") == "signup") & (F.col("value") < 1), F.lit(0))
+                       .otherwise(F.lit(1) + F.floor("value") % 20).cast("long").alias("n_articles"),
+                      F.col("event_type").isin("error", "click").alias("batch_failed")))
+
+
+def events_with_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` plus ``day`` (the chunk column of skew-split windows)."""
+    return table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))

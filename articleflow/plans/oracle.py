@@ -197,3 +197,105 @@ SELECT id AS key, id, title, content_hash, tags_text, published_us, updated_us,
 
 ORACLE["a8_sync_and_route"] = with_common(f""", {_EMITTED}
 SELECT id AS key, CASE WHEN length(body) % 7 <> 0 THEN 'synced' ELSE 'dead_letter' END AS route FROM emitted""")
+
+# ---------------------------------------------------------------- sources
+_ENTRIES = """
+entries AS (
+  SELECT page_id // 50 AS file_no, page_id,
+         CASE WHEN page_id % 11 = 0 THEN '' ELSE regexp_extract(url, '^[a-z]+://([^/#?]+)', 1) || '-' || page_id END AS name,
+         CASE WHEN page_id % 13 = 0 THEN '' WHEN page_id % 7 = 0 THEN replace(url, 'http', 'ftp') ELSE url END AS url,
+         CASE page_id % 5 WHEN 0 THEN 'pulselive' WHEN 1 THEN 'dummy' WHEN 2 THEN 'rss' WHEN 3 THEN '' ELSE 'pulselive' END AS transformer,
+         CASE WHEN page_id % 2 = 0 THEN 'offset' ELSE 'page' END AS ptype,
+         CASE WHEN page_id % 4 = 1 THEN '' ELSE 'p' END AS page_param,
+         CASE WHEN page_id % 4 = 2 THEN '' ELSE 'limit' END AS limit_param,
+         CASE WHEN page_id % 3 = 0 THEN 0 ELSE 10 + page_id % 50 END AS default_limit
+  FROM pages)"""
+
+ORACLE["a1_load_sources"] = f"""WITH {_ENTRIES.strip()}
+SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY page_id) - 1 AS pos, name, url, transformer,
+       reason IS NULL AS valid, reason AS reject_reason
+FROM (SELECT *, CASE WHEN name = '' THEN 'name is required' WHEN url = '' THEN 'url is required'
+                     WHEN NOT starts_with(url, 'http') THEN 'url must start with http'
+                     WHEN transformer = '' THEN 'transformer is required'
+                     WHEN transformer NOT IN ('pulselive', 'dummy') THEN 'unknown transformer' END AS reason
+      FROM entries)
+WHERE file_no % 4 <> 3 AND file_no % 5 <> 1"""
+
+ORACLE["a2_plan_pages"] = f"""WITH {_ENTRIES.strip()}
+SELECT 'p' || page_id AS name, g.page_no,
+       url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END
+           || CASE WHEN page_param = '' THEN 'page' ELSE page_param END || '='
+           || CASE WHEN ptype = 'offset' THEN g.page_no * (CASE WHEN default_limit > 0 THEN default_limit ELSE 20 END)
+                   ELSE g.page_no END
+           || '&' || CASE WHEN limit_param = '' THEN 'pageSize' ELSE limit_param END || '='
+           || CASE WHEN default_limit > 0 THEN default_limit ELSE 20 END AS request_url
+FROM entries, (SELECT range AS page_no FROM range(3)) g"""
+
+ORACLE["a3_scan_raw_pages"] = with_common("SELECT feed, run_id, page_no, pos, id FROM arts0")
+
+_FETCH_LOG = """
+log AS (
+  SELECT 'u' || user_id AS feed, CAST((day(ts) - 1) // 7 AS BIGINT) AS run_id,
+         row_number() OVER (PARTITION BY user_id, (day(ts) - 1) // 7 ORDER BY ts, event_id) - 1 AS page_no,
+         event_type = 'purchase' AND value > 300 AS fetch_error,
+         CASE WHEN event_type = 'click' AND value < 5 THEN NULL ELSE 10 + user_id % 60 END AS num_pages,
+         CASE WHEN event_type = 'signup' AND value < 1 THEN 0 ELSE 1 + CAST(floor(value) AS BIGINT) % 20 END AS n_articles,
+         event_type IN ('error', 'click') AS batch_failed
+  FROM events)"""
+
+ORACLE["a5_walk_pages"] = f"""WITH {_FETCH_LOG.strip()},
+w1 AS (SELECT *, coalesce(last_value(num_pages IGNORE NULLS) OVER (PARTITION BY feed, run_id ORDER BY page_no
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS known_pages,
+              sum(CASE WHEN batch_failed THEN 1 ELSE 0 END) OVER (PARTITION BY feed, run_id ORDER BY page_no
+                      ROWS UNBOUNDED PRECEDING) AS cum_fail,
+              row_number() OVER (PARTITION BY feed, run_id ORDER BY page_no) AS rn
+       FROM log),
+w2 AS (SELECT *, cum_fail - coalesce(max(CASE WHEN NOT batch_failed THEN cum_fail END) OVER (
+                      PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING), 0) AS streak FROM w1),
+w3 AS (SELECT *, (page_no <> rn - 1) OR page_no >= 1000 OR (known_pages <> -1 AND page_no >= known_pages) AS pre,
+              fetch_error OR n_articles = 0 OR (batch_failed AND streak >= 5) AS post FROM w2),
+w4 AS (SELECT *, NOT bool_or(pre) OVER (PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING)
+                 AND NOT coalesce(bool_or(post) OVER (PARTITION BY feed, run_id ORDER BY page_no
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS reached FROM w3)
+SELECT feed, run_id, page_no, known_pages, streak, reached,
+       CASE WHEN NOT reached THEN 'not_reached' WHEN fetch_error THEN 'fetch_error' WHEN n_articles = 0 THEN 'empty'
+            WHEN batch_failed AND streak >= 5 THEN 'aborted' WHEN batch_failed THEN 'batch_failed'
+            ELSE 'processed' END AS outcome
+FROM w4"""
+
+ORACLE["a10_ingest_logs"] = """
+SELECT event_id,
+       CASE WHEN event_id % 17 = 0 THEN user_id ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       CASE WHEN event_id % 17 = 0 THEN 'failed to decode message as JSON' END AS error,
+       'local' AS environment, 'articleflow' AS application
+FROM events"""
+
+ORACLE["e2_sample_nth"] = """
+WITH r AS (SELECT event_id, event_type, ts, value < 0.5 AS is_reset,
+                  sum(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                      ROWS UNBOUNDED PRECEDING) AS epoch
+           FROM events),
+o AS (SELECT *, CASE WHEN NOT is_reset THEN sum(CASE WHEN is_reset THEN 0 ELSE 1 END) OVER (
+                      PARTITION BY event_type, epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS occurrence
+      FROM r)
+SELECT event_id, event_type, epoch, occurrence,
+       coalesce(occurrence = 1 OR occurrence % 10 = 0, false) AS emit
+FROM o"""
+
+ORACLE["e2_sample_counts"] = """
+WITH r AS (SELECT event_type, value < 0.5 AS is_reset,
+                  sum(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                      ROWS UNBOUNDED PRECEDING) AS epoch
+           FROM events)
+SELECT event_type, CAST(count(*) FILTER (WHERE NOT is_reset) AS BIGINT) AS count
+FROM r WHERE epoch = (SELECT max(epoch) FROM r r2 WHERE r2.event_type = r.event_type)
+GROUP BY event_type"""
+
+ORACLE["e3_failure_streaks"] = """
+WITH c AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed,
+                  sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                      ROWS UNBOUNDED PRECEDING) AS cum_fail
+           FROM events)
+SELECT event_id, user_id, streak, streak >= 3 AS tripped
+FROM (SELECT *, cum_fail - coalesce(max(CASE WHEN NOT failed THEN cum_fail END) OVER (PARTITION BY user_id
+                 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS streak FROM c)"""
