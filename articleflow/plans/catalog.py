@@ -283,3 +283,122 @@ def q_e3(spark, sf_dir):
     ev = FX.events_with_day(spark, sf_dir)
     s = SK.failure_streaks(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 3, chunk="day")
     return s.select("event_id", "user_id", "streak", "tripped")
+
+
+# ------------------------------------------------------ counters
+from articleflow.operators import metrics as M  # noqa: E402
+from articleflow.operators import retention as RT  # noqa: E402
+from articleflow.operators import series as SR  # noqa: E402
+
+HIST_BOUNDS = (1, 2.5, 5, 10, 25, 50, 100, 250)
+SERIES = ["metric", "source", "status"]
+EVAL_AT = "2024-01-20 00:00:00"
+
+
+def r6(c: str) -> Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+@query("d1_ingest_counters")
+def q_d1(spark, sf_dir):
+    runs = PG.run_status(PG.walk_pages(FX.fetch_log(spark, sf_dir)))
+    return M.ingest_counters(classified(spark, sf_dir), runs)
+
+
+@query("d2_duplicate_counters")
+def q_d2(spark, sf_dir):
+    return M.duplicate_counters(classified(spark, sf_dir))
+
+
+@query("d3_publish_counters")
+def q_d3(spark, sf_dir):
+    return M.publish_counters(classified(spark, sf_dir), F.col("page_no") % 7 != 3)
+
+
+@query("d4_sync_counters")
+def q_d4(spark, sf_dir):
+    chat = C.with_content_hash(P.parse_items(FX.conversation_pages(spark, sf_dir), dedup=True))
+    arts = CL.read_changes(CL.to_change_events(emitted_changes(spark, sf_dir).select(*S.ARTICLE_COLS)
+                                               .unionByName(chat.select(*S.ARTICLE_COLS))))
+    synced, dead = CL.sync_and_route(arts, sync_outcome())
+    return M.sync_counters(synced, dead)
+
+
+@query("d5_parse_error_counters")
+def q_d5(spark, sf_dir):
+    _, bad = P.split_bad_pages(FX.damaged_pages(FX.document_pages(spark, sf_dir, 0)), P.PULSELIVE)
+    return M.parse_error_counters(bad)
+
+
+def value_histogram(spark, sf_dir):
+    return M.histogram(FX.table(spark, sf_dir, "events"), "value", HIST_BOUNDS, ["event_type"])
+
+
+@query("d6_histogram")
+def q_d6(spark, sf_dir):
+    return value_histogram(spark, sf_dir).select("event_type", "le", "cumulative_count", r6("sum"), "count")
+
+
+@query("d7_freshness")
+def q_d7(spark, sf_dir):
+    f = M.freshness(FX.order_articles(spark, sf_dir))
+    h = M.histogram(f, "freshness_s", M.FRESHNESS_BOUNDS, ["feed"])
+    return h.select("feed", "le", "cumulative_count", r6("sum"), "count")
+
+
+@query("d8_histogram_quantile")
+def q_d8(spark, sf_dir):
+    h = value_histogram(spark, sf_dir)
+    out = SR.histogram_quantile(h, 0.5, ["event_type"]).unionByName(SR.histogram_quantile(h, 0.95, ["event_type"]))
+    return out.select("event_type", "q", r6("value"))
+
+
+@query("d9_sum_by_status")
+def q_d9(spark, sf_dir):
+    return SR.sum_counter(FX.counter_samples(spark, sf_dir), SERIES, EVAL_AT, by=["status"]).select("status", r6("value"))
+
+
+@query("d9_sum_total")
+def q_d9_total(spark, sf_dir):
+    return SR.sum_counter(FX.counter_samples(spark, sf_dir), SERIES, EVAL_AT).select(r6("value"))
+
+
+# ------------------------------------------------------ series
+@query("e4_counter_rate")
+def q_e4(spark, sf_dir):
+    inc = SR.counter_increase(FX.counter_samples(spark, sf_dir), SERIES, 3600)
+    return inc.select("source", "status", "ts_us", r6("increase"), r6("rate"))
+
+
+@query("e5_latest_value")
+def q_e5(spark, sf_dir):
+    v = SR.latest_value(FX.gauge_samples(spark, sf_dir), ["metric", "source"], EVAL_AT, lookback_s=86400)
+    return v.select("source", "value", "ts_us")
+
+
+def error_grid(spark, sf_dir):
+    s = SR.select_series(FX.counter_samples(spark, sf_dir), "articles_ingested_total", status="~error.*")
+    return SR.evaluation_grid(s, SERIES, 3600, 10800)
+
+
+@query("e7_evaluation_grid")
+def q_e7(spark, sf_dir):
+    return error_grid(spark, sf_dir).select("source", "status", "eval_us", r6("increase"), r6("rate"))
+
+
+@query("e6_alert_intervals")
+def q_e6(spark, sf_dir):
+    iv = SR.alert_intervals(error_grid(spark, sf_dir), SERIES, F.col("increase") >= 1, 7200)
+    return iv.select("source", "status", "start_us", "end_us", "fire_us")
+
+
+# ------------------------------------------------------ retention
+@query("i1_age_tier")
+def q_i1(spark, sf_dir):
+    li = FX.table(spark, sf_dir, "lineitem")
+    return RT.age_tier(li, "l_shipdate", "1999-01-01 00:00:00").select("l_orderkey", "l_linenumber", "tier")
+
+
+@query("i1_expire_samples")
+def q_i1_expire(spark, sf_dir):
+    return RT.expire(FX.table(spark, sf_dir, "events"), "ts", "2024-01-31 00:00:00").select("event_id")

@@ -260,3 +260,36 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_with_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` plus ``day`` (the chunk column of skew-split windows)."""
     return table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as samples of an ingest counter per (user, outcome): the
+    value is the running count of that user's events of that outcome within
+    the day (the counter restarts each day, like a process restart)."""
+    from pyspark.sql import Window
+    ev = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", F.lit("error_crawl")).otherwise(F.lit("success"))
+    ev = ev.withColumn("status", status).withColumn("day", F.to_date("ts"))
+    w = Window.partitionBy("user_id", "status", "day").orderBy("ts", "event_id")
+    return ev.select(F.lit("articles_ingested_total").alias("metric"),
+                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), "status",
+                     F.col("ts").cast("timestamp").alias("ts"),
+                     F.count(F.lit(1)).over(w).cast("double").alias("value"))
+
+
+def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as samples of a per-user breaker-state gauge (0, 1, 2)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.lit("circuit_breaker_state").alias("metric"),
+                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"),
+                     F.lit("").alias("status"), F.col("ts").cast("timestamp").alias("ts"),
+                     (F.floor("value") % 3).cast("double").alias("value"))
+
+
+def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as articles for freshness: published at the order date,
+    fetched ``o_totalprice`` seconds later, per order priority."""
+    o = table(spark, sf_dir, "orders")
+    pub = F.col("o_orderdate").cast("timestamp")
+    fetched = F.timestamp_micros(epoch_us(pub) + F.round(F.col("o_totalprice") * 1e6).cast("long"))
+    return o.select(F.col("o_orderpriority").alias("feed"), pub.alias("published_at"), fetched.alias("fetched_at"))

@@ -299,3 +299,134 @@ WITH c AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed,
 SELECT event_id, user_id, streak, streak >= 3 AS tripped
 FROM (SELECT *, cum_fail - coalesce(max(CASE WHEN NOT failed THEN cum_fail END) OVER (PARTITION BY user_id
                  ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS streak FROM c)"""
+
+# ---------------------------------------------------------------- counters
+_WALK = ORACLE["a5_walk_pages"].replace("SELECT feed, run_id, page_no, known_pages, streak, reached,",
+                                        "SELECT feed, run_id, page_no, known_pages, streak, reached, 0 AS _z,", 1)
+
+ORACLE["d1_ingest_counters"] = with_common(f"""
+SELECT feed, 'success' AS status, count(*) AS n FROM classified GROUP BY feed
+UNION ALL
+SELECT feed, 'error_crawl', count(*) FROM (
+  SELECT feed, run_id FROM ({_WALK}) w GROUP BY feed, run_id
+  HAVING bool_or(outcome IN ('fetch_error', 'aborted'))) GROUP BY feed""")
+
+ORACLE["d2_duplicate_counters"] = with_common("""
+SELECT feed, count(*) AS skipped FROM classified WHERE change = 'unchanged' GROUP BY feed""")
+
+ORACLE["d3_publish_counters"] = with_common("""
+SELECT feed, CAST(sum(CASE WHEN page_no % 7 <> 3 THEN n_changed ELSE 0 END) AS BIGINT) AS published,
+       count(*) FILTER (WHERE page_no % 7 = 3 AND n_changed > 0) AS publish_errors
+FROM (SELECT feed, run_id, page_no, count(*) FILTER (WHERE change <> 'unchanged') AS n_changed
+      FROM classified GROUP BY ALL) GROUP BY feed""")
+
+ORACLE["d4_sync_counters"] = with_common(f""", {_EMITTED}
+SELECT source, CAST(count(*) FILTER (WHERE length(body) % 7 <> 0) AS BIGINT) AS processed,
+       CAST(count(*) FILTER (WHERE length(body) % 7 = 0) AS BIGINT) AS errors,
+       CAST(count(*) FILTER (WHERE length(body) % 7 = 0) AS BIGINT) AS dead_lettered
+FROM (SELECT source, body FROM emitted UNION ALL SELECT source, body FROM chat) GROUP BY source""")
+
+ORACLE["d5_parse_error_counters"] = with_common("""
+SELECT feed, count(*) AS parse_errors FROM (SELECT DISTINCT feed, page_no FROM arts0)
+WHERE NOT (page_no % 19 = 2) AND (page_no % 9 = 4 OR page_no % 13 = 6) GROUP BY feed""")
+
+
+def _hist_sql(value: str, source: str, by: str, bounds) -> str:
+    def le(b):
+        return format(float(b), "g")
+    parts = [f"SELECT {by}, '{le(b)}' AS le, count(*) FILTER (WHERE {value} <= {float(b)!r}) AS cumulative_count, "
+             f"round(sum({value}), 6) AS sum, count({value}) AS count FROM {source} GROUP BY {by}" for b in bounds]
+    parts.append(f"SELECT {by}, '+Inf', count({value}), round(sum({value}), 6), count({value}) FROM {source} GROUP BY {by}")
+    return "\nUNION ALL\n".join(parts)
+
+
+_HIST_BOUNDS = (1, 2.5, 5, 10, 25, 50, 100, 250)
+_FRESH_BOUNDS = (60, 300, 600, 1800, 3600, 7200, 21600, 86400)
+
+ORACLE["d6_histogram"] = _hist_sql("value", "events", "event_type", _HIST_BOUNDS)
+
+ORACLE["d7_freshness"] = "WITH f AS (SELECT o_orderpriority AS feed, CAST(round(o_totalprice * 1e6) AS BIGINT) / 1e6 AS fr FROM orders WHERE o_orderdate IS NOT NULL)\n" \
+    + _hist_sql("fr", "f", "feed", _FRESH_BOUNDS)
+
+
+def _quantile_sql(q: float) -> str:
+    bounds = list(_HIST_BOUNDS)
+    cum = ", ".join(f"count(*) FILTER (WHERE value <= {float(b)!r}) AS c{i}" for i, b in enumerate(bounds))
+    rank = f"{q!r} * total"
+    cases = []
+    for i, b in enumerate(bounds):
+        lo = 0.0 if i == 0 else float(bounds[i - 1])
+        prev = "0" if i == 0 else f"c{i - 1}"
+        cases.append(f"WHEN c{i} >= {rank} THEN CASE WHEN c{i} - {prev} = 0 THEN {float(b)!r} ELSE "
+                     f"{lo!r} + ({float(b)!r} - {lo!r}) * ({rank} - {prev}) / (c{i} - {prev}) END")
+    return (f"SELECT event_type, {q!r} AS q, round(CASE WHEN total = 0 THEN 'NaN'::DOUBLE "
+            + " ".join(cases) + f" ELSE {float(bounds[-1])!r} END, 6) AS value "
+            f"FROM (SELECT event_type, count(*) AS total, {cum} FROM events GROUP BY event_type)")
+
+
+ORACLE["d8_histogram_quantile"] = _quantile_sql(0.5) + "\nUNION ALL\n" + _quantile_sql(0.95)
+
+_SAMPLES = """
+samples AS (
+  SELECT 'articles_ingested_total' AS metric, 'u' || user_id AS source,
+         CASE WHEN event_type = 'error' THEN 'error_crawl' ELSE 'success' END AS status,
+         epoch_us(ts) AS ts_us, event_id,
+         CAST(count(*) OVER (PARTITION BY user_id, CASE WHEN event_type = 'error' THEN 'error_crawl' ELSE 'success' END,
+                              CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value
+  FROM events),
+deltas AS (
+  SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev ELSE value END AS delta
+  FROM (SELECT *, lag(value) OVER (PARTITION BY metric, source, status ORDER BY ts_us) AS prev FROM samples))"""
+
+_AT_US = "epoch_us(TIMESTAMP '2024-01-20 00:00:00')"
+
+ORACLE["d9_sum_by_status"] = f"""WITH {_SAMPLES.strip()}
+SELECT status, round(sum(value), 6) AS value FROM (
+  SELECT status, arg_max(value, ts_us) AS value FROM samples WHERE ts_us <= {_AT_US}
+  GROUP BY metric, source, status) GROUP BY status"""
+
+ORACLE["d9_sum_total"] = f"""WITH {_SAMPLES.strip()}
+SELECT round(sum(value), 6) AS value FROM (
+  SELECT arg_max(value, ts_us) AS value FROM samples WHERE ts_us <= {_AT_US} GROUP BY metric, source, status)"""
+
+ORACLE["e4_counter_rate"] = f"""WITH {_SAMPLES.strip()}
+SELECT source, status, ts_us, round(inc, 6) AS increase, round(inc / 3600.0, 6) AS rate
+FROM (SELECT *, sum(delta) OVER (PARTITION BY metric, source, status ORDER BY ts_us
+                                 RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS inc FROM deltas)"""
+
+ORACLE["e5_latest_value"] = f"""
+SELECT 'u' || user_id AS source, arg_max(CAST(floor(value) AS BIGINT) % 3, epoch_us(ts))::DOUBLE AS value,
+       max(epoch_us(ts)) AS ts_us
+FROM events WHERE epoch_us(ts) <= {_AT_US} AND epoch_us(ts) >= {_AT_US} - 86400000000
+GROUP BY user_id"""
+
+_GRID = f"""WITH {_SAMPLES.strip()},
+b AS (SELECT metric, source, status, CAST(floor(ts_us / 3600000000) AS BIGINT) AS bucket, sum(delta) AS d
+      FROM deltas WHERE regexp_full_match(status, 'error.*') GROUP BY ALL),
+span AS (SELECT metric, source, status, min(bucket) AS lo, max(bucket) AS hi FROM b GROUP BY ALL),
+grid AS (SELECT metric, source, status, unnest(range(lo, hi + 3)) AS bucket FROM span),
+dense AS (SELECT g.*, coalesce(b.d, 0.0) AS d FROM grid g LEFT JOIN b USING (metric, source, status, bucket)),
+ev AS (SELECT metric, source, status, (bucket + 1) * 3600000000 AS eval_us,
+              sum(d) OVER (PARTITION BY metric, source, status ORDER BY bucket ROWS 2 PRECEDING) AS inc
+       FROM dense)"""
+
+ORACLE["e7_evaluation_grid"] = _GRID + """
+SELECT source, status, eval_us, round(inc, 6) AS increase, round(inc / 10800.0, 6) AS rate FROM ev"""
+
+ORACLE["e6_alert_intervals"] = _GRID + """,
+runs AS (SELECT *, sum(CASE WHEN inc >= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY metric, source, status
+                      ORDER BY eval_us ROWS UNBOUNDED PRECEDING) AS run FROM ev),
+t AS (SELECT *, min(eval_us) OVER (PARTITION BY metric, source, status, run) AS start_us FROM runs WHERE inc >= 1)
+SELECT source, status, start_us, max(eval_us) AS end_us,
+       min(eval_us) FILTER (WHERE eval_us - start_us >= 7200000000) AS fire_us
+FROM t GROUP BY metric, source, status, run, start_us"""
+
+ORACLE["i1_age_tier"] = """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN a >= 90 * 86400000000 THEN 'delete' WHEN a >= 30 * 86400000000 THEN 'cold'
+            WHEN a >= 7 * 86400000000 THEN 'warm' ELSE 'hot' END AS tier
+FROM (SELECT *, epoch_us(TIMESTAMP '1999-01-01 00:00:00') - epoch_us(l_shipdate) AS a FROM lineitem)"""
+
+ORACLE["i1_expire_samples"] = """
+SELECT event_id FROM events
+WHERE epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) < 15 * 86400000000"""
