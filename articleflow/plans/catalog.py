@@ -402,3 +402,108 @@ def q_i1(spark, sf_dir):
 @query("i1_expire_samples")
 def q_i1_expire(spark, sf_dir):
     return RT.expire(FX.table(spark, sf_dir, "events"), "ts", "2024-01-31 00:00:00").select("event_id")
+
+
+# ------------------------------------------------------ streaming (A4, H1-H4)
+from articleflow.session import scratch_path  # noqa: E402
+from articleflow.streaming import ingest as IN  # noqa: E402
+from articleflow.streaming import stateful as STF  # noqa: E402
+
+
+def _land_two_crawls(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Land crawl 0 then crawl 1 of the document feed (one file each, in
+    order) plus the chat feed with crawl 1; return the landing path."""
+    landing = scratch_path(spark, "landing")
+    raw0 = FX.document_pages(spark, sf_dir, 0)
+    raw1 = FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))
+    IN.land_raw_pages(raw0.coalesce(1), landing)
+    IN.land_raw_pages(raw1.coalesce(1), landing)
+    return landing, FX.registry_from_feeds(raw0.unionByName(raw1))
+
+
+def _ingest(spark, sf_dir) -> str:
+    landing, registry = _land_two_crawls(spark, sf_dir)
+    store = ST.ArticleStore(spark, scratch_path(spark, "store"))
+    changes = scratch_path(spark, "changes")
+    q = IN.run_ingest(IN.stream_raw_pages(spark, landing, max_files_per_trigger=1), registry, store, changes,
+                      checkpoint=scratch_path(spark, "ckpt-ingest"), available_now=True)
+    q.awaitTermination()
+    return changes
+
+
+@query("a4_stream_raw_pages")
+def q_a4(spark, sf_dir):
+    landing, _ = _land_two_crawls(spark, sf_dir)
+    out = scratch_path(spark, "a4-out")
+    q = (IN.stream_raw_pages(spark, landing, 1).select(*S.PAGE_KEY)
+           .writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "ckpt-a4"))
+           .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("h1_run_ingest")
+def q_h1(spark, sf_dir):
+    ev = spark.read.parquet(_ingest(spark, sf_dir))
+    return ev.select("key", "feed", "run_id", "page_no",
+                     F.get_json_object("value", "$.content_hash").alias("content_hash"))
+
+
+@query("h3_run_sync")
+def q_h3(spark, sf_dir):
+    changes = _ingest(spark, sf_dir)
+    synced, dead = scratch_path(spark, "synced"), scratch_path(spark, "dead")
+    q = IN.run_sync(spark, changes, synced, dead, sync_outcome(), checkpoint=scratch_path(spark, "ckpt-sync"),
+                    available_now=True)
+    q.awaitTermination()
+    return (spark.read.parquet(synced).select(F.col("id").alias("key"), F.lit("synced").alias("route"))
+            .unionByName(spark.read.parquet(dead).select("key", F.lit("dead_letter").alias("route"))))
+
+
+def _land_weekly(spark, df: DataFrame, name: str) -> str:
+    """Land rows in four weekly files, oldest first (one micro-batch each)."""
+    path = scratch_path(spark, name)
+    week = ((F.dayofmonth(F.col("ts").cast("timestamp")) - 1) / 7).cast("int")
+    for w in range(5):
+        df.filter(week == w).drop("ts").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _run_stateful(spark, path: str, schema, transform, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STF.ROCKSDB)
+    out = scratch_path(spark, name)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = (transform(stream).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def breaker_requests(spark, sf_dir) -> DataFrame:
+    """``events`` as page requests per feed (user): errors are failures."""
+    ev = FX.table(spark, sf_dir, "events")
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed"),
+                     epoch_us("ts").alias("ts_us"), (F.col("event_type") != "error").alias("ok"), "ts")
+
+
+@query("h2_breaker_states")
+def q_h2(spark, sf_dir):
+    path = _land_weekly(spark, breaker_requests(spark, sf_dir), "requests")
+    return _run_stateful(spark, path, "feed string, ts_us long, ok boolean", STF.breaker_states, "breaker")
+
+
+@query("h2_breaker_states_batch")
+def q_h2_batch(spark, sf_dir):
+    return STF.breaker_states_batch(breaker_requests(spark, sf_dir).drop("ts"))
+
+
+@query("h4_sample_nth_stream")
+def q_h4(spark, sf_dir):
+    ev = FX.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("key"), F.col("event_id").alias("id"), epoch_us("ts").alias("order"),
+        (F.col("value") < 0.5).alias("reset"), "ts")
+    path = _land_weekly(spark, ev, "sample-rows")
+    out = _run_stateful(spark, path, "key string, id long, order long, reset boolean",
+                        lambda s: STF.sample_nth_stream(s, 10), "sampler")
+    return out.select(F.col("id").alias("event_id"), F.col("key").alias("event_type"), "occurrence", "emit")

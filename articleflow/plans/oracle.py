@@ -430,3 +430,25 @@ FROM (SELECT *, epoch_us(TIMESTAMP '1999-01-01 00:00:00') - epoch_us(l_shipdate)
 ORACLE["i1_expire_samples"] = """
 SELECT event_id FROM events
 WHERE epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) < 15 * 86400000000"""
+
+# ---------------------------------------------------------------- streaming
+ORACLE["a4_stream_raw_pages"] = with_common("""
+SELECT DISTINCT feed, run_id, page_no FROM arts0
+UNION ALL SELECT DISTINCT feed, run_id, page_no FROM arts1
+UNION ALL SELECT DISTINCT feed, run_id, page_no FROM chat""")
+
+_STREAM_PAGES = """
+spages AS (SELECT feed, run_id, page_no, id, content_hash, body FROM uniq0
+           UNION ALL SELECT feed, run_id, page_no, id, content_hash, body FROM uniq1
+           UNION ALL SELECT feed, run_id, page_no, id, sha256('dummy' || url || title || summary || body), body FROM chat),
+sfeed AS (SELECT *, lag(content_hash) OVER (PARTITION BY id ORDER BY run_id, feed, page_no) AS prev FROM spages),
+semitted AS (SELECT * FROM sfeed WHERE prev IS NULL OR prev <> content_hash)"""
+
+ORACLE["h1_run_ingest"] = with_common(f""", {_STREAM_PAGES.strip()}
+SELECT id AS key, feed, run_id, page_no, content_hash FROM semitted""")
+
+ORACLE["h3_run_sync"] = with_common(f""", {_STREAM_PAGES.strip()}
+SELECT id AS key, CASE WHEN length(body) % 7 <> 0 THEN 'synced' ELSE 'dead_letter' END AS route FROM semitted""")
+
+ORACLE["h4_sample_nth_stream"] = ORACLE["e2_sample_nth"].replace(
+    "SELECT event_id, event_type, epoch, occurrence,", "SELECT event_id, event_type, occurrence,")

@@ -1,0 +1,175 @@
+"""Keyed stateful operators (H2 breaker states, H4 sampler) with
+``transformWithStateInPandas``.
+
+State per key is a few scalars (never the key's history), so a key with a
+third of all rows costs O(1) state; each trigger hands the processor only that
+micro-batch's rows of the key, which it sorts by time (arrival order inside a
+key is not guaranteed).  The same pure step functions back the batch forms.
+"""
+
+from __future__ import annotations
+
+from typing import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# ------------------------------------------------------------- breaker (H2)
+# Breaker settings -- opens after 3 consecutive failures, stays
+# open 30 s, then lets one trial request through; closed-state counts are
+# cleared every 60 s.  State codes: 0 closed, 1 half-open, 2 open.
+TRIP_AFTER = 3
+OPEN_FOR_US = 30 * 1_000_000
+COUNT_PERIOD_US = 60 * 1_000_000
+CLOSED, HALF_OPEN, OPEN = 0, 1, 2
+
+BREAKER_STATE_DDL = "state int, failures int, period_start_us long, opened_at_us long"
+BREAKER_OUT = T.StructType([
+    T.StructField("feed", T.StringType()), T.StructField("ts_us", T.LongType()),
+    T.StructField("ok", T.BooleanType()), T.StructField("state", T.IntegerType()),
+    T.StructField("rejected", T.BooleanType()),
+])
+
+
+def breaker_step(state: tuple, ts_us: np.ndarray, ok: np.ndarray):
+    """Run the breaker over one key's requests (sorted by time).
+
+    ``state`` = (state, failures, period_start_us, opened_at_us) or None.
+    Returns the state after each request, whether it was rejected (open
+    breaker), and the final state.  Time-outs are applied lazily at the
+    next request, so no timers are needed; a period or open time ends only
+    strictly after its length has passed.
+    """
+    st, fails, period, opened = state if state is not None else (CLOSED, 0, None, None)
+    n = len(ts_us)
+    out_state = np.empty(n, dtype=np.int32)
+    rejected = np.zeros(n, dtype=bool)
+    for i in range(n):
+        t, good = int(ts_us[i]), bool(ok[i])
+        if st == OPEN:
+            if t <= opened + OPEN_FOR_US:
+                rejected[i] = True
+                out_state[i] = st
+                continue
+            st = HALF_OPEN
+        if st == HALF_OPEN:
+            if good:
+                st, fails, period = CLOSED, 0, t
+            else:
+                st, opened = OPEN, t
+            out_state[i] = st
+            continue
+        if period is None or t > period + COUNT_PERIOD_US:
+            fails, period = 0, t
+        if good:
+            fails = 0
+        else:
+            fails += 1
+            if fails >= TRIP_AFTER:
+                st, opened, fails = OPEN, t, 0
+        out_state[i] = st
+    return out_state, rejected, (st, fails, period, opened)
+
+
+def _breaker_frame(feed, pdf: pd.DataFrame, state):
+    pdf = pdf.sort_values("ts_us", kind="stable")
+    states, rejected, final = breaker_step(state, pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy())
+    out = pd.DataFrame({"feed": feed, "ts_us": pdf["ts_us"].to_numpy(), "ok": pdf["ok"].to_numpy(),
+                        "state": states, "rejected": rejected})
+    return out, final
+
+
+class BreakerProcessor(StatefulProcessor):
+    """H2: per-feed breaker state over a stream of request outcomes
+    ``(feed, ts_us, ok)``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", BREAKER_STATE_DDL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        prev = None
+        if self.state.exists():
+            s = self.state.get()
+            prev = (int(s[0]), int(s[1]), None if pd.isna(s[2]) else int(s[2]), None if pd.isna(s[3]) else int(s[3]))
+        out, final = _breaker_frame(key[0], pdf, prev)
+        self.state.update(final)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_states(requests: DataFrame) -> DataFrame:
+    """H2 on a stream (or batch) of ``(feed, ts_us, ok)`` requests."""
+    return requests.groupBy("feed").transformWithStateInPandas(
+        statefulProcessor=BreakerProcessor(), outputStructType=BREAKER_OUT,
+        outputMode="Append", timeMode="None")
+
+
+def breaker_states_batch(requests: DataFrame) -> DataFrame:
+    """H2 batch form: one feed's whole request log per group, sorted in
+    pandas.  A feed's log is its page requests (at most 1000 per run); for an
+    unbounded log use :func:`breaker_states` on a stream, whose per-trigger
+    input is bounded and whose state is four scalars."""
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, _ = _breaker_frame(key[0], pdf, None)
+        return out
+    return requests.groupBy("feed").applyInPandas(run, BREAKER_OUT)
+
+
+# ------------------------------------------------------------- sampler (H4)
+SAMPLE_OUT = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("id", T.LongType()),
+    T.StructField("occurrence", T.LongType()), T.StructField("emit", T.BooleanType()),
+])
+
+
+def sample_step(count: int, reset: np.ndarray, n: int):
+    """Occurrence numbers of one key's rows (sorted), continuing from
+    ``count``; reset rows restart the count and are not occurrences."""
+    reset = reset.astype(bool)
+    epoch = np.cumsum(reset)
+    occ = np.zeros(len(reset), dtype=np.int64)
+    for e in np.unique(epoch):
+        m = (epoch == e) & ~reset
+        occ[m] = np.arange(1, m.sum() + 1) + (count if e == 0 else 0)
+    last = epoch[-1] if len(epoch) else 0
+    final = int(((epoch == last) & ~reset).sum()) + (count if last == 0 else 0)
+    emit = (~reset) & ((occ == 1) | (occ % n == 0))
+    return np.where(reset, -1, occ), emit, final
+
+
+class SampleProcessor(StatefulProcessor):
+    """H4: running per-key occurrence counter with resets; emits the 1st and
+    every n-th occurrence.  Input ``(key, id, order, reset)``."""
+
+    def __init__(self, n: int = 10):
+        self.n = n if n >= 1 else 10
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "count long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["order", "id"], kind="stable")
+        c = int(self.count.get()[0]) if self.count.exists() else 0
+        occ, emit, final = sample_step(c, pdf["reset"].to_numpy(), self.n)
+        self.count.update((final,))
+        yield pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(),
+                            "occurrence": pd.array(np.where(occ < 0, None, occ), dtype="Int64"),
+                            "emit": emit})
+
+    def close(self) -> None:
+        pass
+
+
+def sample_nth_stream(rows: DataFrame, n: int = 10) -> DataFrame:
+    """H4 on a stream of ``(key, id, order, reset)``."""
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=SampleProcessor(n), outputStructType=SAMPLE_OUT,
+        outputMode="Append", timeMode="None")
