@@ -117,7 +117,7 @@ def breaker_states_batch(requests: DataFrame) -> DataFrame:
     pandas.  A feed's log is its page requests (at most 1000 per run); for an
     unbounded log use :func:`breaker_states` on a stream, whose per-trigger
     input is bounded and whose state is four scalars."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, _ = _breaker_frame(key[0], pdf, None)
         return out
     return requests.groupBy("feed").applyInPandas(run, BREAKER_OUT)
