@@ -98,8 +98,7 @@ def q_b3(spark, sf_dir):
 @query("b4_parse_pages")
 def q_b4(spark, sf_dir):
     raw = FX.document_pages(spark, sf_dir, 0).unionByName(FX.conversation_pages(spark, sf_dir))
-    reg = FX.registry_from_feeds(raw)
-    arts = P.parse_pages(raw, reg)
+    arts = P.parse_pages(raw, FX.registry_from_documents(spark, sf_dir))
     return arts.select("feed", "run_id", "page_no", "pos", "id", "source", "title",
                        epoch_us("published_at").alias("published_us"))
 
@@ -418,7 +417,7 @@ def _land_two_crawls(spark, sf_dir) -> tuple[str, DataFrame]:
     raw1 = FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))
     IN.land_raw_pages(raw0.coalesce(1), landing)
     IN.land_raw_pages(raw1.coalesce(1), landing)
-    return landing, FX.registry_from_feeds(raw0.unionByName(raw1))
+    return landing, FX.registry_from_documents(spark, sf_dir)
 
 
 def _ingest(spark, sf_dir) -> str:

@@ -164,6 +164,14 @@ def micros(c) -> Column:
     return epoch_us(c)
 
 
+def registry_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source registry of the fixture feeds: every ``documents`` source
+    (first parser) plus the chat feed (item-list parser)."""
+    feeds = (table(spark, sf_dir, "documents").select(F.col("source").alias("feed")).distinct()
+             .unionByName(spark.range(1).select(F.lit("chat").alias("feed"))))
+    return registry_from_feeds(feeds)
+
+
 def registry_from_feeds(raw: DataFrame) -> DataFrame:
     """A source registry for the feeds present in ``raw``: the chat feed uses
     the item-list parser, every other feed the first parser."""

@@ -48,24 +48,26 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
                  changes_path: str, quarantine_path: str | None = None) -> None:
     """H1 body for one micro-batch of raw pages (B5 -> B4 -> E1 -> B7 -> C3 ->
     A6 -> A9).  Reads only store versions of earlier batches."""
-    raw = raw.persist()
+    reg = registry.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
+    decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser").persist()
+    pages = C.with_content_hash(P.explode_articles(decoded, dedup=True)).persist()
     try:
-        reg = registry.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
-        decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser")
         if quarantine_path:
             _overwrite_partition(decoded.filter("bad").select(*[f.name for f in S.RAW_PAGES.fields]),
                                  batch_id, quarantine_path)
-        pages = C.with_content_hash(P.explode_articles(decoded, dedup=True))
         current = store.current(before_batch=batch_id)
         feed = C.change_feed(pages, current)
         emitted = feed.filter(F.col("change") != C.UNCHANGED)
-        events = CL.to_change_events(emitted).join(
-            emitted.select(F.col("id").alias("key"), "feed", "run_id", "page_no"), "key")
-        _overwrite_partition(events.select(*CHANGE_EVENT_COLS), batch_id, changes_path)
+        # one event per emitted page row, with its page coordinates so a
+        # consumer can order several changes of one id within a batch
+        events = emitted.select(F.col("id").alias("key"), CL.article_json(emitted).alias("value"),
+                                "feed", "run_id", "page_no")
+        _overwrite_partition(events, batch_id, changes_path)
         latest = C.state_after(pages, current.join(pages.select("id").distinct(), "id", "left_semi"))
         store.write_batch(batch_id, store.changed_rows(batch_id, latest))
     finally:
-        raw.unpersist()
+        pages.unpersist()
+        decoded.unpersist()
 
 
 def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, changes_path: str,

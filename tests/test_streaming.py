@@ -52,3 +52,18 @@ def test_ingest_replay_is_idempotent(spark, sf_small):
     assert sorted(map(tuple, spark.read.parquet(changes).collect())) == sorted(map(tuple, ev1))
     assert sorted(map(tuple, store.current().collect())) == sorted(map(tuple, st1))
     assert spark.read.parquet(changes).filter("batch_id = 0").count() > 0
+
+
+def test_ingest_one_id_changed_on_two_pages_of_one_batch(spark):
+    import json
+    from articleflow.operators.parse import PULSELIVE
+    pages = [json.dumps({"pageInfo": {"numPages": 2}, "content": [{"id": 1, "title": t}]}) for t in ("a", "b")]
+    raw = spark.createDataFrame([("f", 5, i, None, p) for i, p in enumerate(pages)],
+                                "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
+    reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-two"))
+    changes = scratch_path(spark, "changes-two")
+    IN.ingest_batch(raw, 0, reg, store, changes)
+    ev = spark.read.parquet(changes).orderBy("page_no").collect()
+    assert [(e.key, e.page_no) for e in ev] == [("pulselive_1", 0), ("pulselive_1", 1)]
+    assert [r.title for r in store.current().collect()] == ["b"]
