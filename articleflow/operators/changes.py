@@ -106,11 +106,16 @@ def change_feed(pages: DataFrame, store: DataFrame, order: list[str] | None = No
                                .otherwise(F.lit(UNCHANGED))))
 
 
+def latest_rows(pages: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The last row per id of many pages in order (grouped ``max_by``)."""
+    order = order or ["run_id", "feed", "page_no"]
+    return (pages.groupBy("id")
+                 .agg(F.max_by(F.struct(*[c for c in S.ARTICLE_COLS if c != "id"]), F.struct(*order)).alias("_a"))
+                 .select("id", "_a.*"))
+
+
 def state_after(pages: DataFrame, store: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Store state after applying ``pages`` in order: the last row per id
     (grouped ``max_by``, map-side combined), else the stored row."""
-    order = order or ["run_id", "feed", "page_no"]
-    latest = (pages.groupBy("id")
-                   .agg(F.max_by(F.struct(*S.ARTICLE_COLS), F.struct(*order)).alias("_a"))
-                   .select("_a.*"))
+    latest = latest_rows(pages, order)
     return store.select(*S.ARTICLE_COLS).join(latest.select("id"), "id", "left_anti").unionByName(latest)

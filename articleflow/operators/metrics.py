@@ -51,17 +51,16 @@ def publish_counters(classified: DataFrame, publish_ok: Column, page_key: list[s
         F.count_if(~F.col("ok") & (F.col("n_changed") > 0)).alias("publish_errors"))
 
 
-def sync_counters(synced: DataFrame, dead_letters: DataFrame, dead_letter_ok: Column | None = None,
+def sync_counters(routed: DataFrame, dead_letter_ok: Column | None = None,
                   source: str = "source") -> DataFrame:
     """Per article source, ``processed`` (synced), ``errors`` (failed
-    syncs) and ``dead_lettered`` (failed ones re-published)."""
-    dl = dead_letters.select(F.get_json_object("value", "$.source").alias(source),
-                             (dead_letter_ok if dead_letter_ok is not None else F.lit(True)).alias("_dl"))
-    a = synced.select(source, F.lit(1).alias("p"), F.lit(0).alias("e"), F.lit(0).alias("d"))
-    b = dl.select(source, F.lit(0).alias("p"), F.lit(1).alias("e"), F.col("_dl").cast("int").alias("d"))
-    return a.unionByName(b).groupBy(source).agg(
-        F.sum("p").cast("long").alias("processed"), F.sum("e").cast("long").alias("errors"),
-        F.sum("d").cast("long").alias("dead_lettered"))
+    syncs) and ``dead_lettered`` (failed ones re-published; all of them
+    unless ``dead_letter_ok`` says the dead-letter write failed).  One
+    aggregation over the routed outcomes (``changelog.route``)."""
+    ok = F.col("synced")
+    dl = dead_letter_ok if dead_letter_ok is not None else F.lit(True)
+    return routed.groupBy(source).agg(F.count_if(ok).alias("processed"), F.count_if(~ok).alias("errors"),
+                                      F.count_if(~ok & dl).alias("dead_lettered"))
 
 
 def parse_error_counters(bad_pages: DataFrame, feed: str = "feed") -> DataFrame:

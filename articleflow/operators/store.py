@@ -41,58 +41,109 @@ def last_published(store: DataFrame, source: str | None = None, by: str = "sourc
     return store.groupBy(by).agg(F.max_by(F.struct(*cols), key).alias("_a")).select("_a.*")
 
 
+def row_hash(exclude: tuple[str, ...] = ("fetched_at",)):
+    """64-bit hash of every article field except ``exclude`` (a version is
+    written only when this changes)."""
+    return F.xxhash64(*[F.col(c) for c in S.ARTICLE_COLS if c not in exclude])
+
+
 class ArticleStore:
     """Append-only, versioned article table under one root folder.
 
-    Layout ``<root>/versions/batch_id=N/`` holds the rows batch N changed
-    (any field, not only the hashed ones); the current view is the row of the
-    highest batch id per id.  A batch writes its change events first, then its
-    versions, both with ``overwrite`` on its own ``batch_id`` partition, so a
-    replayed batch recomputes and rewrites the same rows (idempotent), and a
-    crash between the two writes loses nothing.  Readers of batch N only see
-    versions of batches below N.
+    ``<root>/versions/batch_id=N/bucket=B/`` holds the rows batch N changed
+    (any field except ``fetched_at``, not only the hashed ones), with their
+    ``row_hash``; ``<root>/base/`` is an optional compacted snapshot (the
+    current view up to a batch).  The current view is the row of the highest
+    batch id per id over base + later versions (``max_by``, partial
+    aggregation).  A batch writes its change events first, then its versions,
+    both as ``overwrite`` of its own ``batch_id`` partition, so a replayed
+    batch recomputes and rewrites the same rows (idempotent) and a crash
+    between the two writes loses nothing.  Readers of batch N see only
+    versions of batches below N.  Rows are bucketed by ``xxhash64(id)`` and
+    sorted by id inside a bucket, so a lookup by id reads few row groups.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
     @property
     def versions_path(self) -> str:
         return f"{self.root}/versions"
 
-    def _versions(self) -> DataFrame | None:
+    @property
+    def base_path(self) -> str:
+        return f"{self.root}/base"
+
+    def _read(self, path: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.versions_path)
+            return self.spark.read.parquet(path)
         except Exception:  # nothing written yet
             return None
 
-    def current(self, before_batch: int | None = None) -> DataFrame:
-        """Current state: last version per id (optionally only batches < N)."""
-        v = self._versions()
-        if v is None:
-            return self.spark.createDataFrame([], S.ARTICLE)
-        if before_batch is not None:
-            v = v.filter(F.col("batch_id") < before_batch)  # partition pruning
-        return (v.groupBy("id")
-                 .agg(F.max_by(F.struct(*S.ARTICLE_COLS), F.col("batch_id")).alias("_a"))
-                 .select("_a.*"))
+    def current(self, before_batch: int | None = None, columns: list[str] | None = None) -> DataFrame:
+        """Current state: last version per id (optionally only batches < N),
+        from the newest usable snapshot plus the versions after it.
+
+        ``columns`` limits the view to ``id`` plus those fields, and the Parquet
+        scan to them: the per-batch lookups need ``content_hash`` and
+        ``row_hash`` only, never the article bodies.
+        """
+        fields = [c for c in [*S.ARTICLE_COLS, "row_hash"] if columns is None or c == "id" or c in columns]
+        cols = [*fields, "batch_id"]
+        parts, upto = [], -1
+        base = self._read(self.base_path)
+        if base is not None:
+            usable = base if before_batch is None else base.filter(F.col("upto_batch") < before_batch)
+            best = usable.agg(F.max("upto_batch")).first()[0]
+            if best is not None:
+                upto = int(best)
+                parts.append(base.filter(F.col("upto_batch") == upto)
+                                 .withColumnRenamed("upto_batch", "batch_id").select(*cols))
+        v = self._read(self.versions_path)
+        if v is not None:
+            v = v.filter(F.col("batch_id") > upto)  # partition pruning
+            if before_batch is not None:
+                v = v.filter(F.col("batch_id") < before_batch)
+            parts.append(v.select(*cols))
+        if not parts:
+            empty = self.spark.createDataFrame([], S.ARTICLE).withColumn("row_hash", F.lit(None).cast("long"))
+            return empty.select(*fields)
+        allv = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        rest = [c for c in fields if c != "id"]
+        return (allv.groupBy("id")
+                    .agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_a"))
+                    .select("id", "_a.*"))
 
     def write_batch(self, batch_id: int, rows: DataFrame) -> None:
-        """Append the changed rows of ``batch_id`` (overwrite of its partition)."""
+        """Write the changed rows of ``batch_id`` (overwrite of its partition)."""
         (rows.select(*S.ARTICLE_COLS)
+             .withColumn("row_hash", row_hash())
              .withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)))
              .withColumn("batch_id", F.lit(batch_id).cast("long"))
              .repartition("bucket")
              .sortWithinPartitions("id")
-             .write.mode("overwrite").partitionBy("batch_id", "bucket")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id", "bucket")
              .parquet(self.versions_path))
 
     def changed_rows(self, batch_id: int, latest: DataFrame) -> DataFrame:
         """Rows of ``latest`` (unique by id) that differ from the current view
-        in any field: the versions batch ``batch_id`` has to append."""
-        cur = self.current(before_batch=batch_id).select(*S.ARTICLE_COLS)
-        lat = latest.select(*S.ARTICLE_COLS)
-        return lat.exceptAll(cur.join(lat.select("id"), "id", "left_semi"))
+        in any field but ``fetched_at``: an anti join on ``(id, row_hash)``,
+        so only two columns of the store take part."""
+        cur = (self.current(before_batch=batch_id, columns=["row_hash"])
+                   .join(latest.select("id"), "id", "left_semi"))
+        return (latest.select(*S.ARTICLE_COLS).withColumn("row_hash", row_hash())
+                      .join(cur, ["id", "row_hash"], "left_anti").drop("row_hash"))
+
+    def compact(self, upto_batch: int) -> None:
+        """Write the current view up to ``upto_batch`` as snapshot
+        ``base/upto_batch=N`` (a new partition; older snapshots and versions
+        stay readable until removed), so later reads aggregate only the
+        versions after it."""
+        snap = self.current(before_batch=upto_batch + 1).withColumn("upto_batch", F.lit(upto_batch).cast("long"))
+        (snap.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)))
+             .repartition("bucket").sortWithinPartitions("id")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("upto_batch", "bucket").parquet(self.base_path))

@@ -319,8 +319,7 @@ def q_d4(spark, sf_dir):
     chat = C.with_content_hash(P.parse_items(FX.conversation_pages(spark, sf_dir), dedup=True))
     arts = CL.read_changes(CL.to_change_events(emitted_changes(spark, sf_dir).select(*S.ARTICLE_COLS)
                                                .unionByName(chat.select(*S.ARTICLE_COLS))))
-    synced, dead = CL.sync_and_route(arts, sync_outcome())
-    return M.sync_counters(synced, dead)
+    return M.sync_counters(CL.route(arts, sync_outcome()))
 
 
 @query("d5_parse_error_counters")

@@ -66,11 +66,17 @@ def read_changes(events: DataFrame) -> DataFrame:
     return d.select("key", *cols)
 
 
+def route(articles: DataFrame, outcome: Column) -> DataFrame:
+    """A8 outcome per article: ``synced`` is the downstream call's result
+    (a column expression, or a ``mapInPandas``-computed column upstream)."""
+    return articles.withColumn("synced", F.coalesce(outcome, F.lit(False)))
+
+
 def sync_and_route(articles: DataFrame, outcome: Column):
     """``outcome`` (bool column: downstream call succeeded) splits the
     decoded articles into ``(synced, dead_letters)``; a dead letter is the
     whole article re-encoded with the same key (A6 encoding)."""
-    marked = articles.withColumn("_ok", outcome)
-    synced = marked.filter(F.col("_ok")).drop("_ok")
-    failed = marked.filter(~F.col("_ok")).drop("_ok")
+    marked = route(articles, outcome)
+    synced = marked.filter(F.col("synced")).drop("synced")
+    failed = marked.filter(~F.col("synced")).drop("synced")
     return synced, to_change_events(failed)

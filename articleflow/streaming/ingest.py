@@ -55,7 +55,8 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         if quarantine_path:
             _overwrite_partition(decoded.filter("bad").select(*[f.name for f in S.RAW_PAGES.fields]),
                                  batch_id, quarantine_path)
-        current = store.current(before_batch=batch_id)
+        # the store is read as three narrow columns, never the article bodies
+        current = store.current(before_batch=batch_id, columns=["content_hash"])
         feed = C.change_feed(pages, current)
         emitted = feed.filter(F.col("change") != C.UNCHANGED)
         # one event per emitted page row, with its page coordinates so a
@@ -63,8 +64,7 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         events = emitted.select(F.col("id").alias("key"), CL.article_json(emitted).alias("value"),
                                 "feed", "run_id", "page_no")
         _overwrite_partition(events, batch_id, changes_path)
-        latest = C.state_after(pages, current.join(pages.select("id").distinct(), "id", "left_semi"))
-        store.write_batch(batch_id, store.changed_rows(batch_id, latest))
+        store.write_batch(batch_id, store.changed_rows(batch_id, C.latest_rows(pages)))
     finally:
         pages.unpersist()
         decoded.unpersist()

@@ -67,3 +67,25 @@ def test_ingest_one_id_changed_on_two_pages_of_one_batch(spark):
     ev = spark.read.parquet(changes).orderBy("page_no").collect()
     assert [(e.key, e.page_no) for e in ev] == [("pulselive_1", 0), ("pulselive_1", 1)]
     assert [r.title for r in store.current().collect()] == ["b"]
+
+
+def test_store_versions_and_compaction(spark):
+    from articleflow.operators.parse import conform
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-c"), buckets=4)
+
+    def batch(rows):
+        return conform(spark.createDataFrame(rows, "id string, title string, content_hash string"))
+    b0 = batch([("a", "A", "h1"), ("b", "B", "h2")])
+    store.write_batch(0, store.changed_rows(0, b0))
+    b1 = batch([("a", "A", "h1"), ("b", "B2", "h3"), ("c", "C", "h4")])
+    changed = store.changed_rows(1, b1)
+    assert sorted(r.id for r in changed.collect()) == ["b", "c"]      # a unchanged: no new version
+    store.write_batch(1, changed)
+    before = sorted((r.id, r.title) for r in store.current().collect())
+    assert before == [("a", "A"), ("b", "B2"), ("c", "C")]
+    assert sorted((r.id, r.title) for r in store.current(before_batch=1).collect()) == [("a", "A"), ("b", "B")]
+    store.compact(1)
+    assert sorted((r.id, r.title) for r in store.current().collect()) == before
+    store.write_batch(2, store.changed_rows(2, batch([("a", "A3", "h5")])))
+    assert sorted((r.id, r.title) for r in store.current().collect()) == [("a", "A3"), ("b", "B2"), ("c", "C")]
+    assert sorted((r.id, r.title) for r in store.current(before_batch=1).collect()) == [("a", "A"), ("b", "B")]
