@@ -19,3 +19,18 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def fence(df: DataFrame, *cols: str) -> DataFrame:
+    """Re-emit ``cols`` through a one-element generator.
+
+    A later filter on a fenced column cannot be pushed below the generator,
+    so an expensive expression behind the column (a JSON decode) is evaluated
+    once per row instead of once in the pushed filter and again in the
+    projection.
+    """
+    packed = F.struct(*[F.col(c).alias(c) for c in cols])
+    out = df.withColumn("_fence", F.explode(F.array(packed)))
+    for c in cols:
+        out = out.withColumn(c, F.col(f"_fence.{c}"))
+    return out.drop("_fence")

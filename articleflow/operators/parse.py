@@ -209,18 +209,24 @@ def explode_articles(decoded: DataFrame, keep: list[str] | None = None,
                      dedup: bool = False) -> DataFrame:
     """Good pages -> one row per payload item with its position ``pos``.
 
-    ``dedup=True`` applies E1 inside each page's array before exploding (the
-    first item of each id survives, with its original position), which needs
-    no shuffle at all.
+    ``items`` is NULL on bad pages and exploding NULL yields no row, so no
+    filter is needed -- a filter on ``bad`` would be pushed below the
+    projection and decode every payload twice.  ``dedup=True`` applies E1
+    inside each page's array before exploding (the first item of each id
+    survives, with its original position): no shuffle.
     """
     keep = keep if keep is not None else [c for c in S.PAGE_KEY if c in decoded.columns]
-    good = decoded.filter(~F.col("bad"))
+    # The *_outer generators plus a filter on the generated column: a plain
+    # explode makes the optimizer infer a size(items) > 0 filter below the
+    # generator, which would inline (re-run) the whole decode.
     if dedup:
         from articleflow.operators.changes import dedup_items
-        rows = good.select(*keep, F.explode(dedup_items(F.col("items"))).alias("e"))
+        rows = (decoded.select(*keep, F.explode_outer(dedup_items(F.col("items"))).alias("e"))
+                       .filter(F.col("e").isNotNull()))
         return rows.select(*keep, F.col("e.pos").alias("pos"), "e.a.*")
-    return (good.select(*keep, F.posexplode("items").alias("pos", "a"))
-                .select(*keep, F.col("pos").cast("long").alias("pos"), "a.*"))
+    return (decoded.select(*keep, F.posexplode_outer("items").alias("pos", "a"))
+                   .filter(F.col("a").isNotNull())
+                   .select(*keep, F.col("pos").cast("long").alias("pos"), "a.*"))
 
 
 def parse_pulselive(raw: DataFrame, dedup: bool = False) -> DataFrame:
@@ -248,7 +254,8 @@ def page_info(raw: DataFrame, parser: str | Column = "parser", names=None) -> Da
 def split_bad_pages(raw: DataFrame, parser: str | Column = "parser", names=None):
     """(good, bad) raw pages.  A page is bad if it does not decode, has a
     wrong-typed field anywhere, or names no known parser."""
-    d = decode_pages(raw, parser, names).drop("items", "page_info")
+    from articleflow.operators.joins import fence
+    d = fence(decode_pages(raw, parser, names).drop("items", "page_info"), "bad")
     return d.filter(~F.col("bad")).drop("bad"), d.filter(F.col("bad")).drop("bad")
 
 

@@ -95,18 +95,19 @@ def document_items(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
 
 def pages_from_items(items: DataFrame, page_size: int = DOCS_PER_PAGE) -> DataFrame:
     """Group items into one JSON payload per page (pages are bounded by
-    ``page_size`` ids, so ``collect_list`` per page is bounded)."""
+    ``page_size`` ids, so ``collect_list`` per page is bounded).  The payload
+    is built inside the aggregation, so later filters cannot inline (and
+    re-run) its encoding."""
     num_pages = items.agg((F.max("page_no") + 1).alias("num_pages"))  # one row
-    grouped = (items.groupBy(*S.PAGE_KEY)
-                    .agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("its"))
-                    .crossJoin(F.broadcast(num_pages)))
+    its = F.array_sort(F.collect_list(F.struct("ord", "item")))
     payload = F.to_json(F.struct(
         F.struct(F.col("page_no").alias("page"), F.col("num_pages").alias("numPages"),
                  F.lit(page_size).cast("long").alias("pageSize"),
-                 F.size("its").cast("long").alias("numEntries")).alias("pageInfo"),
-        F.transform("its", lambda e: e["item"]).alias("content")))
-    return grouped.select(*S.PAGE_KEY, F.lit(None).cast("timestamp").alias("fetched_at"),
-                          payload.alias("payload"))
+                 F.size(its).cast("long").alias("numEntries")).alias("pageInfo"),
+        F.transform(its, lambda e: e["item"]).alias("content")))
+    return (items.crossJoin(F.broadcast(num_pages))
+                 .groupBy(*S.PAGE_KEY, "num_pages").agg(payload.alias("payload"))
+                 .select(*S.PAGE_KEY, F.lit(None).cast("timestamp").alias("fetched_at"), "payload"))
 
 
 def document_pages(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
@@ -122,11 +123,12 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  _pad2(F.col("turn") % 24), F.lit(":00:00Z")))
     item = F.struct(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
                     F.col("role").alias("headline"), F.col("text").alias("content"), ts_text.alias("timestamp"))
-    pages = (c.groupBy("conv_id")
-              .agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("its")))
+    its = F.array_sort(F.collect_list(F.struct("turn", item.alias("item"))))
+    pages = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(its, lambda e: e["item"]).alias("items")))
+                                     .alias("payload"))
     return pages.select(F.lit("chat").alias("feed"), F.lit(0).cast("long").alias("run_id"),
                         F.col("conv_id").alias("page_no"), F.lit(None).cast("timestamp").alias("fetched_at"),
-                        F.to_json(F.struct(F.transform("its", lambda e: e["item"]).alias("items"))).alias("payload"))
+                        "payload")
 
 
 def articles_from_documents(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:

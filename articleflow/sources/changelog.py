@@ -53,7 +53,8 @@ def read_changes(events: DataFrame) -> DataFrame:
                      for f in S.ARTICLE.fields)
     parsed = F.from_json(text, f"{wire}, _corrupt string",
                          {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    d = events.select(F.col("key").cast("string").alias("key"), parsed.alias("a"))
+    from articleflow.operators.joins import fence
+    d = fence(events.select(F.col("key").cast("string").alias("key"), parsed.alias("a")), "a")
     d = d.filter(F.col("a").isNotNull() & F.col("a._corrupt").isNull())
     cols = []
     for f in S.ARTICLE.fields:
