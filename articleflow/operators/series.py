@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from articleflow.functions import anchored_match, epoch_us
-from articleflow.operators.skew import chunked_lag
+from articleflow.operators.skew import chunked_lag, chunked_running
 
 US = 1_000_000
 DAY_US = 86_400 * US
@@ -117,45 +117,60 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> Dat
     return first.select(*by, F.lit(q).alias("q"), value.alias("value"))
 
 
+def dense_buckets(span: DataFrame, series: Sequence[str], lo: str, hi: str,
+                  chunk_buckets: int) -> DataFrame:
+    """Every bucket number ``lo .. hi`` of every series, generated per
+    ``(series, chunk)`` after a repartition, so one long series is spread
+    over many tasks instead of being exploded by one."""
+    c = F.floor(F.col(lo) / F.lit(chunk_buckets)).cast("long")
+    ch = (span.select(*series, lo, hi, F.explode(F.sequence(c, F.floor(F.col(hi) / F.lit(chunk_buckets)).cast("long")))
+                      .alias("_chunk"))
+              .repartition(*series, "_chunk"))
+    first = F.greatest(F.col(lo), F.col("_chunk") * F.lit(chunk_buckets))
+    last = F.least(F.col(hi), F.col("_chunk") * F.lit(chunk_buckets) + F.lit(chunk_buckets - 1))
+    return ch.select(*series, F.explode(F.sequence(first, last)).alias("bucket"))
+
+
 def evaluation_grid(samples: DataFrame, series: Sequence[str], step_s: int, window_s: int,
                     chunk_us: int = DAY_US) -> DataFrame:
     """Evaluate ``increase``/``rate`` of every series on a fixed grid.
 
     The evaluation at ``eval_us = (b + 1) * step`` covers samples with ts in
     ``[eval - window, eval)`` (window a multiple of step).  Deltas are summed
-    per step bucket (one aggregation), the grid is made dense per series
-    with ``explode(sequence(first, last))`` so empty steps count 0, and the
-    window is a ROWS frame over the dense grid.  Grid size is bounded by the
-    time span, not by the number of samples.
+    per step bucket (one aggregation), the grid is made dense per series so
+    empty steps count 0 (generated per time chunk, see
+    :func:`dense_buckets`), and the window is a range sum over bucket
+    numbers split into time chunks.  Grid size is bounded by the time span,
+    not by the number of samples, and no task holds a whole series.
     """
     if window_s % step_s:
         raise ValueError("window must be a multiple of step")
     k = window_s // step_s
     step_us = step_s * US
+    chunk_buckets = max(k, chunk_us // step_us)
     d = counter_deltas(samples, series, chunk_us).withColumn(
         "bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long"))
     sums = d.groupBy(*series, "bucket").agg(F.sum("delta").alias("_d"))
-    span = sums.groupBy(*series).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
-    grid = span.select(*series, F.explode(F.sequence("_lo", F.col("_hi") + F.lit(k - 1))).alias("bucket"))
+    span = sums.groupBy(*series).agg(F.min("bucket").alias("_lo"), (F.max("bucket") + F.lit(k - 1)).alias("_hi"))
+    grid = dense_buckets(span, series, "_lo", "_hi", chunk_buckets)
     dense = grid.join(sums, [*series, "bucket"], "left").fillna(0.0, subset=["_d"])
-    w = Window.partitionBy(*series).orderBy("bucket").rowsBetween(-(k - 1), Window.currentRow)
-    return (dense.withColumn("increase", F.sum("_d").over(w))
-                 .withColumn("rate", F.col("increase") / F.lit(float(window_s)))
-                 .withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
-                 .drop("_d", "bucket"))
+    out = range_sum(dense, series, "bucket", "_d", k - 1, "increase", chunk_buckets)
+    return (out.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
+               .withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
+               .drop("_d", "bucket"))
 
 
 def alert_intervals(evaluations: DataFrame, series: Sequence[str], condition: Column,
-                    hold_s: int, ts_us: str = "eval_us") -> DataFrame:
+                    hold_s: int, ts_us: str = "eval_us", chunk_us: int = DAY_US) -> DataFrame:
     """Runs of consecutive evaluations where ``condition`` holds, with
     ``start_us``, ``end_us`` (last true evaluation) and ``fire_us`` (first
     evaluation at least ``hold`` after the start; NULL if the run is
     shorter: pending only).  Gaps-and-islands: run id = running count of
-    false evaluations."""
-    w = Window.partitionBy(*series).orderBy(ts_us).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = (evaluations.withColumn("_c", F.coalesce(condition, F.lit(False)))
-                    .withColumn("_run", F.sum((~F.col("_c")).cast("long")).over(w))
-                    .filter("_c"))
+    false evaluations, split by time chunk (no series in one task)."""
+    e = evaluations.withColumn("_c", F.coalesce(condition, F.lit(False))).withColumn(
+        "_chunk", F.floor(F.col(ts_us) / F.lit(chunk_us)).cast("long"))
+    e = (chunked_running(e, list(series), [ts_us], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
+         .filter("_c").drop("_chunk"))
     runs = e.groupBy(*series, "_run").agg(F.min(ts_us).alias("start_us"), F.max(ts_us).alias("end_us"))
     fire = (e.join(runs, [*series, "_run"])
              .filter(F.col(ts_us) - F.col("start_us") >= F.lit(hold_s * US))
@@ -200,20 +215,21 @@ def compare(c: Column, op: str, threshold: float) -> Column:
     return {">": c > threshold, "<": c < threshold, "==": c == threshold, ">=": c >= threshold}[op]
 
 
-def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int) -> DataFrame:
+def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int, chunk_us: int = DAY_US) -> DataFrame:
     """Instant gauge value on the step grid: the last sample at or before each
-    evaluation (carried forward over empty steps)."""
+    evaluation (carried forward over empty steps, across time chunks)."""
     step_us = step_s * US
     b = (samples.withColumn("ts_us", epoch_us("ts"))
                 .withColumn("bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long")))
     last = b.groupBy(*series, "bucket").agg(F.max_by("value", "ts_us").alias("_v"))
     span = last.groupBy(*series).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
-    grid = span.select(*series, F.explode(F.sequence("_lo", "_hi")).alias("bucket"))
-    w = Window.partitionBy(*series).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (grid.join(last, [*series, "bucket"], "left")
-                .withColumn("value", F.last("_v", ignorenulls=True).over(w))
-                .withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
-                .drop("_v", "bucket"))
+    chunk_buckets = max(1, chunk_us // step_us)
+    grid = dense_buckets(span, series, "_lo", "_hi", chunk_buckets)
+    g = (grid.join(last, [*series, "bucket"], "left")
+             .withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_buckets)).cast("long")))
+    g = chunked_running(g, list(series), ["bucket"], "_chunk", {"value": ("last", F.col("_v"))})
+    return (g.withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
+             .drop("_v", "bucket", "_chunk"))
 
 
 def evaluate_rule(samples: DataFrame, rule: AlertRule, series: Sequence[str],

@@ -39,8 +39,10 @@ _COMBINE = {
     "count": lambda carry, local: F.coalesce(carry, F.lit(0)) + local,
     "max": lambda carry, local: F.greatest(carry, local),
     "min": lambda carry, local: F.least(carry, local),
+    "last": lambda carry, local: F.coalesce(local, carry),
 }
-_AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+_AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
+        "last": lambda e: F.last(e, ignorenulls=True)}
 
 
 def chunked_running(df: DataFrame, keys: list[str], order: list[str], chunk: str,
@@ -48,15 +50,20 @@ def chunked_running(df: DataFrame, keys: list[str], order: list[str], chunk: str
     """Running aggregates over rows ``unbounded preceding .. current row``.
 
     ``specs`` maps an output name to ``(kind, expr)`` with kind in
-    sum/count/max/min.  Equal to ``agg(expr).over(partitionBy(keys)
-    .orderBy(order).rowsBetween(unboundedPreceding, currentRow))``.
+    sum/count/max/min/last (last = last non-NULL value).  Equal to
+    ``agg(expr).over(partitionBy(keys).orderBy(order)
+    .rowsBetween(unboundedPreceding, currentRow))``.
     """
     w = (Window.partitionBy(*keys, chunk).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = df
     for name, (kind, expr) in specs.items():
         local = local.withColumn(f"_l_{name}", _AGG[kind](expr).over(w))
-    tot = df.groupBy(*keys, chunk).agg(*[_AGG[k](e).alias(f"_t_{n}") for n, (k, e) in specs.items()])
+    def chunk_total(kind, e, n):
+        if kind == "last":  # the chunk's last non-NULL value
+            return F.max_by(e, F.when(e.isNotNull(), F.struct(*_cols(order)))).alias(f"_t_{n}")
+        return _AGG[kind](e).alias(f"_t_{n}")
+    tot = df.groupBy(*keys, chunk).agg(*[chunk_total(k, e, n) for n, (k, e) in specs.items()])
     wc = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carry_kind = {"count": "sum"}
     for name, (kind, _) in specs.items():

@@ -493,7 +493,7 @@ def q_h2(spark, sf_dir):
 
 @query("h2_breaker_states_batch")
 def q_h2_batch(spark, sf_dir):
-    return STF.breaker_states_batch(breaker_requests(spark, sf_dir).drop("ts"))
+    return STF.breaker_states_batch(breaker_requests(spark, sf_dir).drop("ts"), chunk_us=7 * 86_400 * 1_000_000)
 
 
 @query("h4_sample_nth_stream")

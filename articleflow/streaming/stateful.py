@@ -14,6 +14,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -112,15 +113,68 @@ def breaker_states(requests: DataFrame) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
-def breaker_states_batch(requests: DataFrame) -> DataFrame:
-    """H2 batch form: one feed's whole request log per group, sorted in
-    pandas.  A feed's log is its page requests (at most 1000 per run); for an
-    unbounded log use :func:`breaker_states` on a stream, whose per-trigger
-    input is bounded and whose state is four scalars."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _breaker_frame(key[0], pdf, None)
-        return out
-    return requests.groupBy("feed").applyInPandas(run, BREAKER_OUT)
+STATE_OUT = T.StructType([
+    T.StructField("feed", T.StringType()), T.StructField("state", T.IntegerType()),
+    T.StructField("failures", T.IntegerType()), T.StructField("period_start_us", T.LongType()),
+    T.StructField("opened_at_us", T.LongType()),
+])
+
+
+def _state_tuple(pdf: pd.DataFrame):
+    if pdf.empty:
+        return None
+    r = pdf.iloc[0]
+    return (int(r["state"]), int(r["failures"]),
+            None if pd.isna(r["period_start_us"]) else int(r["period_start_us"]),
+            None if pd.isna(r["opened_at_us"]) else int(r["opened_at_us"]))
+
+
+def breaker_states_batch(requests: DataFrame, chunk_us: int = 86_400 * 1_000_000) -> DataFrame:
+    """H2 batch form over a whole request log, chunk by chunk in time order.
+
+    Each step handles one time chunk (a day by default) of every feed with a
+    ``cogroup`` of the chunk's requests and the feeds' carried states: one
+    pandas group is one feed's requests of one chunk, never a feed's whole
+    log.  The carried state (four scalars per feed) is checkpointed to the
+    shared checkpoint folder after each step, which cuts the lineage.  The
+    number of steps is the number of chunks that hold requests.
+    """
+    spark = requests.sparkSession
+    req = requests.withColumn("_chunk", F.floor(F.col("ts_us") / F.lit(chunk_us)).cast("long"))
+    chunks = [r[0] for r in req.select("_chunk").distinct().orderBy("_chunk").collect()]
+    state = spark.createDataFrame([], STATE_OUT)
+    outputs = []
+
+    names = ["kind", *BREAKER_OUT.fieldNames(), "failures", "period_start_us", "opened_at_us"]
+    dtypes = {"kind": "object", "feed": "object", "ts_us": "Int64", "ok": "boolean", "state": "Int32",
+              "rejected": "boolean", "failures": "Int32", "period_start_us": "Int64", "opened_at_us": "Int64"}
+
+    def step(key, rows: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:  # a feed without requests in this chunk keeps its state
+            return pd.DataFrame({c: pd.Series(dtype=dtypes[c]) for c in names})
+        feed = rows["feed"].iloc[0]
+        out, final = _breaker_frame(feed, rows, _state_tuple(st))
+        out["kind"] = "row"
+        fin = pd.DataFrame({"kind": ["state"], "feed": [feed], "ts_us": [None], "ok": [None],
+                            "state": [final[0]], "rejected": [None], "failures": [final[1]],
+                            "period_start_us": [final[2]], "opened_at_us": [final[3]]})
+        return pd.concat([out.astype({k: dtypes[k] for k in out.columns}), fin.astype(
+            {k: dtypes[k] for k in fin.columns})], ignore_index=True)[names]
+
+    both = T.StructType([T.StructField("kind", T.StringType())] + list(BREAKER_OUT.fields)
+                        + [f for f in STATE_OUT.fields if f.name not in ("feed", "state")])
+    for c in chunks:
+        part = req.filter(F.col("_chunk") == c).drop("_chunk")
+        res = (part.groupBy("feed").cogroup(state.groupBy("feed")).applyInPandas(step, both)).checkpoint()
+        outputs.append(res.filter(F.col("kind") == "row").select(*BREAKER_OUT.fieldNames()))
+        new = res.filter(F.col("kind") == "state").select(*STATE_OUT.fieldNames())
+        state = new.unionByName(state.join(new.select("feed"), "feed", "left_anti")).checkpoint()
+    if not outputs:
+        return spark.createDataFrame([], BREAKER_OUT)
+    out = outputs[0]
+    for o in outputs[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 # ------------------------------------------------------------- sampler (H4)
