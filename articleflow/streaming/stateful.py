@@ -129,52 +129,79 @@ def _state_tuple(pdf: pd.DataFrame):
             None if pd.isna(r["opened_at_us"]) else int(r["opened_at_us"]))
 
 
-def breaker_states_batch(requests: DataFrame, chunk_us: int = 86_400 * 1_000_000) -> DataFrame:
+def breaker_states_batch(requests: DataFrame, chunk_us: int = 86_400 * 1_000_000,
+                         buckets: int = 64) -> DataFrame:
     """H2 batch form over a whole request log, chunk by chunk in time order.
 
     Each step handles one time chunk (a day by default) of every feed with a
-    ``cogroup`` of the chunk's requests and the feeds' carried states: one
-    pandas group is one feed's requests of one chunk, never a feed's whole
-    log.  The carried state (four scalars per feed) is checkpointed to the
-    shared checkpoint folder after each step, which cuts the lineage.  The
-    number of steps is the number of chunks that hold requests.
+    ``cogroup`` of the chunk's requests and the feeds' carried states, grouped
+    by a hash bucket of the feed: one pandas group is the requests of a
+    bucket's feeds in one chunk (bounded by time), never a feed's whole log.
+    Each step's output (rows and new states, four scalars per feed) is
+    written once as a table in the shared checkpoint folder and read back,
+    which cuts the lineage; the number of steps is the number of chunks that
+    hold requests.
     """
+    from articleflow.session import scratch_path
     spark = requests.sparkSession
-    req = requests.withColumn("_chunk", F.floor(F.col("ts_us") / F.lit(chunk_us)).cast("long"))
+    bucket = F.pmod(F.xxhash64("feed"), F.lit(buckets))
+    req = (requests.withColumn("_chunk", F.floor(F.col("ts_us") / F.lit(chunk_us)).cast("long"))
+                   .withColumn("_bucket", bucket))
     chunks = [r[0] for r in req.select("_chunk").distinct().orderBy("_chunk").collect()]
-    state = spark.createDataFrame([], STATE_OUT)
-    outputs = []
-
+    root = scratch_path(spark, "breaker-steps")
     names = ["kind", *BREAKER_OUT.fieldNames(), "failures", "period_start_us", "opened_at_us"]
     dtypes = {"kind": "object", "feed": "object", "ts_us": "Int64", "ok": "boolean", "state": "Int32",
               "rejected": "boolean", "failures": "Int32", "period_start_us": "Int64", "opened_at_us": "Int64"}
+    both = T.StructType([T.StructField("kind", T.StringType())] + list(BREAKER_OUT.fields)
+                        + [f for f in STATE_OUT.fields if f.name not in ("feed", "state")])
+
+    def one_feed(feed, rows: pd.DataFrame, prev) -> dict:
+        order = np.argsort(rows["ts_us"].to_numpy(), kind="stable")
+        ts = rows["ts_us"].to_numpy()[order]
+        ok = rows["ok"].to_numpy()[order].astype(bool)
+        states, rejected, final = breaker_step(prev, ts, ok)
+        n = len(ts)
+        na_on_state = np.append(np.zeros(n, dtype=bool), True)   # row fields: NA on the state row
+        na_on_rows = np.append(np.ones(n, dtype=bool), False)    # state fields: NA on request rows
+
+        def ints(values, mask, dtype):
+            return pd.arrays.IntegerArray(np.asarray(values, dtype=dtype), mask)
+
+        return pd.DataFrame({
+            "kind": np.array(["row"] * n + ["state"], dtype=object),
+            "feed": np.full(n + 1, feed, dtype=object),
+            "ts_us": ints(np.append(ts, 0), na_on_state, np.int64),
+            "ok": pd.arrays.BooleanArray(np.append(ok, False), na_on_state),
+            "state": ints(np.append(states, final[0]), np.zeros(n + 1, dtype=bool), np.int32),
+            "rejected": pd.arrays.BooleanArray(np.append(rejected, False), na_on_state),
+            "failures": ints(np.append(np.zeros(n), final[1]), na_on_rows, np.int32),
+            "period_start_us": ints(np.append(np.zeros(n), final[2] or 0), na_on_rows | (final[2] is None), np.int64),
+            "opened_at_us": ints(np.append(np.zeros(n), final[3] or 0), na_on_rows | (final[3] is None), np.int64),
+        })
 
     def step(key, rows: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:  # a feed without requests in this chunk keeps its state
+        if rows.empty:  # feeds without requests in this chunk keep their state
             return pd.DataFrame({c: pd.Series(dtype=dtypes[c]) for c in names})
-        feed = rows["feed"].iloc[0]
-        out, final = _breaker_frame(feed, rows, _state_tuple(st))
-        out["kind"] = "row"
-        fin = pd.DataFrame({"kind": ["state"], "feed": [feed], "ts_us": [None], "ok": [None],
-                            "state": [final[0]], "rejected": [None], "failures": [final[1]],
-                            "period_start_us": [final[2]], "opened_at_us": [final[3]]})
-        return pd.concat([out.astype({k: dtypes[k] for k in out.columns}), fin.astype(
-            {k: dtypes[k] for k in fin.columns})], ignore_index=True)[names]
+        prev = {r["feed"]: _state_tuple(st.iloc[[i]]) for i, r in st.reset_index(drop=True).iterrows()} \
+            if not st.empty else {}
+        parts = [one_feed(feed, g, prev.get(feed)) for feed, g in rows.groupby("feed", sort=False)]
+        return pd.concat(parts, ignore_index=True)[names]
 
-    both = T.StructType([T.StructField("kind", T.StringType())] + list(BREAKER_OUT.fields)
-                        + [f for f in STATE_OUT.fields if f.name not in ("feed", "state")])
-    for c in chunks:
+    state = spark.createDataFrame([], STATE_OUT)
+    for i, c in enumerate(chunks):
         part = req.filter(F.col("_chunk") == c).drop("_chunk")
-        res = (part.groupBy("feed").cogroup(state.groupBy("feed")).applyInPandas(step, both)).checkpoint()
-        outputs.append(res.filter(F.col("kind") == "row").select(*BREAKER_OUT.fieldNames()))
-        new = res.filter(F.col("kind") == "state").select(*STATE_OUT.fieldNames())
-        state = new.unionByName(state.join(new.select("feed"), "feed", "left_anti")).checkpoint()
-    if not outputs:
+        res = (part.groupBy("_bucket").cogroup(state.withColumn("_bucket", bucket).groupBy("_bucket"))
+                   .applyInPandas(lambda k, a, b: step(k, a.drop(columns=["_bucket"]), b.drop(columns=["_bucket"])),
+                                  both))
+        res.write.mode("overwrite").parquet(f"{root}/step-{i}")
+        new = spark.read.parquet(f"{root}/step-{i}").filter(F.col("kind") == "state").select(*STATE_OUT.fieldNames())
+        carried = new.unionByName(state.join(new.select("feed"), "feed", "left_anti"))
+        carried.write.mode("overwrite").parquet(f"{root}/state-{i}")
+        state = spark.read.parquet(f"{root}/state-{i}")
+    if not chunks:
         return spark.createDataFrame([], BREAKER_OUT)
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    return out
+    return (spark.read.parquet(*[f"{root}/step-{i}" for i in range(len(chunks))])
+                 .filter(F.col("kind") == "row").select(*BREAKER_OUT.fieldNames()))
 
 
 # ------------------------------------------------------------- sampler (H4)
