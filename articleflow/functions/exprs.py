@@ -66,3 +66,17 @@ def content_hash(*cols: str) -> Column:
 def anchored_match(c, pattern: str) -> Column:
     """Label matcher ``=~``: the regex must match the whole value."""
     return _col(c).rlike(f"^(?:{pattern})$")
+
+
+# Gauge codes as text -- breaker state 0 closed, 1 half-open,
+# 2 open; up 0 down, 1 up.
+BREAKER_STATE_TEXT = {0: "closed", 1: "half-open", 2: "open"}
+UP_TEXT = {0: "down", 1: "up"}
+
+
+def code_text(c, mapping: dict) -> Column:
+    """Map a numeric gauge code to its text (NULL for unknown codes)."""
+    pairs = []
+    for k, v in mapping.items():
+        pairs += [F.lit(float(k)), F.lit(v)]
+    return F.element_at(F.create_map(*pairs), _col(c).cast("double"))

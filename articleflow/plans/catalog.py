@@ -370,8 +370,9 @@ def q_e4(spark, sf_dir):
 
 @query("e5_latest_value")
 def q_e5(spark, sf_dir):
+    from articleflow.functions import BREAKER_STATE_TEXT, code_text
     v = SR.latest_value(FX.gauge_samples(spark, sf_dir), ["metric", "source"], EVAL_AT, lookback_s=86400)
-    return v.select("source", "value", "ts_us")
+    return v.select("source", "value", code_text("value", BREAKER_STATE_TEXT).alias("state"), "ts_us")
 
 
 def error_grid(spark, sf_dir):

@@ -395,10 +395,11 @@ FROM (SELECT *, sum(delta) OVER (PARTITION BY metric, source, status ORDER BY ts
                                  RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS inc FROM deltas)"""
 
 ORACLE["e5_latest_value"] = f"""
-SELECT 'u' || user_id AS source, arg_max(CAST(floor(value) AS BIGINT) % 3, epoch_us(ts))::DOUBLE AS value,
-       max(epoch_us(ts)) AS ts_us
-FROM events WHERE epoch_us(ts) <= {_AT_US} AND epoch_us(ts) >= {_AT_US} - 86400000000
-GROUP BY user_id"""
+SELECT source, value, CASE value WHEN 0 THEN 'closed' WHEN 1 THEN 'half-open' WHEN 2 THEN 'open' END AS state, ts_us
+FROM (SELECT 'u' || user_id AS source, arg_max(CAST(floor(value) AS BIGINT) % 3, epoch_us(ts))::DOUBLE AS value,
+             max(epoch_us(ts)) AS ts_us
+      FROM events WHERE epoch_us(ts) <= {_AT_US} AND epoch_us(ts) >= {_AT_US} - 86400000000
+      GROUP BY user_id)"""
 
 _GRID = f"""WITH {_SAMPLES.strip()},
 b AS (SELECT metric, source, status, CAST(floor(ts_us / 3600000000) AS BIGINT) AS bucket, sum(delta) AS d

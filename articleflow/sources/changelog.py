@@ -73,6 +73,19 @@ def route(articles: DataFrame, outcome: Column) -> DataFrame:
     return articles.withColumn("synced", F.coalesce(outcome, F.lit(False)))
 
 
+def route_with(articles: DataFrame, call) -> DataFrame:
+    """A8 with a Python downstream client: ``call(pandas.DataFrame) ->
+    pandas.Series[bool]`` is applied to Arrow batches of articles
+    (``mapInPandas``), adding ``synced``; one call per batch, not per row."""
+    from pyspark.sql import types as T
+    schema = T.StructType(list(articles.schema.fields) + [T.StructField("synced", T.BooleanType())])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(synced=call(pdf).astype(bool).to_numpy())
+    return articles.mapInPandas(run, schema)
+
+
 def sync_and_route(articles: DataFrame, outcome: Column):
     """``outcome`` (bool column: downstream call succeeded) splits the
     decoded articles into ``(synced, dead_letters)``; a dead letter is the

@@ -108,3 +108,11 @@ def test_sampler_n_below_one_means_ten(spark):
     rows = [("k", i, False) for i in range(1, 21)]
     s = SK.sample_nth(_sampler_rows(spark, rows), "key", ["seq"], 0, reset="reset")
     assert [r.seq for r in s.filter("emit").orderBy("seq").collect()] == [1, 10, 20]
+
+
+def test_route_with_python_client_batches(spark):
+    from articleflow.operators.parse import conform
+    from articleflow.sources import changelog as CL
+    arts = conform(spark.createDataFrame([{"id": str(i), "body": "x" * i} for i in range(1, 30)]))
+    routed = CL.route_with(arts, lambda pdf: pdf["body"].str.len() % 7 != 0)
+    assert routed.filter("NOT synced").count() == 4       # lengths 7, 14, 21, 28
