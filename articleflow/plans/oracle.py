@@ -250,8 +250,8 @@ w1 AS (SELECT *, coalesce(last_value(num_pages IGNORE NULLS) OVER (PARTITION BY
                       ROWS UNBOUNDED PRECEDING) AS cum_fail,
               row_number() OVER (PARTITION BY feed, run_id ORDER BY page_no) AS rn
        FROM log),
-w2 AS (SELECT *, cum_fail - coalesce(max(CASE WHEN NOT batch_failed THEN cum_fail END) OVER (
-                      PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING), 0) AS streak FROM w1),
+w2 AS (SELECT *, CAST(cum_fail - coalesce(max(CASE WHEN NOT batch_failed THEN cum_fail END) OVER (
+                      PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS streak FROM w1),
 w3 AS (SELECT *, (page_no <> rn - 1) OR page_no >= 1000 OR (known_pages <> -1 AND page_no >= known_pages) AS pre,
               fetch_error OR n_articles = 0 OR (batch_failed AND streak >= 5) AS post FROM w2),
 w4 AS (SELECT *, NOT bool_or(pre) OVER (PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING)
@@ -272,11 +272,11 @@ FROM events"""
 
 ORACLE["e2_sample_nth"] = """
 WITH r AS (SELECT event_id, event_type, ts, value < 0.5 AS is_reset,
-                  sum(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id
-                      ROWS UNBOUNDED PRECEDING) AS epoch
+                  CAST(sum(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                      ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch
            FROM events),
-o AS (SELECT *, CASE WHEN NOT is_reset THEN sum(CASE WHEN is_reset THEN 0 ELSE 1 END) OVER (
-                      PARTITION BY event_type, epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS occurrence
+o AS (SELECT *, CASE WHEN NOT is_reset THEN CAST(sum(CASE WHEN is_reset THEN 0 ELSE 1 END) OVER (
+                      PARTITION BY event_type, epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS occurrence
       FROM r)
 SELECT event_id, event_type, epoch, occurrence,
        coalesce(occurrence = 1 OR occurrence % 10 = 0, false) AS emit
@@ -297,8 +297,8 @@ WITH c AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed,
                       ROWS UNBOUNDED PRECEDING) AS cum_fail
            FROM events)
 SELECT event_id, user_id, streak, streak >= 3 AS tripped
-FROM (SELECT *, cum_fail - coalesce(max(CASE WHEN NOT failed THEN cum_fail END) OVER (PARTITION BY user_id
-                 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS streak FROM c)"""
+FROM (SELECT *, CAST(cum_fail - coalesce(max(CASE WHEN NOT failed THEN cum_fail END) OVER (PARTITION BY user_id
+                 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS streak FROM c)"""
 
 # ---------------------------------------------------------------- counters
 _WALK = ORACLE["a5_walk_pages"].replace("SELECT feed, run_id, page_no, known_pages, streak, reached,",
@@ -359,7 +359,7 @@ def _quantile_sql(q: float) -> str:
         prev = "0" if i == 0 else f"c{i - 1}"
         cases.append(f"WHEN c{i} >= {rank} THEN CASE WHEN c{i} - {prev} = 0 THEN {float(b)!r} ELSE "
                      f"{lo!r} + ({float(b)!r} - {lo!r}) * ({rank} - {prev}) / (c{i} - {prev}) END")
-    return (f"SELECT event_type, {q!r} AS q, round(CASE WHEN total = 0 THEN 'NaN'::DOUBLE "
+    return (f"SELECT event_type, CAST({q!r} AS DOUBLE) AS q, round(CASE WHEN total = 0 THEN 'NaN'::DOUBLE "
             + " ".join(cases) + f" ELSE {float(bounds[-1])!r} END, 6) AS value "
             f"FROM (SELECT event_type, count(*) AS total, {cum} FROM events GROUP BY event_type)")
 
