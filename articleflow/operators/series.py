@@ -178,6 +178,54 @@ def alert_intervals(evaluations: DataFrame, series: Sequence[str], condition: Co
     return runs.join(fire, [*series, "_run"], "left").drop("_run")
 
 
+def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int, window_s: int,
+                         op: str, threshold: float, hold_s: int, measure: str = "rate",
+                         chunk_us: int = DAY_US) -> DataFrame:
+    """E6 for counter rules without materialising the grid.
+
+    Same result as ``alert_intervals(evaluation_grid(...), ...)`` (same
+    ``start_us``/``end_us``/``fire_us``), but the windowed sum over step
+    buckets only changes at a bucket holding samples (it enters the window)
+    or ``k`` buckets later (it leaves), so it is evaluated at those change
+    points only and each constant segment runs to the next change point:
+    O(samples) rows instead of O(time span / step) per series.
+    """
+    if window_s % step_s:
+        raise ValueError("window must be a multiple of step")
+    k = window_s // step_s
+    step_us = step_s * US
+    chunk_b = max(k, chunk_us // step_us)
+    d = counter_deltas(samples, series, chunk_us).withColumn(
+        "bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long"))
+    sums = d.groupBy(*series, "bucket").agg(F.sum("delta").alias("_d"))
+    last_b = sums.groupBy(*series).agg((F.max("bucket") + F.lit(k - 1)).alias("_end"))
+    points = (sums.select(*series, "bucket")
+                  .unionByName(sums.select(*series, (F.col("bucket") + F.lit(k)).alias("bucket")))
+                  .join(last_b, list(series)).filter(F.col("bucket") <= F.col("_end"))
+                  .select(*series, "bucket").distinct())
+    both = (points.withColumn("_d", F.lit(0.0)).withColumn("_pt", F.lit(True))
+                  .unionByName(sums.withColumn("_pt", F.lit(False))))
+    val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b).filter("_pt")
+    val = val.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
+    # each point's segment ends just before the next point (or at the grid's end)
+    val = (val.withColumn("_neg", -F.col("bucket"))
+              .withColumn("_negc", -F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
+    val = chunked_lag(val, list(series), ["_neg"], "_negc", "bucket", "_next")
+    seg = (val.join(last_b, list(series))
+              .withColumn("_seg_end", F.coalesce(F.col("_next") - 1, F.col("_end")))
+              .withColumn("_c", F.coalesce(compare(F.col(measure), op, threshold), F.lit(False)))
+              .withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
+    seg = chunked_running(seg, list(series), ["bucket"], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
+    runs = (seg.filter("_c").groupBy(*series, "_run")
+               .agg(F.min("bucket").alias("_sb"), F.max("_seg_end").alias("_eb")))
+    hold_b = -(-hold_s * US // step_us)  # ceil(hold / step) in buckets
+    fire_b = F.col("_sb") + F.lit(hold_b)
+    return runs.select(*series,
+                       ((F.col("_sb") + 1) * F.lit(step_us)).alias("start_us"),
+                       ((F.col("_eb") + 1) * F.lit(step_us)).alias("end_us"),
+                       F.when(fire_b <= F.col("_eb"), (fire_b + 1) * F.lit(step_us)).alias("fire_us"))
+
+
 def firing_now(intervals: DataFrame, evaluations: DataFrame, series: Sequence[str],
                ts_us: str = "eval_us") -> DataFrame:
     """Alerts firing at the last evaluation of their series."""
@@ -240,10 +288,9 @@ def evaluate_rule(samples: DataFrame, rule: AlertRule, series: Sequence[str],
     ``p95`` rules the bucket-rate grid (label ``le``) reduced by D8.
     """
     s = select_series(samples, rule.metric, **rule.matchers)
-    if rule.expr == "rate":
-        grid = evaluation_grid(s, series, step_s, rule.window_s)
-        measure = F.col("rate")
-    elif rule.expr == "value":
+    if rule.expr == "rate":  # change points only, no dense grid
+        return rate_alert_intervals(s, series, step_s, rule.window_s, rule.op, rule.threshold, rule.hold_s)
+    if rule.expr == "value":
         grid = gauge_grid(s, series, step_s)
         measure = F.col("value")
     else:

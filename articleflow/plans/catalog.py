@@ -391,6 +391,13 @@ def q_e6(spark, sf_dir):
     return iv.select("source", "status", "start_us", "end_us", "fire_us")
 
 
+@query("e6_alert_intervals_sparse")
+def q_e6_sparse(spark, sf_dir):
+    s = SR.select_series(FX.counter_samples(spark, sf_dir), "articles_ingested_total", status="~error.*")
+    iv = SR.rate_alert_intervals(s, SERIES, 3600, 10800, ">=", 1.0, 7200, measure="increase")
+    return iv.select("source", "status", "start_us", "end_us", "fire_us")
+
+
 # ------------------------------------------------------ retention
 @query("i1_age_tier")
 def q_i1(spark, sf_dir):

@@ -453,3 +453,5 @@ SELECT id AS key, CASE WHEN length(body) % 7 <> 0 THEN 'synced' ELSE 'dead_lette
 
 ORACLE["h4_sample_nth_stream"] = ORACLE["e2_sample_nth"].replace(
     "SELECT event_id, event_type, epoch, occurrence,", "SELECT event_id, event_type, occurrence,")
+
+ORACLE["e6_alert_intervals_sparse"] = ORACLE["e6_alert_intervals"]

@@ -60,3 +60,24 @@ def test_gauge_grid_carries_values_across_chunks(spark):
     g = SR.gauge_grid(_samples(spark, rows), ["metric", "source"], 3600)
     vals = [r.value for r in g.orderBy("eval_us").collect()]
     assert len(vals) == 3 * 24 + 1 and set(vals[:-1]) == {5.0} and vals[-1] == 7.0
+
+
+def test_change_point_intervals_equal_dense_grid(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for src in ("a", "b", "c"):
+        t, v = 0, 0
+        for _ in range(60):
+            t += rnd.choice([5, 20, 30, 90, 400, 1300])
+            v = 0 if rnd.random() < 0.05 else v + rnd.choice([0, 1, 1, 3])
+            rows.append(("articles_ingested_total", src, "success", t, v))
+    s = _samples(spark, rows)
+    keys = ["metric", "source", "status"]
+    for op, thr in ((">", 0.004), ("==", 0.0)):
+        dense = SR.alert_intervals(SR.evaluation_grid(s, keys, 30, 300), keys,
+                                   SR.compare(F.col("rate"), op, thr), 120)
+        sparse = SR.rate_alert_intervals(s, keys, 30, 300, op, thr, 120)
+        cols = [*keys, "start_us", "end_us", "fire_us"]
+        a, b = sorted(map(tuple, dense.select(*cols).collect())), sorted(map(tuple, sparse.select(*cols).collect()))
+        assert a == b and len(a) > 0, (op, len(a), len(b))
