@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 from articleflow import schema as S
 from articleflow.functions import epoch_us
 from articleflow.operators import changes as C
+from articleflow.operators import metrics as M
 from articleflow.operators import parse as P
+from articleflow.operators import retention as RT
+from articleflow.operators import series as SR
 from articleflow.operators import store as ST
+from articleflow.operators import streaks as SK
 from articleflow.plans import fixtures as FX
+from articleflow.session import scratch_path
 from articleflow.sources import changelog as CL
+from articleflow.sources import logs as LG
+from articleflow.sources import pages as PG
+from articleflow.sources import registry as RG
+from articleflow.streaming import ingest as IN
+from articleflow.streaming import stateful as STF
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,10 +227,6 @@ def q_a8(spark, sf_dir):
 
 
 # -------------------------------------------------------- sources (A1-A3, A5, A10)
-from articleflow.operators import streaks as SK  # noqa: E402
-from articleflow.sources import logs as LG  # noqa: E402
-from articleflow.sources import pages as PG  # noqa: E402
-from articleflow.sources import registry as RG  # noqa: E402
 
 
 @query("a1_load_sources")
@@ -285,9 +291,6 @@ def q_e3(spark, sf_dir):
 
 
 # ------------------------------------------------------ counters
-from articleflow.operators import metrics as M  # noqa: E402
-from articleflow.operators import retention as RT  # noqa: E402
-from articleflow.operators import series as SR  # noqa: E402
 
 HIST_BOUNDS = (1, 2.5, 5, 10, 25, 50, 100, 250)
 SERIES = ["metric", "source", "status"]
@@ -411,9 +414,6 @@ def q_i1_expire(spark, sf_dir):
 
 
 # ------------------------------------------------------ streaming (A4, H1-H4)
-from articleflow.session import scratch_path  # noqa: E402
-from articleflow.streaming import ingest as IN  # noqa: E402
-from articleflow.streaming import stateful as STF  # noqa: E402
 
 
 def _land_two_crawls(spark, sf_dir) -> tuple[str, DataFrame]:

@@ -162,10 +162,6 @@ def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(*S.ARTICLE_COLS))
 
 
-def micros(c) -> Column:
-    return epoch_us(c)
-
-
 def registry_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source registry of the fixture feeds: every ``documents`` source
     (first parser) plus the chat feed (item-list parser)."""

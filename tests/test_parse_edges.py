@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from articleflow.operators import parse as P
 from articleflow.sources import registry as RG
