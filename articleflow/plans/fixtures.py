@@ -115,8 +115,12 @@ def document_pages(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
     return pages_from_items(document_items(spark, sf_dir, run))
 
 
+CHAT_PAGE_TURNS = 20  # turns per second-feed page
+
+
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second-feed raw pages: one page per conversation, one item per turn."""
+    """Second-feed raw pages: up to 20 turns of one conversation per page
+    (page ``conv_id * 1000 + turn div 20``), one item per turn."""
     c = table(spark, sf_dir, "conversations")
     ts_text = F.when(F.col("turn") % 5 == 4, F.lit("not a time")).otherwise(
         F.concat(F.lit("2024-02-"), _pad2(F.lit(1) + F.col("conv_id") % 28), F.lit("T"),
@@ -124,10 +128,12 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
                     F.col("role").alias("headline"), F.col("text").alias("content"), ts_text.alias("timestamp"))
     its = F.array_sort(F.collect_list(F.struct("turn", item.alias("item"))))
-    pages = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(its, lambda e: e["item"]).alias("items")))
-                                     .alias("payload"))
+    page = F.col("conv_id") * 1000 + (F.col("turn") / CHAT_PAGE_TURNS).cast("long")
+    pages = (c.withColumn("page_no", page)
+              .groupBy("page_no").agg(F.to_json(F.struct(F.transform(its, lambda e: e["item"]).alias("items")))
+                                      .alias("payload")))
     return pages.select(F.lit("chat").alias("feed"), F.lit(0).cast("long").alias("run_id"),
-                        F.col("conv_id").alias("page_no"), F.lit(None).cast("timestamp").alias("fetched_at"),
+                        F.col("page_no").cast("long"), F.lit(None).cast("timestamp").alias("fetched_at"),
                         "payload")
 
 
@@ -248,13 +254,13 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages numbered by time within the run; purchases above 300 fail to
     fetch, low-value signups are empty pages, errors and clicks fail the
     page handler, low-value clicks carry no page info."""
+    from articleflow.operators.skew import chunked_row_number
     ev = table(spark, sf_dir, "events")
     run = ((F.dayofmonth("ts") - 1) / 7).cast("long")
-    from pyspark.sql import Window
-    w = Window.partitionBy("user_id", "run_id").orderBy("ts", "event_id")
-    return (ev.withColumn("run_id", run)
-              .select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed"), "run_id",
-                      (F.row_number().over(w) - 1).cast("long").alias("page_no"),
+    ev = chunked_row_number(ev.withColumn("run_id", run).withColumn("day", F.to_date("ts")),
+                            ["user_id", "run_id"], ["ts", "event_id"], "day", "rn")
+    return (ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed"), "run_id",
+                      (F.col("rn") - 1).cast("long").alias("page_no"),
                       ((F.col("event_type") == "purchase") & (F.col("value") > 300)).alias("fetch_error"),
                       F.when((F.col("event_type") == "click") & (F.col("value") < 5), F.lit(None))
                        .otherwise(F.lit(10) + F.col("user_id") % 60).cast("long").alias("num_pages"),
@@ -272,15 +278,15 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as samples of an ingest counter per (user, outcome): the
     value is the running count of that user's events of that outcome within
     the day (the counter restarts each day, like a process restart)."""
-    from pyspark.sql import Window
+    from articleflow.operators.skew import chunked_row_number
     ev = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", F.lit("error_crawl")).otherwise(F.lit("success"))
-    ev = ev.withColumn("status", status).withColumn("day", F.to_date("ts"))
-    w = Window.partitionBy("user_id", "status", "day").orderBy("ts", "event_id")
+    ev = (ev.withColumn("status", status).withColumn("day", F.to_date("ts"))
+            .withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp"))))
+    ev = chunked_row_number(ev, ["user_id", "status", "day"], ["ts", "event_id"], "hour", "n")
     return ev.select(F.lit("articles_ingested_total").alias("metric"),
                      F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), "status",
-                     F.col("ts").cast("timestamp").alias("ts"),
-                     F.count(F.lit(1)).over(w).cast("double").alias("value"))
+                     F.col("ts").cast("timestamp").alias("ts"), F.col("n").cast("double").alias("value"))
 
 
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,8 @@ classified AS (
                    WHEN s.content_hash <> u.content_hash THEN 'changed' ELSE 'unchanged' END AS change
   FROM uniq0 u LEFT JOIN stored s USING (id)),
 chat AS (
-  SELECT 'chat' AS feed, CAST(0 AS BIGINT) AS run_id, conv_id AS page_no,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+  SELECT 'chat' AS feed, CAST(0 AS BIGINT) AS run_id, conv_id * 1000 + turn // 20 AS page_no,
+         row_number() OVER (PARTITION BY conv_id, turn // 20 ORDER BY turn) - 1 AS pos,
          'dummy_' || conv_id || '-' || turn AS id, 'dummy' AS source, conv_id || '-' || turn AS external_id,
          '' AS type, role AS title, '' AS description, substring(text, 1, 10) || '...' AS summary,
          text AS body, '' AS content, 'http://dummy/' || conv_id || '-' || turn AS url, '' AS image_url,

@@ -1,5 +1,6 @@
 """Every registered query against its SQL oracle on the smallest tables."""
 
+
 def test_all_queries_match_oracle(spark, sf_small):
     from tools.oracle_check import check
     res = check(spark, sf_small, verbose=False)
