@@ -116,6 +116,19 @@ class ArticleStore:
                     .agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_a"))
                     .select("id", "_a.*"))
 
+    def last_batch(self) -> int:
+        """Highest batch id written (versions or snapshot), -1 when empty."""
+        best = -1
+        v = self._read(self.versions_path)
+        if v is not None:
+            m = v.agg(F.max("batch_id")).first()[0]
+            best = max(best, -1 if m is None else int(m))
+        b = self._read(self.base_path)
+        if b is not None:
+            m = b.agg(F.max("upto_batch")).first()[0]
+            best = max(best, -1 if m is None else int(m))
+        return best
+
     def write_batch(self, batch_id: int, rows: DataFrame) -> None:
         """Write the changed rows of ``batch_id`` (overwrite of its partition)."""
         (rows.select(*S.ARTICLE_COLS)

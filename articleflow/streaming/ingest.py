@@ -70,6 +70,36 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         decoded.unpersist()
 
 
+def _last_partition(spark: SparkSession, *paths: str) -> int:
+    best = -1
+    for p in paths:
+        try:
+            m = spark.read.parquet(p).agg(F.max("batch_id")).first()[0]
+        except Exception:  # nothing written yet
+            continue
+        best = max(best, -1 if m is None else int(m))
+    return best
+
+
+def batch_offset(spark: SparkSession, checkpoint: str, store: ArticleStore | None = None,
+                 outputs: tuple[str, ...] = ()) -> int:
+    """Offset added to the stream's batch ids for this checkpoint.
+
+    A fresh checkpoint numbers its micro-batches from 0 again; the store's
+    batch ids must keep growing, so the first start of a checkpoint records
+    ``store.last_batch() + 1`` in a marker table beside it and every restart
+    reads it back (a replayed batch keeps its id and overwrites its own
+    partitions)."""
+    marker = f"{checkpoint.rstrip('/')}-articleflow-offset"
+    try:
+        return int(spark.read.parquet(marker).first()["offset"])
+    except Exception:  # first start of this checkpoint
+        last = store.last_batch() if store is not None else -1
+        offset = max(last, _last_partition(spark, *outputs)) + 1
+        spark.createDataFrame([(offset,)], "offset long").coalesce(1).write.mode("overwrite").parquet(marker)
+        return offset
+
+
 def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, changes_path: str,
                checkpoint: str | None = None, quarantine_path: str | None = None,
                available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
@@ -78,8 +108,10 @@ def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, chan
     spark = stream.sparkSession
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/ingest-stream"
     reg = registry.persist()
+    offset = batch_offset(spark, checkpoint, store, (changes_path,))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-               .foreachBatch(lambda df, bid: ingest_batch(df, bid, reg, store, changes_path, quarantine_path)))
+               .foreachBatch(lambda df, bid: ingest_batch(df, offset + bid, reg, store, changes_path,
+                                                          quarantine_path)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
@@ -107,7 +139,8 @@ def run_sync(spark: SparkSession, changes_path: str, synced_path: str, dead_path
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/sync-stream"
     outcome = outcome if outcome is not None else F.lit(True)
     stream = spark.readStream.schema(schema).parquet(changes_path)
+    offset = batch_offset(spark, checkpoint, outputs=(synced_path, dead_path))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-               .foreachBatch(lambda df, bid: sync_batch(df, bid, outcome, synced_path, dead_path)))
+               .foreachBatch(lambda df, bid: sync_batch(df, offset + bid, outcome, synced_path, dead_path)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()

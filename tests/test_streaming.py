@@ -89,3 +89,21 @@ def test_store_versions_and_compaction(spark):
     store.write_batch(2, store.changed_rows(2, batch([("a", "A3", "h5")])))
     assert sorted((r.id, r.title) for r in store.current().collect()) == [("a", "A3"), ("b", "B2"), ("c", "C")]
     assert sorted((r.id, r.title) for r in store.current(before_batch=1).collect()) == [("a", "A"), ("b", "B")]
+
+
+def test_fresh_checkpoint_continues_batch_ids(spark, sf_small):
+    landing = scratch_path(spark, "landing-t")
+    IN.land_raw_pages(FX.document_pages(spark, sf_small, 0).coalesce(1), landing)
+    reg = FX.registry_from_documents(spark, sf_small)
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-f"))
+    changes = scratch_path(spark, "changes-f")
+    offsets = []
+    for ck in ("ck-a", "ck-b"):        # the second query starts from a fresh checkpoint
+        path = scratch_path(spark, ck)
+        IN.run_ingest(IN.stream_raw_pages(spark, landing), reg, store, changes,
+                      checkpoint=path, available_now=True).awaitTermination()
+        offsets.append(IN.batch_offset(spark, path, store))
+    assert offsets == [0, 1]            # batch ids keep growing across checkpoints
+    n_events = spark.read.parquet(changes).filter("batch_id = 0").count()
+    assert n_events == store.current().count() > 0   # batch 0 intact; the re-read input changed nothing
+    assert spark.read.parquet(changes).filter("batch_id = 1").count() == 0
