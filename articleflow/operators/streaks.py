@@ -40,19 +40,38 @@ def failure_streaks(df: DataFrame, keys: list[str], order: list[str], failed: st
               .drop("_failed", "_cum_fail", "_at_ok"))
 
 
+MAX_RESET_ALL = 100_000
+
+
 def sample_nth(df: DataFrame, key: str, order: list[str], n: int = DEFAULT_SAMPLE_EVERY,
-               reset: str | None = None, chunk: str | None = None) -> DataFrame:
+               reset: str | None = None, chunk: str | None = None,
+               reset_all: str | None = None) -> DataFrame:
     """Number occurrences per key (``occurrence``) and flag ``emit`` for
     the 1st and every n-th (n, 2n, ...).  n < 1 means 10.
 
     Rows with ``reset`` true are control rows: they restart their key's count
     and are not occurrences themselves (``occurrence`` NULL, ``emit`` false).
+    Rows with ``reset_all`` true restart every key: their order values are
+    collected once (at most ``MAX_RESET_ALL``, checked) into a scalar
+    subquery, and each row counts those at or before it (``epoch_all``).
     """
     n = n if n >= 1 else DEFAULT_SAMPLE_EVERY
     is_reset = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    groups = [key, "epoch"]
+    if reset_all:
+        is_all = F.coalesce(F.col(reset_all), F.lit(False))
+        if df.filter(is_all).limit(MAX_RESET_ALL + 1).count() > MAX_RESET_ALL:
+            raise ValueError(f"more than {MAX_RESET_ALL} reset-all rows")
+        points = df.filter(is_all).select(F.sort_array(F.collect_list(F.struct(*order)))).scalar()
+        df = (df.withColumn("_all", points)
+                .withColumn("epoch_all", F.size(F.filter("_all", lambda v: v <= F.struct(*order))).cast("long"))
+                .drop("_all"))
+        is_reset = is_reset | is_all
+        groups.append("epoch_all")
     df = df.withColumn("_reset", is_reset)
-    df = _running(df, [key], order, chunk, {"epoch": ("sum", F.col("_reset").cast("long"))})
-    df = _running(df, [key, "epoch"], order, chunk, {"_occ": ("sum", (~F.col("_reset")).cast("long"))})
+    own = F.col("_reset") & ~(F.coalesce(F.col(reset_all), F.lit(False)) if reset_all else F.lit(False))
+    df = _running(df, [key], order, chunk, {"epoch": ("sum", own.cast("long"))})
+    df = _running(df, groups, order, chunk, {"_occ": ("sum", (~F.col("_reset")).cast("long"))})
     occ = F.when(~F.col("_reset"), F.col("_occ"))
     return (df.withColumn("occurrence", occ)
               .withColumn("emit", F.coalesce((occ == 1) | (occ % n == 0), F.lit(False)))
@@ -61,7 +80,15 @@ def sample_nth(df: DataFrame, key: str, order: list[str], n: int = DEFAULT_SAMPL
 
 def sample_counts(sampled: DataFrame, key: str) -> DataFrame:
     """Current count per key after :func:`sample_nth`: occurrences since the
-    key's last reset (0 when the last row was a reset)."""
-    last = sampled.groupBy(key).agg(F.max("epoch").alias("epoch"))
-    counts = sampled.groupBy(key, "epoch").agg(F.count("occurrence").alias("count"))
-    return last.join(counts, [key, "epoch"], "left").select(key, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    key's last reset (0 when a reset -- its own or a reset of all keys --
+    came after its last occurrence)."""
+    groups = [key, "epoch"]
+    keyed = sampled.filter(F.col(key).isNotNull())  # reset-all control rows carry no key
+    last = keyed.groupBy(key).agg(F.max("epoch").alias("epoch"))
+    if "epoch_all" in sampled.columns:
+        final_all = sampled.select(F.max("epoch_all")).scalar()
+        last = last.withColumn("epoch_all", final_all)
+        groups.append("epoch_all")
+    counts = keyed.groupBy(*groups).agg(F.count("occurrence").alias("count"))
+    return (last.join(counts, groups, "left")
+                .select(key, F.coalesce("count", F.lit(0)).cast("long").alias("count")))

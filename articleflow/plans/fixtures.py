@@ -95,19 +95,17 @@ def document_items(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
 
 def pages_from_items(items: DataFrame, page_size: int = DOCS_PER_PAGE) -> DataFrame:
     """Group items into one JSON payload per page (pages are bounded by
-    ``page_size`` ids, so ``collect_list`` per page is bounded).  The payload
-    is built inside the aggregation, so later filters cannot inline (and
-    re-run) its encoding."""
-    num_pages = items.agg((F.max("page_no") + 1).alias("num_pages"))  # one row
-    its = F.array_sort(F.collect_list(F.struct("ord", "item")))
+    ``page_size`` ids, so ``collect_list`` per page is bounded).  The page
+    count is a scalar subquery (one aggregate value), not a join."""
+    num_pages = items.select((F.max("page_no") + 1).alias("num_pages")).scalar()
+    its = F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("its")
+    grouped = items.groupBy(*S.PAGE_KEY).agg(its)
     payload = F.to_json(F.struct(
-        F.struct(F.col("page_no").alias("page"), F.col("num_pages").alias("numPages"),
+        F.struct(F.col("page_no").alias("page"), num_pages.alias("numPages"),
                  F.lit(page_size).cast("long").alias("pageSize"),
-                 F.size(its).cast("long").alias("numEntries")).alias("pageInfo"),
-        F.transform(its, lambda e: e["item"]).alias("content")))
-    return (items.crossJoin(F.broadcast(num_pages))
-                 .groupBy(*S.PAGE_KEY, "num_pages").agg(payload.alias("payload"))
-                 .select(*S.PAGE_KEY, F.lit(None).cast("timestamp").alias("fetched_at"), "payload"))
+                 F.size("its").cast("long").alias("numEntries")).alias("pageInfo"),
+        F.transform("its", lambda e: e["item"]).alias("content")))
+    return grouped.select(*S.PAGE_KEY, F.lit(None).cast("timestamp").alias("fetched_at"), payload.alias("payload"))
 
 
 def document_pages(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:

@@ -116,3 +116,18 @@ def test_route_with_python_client_batches(spark):
     arts = conform(spark.createDataFrame([{"id": str(i), "body": "x" * i} for i in range(1, 30)]))
     routed = CL.route_with(arts, lambda pdf: pdf["body"].str.len() % 7 != 0)
     assert routed.filter("NOT synced").count() == 4       # lengths 7, 14, 21, 28
+
+
+def test_sampler_reset_all_keys(spark):
+    rows = [("error_a", i, False, False) for i in range(1, 6)] + [("error_b", i, False, False) for i in range(1, 4)]
+    df = spark.createDataFrame(rows + [(None, 50, False, True)], "key string, seq long, reset boolean, reset_all boolean")
+    s = SK.sample_nth(df, "key", ["seq"], 5, reset="reset", reset_all="reset_all")
+    counts = {r.key: r["count"] for r in SK.sample_counts(s, "key").collect()}
+    assert counts == {"error_a": 0, "error_b": 0}
+    more = spark.createDataFrame(rows + [(None, 50, False, True), ("error_a", 60, False, False)],
+                                 "key string, seq long, reset boolean, reset_all boolean")
+    s2 = SK.sample_nth(more, "key", ["seq"], 5, reset="reset", reset_all="reset_all")
+    got = {r.seq: (r.occurrence, r.emit) for r in s2.filter("key = 'error_a'").collect()}
+    assert got[60] == (1, True) and got[5] == (5, True)
+    counts2 = {r.key: r["count"] for r in SK.sample_counts(s2, "key").collect()}
+    assert counts2 == {"error_a": 1, "error_b": 0}
