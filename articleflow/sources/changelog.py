@@ -57,16 +57,34 @@ def write_changes_kafka(events: DataFrame, servers: str, topic: str) -> None:
 
 def read_changes(events: DataFrame) -> DataFrame:
     """Decode change events; an undecodable message is dropped (it is
-    not dead-lettered).  Works on a batch or a streaming DataFrame."""
+    not dead-lettered).  Undecodable = malformed JSON, a wrong-typed field
+    (text fields are checked through VARIANT types, so a number is not
+    silently taken as text), or a time that is neither null nor RFC 3339.
+    Works on a batch or a streaming DataFrame."""
     from articleflow.functions import rfc3339
+    from articleflow.operators.joins import fence
     text = F.col("value").cast("string")
     wire = ", ".join(f"{f.name} {'string' if f.name.endswith('_at') else f.dataType.simpleString()}"
                      for f in S.ARTICLE.fields)
     parsed = F.from_json(text, f"{wire}, _corrupt string",
                          {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    from articleflow.operators.joins import fence
-    d = fence(events.select(F.col("key").cast("string").alias("key"), parsed.alias("a")), "a")
-    d = d.filter(F.col("a").isNotNull() & F.col("a._corrupt").isNull())
+    text_fields = [f.name for f in S.ARTICLE.fields if f.name in S.ARTICLE_STRING_COLS or f.name.endswith("_at")]
+    typed = F.from_json(text, ", ".join(f"{c} variant" for c in text_fields)
+                        + ", tags array<struct<label variant>>")
+    d = fence(events.select(F.col("key").cast("string").alias("key"), parsed.alias("a"), typed.alias("v")), "a", "v")
+
+    def ok_text(v):
+        return v.isNull() | F.schema_of_variant(v).isin("STRING", "VOID")
+    types_ok = F.lit(True)
+    for c in text_fields:
+        types_ok = types_ok & ok_text(F.col("v")[c])
+    types_ok = types_ok & F.coalesce(F.forall(F.col("v")["tags"], lambda t: ok_text(t["label"])), F.lit(True))
+    times_ok = F.lit(True)
+    for f in S.ARTICLE.fields:
+        if f.name.endswith("_at"):
+            c = F.col(f"a.{f.name}")
+            times_ok = times_ok & (c.isNull() | rfc3339(c).isNotNull())
+    d = d.filter(F.col("a").isNotNull() & F.col("a._corrupt").isNull() & types_ok & times_ok)
     cols = []
     for f in S.ARTICLE.fields:
         c = F.col(f"a.{f.name}")

@@ -87,3 +87,14 @@ def test_missing_registry_file_gives_default(spark, tmp_path):
     valid, rejected = RG.load_sources(spark, str(tmp_path / "none.json"),
                                       default={"name": "default", "url": "https://feed.example/", "transformer": "pulselive"})
     assert [r.name for r in valid.collect()] == ["default"]
+
+
+def test_read_changes_drops_undecodable_messages(spark):
+    from articleflow.sources import changelog as CL
+    good = '{"id":"a","title":"t","published_at":"2024-01-02T03:04:05Z","fetched_at":null,"tags":null}'
+    msgs = [("a", good), ("b", '{"id":"b","title":5}'), ("c", '{"id":"c","published_at":"yesterday"}'),
+            ("d", '{"id":"d"'), ("e", '{"id":"e","tags":[{"id":1,"label":2}]}'), ("f", '{"id":"f"}')]
+    out = {r.key: r for r in CL.read_changes(spark.createDataFrame(msgs, "key string, value string")).collect()}
+    assert sorted(out) == ["a", "f"]
+    assert str(out["a"].published_at) == "2024-01-02 03:04:05" and out["a"].fetched_at is None
+    assert out["f"].title == "" and out["f"].published_at is None
