@@ -17,12 +17,19 @@ def dedup_items(items: Column) -> Column:
     """E1 inside one page's item array: keep the first item of every id, in
     payload order, tagging each with its original position ``pos``.
 
-    Runs in the parsing projection, so de-duplication costs no shuffle; the
-    quadratic scan is over one page (bounded by the feed's page size).
+    Runs in the parsing projection, so de-duplication costs no shuffle.
+    O(n log n) per page: sort by (id, position), keep the first of each id,
+    sort back by position.
     """
     indexed = F.transform(items, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("a")))
-    return F.filter(indexed, lambda e, i: ~F.exists(F.slice(indexed, 1, i),
-                                                   lambda p: p["a"]["id"] == e["a"]["id"]))
+
+    def by_id(left: Column, right: Column) -> Column:
+        li, ri = left["a"]["id"], right["a"]["id"]
+        return (F.when(li < ri, F.lit(-1)).when(li > ri, F.lit(1))
+                 .otherwise(F.signum(left["pos"] - right["pos"]).cast("int")))
+    sorted_ = F.array_sort(indexed, by_id)
+    firsts = F.filter(sorted_, lambda e, i: (i == 0) | (F.element_at(sorted_, i)["a"]["id"] != e["a"]["id"]))
+    return F.array_sort(firsts)  # natural struct order: by pos first
 
 
 def dedup_batch(articles: DataFrame, page_key: list[str] | None = None) -> DataFrame:

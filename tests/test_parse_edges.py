@@ -98,3 +98,15 @@ def test_read_changes_drops_undecodable_messages(spark):
     assert sorted(out) == ["a", "f"]
     assert str(out["a"].published_at) == "2024-01-02 03:04:05" and out["a"].fetched_at is None
     assert out["f"].title == "" and out["f"].published_at is None
+
+
+def test_large_page_dedup_keeps_first_of_each_id(spark):
+    import time
+    items = [{"id": i % 1700, "title": f"t{i}"} for i in range(5000)]
+    raw = _raw(spark, [json.dumps({"content": items})])
+    t0 = time.time()
+    rows = P.parse_pulselive(raw, dedup=True).select("pos", "id", "title").collect()
+    assert time.time() - t0 < 60
+    assert len(rows) == 1700
+    assert all(r.title == f"t{r.pos}" and r.pos < 1700 for r in rows)
+    assert [r.pos for r in sorted(rows, key=lambda r: r.pos)] == list(range(1700))
