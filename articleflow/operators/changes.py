@@ -18,18 +18,21 @@ def dedup_items(items: Column) -> Column:
     payload order, tagging each with its original position ``pos``.
 
     Runs in the parsing projection, so de-duplication costs no shuffle.
-    O(n log n) per page: sort by (id, position), keep the first of each id,
-    sort back by position.
+    O(n log n) per page: sort by (id asc, position desc), pair every element
+    with its successor (``zip_with`` on the array and its one-step shift), keep
+    the last of each id run (its first occurrence), sort back by position.
+    Every array expression is evaluated a constant number of times per page.
     """
     indexed = F.transform(items, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("a")))
 
-    def by_id(left: Column, right: Column) -> Column:
+    def id_then_pos_desc(left: Column, right: Column) -> Column:
         li, ri = left["a"]["id"], right["a"]["id"]
         return (F.when(li < ri, F.lit(-1)).when(li > ri, F.lit(1))
-                 .otherwise(F.signum(left["pos"] - right["pos"]).cast("int")))
-    sorted_ = F.array_sort(indexed, by_id)
-    firsts = F.filter(sorted_, lambda e, i: (i == 0) | (F.element_at(sorted_, i)["a"]["id"] != e["a"]["id"]))
-    return F.array_sort(firsts)  # natural struct order: by pos first
+                 .otherwise(F.signum(right["pos"] - left["pos"]).cast("int")))
+    ordered = F.array_sort(indexed, id_then_pos_desc)
+    nxt = F.slice(ordered, 2, F.size(ordered))
+    kept = F.zip_with(ordered, nxt, lambda cur, n: F.when(n.isNull() | (n["a"]["id"] != cur["a"]["id"]), cur))
+    return F.array_sort(F.filter(kept, lambda e: e.isNotNull()))  # natural struct order: by pos
 
 
 def dedup_batch(articles: DataFrame, page_key: list[str] | None = None) -> DataFrame:
