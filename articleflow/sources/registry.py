@@ -61,11 +61,12 @@ def parse_sources(files: DataFrame, known_parsers: list[str] | None = None,
 
 
 def load_sources(spark: SparkSession, path: str, known_parsers: list[str] | None = None,
-                 default: dict | None = None):
+                 default: dict | None = None, require: bool = False):
     """A1: read registry file(s) at ``path`` -> ``(valid, rejected)``.
 
     A missing file gives the ``default`` feed (a dict of the source fields)
-    when one is configured, else an empty registry.
+    when one is configured, else an empty registry.  ``require=True`` fails
+    when no valid source is left (checked with a one-row action).
     """
     try:
         files = spark.read.text(path, wholetext=True)
@@ -78,7 +79,10 @@ def load_sources(spark: SparkSession, path: str, known_parsers: list[str] | None
                 '{"name":%s,"url":%s,"transformer":%s}' % tuple(_json_str(x) for x in r[:3]) for r in rows) + "]",)],
             "value string")
     out = parse_sources(files, known_parsers)
-    return out.filter("valid"), out.filter(~F.col("valid"))
+    valid, rejected = out.filter("valid"), out.filter(~F.col("valid"))
+    if require and valid.limit(1).count() == 0:
+        raise ValueError("no valid sources configured")
+    return valid, rejected
 
 
 def _json_str(x: str) -> str:

@@ -110,3 +110,13 @@ def test_large_page_dedup_keeps_first_of_each_id(spark):
     assert len(rows) == 1700
     assert all(r.title == f"t{r.pos}" and r.pos < 1700 for r in rows)
     assert [r.pos for r in sorted(rows, key=lambda r: r.pos)] == list(range(1700))
+
+
+def test_no_valid_source_is_an_error_when_required(spark, tmp_path):
+    import pytest
+    f = tmp_path / "sources.json"
+    f.write_text(json.dumps([{"name": "x", "url": "ftp://x", "transformer": "pulselive"}]))
+    valid, rejected = RG.load_sources(spark, str(f))
+    assert valid.count() == 0 and rejected.count() == 1
+    with pytest.raises(ValueError):
+        RG.load_sources(spark, str(f), require=True)
