@@ -427,12 +427,12 @@ def _land_two_crawls(spark, sf_dir) -> tuple[str, DataFrame]:
     return landing, FX.registry_from_documents(spark, sf_dir)
 
 
-def _ingest(spark, sf_dir) -> str:
+def _ingest(spark, sf_dir, metrics: str | None = None) -> str:
     landing, registry = _land_two_crawls(spark, sf_dir)
     store = ST.ArticleStore(spark, scratch_path(spark, "store"))
     changes = scratch_path(spark, "changes")
     q = IN.run_ingest(IN.stream_raw_pages(spark, landing, max_files_per_trigger=1), registry, store, changes,
-                      checkpoint=scratch_path(spark, "ckpt-ingest"), available_now=True)
+                      checkpoint=scratch_path(spark, "ckpt-ingest"), available_now=True, metrics_path=metrics)
     q.awaitTermination()
     return changes
 
@@ -455,6 +455,14 @@ def q_h1(spark, sf_dir):
                      F.get_json_object("value", "$.content_hash").alias("content_hash"))
 
 
+@query("h1_ingest_counters")
+def q_h1_counters(spark, sf_dir):
+    metrics = scratch_path(spark, "metrics")
+    _ingest(spark, sf_dir, metrics)
+    return (spark.read.parquet(metrics).groupBy("metric", "source", "status")
+                 .agg(F.sum("value").alias("value")))
+
+
 @query("h3_run_sync")
 def q_h3(spark, sf_dir):
     changes = _ingest(spark, sf_dir)

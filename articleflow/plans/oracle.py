@@ -455,3 +455,14 @@ ORACLE["h4_sample_nth_stream"] = ORACLE["e2_sample_nth"].replace(
     "SELECT event_id, event_type, epoch, occurrence,", "SELECT event_id, event_type, occurrence,")
 
 ORACLE["e6_alert_intervals_sparse"] = ORACLE["e6_alert_intervals"]
+
+ORACLE["h1_ingest_counters"] = with_common(f""", {_STREAM_PAGES.strip()}
+SELECT 'articles_ingested_total' AS metric, feed AS source, 'success' AS status, CAST(count(*) AS DOUBLE) AS value
+FROM sfeed GROUP BY feed
+UNION ALL
+SELECT 'articles_duplicates_skipped_total', feed, '', CAST(count(*) AS DOUBLE)
+FROM sfeed WHERE prev = content_hash GROUP BY feed
+UNION ALL
+SELECT 'articles_published_total', feed, '',
+       CAST(count(*) FILTER (WHERE prev IS NULL OR prev <> content_hash) AS DOUBLE)
+FROM sfeed GROUP BY feed""")

@@ -44,10 +44,32 @@ def _overwrite_partition(df: DataFrame, batch_id: int, path: str) -> None:
        .partitionBy("batch_id").parquet(path))
 
 
+def batch_counters(feed: DataFrame, bad_pages: DataFrame) -> DataFrame:
+    """Counter increments of one batch in long form ``(metric, source,
+    status, value)``, per feed: unique articles ingested (D1), duplicates
+    skipped (D2), articles published (D3) and undecodable pages (D5)."""
+    from articleflow.operators import metrics as M
+    ingested = feed.groupBy("feed").agg(F.count(F.lit(1)).alias("value")).select(
+        F.lit("articles_ingested_total").alias("metric"), "feed", F.lit("success").alias("status"), "value")
+    skipped = M.duplicate_counters(feed).select(
+        F.lit("articles_duplicates_skipped_total").alias("metric"), "feed", F.lit("").alias("status"),
+        F.col("skipped").alias("value"))
+    published = M.publish_counters(feed, F.lit(True)).select(
+        F.lit("articles_published_total").alias("metric"), "feed", F.lit("").alias("status"),
+        F.col("published").alias("value"))
+    errors = M.parse_error_counters(bad_pages).select(
+        F.lit("parse_errors_total").alias("metric"), "feed", F.lit("").alias("status"),
+        F.col("parse_errors").alias("value"))
+    return (ingested.unionByName(skipped).unionByName(published).unionByName(errors)
+                    .withColumnRenamed("feed", "source").withColumn("value", F.col("value").cast("double")))
+
+
 def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: ArticleStore,
-                 changes_path: str, quarantine_path: str | None = None) -> None:
+                 changes_path: str, quarantine_path: str | None = None,
+                 metrics_path: str | None = None) -> None:
     """H1 body for one micro-batch of raw pages (B5 -> B4 -> E1 -> B7 -> C3 ->
-    A6 -> A9).  Reads only store versions of earlier batches."""
+    A6 -> A9, plus the batch's counter increments when ``metrics_path`` is
+    given).  Reads only store versions of earlier batches."""
     reg = registry.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
     decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser").persist()
     pages = C.with_content_hash(P.explode_articles(decoded, dedup=True)).persist()
@@ -58,6 +80,8 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         # the store is read as three narrow columns, never the article bodies
         current = store.current(before_batch=batch_id, columns=["content_hash"])
         feed = C.change_feed(pages, current)
+        if metrics_path:
+            _overwrite_partition(batch_counters(feed, decoded.filter("bad")), batch_id, metrics_path)
         emitted = feed.filter(F.col("change") != C.UNCHANGED)
         # one event per emitted page row, with its page coordinates so a
         # consumer can order several changes of one id within a batch
@@ -102,7 +126,8 @@ def batch_offset(spark: SparkSession, checkpoint: str, store: ArticleStore | Non
 
 def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, changes_path: str,
                checkpoint: str | None = None, quarantine_path: str | None = None,
-               available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
+               available_now: bool = False, interval: str = "1 minute",
+               metrics_path: str | None = None) -> StreamingQuery:
     """H1: crawl pages as they land; one micro-batch per trigger (default
     every minute; ``available_now`` drains what is landed and stops)."""
     spark = stream.sparkSession
@@ -111,7 +136,7 @@ def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, chan
     offset = batch_offset(spark, checkpoint, store, (changes_path,))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
                .foreachBatch(lambda df, bid: ingest_batch(df, offset + bid, reg, store, changes_path,
-                                                          quarantine_path)))
+                                                          quarantine_path, metrics_path)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 

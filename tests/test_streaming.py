@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from articleflow.operators import parse as P
 from articleflow.operators import store as ST
 from articleflow.plans import catalog as Q
 from articleflow.plans import fixtures as FX
@@ -107,3 +108,20 @@ def test_fresh_checkpoint_continues_batch_ids(spark, sf_small):
     n_events = spark.read.parquet(changes).filter("batch_id = 0").count()
     assert n_events == store.current().count() > 0   # batch 0 intact; the re-read input changed nothing
     assert spark.read.parquet(changes).filter("batch_id = 1").count() == 0
+
+
+def test_ingest_writes_batch_counters(spark, sf_small):
+    broken = spark.createDataFrame([("src0", 0, 999, None, '{"content": [')],
+                                   "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
+    raw0 = FX.document_pages(spark, sf_small, 0).unionByName(broken)
+    reg = FX.registry_from_documents(spark, sf_small)
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-m"))
+    changes, metrics = scratch_path(spark, "changes-m"), scratch_path(spark, "metrics-m")
+    IN.ingest_batch(raw0, 0, reg, store, changes, metrics_path=metrics)
+    IN.ingest_batch(raw0, 0, reg, store, changes, metrics_path=metrics)   # replay: same rows
+    m = {(r.metric, r.source): r.value for r in spark.read.parquet(metrics).collect()}
+    n_events = spark.read.parquet(changes).count()
+    assert sum(v for (k, _), v in m.items() if k == "articles_published_total") == n_events
+    assert sum(v for (k, _), v in m.items() if k == "articles_ingested_total") == n_events  # empty store: all new
+    bad = P.split_bad_pages(raw0, P.PULSELIVE)[1].count()
+    assert sum(v for (k, _), v in m.items() if k == "parse_errors_total") == bad == 1
