@@ -44,7 +44,20 @@ def _overwrite_partition(df: DataFrame, batch_id: int, path: str) -> None:
        .partitionBy("batch_id").parquet(path))
 
 
-def batch_counters(feed: DataFrame, bad_pages: DataFrame) -> DataFrame:
+def walk_decoded(decoded: DataFrame) -> DataFrame:
+    """A5 over decoded pages of whole runs: adds ``reached`` and ``outcome``
+    (a bad page is the run's fetch/decode error; the handler cannot fail
+    page by page here, a failing micro-batch is retried as a whole)."""
+    from articleflow.sources.pages import walk_pages
+    inputs = decoded.select(*S.PAGE_KEY, F.col("bad").alias("fetch_error"),
+                            F.col("page_info.numPages").alias("num_pages"),
+                            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_articles"),
+                            F.lit(False).alias("batch_failed"))
+    walked = walk_pages(inputs).select(*S.PAGE_KEY, "reached", "outcome")
+    return decoded.join(walked, S.PAGE_KEY)
+
+
+def batch_counters(feed: DataFrame, bad_pages: DataFrame, failed_runs: DataFrame | None = None) -> DataFrame:
     """Counter increments of one batch in long form ``(metric, source,
     status, value)``, per feed: unique articles ingested (D1), duplicates
     skipped (D2), articles published (D3) and undecodable pages (D5)."""
@@ -60,18 +73,32 @@ def batch_counters(feed: DataFrame, bad_pages: DataFrame) -> DataFrame:
     errors = M.parse_error_counters(bad_pages).select(
         F.lit("parse_errors_total").alias("metric"), "feed", F.lit("").alias("status"),
         F.col("parse_errors").alias("value"))
-    return (ingested.unionByName(skipped).unionByName(published).unionByName(errors)
-                    .withColumnRenamed("feed", "source").withColumn("value", F.col("value").cast("double")))
+    out = ingested.unionByName(skipped).unionByName(published).unionByName(errors)
+    if failed_runs is not None:
+        out = out.unionByName(failed_runs.groupBy("feed").agg(F.count(F.lit(1)).alias("value")).select(
+            F.lit("articles_ingested_total").alias("metric"), "feed", F.lit("error_crawl").alias("status"), "value"))
+    return out.withColumnRenamed("feed", "source").withColumn("value", F.col("value").cast("double"))
 
 
 def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: ArticleStore,
                  changes_path: str, quarantine_path: str | None = None,
-                 metrics_path: str | None = None) -> None:
+                 metrics_path: str | None = None, walk: bool = False) -> None:
     """H1 body for one micro-batch of raw pages (B5 -> B4 -> E1 -> B7 -> C3 ->
     A6 -> A9, plus the batch's counter increments when ``metrics_path`` is
-    given).  Reads only store versions of earlier batches."""
+    given).  ``walk=True`` first applies the crawl's stop rule (A5) to each
+    run of the batch -- pages after a bad or empty page, past the known page
+    count or after a gap are dropped, as the crawl never fetched them; runs
+    must land whole in one micro-batch.  Reads only store versions of
+    earlier batches."""
     reg = registry.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
-    decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser").persist()
+    decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser")
+    failed_runs = None
+    if walk:
+        decoded = walk_decoded(decoded)
+        failed_runs = (decoded.filter(F.col("reached") & (F.col("outcome") == "fetch_error"))
+                              .select("feed", "run_id").distinct())
+        decoded = decoded.filter(F.col("reached")).drop("reached", "outcome")
+    decoded = decoded.persist()
     pages = C.with_content_hash(P.explode_articles(decoded, dedup=True)).persist()
     try:
         if quarantine_path:
@@ -81,7 +108,7 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         current = store.current(before_batch=batch_id, columns=["content_hash"])
         feed = C.change_feed(pages, current)
         if metrics_path:
-            _overwrite_partition(batch_counters(feed, decoded.filter("bad")), batch_id, metrics_path)
+            _overwrite_partition(batch_counters(feed, decoded.filter("bad"), failed_runs), batch_id, metrics_path)
         emitted = feed.filter(F.col("change") != C.UNCHANGED)
         # one event per emitted page row, with its page coordinates so a
         # consumer can order several changes of one id within a batch

@@ -125,3 +125,24 @@ def test_ingest_writes_batch_counters(spark, sf_small):
     assert sum(v for (k, _), v in m.items() if k == "articles_ingested_total") == n_events  # empty store: all new
     bad = P.split_bad_pages(raw0, P.PULSELIVE)[1].count()
     assert sum(v for (k, _), v in m.items() if k == "parse_errors_total") == bad == 1
+
+
+def test_ingest_walk_stops_runs_like_the_crawl(spark):
+    import json
+    from articleflow.operators.parse import PULSELIVE
+
+    def page(ids, num_pages=5):
+        return json.dumps({"pageInfo": {"numPages": num_pages}, "content": [{"id": i, "title": "t"} for i in ids]})
+    rows = [("f", 1, 0, None, page([1, 2])), ("f", 1, 1, None, '{"content": ['),        # run 1 breaks at page 1
+            ("f", 1, 2, None, page([3])),
+            ("f", 2, 0, None, page([4], 2)), ("f", 2, 1, None, page([5], 2)), ("f", 2, 2, None, page([6], 2)),
+            ("f", 3, 0, None, page([7])), ("f", 3, 1, None, page([])), ("f", 3, 2, None, page([8]))]
+    raw = spark.createDataFrame(rows, "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
+    reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-w"))
+    changes, metrics = scratch_path(spark, "changes-w"), scratch_path(spark, "metrics-w")
+    IN.ingest_batch(raw, 0, reg, store, changes, metrics_path=metrics, walk=True)
+    keys = sorted(r.key for r in spark.read.parquet(changes).collect())
+    assert keys == ["pulselive_1", "pulselive_2", "pulselive_4", "pulselive_5", "pulselive_7"]
+    m = {(r.metric, r.status): r.value for r in spark.read.parquet(metrics).collect()}
+    assert m[("articles_ingested_total", "error_crawl")] == 1.0
