@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,7 +45,8 @@ def build_session(master: str = "local[8]", app: str = "articleflow",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators assume to any session."""
+    """Apply the runtime SQL settings the operators assume to any session,
+    and ship the package to the Python workers of its executors."""
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql.") and not k.startswith("spark.sql.execution.arrow"):
             try:
@@ -51,9 +54,32 @@ def configure(spark: SparkSession) -> SparkSession:
             except Exception:  # static conf on a shared session: leave it
                 pass
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``addPyFile`` a zip of this package once per SparkContext: the pandas
+    functions and stateful processors are pickled by module reference, so
+    every executor's Python worker must be able to import ``articleflow``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="articleflow-pyfiles-"), "articleflow.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

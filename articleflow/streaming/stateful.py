@@ -20,6 +20,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+
+def _pickle_by_value() -> None:
+    """The processors also run in Python processes that do not see files
+    added with ``addPyFile`` (the stateful operator's driver-side runner), so
+    this module's classes and functions travel by value, not by import."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_pickle_by_value()
+
 # ------------------------------------------------------------- breaker (H2)
 # Breaker settings -- opens after 3 consecutive failures, stays
 # open 30 s, then lets one trial request through; closed-state counts are
