@@ -146,3 +146,20 @@ def test_ingest_walk_stops_runs_like_the_crawl(spark):
     assert keys == ["pulselive_1", "pulselive_2", "pulselive_4", "pulselive_5", "pulselive_7"]
     m = {(r.metric, r.status): r.value for r in spark.read.parquet(metrics).collect()}
     assert m[("articles_ingested_total", "error_crawl")] == 1.0
+
+
+def test_tags_only_change_is_stored_not_published(spark):
+    import json
+    from articleflow.operators.parse import PULSELIVE
+
+    def page(label):
+        return json.dumps({"pageInfo": {"numPages": 1},
+                           "content": [{"id": 1, "title": "t", "body": "b", "tags": [{"id": 1, "label": label}]}]})
+    reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
+    schema = "feed string, run_id long, page_no long, fetched_at timestamp, payload string"
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-tags"))
+    changes = scratch_path(spark, "changes-tags")
+    IN.ingest_batch(spark.createDataFrame([("f", 1, 0, None, page("old"))], schema), 0, reg, store, changes)
+    IN.ingest_batch(spark.createDataFrame([("f", 2, 0, None, page("new"))], schema), 1, reg, store, changes)
+    assert spark.read.parquet(changes).count() == 1                      # published once, as new
+    assert [t.label for t in store.current().first().tags] == ["new"]     # but the store has the new tags
