@@ -224,11 +224,20 @@ SAMPLE_OUT = T.StructType([
 ])
 
 
-def sample_step(count: int, reset: np.ndarray, n: int):
+def sample_step(count: int, reset: np.ndarray, n: int, generation: np.ndarray | None = None,
+                last_gen: int = 0):
     """Occurrence numbers of one key's rows (sorted), continuing from
-    ``count``; reset rows restart the count and are not occurrences."""
+    ``count``; reset rows restart the count and are not occurrences.  With
+    ``generation`` (number of all-key resets issued before each row), a row
+    of a newer generation than ``last_gen`` / its predecessor also restarts
+    the count, and counts as the first occurrence."""
     reset = reset.astype(bool)
-    epoch = np.cumsum(reset)
+    if generation is None:
+        generation = np.full(len(reset), last_gen, dtype=np.int64)
+    generation = generation.astype(np.int64)
+    prev_gen = np.concatenate([[last_gen], generation[:-1]]) if len(generation) else generation
+    bumps = (generation > prev_gen).astype(np.int64) + reset.astype(np.int64)
+    epoch = np.cumsum(bumps)
     occ = np.zeros(len(reset), dtype=np.int64)
     for e in np.unique(epoch):
         m = (epoch == e) & ~reset
@@ -236,24 +245,30 @@ def sample_step(count: int, reset: np.ndarray, n: int):
     last = epoch[-1] if len(epoch) else 0
     final = int(((epoch == last) & ~reset).sum()) + (count if last == 0 else 0)
     emit = (~reset) & ((occ == 1) | (occ % n == 0))
-    return np.where(reset, -1, occ), emit, final
+    final_gen = int(generation[-1]) if len(generation) else last_gen
+    return np.where(reset, -1, occ), emit, final, final_gen
 
 
 class SampleProcessor(StatefulProcessor):
     """H4: running per-key occurrence counter with resets; emits the 1st and
-    every n-th occurrence.  Input ``(key, id, order, reset)``."""
+    every n-th occurrence.  Input ``(key, id, order, reset[, generation])``;
+    ``generation`` carries all-key resets (see :func:`sample_step`)."""
 
     def __init__(self, n: int = 10):
         self.n = n if n >= 1 else 10
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "count long")
+        self.count = handle.getValueState("count", "count long, generation long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["order", "id"], kind="stable")
-        c = int(self.count.get()[0]) if self.count.exists() else 0
-        occ, emit, final = sample_step(c, pdf["reset"].to_numpy(), self.n)
-        self.count.update((final,))
+        c, g = 0, 0
+        if self.count.exists():
+            st = self.count.get()
+            c, g = int(st[0]), int(st[1])
+        gen = pdf["generation"].to_numpy() if "generation" in pdf.columns else None
+        occ, emit, final, final_gen = sample_step(c, pdf["reset"].to_numpy(), self.n, gen, g)
+        self.count.update((final, final_gen))
         yield pd.DataFrame({"key": key[0], "id": pdf["id"].to_numpy(),
                             "occurrence": pd.array(np.where(occ < 0, None, occ), dtype="Int64"),
                             "emit": emit})

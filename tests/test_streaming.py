@@ -163,3 +163,12 @@ def test_tags_only_change_is_stored_not_published(spark):
     IN.ingest_batch(spark.createDataFrame([("f", 2, 0, None, page("new"))], schema), 1, reg, store, changes)
     assert spark.read.parquet(changes).count() == 1                      # published once, as new
     assert [t.label for t in store.current().first().tags] == ["new"]     # but the store has the new tags
+
+
+def test_sampler_step_generations_reset_all_keys():
+    # key counts 1..3, then an all-key reset (generation 1) restarts at 1
+    occ, emit, final, gen = STF.sample_step(0, np.zeros(5, dtype=bool), 10, np.array([0, 0, 0, 1, 1]), 0)
+    assert list(occ) == [1, 2, 3, 1, 2] and final == 2 and gen == 1
+    # carried state: count 9 of generation 1 continues to 10 (emitted); a newer generation restarts
+    occ, emit, final, gen = STF.sample_step(9, np.zeros(2, dtype=bool), 10, np.array([1, 2]), 1)
+    assert list(occ) == [10, 1] and list(emit) == [True, True] and final == 1 and gen == 2
