@@ -150,6 +150,21 @@ class ArticleStore:
         return (latest.select(*S.ARTICLE_COLS).withColumn("row_hash", row_hash())
                       .join(cur, ["id", "row_hash"], "left_anti").drop("row_hash"))
 
+    # Repository surface: writer, reader and hash reader over the current view.
+    def upsert(self, batch_id: int, batch: DataFrame) -> None:
+        """A9 on the versioned table: write the rows of ``batch`` (unique by
+        id) that differ from the current view as batch ``batch_id``."""
+        self.write_batch(batch_id, self.changed_rows(batch_id, batch))
+
+    def lookup_hashes(self, ids: DataFrame, before_batch: int | None = None) -> DataFrame:
+        """C1 against the current view (two narrow columns read)."""
+        from articleflow.operators.changes import lookup_hashes
+        return lookup_hashes(self.current(before_batch, columns=["content_hash"]), ids)
+
+    def last_published(self, source: str | None = None) -> DataFrame:
+        """F1 against the current view."""
+        return last_published(self.current().select(*S.ARTICLE_COLS), source)
+
     def compact(self, upto_batch: int) -> None:
         """Write the current view up to ``upto_batch`` as snapshot
         ``base/upto_batch=N`` (a new partition; older snapshots and versions

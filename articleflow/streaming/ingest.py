@@ -10,6 +10,8 @@ replay recomputes the same events against the same store state).
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,6 +24,14 @@ from articleflow.session import checkpoint_root
 from articleflow.sources import changelog as CL
 
 CHANGE_EVENT_COLS = ["key", "value", "feed", "run_id", "page_no"]
+# A change-events sink: called once per micro-batch with the events and the
+# batch id; it must be idempotent per batch id (a replay calls it again).
+Sink = Callable[[DataFrame, int], None]
+
+
+def parquet_sink(path: str) -> Sink:
+    """Default sink: dynamic-partition overwrite of ``batch_id=N`` under ``path``."""
+    return lambda events, batch_id: _overwrite_partition(events, batch_id, path)
 
 
 def land_raw_pages(raw: DataFrame, path: str) -> None:
@@ -81,15 +91,16 @@ def batch_counters(feed: DataFrame, bad_pages: DataFrame, failed_runs: DataFrame
 
 
 def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: ArticleStore,
-                 changes_path: str, quarantine_path: str | None = None,
-                 metrics_path: str | None = None, walk: bool = False) -> None:
+                 changes_path: str | None, quarantine_path: str | None = None,
+                 metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None) -> None:
     """H1 body for one micro-batch of raw pages (B5 -> B4 -> E1 -> B7 -> C3 ->
     A6 -> A9, plus the batch's counter increments when ``metrics_path`` is
     given).  ``walk=True`` first applies the crawl's stop rule (A5) to each
     run of the batch -- pages after a bad or empty page, past the known page
     count or after a gap are dropped, as the crawl never fetched them; runs
     must land whole in one micro-batch.  Reads only store versions of
-    earlier batches."""
+    earlier batches.  Change events go to ``sink`` when given (e.g. a broker
+    writer), else to the Parquet table at ``changes_path``."""
     reg = registry.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
     decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser")
     failed_runs = None
@@ -114,7 +125,7 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         # consumer can order several changes of one id within a batch
         events = emitted.select(F.col("id").alias("key"), CL.article_json(emitted).alias("value"),
                                 "feed", "run_id", "page_no")
-        _overwrite_partition(events, batch_id, changes_path)
+        (sink or parquet_sink(changes_path))(events, batch_id)
         store.write_batch(batch_id, store.changed_rows(batch_id, C.latest_rows(pages)))
     finally:
         pages.unpersist()

@@ -172,3 +172,15 @@ def test_sampler_step_generations_reset_all_keys():
     # carried state: count 9 of generation 1 continues to 10 (emitted); a newer generation restarts
     occ, emit, final, gen = STF.sample_step(9, np.zeros(2, dtype=bool), 10, np.array([1, 2]), 1)
     assert list(occ) == [10, 1] and list(emit) == [True, True] and final == 1 and gen == 2
+
+
+def test_custom_sink_and_repository_surface(spark, sf_small):
+    got = {}
+    raw0 = FX.document_pages(spark, sf_small, 0)
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-s"))
+    IN.ingest_batch(raw0, 0, FX.registry_from_documents(spark, sf_small), store, None,
+                    sink=lambda ev, bid: got.setdefault(bid, ev.count()))
+    assert got[0] == store.current().count() > 0
+    ids = store.current().select("id").limit(3)
+    assert store.lookup_hashes(ids).count() == 3
+    assert store.last_published("pulselive").count() == 1
