@@ -69,6 +69,8 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
+    # a driver-side build artifact that Spark itself distributes to the
+    # executors; no job data or lineage is ever kept there
     out = os.path.join(tempfile.mkdtemp(prefix="articleflow-pyfiles-"), "articleflow.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
