@@ -76,6 +76,28 @@ class ArticleStore:
     def base_path(self) -> str:
         return f"{self.root}/base"
 
+    @property
+    def commits_path(self) -> str:
+        return f"{self.root}/commits"
+
+    def commit(self, batch_id: int) -> None:
+        """Mark ``batch_id`` complete (after its events and versions are
+        written); idempotent."""
+        (self.spark.createDataFrame([(batch_id,)], "batch long").withColumn("batch_id", F.col("batch"))
+             .coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(self.commits_path))
+
+    def committed(self) -> int:
+        """Highest committed batch id, -1 when none."""
+        c = self._read(self.commits_path)
+        m = None if c is None else c.agg(F.max("batch_id")).first()[0]
+        return -1 if m is None else int(m)
+
+    def current_committed(self, columns: list[str] | None = None) -> DataFrame:
+        """Consistent view for outside readers: committed batches only (an
+        in-flight batch's versions are not visible)."""
+        return self.current(before_batch=self.committed() + 1, columns=columns)
+
     def _read(self, path: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(path)

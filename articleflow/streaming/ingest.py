@@ -127,6 +127,7 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
                                 "feed", "run_id", "page_no")
         (sink or parquet_sink(changes_path))(events, batch_id)
         store.write_batch(batch_id, store.changed_rows(batch_id, C.latest_rows(pages)))
+        store.commit(batch_id)
     finally:
         pages.unpersist()
         decoded.unpersist()

@@ -184,3 +184,17 @@ def test_custom_sink_and_repository_surface(spark, sf_small):
     ids = store.current().select("id").limit(3)
     assert store.lookup_hashes(ids).count() == 3
     assert store.last_published("pulselive").count() == 1
+
+
+def test_commit_marker_hides_in_flight_batch(spark):
+    from articleflow.operators.parse import conform
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-commit"))
+    rows = conform(spark.createDataFrame([("a", "A", "h1")], "id string, title string, content_hash string"))
+    store.write_batch(0, rows)
+    store.commit(0)
+    newer = conform(spark.createDataFrame([("a", "A2", "h2")], "id string, title string, content_hash string"))
+    store.write_batch(1, newer)                       # written, not yet committed
+    assert store.committed() == 0
+    assert [r.title for r in store.current_committed().collect()] == ["A"]
+    store.commit(1)
+    assert [r.title for r in store.current_committed().collect()] == ["A2"]
