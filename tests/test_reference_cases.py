@@ -131,3 +131,15 @@ def test_sampler_reset_all_keys(spark):
     assert got[60] == (1, True) and got[5] == (5, True)
     counts2 = {r.key: r["count"] for r in SK.sample_counts(s2, "key").collect()}
     assert counts2 == {"error_a": 1, "error_b": 0}
+
+
+def test_write_changes_keeps_each_key_in_one_file(spark, tmp_path):
+    from articleflow.operators.parse import conform
+    from articleflow.sources import changelog as CL
+    arts = conform(spark.createDataFrame([{"id": f"k{i % 7}", "title": str(i)} for i in range(70)]))
+    path = str(tmp_path / "changes")
+    CL.write_changes(CL.to_change_events(arts), path, partitions=4)
+    per_key = (spark.read.parquet(path).withColumn("f", F.input_file_name())
+                    .groupBy("key").agg(F.countDistinct("f").alias("files"), F.count(F.lit(1)).alias("n")))
+    rows = per_key.collect()
+    assert len(rows) == 7 and all(r.files == 1 and r.n == 10 for r in rows)
