@@ -120,3 +120,26 @@ def test_no_valid_source_is_an_error_when_required(spark, tmp_path):
     assert valid.count() == 0 and rejected.count() == 1
     with pytest.raises(ValueError):
         RG.load_sources(spark, str(f), require=True)
+
+
+def test_plan_pages_cap_and_offset(spark):
+    src = spark.createDataFrame([("s", "http://x/feed?a=1", ("offset", "", "", 100))],
+                                "name string, url string, pagination struct<type:string, page_param:string, "
+                                "limit_param:string, default_limit:bigint>")
+    plan = RG.plan_pages(src, 5000)
+    assert plan.count() == 1000                                  # hard cap of a run
+    last = plan.orderBy(plan.page_no.desc()).first()
+    assert last.request_url == "http://x/feed?a=1&page=99900&pageSize=100"
+
+
+def test_age_tier_boundaries(spark):
+    import datetime as dt
+    from articleflow.operators import retention as RT
+    now = dt.datetime(2024, 6, 1)
+    ages = {"hot": dt.timedelta(days=7) - dt.timedelta(microseconds=1), "warm": dt.timedelta(days=7),
+            "cold": dt.timedelta(days=30), "delete": dt.timedelta(days=90)}
+    df = spark.createDataFrame([(k, now - v) for k, v in ages.items()], "want string, ts timestamp")
+    got = {r.want: r.tier for r in RT.age_tier(df, "ts", "2024-06-01 00:00:00").collect()}
+    assert got == {k: k for k in ages}
+    kept = [r.want for r in RT.expire(df, "ts", "2024-06-01 00:00:00", 15).collect()]
+    assert sorted(kept) == ["hot", "warm"]
