@@ -81,3 +81,27 @@ def test_change_point_intervals_equal_dense_grid(spark):
         cols = [*keys, "start_us", "end_us", "fire_us"]
         a, b = sorted(map(tuple, dense.select(*cols).collect())), sorted(map(tuple, sparse.select(*cols).collect()))
         assert a == b and len(a) > 0, (op, len(a), len(b))
+
+
+def test_histogram_then_quantile_exact(spark):
+    from articleflow.operators import metrics as M
+    df = spark.createDataFrame([("a", float(v)) for v in (0.5, 1.5, 1.5, 3.0, 9.0)], "k string, v double")
+    h = M.histogram(df, "v", (1, 2, 4), ["k"])
+    cum = {r.le: r.cumulative_count for r in h.collect()}
+    assert cum == {"1": 1, "2": 3, "4": 4, "+Inf": 5}
+    q = {r.q: r.value for r in SR.histogram_quantile(h, 0.5, ["k"]).unionByName(
+        SR.histogram_quantile(h, 0.9, ["k"])).collect()}
+    assert abs(q[0.5] - (1 + (2.5 - 1) / 2 * 1)) < 1e-9     # rank 2.5 inside (1, 2]: 1.75
+    assert q[0.9] == 4.0                                      # rank 4.5 falls in +Inf: largest finite bound
+
+
+def test_firing_now_and_latest_value(spark):
+    ev = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, True), ("b", 1, True), ("b", 2, False),
+                                ("b", 3, False)], "source string, eval_us long, c boolean")
+    iv = SR.alert_intervals(ev, ["source"], F.col("c"), 0)
+    assert [r.source for r in SR.firing_now(iv, ev, ["source"]).collect()] == ["a"]
+    rows = [("g", "a", "", 0, 1), ("g", "a", "", 100, 2), ("g", "a", "", 5000, 3)]
+    v = SR.latest_value(_samples(spark, rows), ["metric", "source"], T0 + dt.timedelta(seconds=200), lookback_s=300)
+    assert v.first().value == 2.0
+    v2 = SR.latest_value(_samples(spark, rows), ["metric", "source"], T0 + dt.timedelta(seconds=4000), lookback_s=300)
+    assert v2.count() == 0                                  # stale: no sample in the lookback window
