@@ -15,6 +15,9 @@ from articleflow.session import checkpoint_root, scratch_path, ship_package
 # small: its memory is this many texts, whatever the table's size.
 ARROW_ROWS = 512
 
+NARROW_ROWS = 16_384
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # Proven size bound of a broadcast side, in bytes of its fixed-width rows.
 BROADCAST_BYTES = 32 << 20
 
@@ -23,17 +26,25 @@ def ready(spark: SparkSession) -> SparkSession:
     """Shared folder known, package on the Python workers, small Arrow batches."""
     checkpoint_root(spark)
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set(_BATCH, str(ARROW_ROWS))
+    # a phase's shuffle files go when its table is written
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, arrow_rows: int = ARROW_ROWS) -> DataFrame:
     """``df`` as a Parquet table in the shared folder of
     ``spark.checkpoint.dir``: cuts the lineage, survives lost executors, and
-    its file size tells Catalyst how large a join side really is."""
+    its file size tells Catalyst how large a join side really is.
+    ``arrow_rows``: rows of an Arrow batch meanwhile (more for narrow rows)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from articleflow.llm import (
     secrets,
     sentencepiece_codec,
     simhash,
+    suffix_dedup,
     token_count,
 )
 
@@ -53,9 +54,13 @@ def op8_token_count(spark, sf_dir):
     return token_count.token_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark, sf_dir):
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_chat_format, op4_decontaminate, op5_simhash,
-                                   op6_secrets, op7_quality, op8_token_count, op10_licenses)}
+                                   op6_secrets, op7_quality, op8_token_count, op9_suffix_dedup, op10_licenses)}
