@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from articleflow import schema as S
 from articleflow.functions import content_hash
-from articleflow.operators.joins import checked_broadcast
 from articleflow.operators.skew import chunked_lag
 
 NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
@@ -55,19 +54,16 @@ def with_content_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("content_hash", content_hash())
 
 
-def lookup_hashes(store: DataFrame, ids: DataFrame, ids_bound: int | None = None) -> DataFrame:
+def lookup_hashes(store: DataFrame, ids: DataFrame) -> DataFrame:
     """``(id, content_hash)`` of the stored articles among ``ids``.
 
     Only two columns are read from the store (pruned at the scan); absent ids
     are simply missing; a stored row without a hash reads as ''.  The id list
     is a de-duplicated batch: AQE broadcasts it when its measured size is
     under the broadcast threshold (the store is then filtered in place,
-    never shuffled), else the join stays a shuffle join.  Pass ``ids_bound``
-    to force an explicit row-count check first (costs one bounded action).
+    never shuffled), else the join stays a shuffle join.
     """
     keys = ids.select("id").distinct()
-    if ids_bound is not None:
-        keys = checked_broadcast(keys, ids_bound)
     return (store.select("id", F.coalesce("content_hash", F.lit("")).alias("content_hash"))
                  .join(keys, "id", "left_semi"))
 

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven small: at most this many rows.
-DEFAULT_BROADCAST_ROWS = 200_000
-
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking it holds at most ``max_rows``.
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``on`` columns, NULL equal to NULL; keeps left's keys.
 
-    The check is a bounded action (``limit(max_rows + 1).count()``), so it
-    never reads more than ``max_rows + 1`` rows.  Beyond the bound the frame is
-    returned unhinted and the planner (with AQE's runtime size statistics)
-    chooses a shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    ``<=>`` is a hashable join key, so this is an ordinary equi join (AQE
+    picks broadcast or shuffle from measured sizes and splits skew)."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def fence(df: DataFrame, *cols: str) -> DataFrame:

@@ -262,12 +262,11 @@ def split_bad_pages(raw: DataFrame, parser: str | Column = "parser", names=None)
 def parse_pages(raw: DataFrame, sources: DataFrame, dedup: bool = False) -> DataFrame:
     """Dispatch each page to the parser its feed names in the registry.
 
-    ``sources`` is the validated registry (A1); it is a small dimension
-    table, joined by a size-checked broadcast.
+    ``sources`` is the validated registry (A1); AQE broadcasts it by its
+    measured size.
     """
-    from articleflow.operators.joins import checked_broadcast
     reg = sources.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
-    joined = raw.join(checked_broadcast(reg), "feed", "inner")
+    joined = raw.join(reg, "feed", "inner")
     return explode_articles(decode_pages(joined, "parser"), dedup=dedup)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from articleflow.functions import anchored_match, epoch_us
+from articleflow.operators.joins import join_null_safe
 from articleflow.operators.skew import chunked_lag, chunked_running
 
 US = 1_000_000
@@ -36,12 +37,13 @@ def counter_deltas(samples: DataFrame, series: Sequence[str], chunk_us: int = DA
     """Add ``ts_us`` and ``delta`` per sample (reset-aware, first = 0).
 
     The previous sample is found with a lag split by time chunk, so a series
-    holding most samples is still spread over many tasks.
+    holding most samples is still spread over many tasks.  Samples of equal
+    time are taken in order of value, so a tie is never read as a reset.
     """
     df = (samples.withColumn("ts_us", epoch_us("ts"))
                  .withColumn("_chunk", F.floor(F.col("ts_us") / F.lit(chunk_us)).cast("long"))
                  .withColumn("_v", F.col("value").cast("double")))
-    df = chunked_lag(df, list(series), ["ts_us"], "_chunk", "_v", "_prev")
+    df = chunked_lag(df, list(series), ["ts_us", "_v"], "_chunk", "_v", "_prev")
     delta = (F.when(F.col("_prev").isNull(), F.lit(0.0))
               .when(F.col("_v") >= F.col("_prev"), F.col("_v") - F.col("_prev"))
               .otherwise(F.col("_v")))
@@ -81,7 +83,7 @@ def latest_value(samples: DataFrame, series: Sequence[str], at, lookback_s: int
     df = samples.filter(F.col("ts").cast("timestamp") <= at_c)
     if lookback_s is not None:
         df = df.filter(F.col("ts").cast("timestamp") >= at_c - F.expr(f"INTERVAL {int(lookback_s)} SECONDS"))
-    return df.groupBy(*series).agg(F.max_by("value", F.struct(epoch_us("ts"))).alias("value"),
+    return df.groupBy(*series).agg(F.max_by("value", F.struct(epoch_us("ts"), "value")).alias("value"),
                                    F.max(epoch_us("ts")).alias("ts_us"))
 
 
@@ -131,10 +133,23 @@ def dense_buckets(span: DataFrame, series: Sequence[str], lo: str, hi: str,
     return ch.select(*series, F.explode(F.sequence(first, last)).alias("bucket"))
 
 
+def last_bucket(samples: DataFrame, step_us: int, end_us: int | None, more: int = 0) -> Column:
+    """Last step bucket to evaluate: the one ending at ``end_us``, or ``more``
+    after the one that holds the latest sample of any series."""
+    if end_us is not None:
+        return F.lit(end_us // step_us - 1).cast("long")
+    latest = samples.select(F.max(epoch_us("ts"))).scalar()
+    return (F.floor(latest / F.lit(step_us)) + F.lit(more)).cast("long")
+
+
 def evaluation_grid(samples: DataFrame, series: Sequence[str], step_s: int, window_s: int,
-                    chunk_us: int = DAY_US) -> DataFrame:
+                    chunk_us: int = DAY_US, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
     """Evaluate ``increase``/``rate`` of every series on a fixed grid.
 
+    Every series is evaluated up to ``end_us`` (default: until the latest
+    sample of all series has left the window), so one that fell silent counts
+    as zero there; from its own first sample, or ``start_us`` if later.
+
     The evaluation at ``eval_us = (b + 1) * step`` covers samples with ts in
     ``[eval - window, eval)`` (window a multiple of step).  Deltas are summed
     per step bucket (one aggregation), the grid is made dense per series so
@@ -151,13 +166,15 @@ def evaluation_grid(samples: DataFrame, series: Sequence[str], step_s: int, wind
     d = counter_deltas(samples, series, chunk_us).withColumn(
         "bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long"))
     sums = d.groupBy(*series, "bucket").agg(F.sum("delta").alias("_d"))
-    span = sums.groupBy(*series).agg(F.min("bucket").alias("_lo"), (F.max("bucket") + F.lit(k - 1)).alias("_hi"))
+    span = (sums.groupBy(*series).agg(F.min("bucket").alias("_lo"))
+                .withColumn("_hi", last_bucket(samples, step_us, end_us, k - 1)).where("_lo <= _hi"))
     grid = dense_buckets(span, series, "_lo", "_hi", chunk_buckets)
-    dense = grid.join(sums, [*series, "bucket"], "left").fillna(0.0, subset=["_d"])
+    dense = join_null_safe(grid, sums, [*series, "bucket"], "left").fillna(0.0, subset=["_d"])
     out = range_sum(dense, series, "bucket", "_d", k - 1, "increase", chunk_buckets)
-    return (out.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
-               .withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
-               .drop("_d", "bucket"))
+    out = (out.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
+              .withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
+              .drop("_d", "bucket"))
+    return out if start_us is None else out.where(F.col("eval_us") >= start_us)
 
 
 def alert_intervals(evaluations: DataFrame, series: Sequence[str], condition: Column,
@@ -172,15 +189,15 @@ def alert_intervals(evaluations: DataFrame, series: Sequence[str], condition: Co
     e = (chunked_running(e, list(series), [ts_us], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
          .filter("_c").drop("_chunk"))
     runs = e.groupBy(*series, "_run").agg(F.min(ts_us).alias("start_us"), F.max(ts_us).alias("end_us"))
-    fire = (e.join(runs, [*series, "_run"])
+    fire = (join_null_safe(e, runs, [*series, "_run"])
              .filter(F.col(ts_us) - F.col("start_us") >= F.lit(hold_s * US))
              .groupBy(*series, "_run").agg(F.min(ts_us).alias("fire_us")))
-    return runs.join(fire, [*series, "_run"], "left").drop("_run")
+    return join_null_safe(runs, fire, [*series, "_run"], "left").drop("_run")
 
 
 def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int, window_s: int,
                          op: str, threshold: float, hold_s: int, measure: str = "rate",
-                         chunk_us: int = DAY_US) -> DataFrame:
+                         chunk_us: int = DAY_US, end_us: int | None = None) -> DataFrame:
     """E6 for counter rules without materialising the grid.
 
     Same result as ``alert_intervals(evaluation_grid(...), ...)`` (same
@@ -198,11 +215,10 @@ def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int,
     d = counter_deltas(samples, series, chunk_us).withColumn(
         "bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long"))
     sums = d.groupBy(*series, "bucket").agg(F.sum("delta").alias("_d"))
-    last_b = sums.groupBy(*series).agg((F.max("bucket") + F.lit(k - 1)).alias("_end"))
+    end_b = last_bucket(samples, step_us, end_us, k - 1)
     points = (sums.select(*series, "bucket")
                   .unionByName(sums.select(*series, (F.col("bucket") + F.lit(k)).alias("bucket")))
-                  .join(last_b, list(series)).filter(F.col("bucket") <= F.col("_end"))
-                  .select(*series, "bucket").distinct())
+                  .filter(F.col("bucket") <= end_b).distinct())
     both = (points.withColumn("_d", F.lit(0.0)).withColumn("_pt", F.lit(True))
                   .unionByName(sums.withColumn("_pt", F.lit(False))))
     val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b).filter("_pt")
@@ -211,8 +227,7 @@ def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int,
     val = (val.withColumn("_neg", -F.col("bucket"))
               .withColumn("_negc", -F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
     val = chunked_lag(val, list(series), ["_neg"], "_negc", "bucket", "_next")
-    seg = (val.join(last_b, list(series))
-              .withColumn("_seg_end", F.coalesce(F.col("_next") - 1, F.col("_end")))
+    seg = (val.withColumn("_seg_end", F.coalesce(F.col("_next") - 1, end_b))
               .withColumn("_c", F.coalesce(compare(F.col(measure), op, threshold), F.lit(False)))
               .withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
     seg = chunked_running(seg, list(series), ["bucket"], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
@@ -230,7 +245,7 @@ def firing_now(intervals: DataFrame, evaluations: DataFrame, series: Sequence[st
                ts_us: str = "eval_us") -> DataFrame:
     """Alerts firing at the last evaluation of their series."""
     last = evaluations.groupBy(*series).agg(F.max(ts_us).alias("end_us"))
-    return intervals.filter(F.col("fire_us").isNotNull()).join(last, [*series, "end_us"], "left_semi")
+    return join_null_safe(intervals.filter(F.col("fire_us").isNotNull()), last, [*series, "end_us"], "left_semi")
 
 
 @dataclass(frozen=True)
@@ -245,35 +260,43 @@ class AlertRule:
     hold_s: int
 
 
-# The six alert rules of the reference deployment (metric,
-# matcher, expression, comparison, threshold, hold); evaluated every 30 s.
+# Five of the deployment's six alert rules (metric, matcher,
+# expression, comparison, threshold, hold); evaluated every 30 s.  The sixth
+# (:func:`service_down`) matches the name of the deployed service's job.
 # Breaker "open" is state 2 here (the metric's own coding).
 ALERT_EVERY_S = 30
 ALERT_PRESETS = {
     "HighErrorRate": AlertRule("HighErrorRate", "articles_ingested_total", {"status": "~error.*"}, "rate", 300, ">", 0.16, 120),
     "NoArticlesProcessed": AlertRule("NoArticlesProcessed", "articles_ingested_total", {}, "rate", 300, "==", 0.0, 300),
-    "BrokerConnectionDown": AlertRule("BrokerConnectionDown", "up", {"job": "broker"}, "value", 0, "==", 0.0, 60),
+    "KafkaConnectionDown": AlertRule("KafkaConnectionDown", "up", {"job": "kafka"}, "value", 0, "==", 0.0, 60),
     "CircuitBreakerOpen": AlertRule("CircuitBreakerOpen", "circuit_breaker_state", {}, "value", 0, "==", 2.0, 120),
     "SlowProviderFetch": AlertRule("SlowProviderFetch", "provider_fetch_duration_seconds", {}, "p95", 300, ">", 10.0, 300),
-    "ServiceDown": AlertRule("ServiceDown", "up", {"job": "crawler"}, "value", 0, "==", 0.0, 60),
 }
 
 
+def service_down(job: str) -> AlertRule:
+    """The sixth rule; ``job`` is the label of the watched service."""
+    return AlertRule("ServiceDown", "up", {"job": job}, "value", 0, "==", 0.0, 60)
+
+
 def compare(c: Column, op: str, threshold: float) -> Column:
     return {">": c > threshold, "<": c < threshold, "==": c == threshold, ">=": c >= threshold}[op]
 
 
-def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int, chunk_us: int = DAY_US) -> DataFrame:
+def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int, chunk_us: int = DAY_US,
+               end_us: int | None = None) -> DataFrame:
     """Instant gauge value on the step grid: the last sample at or before each
-    evaluation (carried forward over empty steps, across time chunks)."""
+    evaluation (carried forward over empty steps, across time chunks), up to
+    ``end_us`` or the latest sample of all series."""
     step_us = step_s * US
     b = (samples.withColumn("ts_us", epoch_us("ts"))
                 .withColumn("bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long")))
-    last = b.groupBy(*series, "bucket").agg(F.max_by("value", "ts_us").alias("_v"))
-    span = last.groupBy(*series).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
+    last = b.groupBy(*series, "bucket").agg(F.max_by("value", F.struct("ts_us", "value")).alias("_v"))
+    span = (last.groupBy(*series).agg(F.min("bucket").alias("_lo"))
+                .withColumn("_hi", last_bucket(samples, step_us, end_us)).where("_lo <= _hi"))
     chunk_buckets = max(1, chunk_us // step_us)
     grid = dense_buckets(span, series, "_lo", "_hi", chunk_buckets)
-    g = (grid.join(last, [*series, "bucket"], "left")
+    g = (join_null_safe(grid, last, [*series, "bucket"], "left")
              .withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_buckets)).cast("long")))
     g = chunked_running(g, list(series), ["bucket"], "_chunk", {"value": ("last", F.col("_v"))})
     return (g.withColumn("eval_us", (F.col("bucket") + 1) * F.lit(step_us))
@@ -281,20 +304,22 @@ def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int, chunk_us:
 
 
 def evaluate_rule(samples: DataFrame, rule: AlertRule, series: Sequence[str],
-                  step_s: int = ALERT_EVERY_S) -> DataFrame:
-    """Alert intervals of one rule on its evaluation grid (E7 -> E6).
+                  step_s: int = ALERT_EVERY_S, end_us: int | None = None) -> DataFrame:
+    """Alert intervals of one rule on its evaluation grid (E7 -> E6), up to
+    ``end_us``.
 
     ``rate`` rules use the counter grid, ``value`` rules the gauge grid and
     ``p95`` rules the bucket-rate grid (label ``le``) reduced by D8.
     """
     s = select_series(samples, rule.metric, **rule.matchers)
     if rule.expr == "rate":  # change points only, no dense grid
-        return rate_alert_intervals(s, series, step_s, rule.window_s, rule.op, rule.threshold, rule.hold_s)
+        return rate_alert_intervals(s, series, step_s, rule.window_s, rule.op, rule.threshold, rule.hold_s,
+                                    end_us=end_us)
     if rule.expr == "value":
-        grid = gauge_grid(s, series, step_s)
+        grid = gauge_grid(s, series, step_s, end_us=end_us)
         measure = F.col("value")
     else:
-        rates = evaluation_grid(s, [*series, "le"], step_s, rule.window_s)
+        rates = evaluation_grid(s, [*series, "le"], step_s, rule.window_s, end_us=end_us)
         hist = (rates.withColumn("le_value", F.when(F.col("le") == "+Inf", F.lit(float("inf")))
                                               .otherwise(F.col("le").cast("double")))
                      .withColumn("cumulative_count", F.col("rate")))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from articleflow.operators.joins import join_null_safe
+
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -29,7 +31,7 @@ def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: str,
               .agg(F.max_by(F.col(value), F.struct(*_cols(order))).alias("_last")))
     carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(chunk)))
                  .drop("_last"))
-    return (local.join(carry, [*keys, chunk], "left")
+    return (join_null_safe(local, carry, [*keys, chunk], "left")
                  .withColumn(out, F.when(F.col("_is_first"), F.col("_carry")).otherwise(F.col(out)))
                  .drop("_is_first", "_carry"))
 
@@ -69,7 +71,7 @@ def chunked_running(df: DataFrame, keys: list[str], order: list[str], chunk: str
     for name, (kind, _) in specs.items():
         tot = tot.withColumn(f"_c_{name}", _AGG[carry_kind.get(kind, kind)](f"_t_{name}").over(wc))
     tot = tot.select(*keys, chunk, *[f"_c_{n}" for n in specs])
-    res = local.join(tot, [*keys, chunk], "left")
+    res = join_null_safe(local, tot, [*keys, chunk], "left")
     for name, (kind, _) in specs.items():
         res = res.withColumn(name, _COMBINE[kind](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
     return res.drop(*[f"_l_{n}" for n in specs], *[f"_c_{n}" for n in specs])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow import schema as S
+from articleflow.session import read_if_written
 
 
 def upsert_articles(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -43,8 +44,10 @@ def last_published(store: DataFrame, source: str | None = None, by: str = "sourc
 
 def row_hash(exclude: tuple[str, ...] = ("fetched_at",)):
     """64-bit hash of every article field except ``exclude`` (a version is
-    written only when this changes)."""
-    return F.xxhash64(*[F.col(c) for c in S.ARTICLE_COLS if c not in exclude])
+    written only when this changes).  Whether a field is NULL is hashed too:
+    the hash function itself skips NULLs, so a value moving from one column
+    to the next, or NULL becoming empty, would go unseen."""
+    return F.xxhash64(*[x for c in S.ARTICLE_COLS if c not in exclude for x in (F.col(c).isNull(), F.col(c))])
 
 
 class ArticleStore:
@@ -99,10 +102,7 @@ class ArticleStore:
         return self.current(before_batch=self.committed() + 1, columns=columns)
 
     def _read(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except Exception:  # nothing written yet
-            return None
+        return read_if_written(self.spark, path)
 
     def current(self, before_batch: int | None = None, columns: list[str] | None = None) -> DataFrame:
         """Current state: last version per id (optionally only batches < N),

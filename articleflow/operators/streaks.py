@@ -40,9 +40,6 @@ def failure_streaks(df: DataFrame, keys: list[str], order: list[str], failed: st
               .drop("_failed", "_cum_fail", "_at_ok"))
 
 
-MAX_RESET_ALL = 100_000
-
-
 def sample_nth(df: DataFrame, key: str, order: list[str], n: int = DEFAULT_SAMPLE_EVERY,
                reset: str | None = None, chunk: str | None = None,
                reset_all: str | None = None) -> DataFrame:
@@ -51,21 +48,16 @@ def sample_nth(df: DataFrame, key: str, order: list[str], n: int = DEFAULT_SAMPL
 
     Rows with ``reset`` true are control rows: they restart their key's count
     and are not occurrences themselves (``occurrence`` NULL, ``emit`` false).
-    Rows with ``reset_all`` true restart every key: their order values are
-    collected once (at most ``MAX_RESET_ALL``, checked) into a scalar
-    subquery, and each row counts those at or before it (``epoch_all``).
+    Rows with ``reset_all`` true restart every key: ``epoch_all`` is their
+    running count over all rows, split by ``chunk`` (fine enough that a chunk
+    of all keys fits a task).
     """
     n = n if n >= 1 else DEFAULT_SAMPLE_EVERY
     is_reset = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
     groups = [key, "epoch"]
     if reset_all:
         is_all = F.coalesce(F.col(reset_all), F.lit(False))
-        if df.filter(is_all).limit(MAX_RESET_ALL + 1).count() > MAX_RESET_ALL:
-            raise ValueError(f"more than {MAX_RESET_ALL} reset-all rows")
-        points = df.filter(is_all).select(F.sort_array(F.collect_list(F.struct(*order)))).scalar()
-        df = (df.withColumn("_all", points)
-                .withColumn("epoch_all", F.size(F.filter("_all", lambda v: v <= F.struct(*order))).cast("long"))
-                .drop("_all"))
+        df = _running(df, [], order, chunk, {"epoch_all": ("sum", is_all.cast("long"))})
         is_reset = is_reset | is_all
         groups.append("epoch_all")
     df = df.withColumn("_reset", is_reset)

@@ -29,7 +29,7 @@ from articleflow.sources import logs as LG
 from articleflow.sources import pages as PG
 from articleflow.sources import registry as RG
 from articleflow.streaming import ingest as IN
-from articleflow.streaming import stateful as STF
+from articleflow.streaming import sampler as SM
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,7 +238,8 @@ def q_a1(spark, sf_dir):
 @query("a2_plan_pages")
 def q_a2(spark, sf_dir):
     src = FX.source_entries(spark, sf_dir).withColumn("name", F.concat(F.lit("p"), F.col("page_id").cast("string")))
-    return RG.plan_pages(src.select("name", "url", "pagination"), 3).select("name", "page_no", "request_url")
+    src = src.select("name", "url", "pagination", (F.col("page_id") % 7).alias("n_pages"))
+    return RG.plan_pages(src, F.col("n_pages")).select("name", "page_no", "request_url")
 
 
 @query("a3_scan_raw_pages")
@@ -269,24 +270,39 @@ def q_a10(spark, sf_dir):
 
 
 # ----------------------------------------------------- streaks & sampling
+def by_hour(ev: DataFrame) -> DataFrame:
+    """``events`` plus ``hour``, the chunk of the skew-split windows: a key's
+    rows of an hour are one window partition."""
+    return ev.withColumn("hour", F.floor(epoch_us("ts") / F.lit(3_600_000_000)).cast("long"))
+
+
 @query("e2_sample_nth")
 def q_e2(spark, sf_dir):
-    ev = FX.events_with_day(spark, sf_dir).withColumn("reset", F.col("value") < 0.5)
-    s = SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset="reset", chunk="day")
+    ev = by_hour(FX.table(spark, sf_dir, "events")).withColumn("reset", F.col("value") < 0.5)
+    s = SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset="reset", chunk="hour")
     return s.select("event_id", "event_type", "epoch", "occurrence", "emit")
 
 
 @query("e2_sample_counts")
 def q_e2_counts(spark, sf_dir):
-    ev = FX.events_with_day(spark, sf_dir).withColumn("reset", F.col("value") < 0.5)
-    return SK.sample_counts(SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset="reset", chunk="day"),
+    ev = by_hour(FX.table(spark, sf_dir, "events")).withColumn("reset", F.col("value") < 0.5)
+    return SK.sample_counts(SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset="reset", chunk="hour"),
                             "event_type")
 
 
+@query("e2_reset_all")
+def q_e2_all(spark, sf_dir):
+    """Purchases above 400 restart every key."""
+    ev = by_hour(FX.table(spark, sf_dir, "events")).withColumn(
+        "all", (F.col("event_type") == "purchase") & (F.col("value") > 400))
+    s = SK.sample_nth(ev, "event_type", ["ts", "event_id"], 10, reset_all="all", chunk="hour")
+    return s.select("event_id", "event_type", "epoch_all", "occurrence", "emit")
+
+
 @query("e3_failure_streaks")
 def q_e3(spark, sf_dir):
-    ev = FX.events_with_day(spark, sf_dir)
-    s = SK.failure_streaks(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 3, chunk="day")
+    ev = by_hour(FX.table(spark, sf_dir, "events"))
+    s = SK.failure_streaks(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 3, chunk="hour")
     return s.select("event_id", "user_id", "streak", "tripped")
 
 
@@ -383,6 +399,15 @@ def error_grid(spark, sf_dir):
     return SR.evaluation_grid(s, SERIES, 3600, 10800)
 
 
+@query("e4_null_labels")
+def q_e4_null(spark, sf_dir):
+    """The status label is absent on successes, and each sample comes twice
+    (equal times)."""
+    s = FX.counter_samples(spark, sf_dir).withColumn("status", F.when(F.col("status") != "success", F.col("status")))
+    inc = SR.counter_increase(s.unionByName(s.withColumn("value", F.col("value") + 0.5)), SERIES, 3600)
+    return inc.groupBy("source", "status").agg(F.round(F.sum("delta"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
 @query("e7_evaluation_grid")
 def q_e7(spark, sf_dir):
     return error_grid(spark, sf_dir).select("source", "status", "eval_us", r6("increase"), r6("rate"))
@@ -416,35 +441,33 @@ def q_i1_expire(spark, sf_dir):
 # ------------------------------------------------------ streaming (A4, H1-H4)
 
 
-def _land_two_crawls(spark, sf_dir) -> tuple[str, DataFrame]:
-    """Land crawl 0 then crawl 1 of the document feed (one file each, in
-    order) plus the chat feed with crawl 1; return the landing path."""
-    landing = scratch_path(spark, "landing")
-    raw0 = FX.document_pages(spark, sf_dir, 0)
-    raw1 = FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))
-    IN.land_raw_pages(raw0.coalesce(1), landing)
-    IN.land_raw_pages(raw1.coalesce(1), landing)
-    return landing, FX.registry_from_documents(spark, sf_dir)
+def _crawls(spark, sf_dir) -> list[DataFrame]:
+    """Raw pages of two crawls of the document feeds, the chat feed with the
+    second; each is landed and drained before the next."""
+    return [FX.document_pages(spark, sf_dir, 0),
+            FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))]
 
 
 def _ingest(spark, sf_dir, metrics: str | None = None) -> str:
-    landing, registry = _land_two_crawls(spark, sf_dir)
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "ckpt-ingest")
+    registry = FX.registry_from_documents(spark, sf_dir)
     store = ST.ArticleStore(spark, scratch_path(spark, "store"))
     changes = scratch_path(spark, "changes")
-    q = IN.run_ingest(IN.stream_raw_pages(spark, landing, max_files_per_trigger=1), registry, store, changes,
-                      checkpoint=scratch_path(spark, "ckpt-ingest"), available_now=True, metrics_path=metrics)
-    q.awaitTermination()
+    for raw in _crawls(spark, sf_dir):
+        IN.land_raw_pages(raw, landing)
+        IN.run_ingest(IN.stream_raw_pages(spark, landing), registry, store, changes, checkpoint=checkpoint,
+                      available_now=True, metrics_path=metrics).awaitTermination()
     return changes
 
 
 @query("a4_stream_raw_pages")
 def q_a4(spark, sf_dir):
-    landing, _ = _land_two_crawls(spark, sf_dir)
-    out = scratch_path(spark, "a4-out")
-    q = (IN.stream_raw_pages(spark, landing, 1).select(*S.PAGE_KEY)
-           .writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "ckpt-a4"))
-           .trigger(availableNow=True).start(out))
-    q.awaitTermination()
+    landing, out, checkpoint = (scratch_path(spark, x) for x in ("landing", "a4-out", "ckpt-a4"))
+    for raw in _crawls(spark, sf_dir):
+        IN.land_raw_pages(raw, landing)
+        (IN.stream_raw_pages(spark, landing).select(*S.PAGE_KEY)
+           .writeStream.format("parquet").option("checkpointLocation", checkpoint)
+           .trigger(availableNow=True).start(out).awaitTermination())
     return spark.read.parquet(out)
 
 
@@ -474,50 +497,20 @@ def q_h3(spark, sf_dir):
             .unionByName(spark.read.parquet(dead).select("key", F.lit("dead_letter").alias("route"))))
 
 
-def _land_weekly(spark, df: DataFrame, name: str) -> str:
-    """Land rows in four weekly files, oldest first (one micro-batch each)."""
-    path = scratch_path(spark, name)
-    week = ((F.dayofmonth(F.col("ts").cast("timestamp")) - 1) / 7).cast("int")
-    for w in range(5):
-        df.filter(week == w).drop("ts").coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _run_stateful(spark, path: str, schema, transform, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STF.ROCKSDB)
-    out = scratch_path(spark, name)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = (transform(stream).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
-         .trigger(availableNow=True).start(out))
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def breaker_requests(spark, sf_dir) -> DataFrame:
-    """``events`` as page requests per feed (user): errors are failures."""
-    ev = FX.table(spark, sf_dir, "events")
-    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("feed"),
-                     epoch_us("ts").alias("ts_us"), (F.col("event_type") != "error").alias("ok"), "ts")
-
-
-@query("h2_breaker_states")
-def q_h2(spark, sf_dir):
-    path = _land_weekly(spark, breaker_requests(spark, sf_dir), "requests")
-    return _run_stateful(spark, path, "feed string, ts_us long, ok boolean", STF.breaker_states, "breaker")
-
-
-@query("h2_breaker_states_batch")
-def q_h2_batch(spark, sf_dir):
-    return STF.breaker_states_batch(breaker_requests(spark, sf_dir).drop("ts"), chunk_us=7 * 86_400 * 1_000_000)
-
-
 @query("h4_sample_nth_stream")
 def q_h4(spark, sf_dir):
-    ev = FX.table(spark, sf_dir, "events").select(
+    """``events`` land week by week, oldest first, each drained on landing;
+    rows without a time come before all others."""
+    ev = by_hour(FX.table(spark, sf_dir, "events")).select(
         F.col("event_type").alias("key"), F.col("event_id").alias("id"), epoch_us("ts").alias("order"),
-        (F.col("value") < 0.5).alias("reset"), "ts")
-    path = _land_weekly(spark, ev, "sample-rows")
-    out = _run_stateful(spark, path, "key string, id long, order long, reset boolean",
-                        lambda s: STF.sample_nth_stream(s, 10), "sampler")
-    return out.select(F.col("id").alias("event_id"), F.col("key").alias("event_type"), "occurrence", "emit")
+        (F.col("value") < 0.5).alias("reset"), F.col("hour").alias("chunk"))
+    first, last = ev.select(F.min("chunk"), F.max("chunk")).first()
+    landing, out, counts, checkpoint = (scratch_path(spark, x) for x in ("sample-rows", "sampler", "counts", "ckpt-h4"))
+    week = 7 * 24
+    for lo in range(first or 0, (last or 0) + 1, week):
+        at = F.coalesce("chunk", F.lit(first or 0))
+        ev.where((at >= lo) & (at < lo + week)).write.mode("append").parquet(landing)
+        SM.sample_nth_stream(spark.readStream.schema(ev.schema).parquet(landing), out, counts, checkpoint, 10,
+                             available_now=True).awaitTermination()
+    return spark.read.parquet(out).select(F.col("id").alias("event_id"), F.col("key").alias("event_type"),
+                                          "occurrence", "emit")

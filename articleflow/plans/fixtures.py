@@ -158,11 +158,13 @@ def articles_from_documents(spark: SparkSession, sf_dir: str, run: int = 0) -> D
 def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article store before the crawl: documents with ``doc_id % 3 <> 0``
     (so a third of the crawl is new); of those, ``doc_id % 3 = 1`` hold an
-    outdated hash (changed), the rest the current one (unchanged)."""
+    outdated hash (changed), the rest the current one (unchanged).  Articles
+    that no crawl has any more (ids ending in ``_gone``) are stored too."""
     a = articles_from_documents(spark, sf_dir, 0).filter(F.col("ord") < 10**12)
     doc_id = F.col("external_id").cast("long")
-    return (a.filter(doc_id % 3 != 0)
-             .withColumn("content_hash", F.when(doc_id % 3 == 1, F.lit("old")).otherwise(content_hash()))
+    a = a.filter((doc_id % 3 != 0) | (doc_id % 9 == 0))
+    return (a.withColumn("content_hash", F.when(doc_id % 3 == 1, F.lit("old")).otherwise(content_hash()))
+             .withColumn("id", F.when(doc_id % 9 == 0, F.concat("id", F.lit("_gone"))).otherwise(F.col("id")))
              .select(*S.ARTICLE_COLS))
 
 

@@ -66,7 +66,11 @@ stored AS (
          published_us, updated_us, fetched_us,
          CASE WHEN CAST(external_id AS BIGINT) % 3 = 1 THEN 'old'
               ELSE sha256('pulselive' || url || title || summary || body) END AS content_hash
-  FROM arts0 WHERE ord < 1000000000000 AND CAST(external_id AS BIGINT) % 3 <> 0),
+  FROM arts0 WHERE ord < 1000000000000 AND CAST(external_id AS BIGINT) % 3 <> 0
+  UNION ALL
+  SELECT id || '_gone', source, external_id, type, title, description, summary, body, content, url, image_url, tags_text,
+         published_us, updated_us, fetched_us, sha256('pulselive' || url || title || summary || body)
+  FROM arts0 WHERE ord < 1000000000000 AND CAST(external_id AS BIGINT) % 9 = 0),
 classified AS (
   SELECT u.*, CASE WHEN s.content_hash IS NULL THEN 'new'
                    WHEN s.content_hash <> u.content_hash THEN 'changed' ELSE 'unchanged' END AS change
@@ -132,7 +136,7 @@ ORACLE["b7_content_hash"] = with_common("SELECT feed, page_no, id, content_hash
 
 ORACLE["e1_dedup_batch"] = with_common("SELECT feed, run_id, page_no, pos, id, title FROM uniq0")
 
-ORACLE["c1_lookup_hashes"] = with_common("SELECT id, content_hash FROM stored")
+ORACLE["c1_lookup_hashes"] = with_common("SELECT id, content_hash FROM stored WHERE id IN (SELECT id FROM uniq0)")
 
 ORACLE["c2_classify_changes"] = with_common("SELECT feed, page_no, id, content_hash, change FROM classified")
 
@@ -229,7 +233,7 @@ SELECT 'p' || page_id AS name, g.page_no,
                    ELSE g.page_no END
            || '&' || CASE WHEN limit_param = '' THEN 'pageSize' ELSE limit_param END || '='
            || CASE WHEN default_limit > 0 THEN default_limit ELSE 20 END AS request_url
-FROM entries, (SELECT range AS page_no FROM range(3)) g"""
+FROM entries, (SELECT unnest(range(page_id % 7)) AS page_no) g"""
 
 ORACLE["a3_scan_raw_pages"] = with_common("SELECT feed, run_id, page_no, pos, id FROM arts0")
 
@@ -252,7 +256,7 @@ w1 AS (SELECT *, coalesce(last_value(num_pages IGNORE NULLS) OVER (PARTITION BY
        FROM log),
 w2 AS (SELECT *, CAST(cum_fail - coalesce(max(CASE WHEN NOT batch_failed THEN cum_fail END) OVER (
                       PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS streak FROM w1),
-w3 AS (SELECT *, (page_no <> rn - 1) OR page_no >= 1000 OR (known_pages <> -1 AND page_no >= known_pages) AS pre,
+w3 AS (SELECT *, (page_no <> rn - 1) OR (known_pages <> -1 AND page_no >= known_pages) AS pre,
               fetch_error OR n_articles = 0 OR (batch_failed AND streak >= 5) AS post FROM w2),
 w4 AS (SELECT *, NOT bool_or(pre) OVER (PARTITION BY feed, run_id ORDER BY page_no ROWS UNBOUNDED PRECEDING)
                  AND NOT coalesce(bool_or(post) OVER (PARTITION BY feed, run_id ORDER BY page_no
@@ -376,7 +380,7 @@ samples AS (
   FROM events),
 deltas AS (
   SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev ELSE value END AS delta
-  FROM (SELECT *, lag(value) OVER (PARTITION BY metric, source, status ORDER BY ts_us) AS prev FROM samples))"""
+  FROM (SELECT *, lag(value) OVER (PARTITION BY metric, source, status ORDER BY ts_us, value) AS prev FROM samples))"""
 
 _AT_US = "epoch_us(TIMESTAMP '2024-01-20 00:00:00')"
 
@@ -404,7 +408,7 @@ FROM (SELECT 'u' || user_id AS source, arg_max(CAST(floor(value) AS BIGINT) % 3,
 _GRID = f"""WITH {_SAMPLES.strip()},
 b AS (SELECT metric, source, status, CAST(floor(ts_us / 3600000000) AS BIGINT) AS bucket, sum(delta) AS d
       FROM deltas WHERE regexp_full_match(status, 'error.*') GROUP BY ALL),
-span AS (SELECT metric, source, status, min(bucket) AS lo, max(bucket) AS hi FROM b GROUP BY ALL),
+span AS (SELECT metric, source, status, min(bucket) AS lo, (SELECT max(bucket) FROM b) AS hi FROM b GROUP BY ALL),
 grid AS (SELECT metric, source, status, unnest(range(lo, hi + 3)) AS bucket FROM span),
 dense AS (SELECT g.*, coalesce(b.d, 0.0) AS d FROM grid g LEFT JOIN b USING (metric, source, status, bucket)),
 ev AS (SELECT metric, source, status, (bucket + 1) * 3600000000 AS eval_us,
@@ -466,3 +470,19 @@ UNION ALL
 SELECT 'articles_published_total', feed, '',
        CAST(count(*) FILTER (WHERE prev IS NULL OR prev <> content_hash) AS DOUBLE)
 FROM sfeed GROUP BY feed""")
+
+ORACLE["e2_reset_all"] = """
+WITH r AS (SELECT event_id, event_type, ts, coalesce(event_type = 'purchase' AND value > 400, false) AS is_all,
+                  CAST(sum(CASE WHEN event_type = 'purchase' AND value > 400 THEN 1 ELSE 0 END) OVER (
+                      ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch_all FROM events),
+o AS (SELECT *, CASE WHEN NOT is_all THEN CAST(sum(CASE WHEN is_all THEN 0 ELSE 1 END) OVER (
+                      PARTITION BY event_type, epoch_all ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS occurrence
+      FROM r)
+SELECT event_id, event_type, epoch_all, occurrence, coalesce(occurrence = 1 OR occurrence % 10 = 0, false) AS emit FROM o"""
+
+ORACLE["e4_null_labels"] = f"""WITH {_SAMPLES.strip()},
+twice AS (SELECT source, nullif(status, 'success') AS status, ts_us, value FROM samples
+          UNION ALL SELECT source, nullif(status, 'success'), ts_us, value + 0.5 FROM samples),
+d2 AS (SELECT *, lag(value) OVER (PARTITION BY source, status ORDER BY ts_us, value) AS prev FROM twice)
+SELECT source, status, round(sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev ELSE value END), 6) AS total,
+       count(*) AS n FROM d2 GROUP BY source, status"""

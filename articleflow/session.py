@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the library relies on: UTC session time (all parsing
 # and epoch arithmetic assume it), AQE for runtime re-planning (partition
@@ -49,10 +50,8 @@ def configure(spark: SparkSession) -> SparkSession:
     and ship the package to the Python workers of its executors."""
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql.") and not k.startswith("spark.sql.execution.arrow"):
-            try:
+            if spark.conf.isModifiable(k):
                 spark.conf.set(k, v)
-            except Exception:  # static conf on a shared session: leave it
-                pass
     checkpoint_root(spark)
     ship_package(spark)
     return spark
@@ -86,12 +85,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there); only when it is unset -- local tests -- a private folder is made.
+    there).  Only where it is unset and the master is local, as in tests, a
+    private folder is made; on a cluster executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="articleflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -99,6 +101,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, None if nothing was written there yet.
+    Any other failure to read it is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or no file in it
+            return None
+        raise
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     root = checkpoint_root(spark)

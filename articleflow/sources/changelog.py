@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articleflow import schema as S
+from articleflow.session import scratch_path
 
 
 def rfc3339_text(ts) -> Column:
@@ -115,11 +116,16 @@ def route_with(articles: DataFrame, call) -> DataFrame:
     return articles.mapInPandas(run, schema)
 
 
-def sync_and_route(articles: DataFrame, outcome: Column):
-    """``outcome`` (bool column: downstream call succeeded) splits the
-    decoded articles into ``(synced, dead_letters)``; a dead letter is the
-    whole article re-encoded with the same key (A6 encoding)."""
-    marked = route(articles, outcome)
+def sync_and_route(articles: DataFrame, outcome):
+    """``outcome`` (a bool column, or a Python client as in
+    :func:`route_with`: downstream call succeeded) splits the decoded
+    articles into ``(synced, dead_letters)``; a dead letter is the whole
+    article re-encoded with the same key (A6 encoding).  The outcome is
+    written once, so each article is sent once and lands on one side."""
+    marked = route(articles, outcome) if isinstance(outcome, Column) else route_with(articles, outcome)
+    path = scratch_path(articles.sparkSession, "outcome")
+    marked.write.partitionBy("synced").parquet(path)
+    marked = articles.sparkSession.read.schema(marked.schema).parquet(path)
     synced = marked.filter(F.col("synced")).drop("synced")
     failed = marked.filter(~F.col("synced")).drop("synced")
     return synced, to_change_events(failed)

@@ -7,46 +7,41 @@ from pyspark.sql import functions as F
 
 from articleflow import schema as S
 from articleflow.operators.streaks import failure_streaks
-from articleflow.sources.registry import MAX_PAGES
 
 MAX_CONSECUTIVE_BATCH_FAILURES = 5
 
 
 def land_pages(raw: DataFrame, path: str) -> None:
-    """Write raw pages the way a fetcher lands them: one text document per
-    page under ``feed=/run_id=/page_no=`` folders."""
-    (raw.select(*S.PAGE_KEY, "payload")
-        .repartition(*S.PAGE_KEY)
-        .write.mode("append").partitionBy(*S.PAGE_KEY).text(path))
+    """Append raw pages the way a fetcher lands them: a table with ``feed=``
+    and ``run_id=`` folders, many pages to a file.  The rebalance splits a
+    feed that holds most pages."""
+    (raw.select(*S.RAW_PAGES.names).hint("rebalance", "feed", "run_id")
+        .write.mode("append").partitionBy("feed", "run_id").parquet(path))
 
 
 def scan_raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A3: landed pages -> ``raw_pages`` (whole file = one payload).
+    """A3: landed pages -> ``raw_pages``.
 
-    Partition discovery supplies the page coordinates, so a filter on feed,
-    run or page prunes folders before any file is opened.
+    The schema is declared, the folder columns included, so a feed named
+    ``007`` stays text; a filter on feed or run prunes folders before any
+    file is opened.
     """
-    df = spark.read.option("wholetext", "true").text(path)
-    return df.select(F.col("feed").cast("string").alias("feed"),
-                     F.col("run_id").cast("long").alias("run_id"),
-                     F.col("page_no").cast("long").alias("page_no"),
-                     F.lit(None).cast("timestamp").alias("fetched_at"),
-                     F.col("value").alias("payload"))
+    return spark.read.schema(S.RAW_PAGES).parquet(path).select(*S.RAW_PAGES.names)
 
 
-def walk_pages(pages: DataFrame, run_key: list[str] | None = None) -> DataFrame:
+def walk_pages(pages: DataFrame, run_key: list[str] | None = None, max_pages: int | None = None) -> DataFrame:
     """A5: which landed pages the crawl loop reaches, and their outcome.
 
     Input: one row per page of a run with ``page_no``, ``fetch_error``
     (fetch or decode failed), ``num_pages`` (page info, NULL if none),
     ``n_articles`` and ``batch_failed`` (the page handler failed).  The loop
     stops before page p when p >= the last known page count (-1 = unknown),
-    at the hard cap, or at a gap; and after page p on a fetch error, an empty
+    at ``max_pages`` where a crawl sets one (off by default), or at a gap; and after page p on a fetch error, an empty
     page, or the 5th consecutive handler failure.  Adds ``known_pages``,
     ``streak``, ``reached`` and ``outcome``
     (processed / batch_failed / aborted / fetch_error / empty / not_reached).
 
-    Windows are per run (``feed, run_id``): at most the page cap of rows.
+    Windows are per run (``feed, run_id``): one crawl of one feed.
     """
     run_key = run_key or ["feed", "run_id"]
     w = Window.partitionBy(*run_key).orderBy("page_no")
@@ -59,7 +54,8 @@ def walk_pages(pages: DataFrame, run_key: list[str] | None = None) -> DataFrame:
     fetch_error = F.coalesce(F.col("fetch_error"), F.lit(False))
     empty = F.coalesce(F.col("n_articles"), F.lit(0)) == 0
     failed = F.coalesce(F.col("batch_failed"), F.lit(False))
-    pre_block = ((F.col("page_no") != F.col("_rn") - 1) | (F.col("page_no") >= MAX_PAGES)
+    too_far = F.lit(False) if max_pages is None else F.col("page_no") >= max_pages
+    pre_block = ((F.col("page_no") != F.col("_rn") - 1) | too_far
                  | ((F.col("known_pages") != -1) & (F.col("page_no") >= F.col("known_pages"))))
     post_stop = fetch_error | (~fetch_error & empty) | (~fetch_error & ~empty & failed & F.col("tripped"))
     df = (df.withColumn("_pre", pre_block.cast("int"))

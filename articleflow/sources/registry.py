@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,6 @@ from articleflow.functions import str0
 DEFAULT_PAGE_PARAM = "page"
 DEFAULT_LIMIT_PARAM = "pageSize"
 DEFAULT_LIMIT = 20
-MAX_PAGES = 1000
 
 
 def _ok_text(v: Column) -> Column:
@@ -71,7 +71,9 @@ def load_sources(spark: SparkSession, path: str, known_parsers: list[str] | None
     try:
         files = spark.read.text(path, wholetext=True)
         files.schema  # noqa: B018  (resolves the path)
-    except Exception:  # missing file
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         rows = [] if default is None else [(default.get("name", ""), default.get("url", ""),
                                             default.get("transformer", ""), None)]
         files = spark.createDataFrame(
@@ -90,15 +92,16 @@ def _json_str(x: str) -> str:
     return json.dumps(x)
 
 
-def plan_pages(sources: DataFrame, max_pages: int = 3) -> DataFrame:
-    """A2: the request URL of pages ``0 .. max_pages-1`` of every source.
+def plan_pages(sources: DataFrame, max_pages: int | Column = 3) -> DataFrame:
+    """A2: the request URL of pages ``0 .. max_pages-1`` of every source;
+    ``max_pages`` is a number or a column (none below 1).
 
     Separator ``&`` when the URL already holds ``?``, else ``?``; parameter
     names default to page / pageSize and the limit to 20; ``offset`` paging
     sends ``page * limit``, any other type the 0-based page number.  Pages
     are generated per source row with ``explode(sequence)``: no join.
     """
-    n = min(max_pages, MAX_PAGES)
+    n = F.lit(max_pages).cast("long") if isinstance(max_pages, int) else max_pages.cast("long")
     pg = F.col("pagination")
     page_param = F.when(str0(pg["page_param"]) != "", pg["page_param"]).otherwise(F.lit(DEFAULT_PAGE_PARAM))
     limit_param = F.when(str0(pg["limit_param"]) != "", pg["limit_param"]).otherwise(F.lit(DEFAULT_LIMIT_PARAM))
@@ -107,7 +110,7 @@ def plan_pages(sources: DataFrame, max_pages: int = 3) -> DataFrame:
     value = F.when(str0(pg["type"]) == "offset", page * limit).otherwise(page)
     sep = F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?"))
     keep = [c for c in sources.columns if c not in ("pagination",)]
-    return (sources.select(*keep, "pagination", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("page_no"))
+    return (sources.select(*keep, "pagination", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))).alias("page_no"))
                    .select(*keep, "page_no",
                            F.concat(F.col("url"), sep, page_param, F.lit("="), value.cast("string"),
                                     F.lit("&"), limit_param, F.lit("="), limit.cast("string")).alias("request_url")))

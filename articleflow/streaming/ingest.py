@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +20,7 @@ from articleflow import schema as S
 from articleflow.operators import changes as C
 from articleflow.operators import parse as P
 from articleflow.operators.store import ArticleStore
-from articleflow.session import checkpoint_root
+from articleflow.session import checkpoint_root, read_if_written
 from articleflow.sources import changelog as CL
 
 CHANGE_EVENT_COLS = ["key", "value", "feed", "run_id", "page_no"]
@@ -136,10 +136,10 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
 def _last_partition(spark: SparkSession, *paths: str) -> int:
     best = -1
     for p in paths:
-        try:
-            m = spark.read.parquet(p).agg(F.max("batch_id")).first()[0]
-        except Exception:  # nothing written yet
+        rows = read_if_written(spark, p)
+        if rows is None:
             continue
+        m = rows.agg(F.max("batch_id")).first()[0]
         best = max(best, -1 if m is None else int(m))
     return best
 
@@ -154,33 +154,35 @@ def batch_offset(spark: SparkSession, checkpoint: str, store: ArticleStore | Non
     reads it back (a replayed batch keeps its id and overwrites its own
     partitions)."""
     marker = f"{checkpoint.rstrip('/')}-articleflow-offset"
-    try:
-        return int(spark.read.parquet(marker).first()["offset"])
-    except Exception:  # first start of this checkpoint
-        last = store.last_batch() if store is not None else -1
-        offset = max(last, _last_partition(spark, *outputs)) + 1
-        spark.createDataFrame([(offset,)], "offset long").coalesce(1).write.mode("overwrite").parquet(marker)
-        return offset
+    written = read_if_written(spark, marker)
+    if written is not None:
+        return int(written.first()["offset"])
+    last = store.last_batch() if store is not None else -1   # first start of this checkpoint
+    offset = max(last, _last_partition(spark, *outputs)) + 1
+    spark.createDataFrame([(offset,)], "offset long").coalesce(1).write.mode("overwrite").parquet(marker)
+    return offset
 
 
 def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, changes_path: str,
                checkpoint: str | None = None, quarantine_path: str | None = None,
                available_now: bool = False, interval: str = "1 minute",
-               metrics_path: str | None = None) -> StreamingQuery:
+               metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None) -> StreamingQuery:
     """H1: crawl pages as they land; one micro-batch per trigger (default
-    every minute; ``available_now`` drains what is landed and stops)."""
+    every minute; ``available_now`` drains what is landed and stops).
+    ``walk`` applies the crawl's stop rule, ``sink`` takes the change events
+    (see :func:`ingest_batch`)."""
     spark = stream.sparkSession
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/ingest-stream"
     reg = registry.persist()
     offset = batch_offset(spark, checkpoint, store, (changes_path,))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
                .foreachBatch(lambda df, bid: ingest_batch(df, offset + bid, reg, store, changes_path,
-                                                          quarantine_path, metrics_path)))
+                                                          quarantine_path, metrics_path, walk, sink)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
-def sync_batch(events: DataFrame, batch_id: int, outcome: Column, synced_path: str, dead_path: str) -> None:
+def sync_batch(events: DataFrame, batch_id: int, outcome, synced_path: str, dead_path: str) -> None:
     """H3 body: decode (A7), call downstream (A8), route failures to the
     dead-letter table with the same key."""
     arts = CL.read_changes(events).persist()
@@ -193,9 +195,10 @@ def sync_batch(events: DataFrame, batch_id: int, outcome: Column, synced_path: s
 
 
 def run_sync(spark: SparkSession, changes_path: str, synced_path: str, dead_path: str,
-             outcome: Column | None = None, checkpoint: str | None = None,
+             outcome=None, checkpoint: str | None = None,
              available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
-    """H3: consume the change log continuously."""
+    """H3: consume the change log continuously.  ``outcome`` is a bool column
+    or a Python client (see ``changelog.sync_and_route``)."""
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
                            T.StructField("feed", T.StringType()), T.StructField("run_id", T.LongType()),

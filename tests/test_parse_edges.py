@@ -122,14 +122,15 @@ def test_no_valid_source_is_an_error_when_required(spark, tmp_path):
         RG.load_sources(spark, str(f), require=True)
 
 
-def test_plan_pages_cap_and_offset(spark):
+def test_plan_pages_without_a_cap_and_offset(spark):
     src = spark.createDataFrame([("s", "http://x/feed?a=1", ("offset", "", "", 100))],
                                 "name string, url string, pagination struct<type:string, page_param:string, "
                                 "limit_param:string, default_limit:bigint>")
     plan = RG.plan_pages(src, 5000)
-    assert plan.count() == 1000                                  # hard cap of a run
+    assert plan.count() == 5000
+    assert RG.plan_pages(src, 0).count() == 0
     last = plan.orderBy(plan.page_no.desc()).first()
-    assert last.request_url == "http://x/feed?a=1&page=99900&pageSize=100"
+    assert last.request_url == "http://x/feed?a=1&page=499900&pageSize=100"
 
 
 def test_age_tier_boundaries(spark):

@@ -105,3 +105,25 @@ def test_firing_now_and_latest_value(spark):
     assert v.first().value == 2.0
     v2 = SR.latest_value(_samples(spark, rows), ["metric", "source"], T0 + dt.timedelta(seconds=4000), lookback_s=300)
     assert v2.count() == 0                                  # stale: no sample in the lookback window
+
+
+def test_null_labels_and_silent_series(spark):
+    """A NULL label counts like any other, and a series that stops is
+    evaluated to the end of the others."""
+    rows = [("articles_ingested_total", s, None, 30 * i, i) for s in ("a", "b") for i in range(80 if s == "a" else 10)]
+    df = _samples(spark, rows)
+    key = ["metric", "source", "status"]
+    inc = SR.counter_increase(df, key, 300).groupBy("source").max("increase").collect()
+    assert all(r[1] > 0 for r in inc)
+    grid = SR.evaluation_grid(df, key, 30, 300)
+    ends = {r["source"]: r[1] for r in grid.groupBy("source").max("eval_us").collect()}
+    assert ends["a"] == ends["b"]
+    iv = SR.evaluate_rule(df, SR.ALERT_PRESETS["NoArticlesProcessed"], key)
+    assert [r.source for r in iv.where("fire_us is not null").collect()] == ["b"]
+
+
+def test_ties_do_not_count_as_resets(spark):
+    rows = [("m", "a", "", 0, 1), ("m", "a", "", 30, 3), ("m", "a", "", 30, 2), ("m", "a", "", 60, 4)]
+    for r in (rows, rows[::-1]):
+        total = SR.counter_deltas(_samples(spark, r), ["metric", "source"]).groupBy().sum("delta").first()[0]
+        assert total == 3

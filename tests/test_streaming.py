@@ -1,36 +1,11 @@
 """Streaming forms equal batch forms; replaying a batch changes nothing."""
 
-import numpy as np
-
 from articleflow.operators import parse as P
 from articleflow.operators import store as ST
 from articleflow.plans import catalog as Q
 from articleflow.plans import fixtures as FX
 from articleflow.session import scratch_path
 from articleflow.streaming import ingest as IN
-from articleflow.streaming import stateful as STF
-
-
-def test_breaker_transitions():
-    s = 1_000_000
-    ts = np.array([0, 1, 2, 3, 10 * s, 34 * s, 35 * s, 36 * s, 70 * s, 100 * s, 101 * s, 200 * s, 201 * s])
-    ok = np.array([0, 0, 0, 1, 1, 1, 1, 0, 0, 0, 1, 0, 0], dtype=bool)
-    st, rej, final = STF.breaker_step(None, ts, ok)
-    # 3 failures open; rejected for 30 s; the trial at 34 s closes again
-    assert list(st[:6]) == [0, 0, 2, 2, 2, 0] and list(rej[:6]) == [False, False, False, True, True, False]
-    # failures at 36 s and 70 s share the period opened at 34 s; 100 s starts
-    # a new period (count restarts), so no third consecutive failure trips
-    assert list(st[6:]) == [0, 0, 0, 0, 0, 0, 0]
-    st2, _, _ = STF.breaker_step(None, np.array([0, 36 * s, 70 * s, 71 * s]), np.array([1, 0, 0, 0], dtype=bool))
-    assert list(st2) == [0, 0, 0, 0]   # 70 s starts a new period: 1, 2 failures only
-    st3, _, _ = STF.breaker_step(None, np.array([0, 36 * s, 50 * s, 55 * s]), np.array([1, 0, 0, 0], dtype=bool))
-    assert list(st3) == [0, 0, 0, 2]
-
-
-def test_breaker_stream_equals_batch(spark, sf_small):
-    a = Q.QUERIES["h2_breaker_states"](spark, sf_small)
-    b = Q.QUERIES["h2_breaker_states_batch"](spark, sf_small)
-    assert a.count() == b.count() and a.exceptAll(b.select(*a.columns)).count() == 0
 
 
 def test_sampler_stream_equals_batch(spark, sf_small):
@@ -165,15 +140,6 @@ def test_tags_only_change_is_stored_not_published(spark):
     assert [t.label for t in store.current().first().tags] == ["new"]     # but the store has the new tags
 
 
-def test_sampler_step_generations_reset_all_keys():
-    # key counts 1..3, then an all-key reset (generation 1) restarts at 1
-    occ, emit, final, gen = STF.sample_step(0, np.zeros(5, dtype=bool), 10, np.array([0, 0, 0, 1, 1]), 0)
-    assert list(occ) == [1, 2, 3, 1, 2] and final == 2 and gen == 1
-    # carried state: count 9 of generation 1 continues to 10 (emitted); a newer generation restarts
-    occ, emit, final, gen = STF.sample_step(9, np.zeros(2, dtype=bool), 10, np.array([1, 2]), 1)
-    assert list(occ) == [10, 1] and list(emit) == [True, True] and final == 1 and gen == 2
-
-
 def test_custom_sink_and_repository_surface(spark, sf_small):
     got = {}
     raw0 = FX.document_pages(spark, sf_small, 0)
@@ -198,3 +164,34 @@ def test_commit_marker_hides_in_flight_batch(spark):
     assert [r.title for r in store.current_committed().collect()] == ["A"]
     store.commit(1)
     assert [r.title for r in store.current_committed().collect()] == ["A2"]
+
+
+def test_an_unreadable_store_raises(spark, tmp_path):
+    import pytest
+    store = ST.ArticleStore(spark, str(tmp_path / "store"))
+    assert store.last_batch() == -1 and store.current().count() == 0      # nothing written yet
+    (tmp_path / "store" / "versions").mkdir(parents=True)
+    (tmp_path / "store" / "versions" / "part-0.parquet").write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        store.last_batch()
+    with pytest.raises(Exception):
+        store.current().count()
+
+
+def test_row_hash_sees_nulls(spark):
+    from articleflow.operators.parse import conform
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-null"))
+    rows = conform(spark.createDataFrame([("a", "A")], "id string, title string"))
+    tags = spark.createDataFrame([("a", "A", [])], "id string, title string, tags array<struct<id:bigint,label:string>>")
+    store.write_batch(0, store.changed_rows(0, rows))
+    assert store.changed_rows(1, conform(tags)).count() == 1
+    assert store.changed_rows(1, rows).count() == 0
+
+
+def test_feed_names_stay_text(spark):
+    from articleflow.sources import pages as PG
+    path = scratch_path(spark, "pages-t")
+    raw = spark.createDataFrame([("007", 1, 0, None, "x"), ("10", 1, 0, None, "y")],
+                                "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
+    PG.land_pages(raw, path)
+    assert sorted((r.feed, r.payload) for r in PG.scan_raw_pages(spark, path).collect()) == [("007", "x"), ("10", "y")]
