@@ -3,6 +3,9 @@
 Texts are UTF-8 bytes.  Every byte goes that is covered by a 50-byte string
 which also starts in a document with a smaller doc_id.
 
+A text that an earlier document has whole (equal length and 128 bits of
+hash) goes whole; the phases below work on the rest.
+
 Suffixes are brought together where they can be equal, and nowhere else.  In
 each 50-byte window the 16-byte string of the least hash is its anchor; equal
 windows have equal anchors at equal places.  Consecutive windows of one anchor
@@ -35,10 +38,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import NARROW_ROWS, append_columns, field, ready, written
+from articleflow.llm.common import NARROW_ROWS, append_columns, field, ready, small_side, written
 
 LENGTH, ANCHOR = 50, 16
 CHUNK = 1 << 22          # bytes scanned at once
@@ -180,147 +184,212 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["h", "piece", "doc_id", "print", "s"])
 
 
-def _shard(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order to a depth of 64, the 8 bytes before each suffix in that
-    order) of one shard, read as a circle."""
-    n = len(raw)
-    eight = _eights(np.concatenate((raw, np.resize(raw, 7)))) if n >= 7 else _eights(np.resize(raw, n + 7))
-    _, rank = np.unique(eight, return_inverse=True)
-    depth = 8
-    while depth < LENGTH and int(rank.max()) < n - 1:
-        _, rank = np.unique(rank * n + np.roll(rank, -depth), return_inverse=True)
+def _order(numbers: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of small numbers: one plain sort, the place in the low bits."""
+    return np.sort((numbers << bits) | np.arange(len(numbers))) & ((1 << bits) - 1)
+
+
+def _dense(numbers: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rank of each number, given their order; equal numbers, equal rank."""
+    by = numbers[order]
+    rank = np.empty(len(numbers), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], by[1:] != by[:-1])))
+    return rank
+
+
+def _shard(eight: np.ndarray) -> np.ndarray:
+    """Suffix order, to a depth of 64, of one shard read as a circle; given
+    the rank of the 8 bytes from each place on."""
+    n = len(eight)
+    bits = n.bit_length()
+    order = _order(eight, bits)
+    rank, depth = _dense(eight, order), 8
+    while depth < LENGTH and int(rank[order[-1]]) < n - 1:
+        both = (rank << bits) | np.roll(rank, -depth)
+        order = _order(both, bits)
+        rank = _dense(both, order)
         depth *= 2
-    order = np.argsort(rank, kind="stable")
-    return order, eight[(order - 8) % n]
+    return order
 
 
 def merged(shards: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(places, opens) over the bytes of all shards laid end to end: the
     places in the order of their first ``length`` bytes, and where that order
     passes on to other bytes."""
-    orders, befores = zip(*map(_shard, shards))
     sizes = [len(x) for x in shards]
-    offset = np.cumsum([0, *sizes[:-1]])
-    place = np.concatenate([o + off for o, off in zip(orders, offset)])
-    before = np.concatenate(befores)
-    n = len(place)
+    _, eight = np.unique(np.concatenate([_eights(np.concatenate((x, np.resize(x, 7)))) for x in shards]),
+                         return_inverse=True)
+    eights = np.split(eight.astype(np.int64), np.cumsum(sizes)[:-1])
+    orders = [_shard(x) for x in eights]
+    place = np.concatenate([o + off for o, off in zip(orders, np.cumsum([0, *sizes[:-1]]))])
+    # the transforms: what stands before each suffix, as a rank of 8 bytes or as the bytes of a shorter step
+    before = np.concatenate([x[o - 8 if len(x) >= 8 else (o - 8) % len(x)] for x, o in zip(eights, orders)])
+    n, short = len(place), length % 8
+    bits = n.bit_length()
     which = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)   # the interleave
-    group = np.zeros(n, np.int64)                                       # equal so far: equal number
-    depth, step = 0, length % 8 or 8
+    group = np.zeros(n, np.int32)                                       # equal so far: equal number
+
+    def entries():
+        """The k-th entry of a shard in the interleave is its k-th suffix."""
+        entry = np.empty(n, np.int32)
+        entry[np.argsort(which, kind="stable")] = np.arange(n, dtype=np.int32)
+        return entry
+
+    depth = 0
     while depth < length:
-        # the k-th entry of a shard in the interleave is its k-th suffix
-        entry = np.empty(n, np.int64)
-        entry[np.argsort(which, kind="stable")] = np.arange(n)
-        deal = before[entry] & np.uint64((1 << 8 * step) - 1)
-        order = np.argsort(deal, kind="stable")
-        which, deal, group = which[order], deal[order], group[order]
-        opens = np.concatenate(([True], (deal[1:] != deal[:-1]) | (group[1:] != group[:-1])))
-        group = np.cumsum(opens)
-        depth, step = depth + step, 8
-    entry = np.empty(n, np.int64)
-    entry[np.argsort(which, kind="stable")] = np.arange(n)
-    return place[entry], opens
-
-
-def settle(pieces: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]:
-    """(piece, from, to): bytes of each piece covered by windows that are also
-    in a piece of a smaller document."""
-    shards, held, size = [], [], 0
-    for p in pieces:
-        held.append(p)
-        size += len(p)
-        if size >= SHARD:
-            shards.append(np.frombuffer(b"".join(held), np.uint8))
-            held, size = [], 0
-    if held:
-        shards.append(np.frombuffer(b"".join(held), np.uint8))
-    place, opens = merged(shards)
-    lengths = np.array([len(p) for p in pieces])
-    ends = np.cumsum(lengths)
-    piece = np.repeat(np.arange(len(pieces)), lengths)[place]
+        if short:
+            deal, depth, short = _bytes_before(shards, orders, short)[entries()], short, 0
+        else:
+            deal, depth = before[entries()], depth + 8
+        dealt = np.sort((deal << bits) | np.arange(n))                  # stable: the place in the low bits
+        order = dealt & ((1 << bits) - 1)
+        dealt >>= bits
+        which, group = which[order], group[order]
+        opens = np.concatenate(([True], (dealt[1:] != dealt[:-1]) | (group[1:] != group[:-1])))
+        group = np.cumsum(opens, dtype=np.int32)
+    return place[entries()], opens
+
+
+def _bytes_before(shards: list[np.ndarray], orders: list[np.ndarray], many: int) -> np.ndarray:
+    """The ``many`` bytes before each suffix, as one number."""
+    out = []
+    for x, o in zip(shards, orders):
+        number = np.zeros(len(x), np.int64)
+        for back in range(many, 0, -1):
+            number = (number << 8) | x[(o - back) % len(x)]
+        out.append(number)
+    return np.concatenate(out)
+
+
+def settle(raw: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, from, to) as arrays: bytes of each of the pieces laid end to
+    end that are covered by windows also in a piece of a smaller document."""
+    starts = np.concatenate(([0], ends[:-1]))
+    cuts = ends[np.searchsorted(ends, np.arange(SHARD, len(raw), SHARD))]
+    place, opens = merged([x for x in np.split(raw, np.unique(cuts)) if len(x)])
+    piece = np.repeat(np.arange(len(ends)), ends - starts)[place]
     whole = place + LENGTH <= ends[piece]
     doc = np.where(whole, docs[piece], np.iinfo(np.int64).max)
     least = np.minimum.reduceat(doc, np.flatnonzero(opens))
-    gone = whole & (least[np.cumsum(opens) - 1] < doc)
-    at, of = place[gone], piece[gone]
-    order = np.argsort(at)
-    at, of = at[order], of[order]
-    if not len(at):
-        return []
-    new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(at)])) - 1
-    base = ends - lengths
-    return [(int(of[f]), int(at[f] - base[of[f]]), int(at[x] - base[of[f]]) + LENGTH) for f, x in zip(first, last)]
+    gone = np.zeros(len(raw) + 1, bool)
+    gone[place[whole & (least[np.cumsum(opens) - 1] < doc)]] = True
+    # runs of removed windows, within a piece: a window never starts at a piece's last bytes
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
+    first, last = edge[::2], edge[1::2] - 1
+    of = np.searchsorted(ends, first, side="right")
+    return of, first - starts[of], last - starts[of] + LENGTH
+
+
+_OUT = ["doc_id", "print", "s", "e", "window"]
 
 
 def _settled(batches: Iterator[pa.RecordBatch], max_group: int) -> Iterator[pa.RecordBatch]:
     """Rows (h, piece, doc_id, print, s) sorted by h, piece and doc_id ->
     (doc_id, print, s, e) removed, or with ``window`` set: a window to settle
     elsewhere."""
-    def out(rows):
-        doc, prints, s, e, w = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(prints, pa.int64()), pa.array(s, pa.int64()),
-                                           pa.array(e, pa.int64()), pa.array(w, pa.binary())],
-                                          names=["doc_id", "print", "s", "e", "window"])
+    def out(doc, prints, s, e, window=None):
+        window = pa.nulls(len(doc), pa.binary()) if window is None else pa.array(window, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, prints, s, e)] + [window], names=_OUT)
+
+    def windows(t):
+        pieces, doc, prints, s = t[1].to_pylist(), *(t[i].to_numpy() for i in (2, 3, 4))
+        many = np.array([len(x) - LENGTH + 1 for x in pieces], np.int64)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        begin = np.repeat(s, many) + at
+        return out(np.repeat(doc, many), np.repeat(prints, many), begin, begin + LENGTH,
+                   [x[i:i + LENGTH] for x in pieces for i in range(len(x) - LENGTH + 1)])
 
     def settle_block(block):
-        docs = np.array([r[2] for r in block], np.int64)
-        for i, a, b in settle([r[1] for r in block], docs):
-            _, _, doc, prints, s = block[i]
-            yield doc, prints, s + a, s + b, None
-
-    block, size, group, gone = [], 0, [], []    # group: distinct pieces of the anchor at hand
-    last_h, last_piece, first_doc, hot = None, None, None, False
+        t = [pa.concat_arrays(c) for c in zip(*block)]
+        lengths = pc.binary_length(t[1]).to_numpy().astype(np.int64)
+        raw = np.frombuffer(b"".join(t[1].to_pylist()), np.uint8)
+        doc, prints, s = (t[i].to_numpy() for i in (2, 3, 4))
+        of, a, b = settle(raw, np.cumsum(lengths), doc)
+        return out(doc[of], prints[of], s[of] + a, s[of] + b)
+
+    def firsts(t):
+        """Drop the copies of a piece in later documents; (rows left, spans)."""
+        h, doc = t[0].to_numpy(), t[2].to_numpy()
+        same = np.concatenate(([False], (h[1:] == h[:-1]) & pc.equal(t[1][1:], t[1][:-1]).to_numpy(zero_copy_only=False)))
+        run = np.cumsum(~same) - 1
+        copy = doc != doc[np.flatnonzero(~same)][run]
+        later, size = np.flatnonzero(copy), pc.binary_length(t[1]).to_numpy()
+        spans = out(doc[later], t[3].to_numpy()[later], t[4].to_numpy()[later], t[4].to_numpy()[later] + size[later])
+        left = np.flatnonzero(~copy)
+        return [c.take(pa.array(left)) for c in t], run[left], spans
+
+    # rest: rows of the anchor that may go on; hot: it is settled elsewhere,
+    # and rest is one row, already sent, that tells the copies of its piece
+    block, size, rest, hot = [], 0, None, False
+    for last, t in _with_last(_grouped(batches)):
+        if rest is not None:
+            t = [pa.concat_arrays([a, b]) for a, b in zip(rest, t)]
+        t, run, spans = firsts(t)
+        if spans.num_rows:
+            yield spans
+        h = t[0].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        end = np.append(begin[1:], len(h))
+        kinds, rows = run[end - 1] - run[begin] + 1, end - begin
+        apart = rows > max_group
+        together = (kinds > 1) & ~apart
+        apart &= kinds > 1
+        goes_on = hot and len(begin) == 1 and not last
+        if hot:
+            together[0], apart[0] = False, True
+        if not last and not goes_on:
+            together[-1], apart[-1] = False, rows[-1] > max_group
+        elsewhere = np.repeat(apart, rows)
+        if hot:
+            elsewhere[0] = False
+        if elsewhere.any():
+            yield windows([c.take(pa.array(np.flatnonzero(elsewhere))) for c in t])
+        if together.any():
+            pick = [c.take(pa.array(np.flatnonzero(np.repeat(together, rows)))) for c in t]
+            block.append(pick)
+            size += int(pc.sum(pc.binary_length(pick[1])).as_py())
+        hot = bool(apart[-1]) and not last
+        keep = np.flatnonzero(run == run[-1])[:1] if hot else np.arange(begin[-1], len(h))
+        rest = [c.take(pa.array(keep)) for c in t]
+        if size >= BLOCK or (last and size):
+            yield settle_block(block)
+            block, size = [], 0
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of some batches together."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= NARROW_ROWS:
+            yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in held))]
+            held, rows = [], 0
+    if rows:
+        yield [pa.concat_arrays(c) for c in zip(*(x.columns for x in held))]
 
-    def windows(r):
-        return [(r[2], r[3], r[4] + i, r[4] + i + LENGTH, r[1][i:i + LENGTH]) for i in range(len(r[1]) - LENGTH + 1)]
 
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            h, piece, doc, prints, s = row
-            if h != last_h:
-                if len({p for _, p, *_ in group}) > 1:
-                    block += group
-                    size += sum(len(r[1]) for r in group)
-                group, hot = [], False
-                if size >= BLOCK:
-                    gone += settle_block(block)
-                    block, size = [], 0
-                last_h, last_piece = h, None
-            if piece != last_piece:
-                last_piece, first_doc = piece, doc
-            elif doc != first_doc:
-                gone.append((doc, prints, s, s + len(piece), None))
-                continue
-            if hot:
-                gone += windows(row)
-                continue
-            group.append(row)
-            if len(group) > max_group:
-                hot = True
-                for r in group:
-                    gone += windows(r)
-                group = []
-            if len(gone) >= NARROW_ROWS:
-                yield out(gone)
-                gone = []
-        if gone:
-            yield out(gone)
-            gone = []
-    if len({p for _, p, *_ in group}) > 1:
-        block += group
-    if block:
-        gone += settle_block(block)
-    if gone:
-        yield out(gone)
+def _with_last(items):
+    """(whether it is the last, item) of each."""
+    items = iter(items)
+    for held in items:
+        for x in items:
+            yield False, held
+            held = x
+        yield True, held
 
 
 def removed_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(doc_id, print, s, e): byte spans to remove, which may overlap; print
     is the text's hash, which tells rows of one doc_id apart."""
     ready(docs.sparkSession)
-    texts = _printed(docs).where("doc_id is not null")
+    every = _printed(docs).where("doc_id is not null")
+    prints = written(every.select("doc_id", "print", F.xxhash64(F.lit(1), "text").alias("print2"),
+                                  F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH), "prints")
+    firsts = prints.groupBy("print", "print2", "n").agg(F.min("doc_id").alias("first"))
+    copies = written(prints.join(firsts, ["print", "print2", "n"]).where("doc_id > first")
+                     .select("doc_id", "print", "n").distinct(), "copies")
+    texts = every.join(small_side(copies.select("doc_id", "print"), 32), ["doc_id", "print"], "left_anti")
     anchors = texts.select("doc_id", "print", "text").mapInArrow(_anchors, "h long, doc_id long, print long, s long")
     shared = (anchors.repartition("h").sortWithinPartitions("h", "doc_id")
               .mapInArrow(_in_two, "doc_id long, print long, s long"))
@@ -334,7 +403,9 @@ def removed_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     done = settled.where("window is null").drop("window")
     late = settled.where("window is not null")
     first = late.groupBy("window").agg(F.min("doc_id").alias("first"))
-    return done.unionByName(late.join(first, "window").where("first < doc_id").select("doc_id", "print", "s", "e"))
+    late = late.join(first, "window").where("first < doc_id").select("doc_id", "print", "s", "e")
+    return done.unionByName(late).unionByName(
+        copies.select("doc_id", "print", F.lit(0).cast("long").alias("s"), F.col("n").cast("long").alias("e")))
 
 
 def _printed(docs: DataFrame) -> DataFrame:

@@ -224,3 +224,43 @@ def test_long_texts_are_scanned_in_parts(monkeypatch):
     seen = sorted((int(i), int(s) + k) for _, ii, ss, rr in suffix_dedup._scan(texts)
                   for i, s, r in zip(ii, ss, rr) for k in range(r))
     assert seen == sorted((i, k) for i, t in enumerate(texts) for k in range(len(t) - 49))
+
+
+@pytest.mark.parametrize("max_group", [0, 3, 1000])
+@pytest.mark.parametrize("rows_at_once", [1, 4, 1000])
+def test_settling_a_stream_of_stretches(monkeypatch, max_group, rows_at_once):
+    """Whatever the batches are and whichever anchors are settled apart."""
+    import pyarrow as pa
+    monkeypatch.setattr(suffix_dedup, "NARROW_ROWS", rows_at_once)
+    rng = random.Random(11)
+    rows = []
+    for h in range(6):
+        cores = [bytes(rng.choices(b"xyz", k=60)) for _ in range(2)]
+        for _ in range(rng.choice([1, 2, 12])):
+            c = rng.choice(cores)
+            rows.append((h, c[rng.randint(0, 5):rng.randint(55, 60)], rng.randint(1, 9), 0, rng.randint(0, 3) * 1000))
+    rows = sorted(set(rows), key=lambda r: r[:3])
+    first, want = {}, set()
+    for h, p, d, _, s in rows:
+        for i in range(len(p) - 49):
+            first[h, p[i:i + 50]] = min(first.get((h, p[i:i + 50]), d), d)
+    for h, p, d, _, s in rows:
+        want |= {(d, s + i + k) for i in range(len(p) - 49) if first[h, p[i:i + 50]] < d for k in range(50)}
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 5]), types)],
+                                          names=["h", "piece", "doc_id", "print", "s"]) for i in range(0, len(rows), 5)]
+    got, apart = set(), []
+    for b in suffix_dedup._settled(iter(batches), max_group):
+        for r in b.to_pylist():
+            if r["window"] is None:
+                got |= {(r["doc_id"], x) for x in range(r["s"], r["e"])}
+            else:
+                apart.append(r)
+    # windows sent on are compared by their bytes; those of settled anchors are not among them
+    low = {}
+    for r in apart:
+        low[r["window"]] = min(low.get(r["window"], 99), r["doc_id"])
+    for r in apart:
+        if low[r["window"]] < r["doc_id"]:
+            got |= {(r["doc_id"], x) for x in range(r["s"], r["e"])}
+    assert got == want
