@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from articleflow.llm.common import append_columns, field, ready
 from articleflow.llm.pieces import MARK, Pieces, shared
 
-WORDS_KEPT = 200_000  # encodings kept by a worker; beyond, the table starts anew
+WORDS_KEPT = 50_000  # encodings kept by a worker; beyond, the table starts anew
 
 
 def viterbi_sorted(words: list[str], pieces: Pieces, tails: set[str]) -> dict[str, tuple[int, ...]]:
@@ -112,6 +112,17 @@ def _make_decode(table):
     return run
 
 
+def _make_both(table):
+    """Encoding, and whether decoding gives the text back, in one worker."""
+    to_ids, to_text = _make_encode(table), _make_decode(table)
+
+    def run(texts):
+        ids, = to_ids(texts)
+        back, = to_text(ids)
+        return [ids, [b == (t or "") for b, t in zip(back, texts.to_pylist())]]
+    return run
+
+
 def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", model_path: str | None = None) -> DataFrame:
     """``docs`` with ``out`` array<int>: piece ids of each whole text."""
     spark = ready(docs.sparkSession)
@@ -128,6 +139,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", model_pa
 def encoded_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, round_trip: encoding of each whole text, and
     whether decoding gives the text again."""
-    rows = decode(encode(docs.select("doc_id", "text"), model_path=model_path), model_path=model_path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    spark = ready(docs.sparkSession)
+    rows = append_columns(docs.select("doc_id", "text"), ["text"], partial(_make_both, shared(spark, model_path)),
+                          [field("ids", "array<int>"), field("round_trip", "boolean")])
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
