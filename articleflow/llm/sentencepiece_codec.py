@@ -21,23 +21,25 @@ holds the mark U+2581 decodes it as a space, as the library does, and its
 
 from __future__ import annotations
 
+from array import array
 from functools import partial
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import append_columns, field, ready
 from articleflow.llm.pieces import MARK, Pieces, shared
 
-WORDS_KEPT = 50_000  # encodings kept by a worker; beyond, the table starts anew
+WORDS_KEPT = 200_000  # encodings kept by a worker (some 50 MB); beyond, the table starts anew
 
 
-def viterbi_sorted(words: list[str], pieces: Pieces, tails: set[str]) -> dict[str, tuple[int, ...]]:
-    """Ids of each of the sorted distinct ``words``.  ``tails``: every suffix
-    of a piece; a segment that is no suffix of a piece ends the search for
-    longer ones."""
+def viterbi_sorted(words: list[str], pieces: Pieces, tails: set[str]) -> dict[str, bytes]:
+    """Ids (32-bit, as bytes) of each of the sorted distinct ``words``.
+    ``tails``: every suffix of a piece; a segment that is no suffix of a piece
+    ends the search for longer ones."""
     scores, ids, unk = pieces.scores, pieces.ids, pieces.unk_score
     best, back = [0.0], [0]          # by prefix length: forward score, length of the last piece
     out, before = {}, ""
@@ -66,7 +68,8 @@ def viterbi_sorted(words: list[str], pieces: Pieces, tails: set[str]) -> dict[st
             else:
                 path.append(i)
             end = start
-        out[word] = tuple(reversed(path))
+        path.reverse()
+        out[word] = array("i", path).tobytes()
         before = word
     return out
 
@@ -92,7 +95,10 @@ def _make_encode(table):
             missing = sorted({w for ws in cut for w in ws})
         known.update(viterbi_sorted(missing, pieces, tails))
         get = known.__getitem__
-        return [pa.array([list(chain.from_iterable(map(get, ws))) for ws in cut], type=pa.list_(pa.int32()))]
+        found = [b"".join(map(get, ws)) for ws in cut]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                         pa.array(np.frombuffer(b"".join(found), np.int32)))]
     return run
 
 
@@ -105,8 +111,10 @@ def _make_decode(table):
 
     def run(ids):
         out = []
-        for x in ids.to_pylist():
-            raw = b"".join(map(get, x or ())).replace(mark, b" ")
+        flat = pc.fill_null(ids.flatten(), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+        for x in np.split(flat, ends[:-1]) if len(ends) else ():
+            raw = b"".join(map(get, x.tolist())).replace(mark, b" ")
             out.append(raw[1 if raw[:1] == b" " else 0:].decode("utf-8", "replace"))
         return [out]
     return run
