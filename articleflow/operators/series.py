@@ -93,6 +93,16 @@ def sum_counter(samples: DataFrame, series: Sequence[str], at, by: Sequence[str]
     return latest_value(samples, series, at, lookback_s).groupBy(*by).agg(F.sum("value").alias("value"))
 
 
+def sum_increase(samples: DataFrame, series: Sequence[str], at, window_s: int, by: Sequence[str] = ()) -> DataFrame:
+    """D9 over a window: ``sum by (labels)(increase(m[window]))`` at ``at``,
+    and the ``rate`` per second; 0 for a group silent in the window."""
+    at_c = F.lit(at).cast("timestamp")
+    d = counter_deltas(samples.filter(F.col("ts").cast("timestamp") <= at_c), series)
+    inside = F.col("ts_us") >= epoch_us(at_c) - F.lit(window_s * US)
+    return (d.groupBy(*by).agg(F.sum(F.when(inside, F.col("delta")).otherwise(0.0)).alias("increase"))
+             .withColumn("rate", F.col("increase") / F.lit(float(window_s))))
+
+
 def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Quantile ``q`` from cumulative buckets (``le_value`` ascending,
     +Inf last, ``cumulative_count``): the first bucket reaching
@@ -119,6 +129,21 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> Dat
     return first.select(*by, F.lit(q).alias("q"), value.alias("value"))
 
 
+def bucket_bound(le: Column) -> Column:
+    """The label ``le`` as a number."""
+    return F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.cast("double"))
+
+
+def rate_quantile(samples: DataFrame, q: float, series: Sequence[str], step_s: int, window_s: int,
+                  end_us: int | None = None) -> DataFrame:
+    """D8 over windowed rates: quantile ``q`` of the bucket counters (label
+    ``le``) of every series at each step (``eval_us``); NaN for a window
+    without observations."""
+    rates = evaluation_grid(samples, [*series, "le"], step_s, window_s, end_us=end_us)
+    hist = rates.withColumn("le_value", bucket_bound(F.col("le"))).withColumn("cumulative_count", F.col("rate"))
+    return histogram_quantile(hist, q, [*series, "eval_us"])
+
+
 def dense_buckets(span: DataFrame, series: Sequence[str], lo: str, hi: str,
                   chunk_buckets: int) -> DataFrame:
     """Every bucket number ``lo .. hi`` of every series, generated per
@@ -223,12 +248,19 @@ def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int,
                   .unionByName(sums.withColumn("_pt", F.lit(False))))
     val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b).filter("_pt")
     val = val.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
-    # each point's segment ends just before the next point (or at the grid's end)
-    val = (val.withColumn("_neg", -F.col("bucket"))
-              .withColumn("_negc", -F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
+    return point_intervals(val, series, compare(F.col(measure), op, threshold), end_b, step_us, hold_s, chunk_b)
+
+
+def point_intervals(points: DataFrame, series: Sequence[str], condition: Column, end_b: Column,
+                    step_us: int, hold_s: int, chunk_b: int) -> DataFrame:
+    """Alert intervals from change points: what ``condition`` reads at a
+    point's ``bucket`` holds until just before the series' next point, or to
+    ``end_b``."""
+    val = (points.withColumn("_neg", -F.col("bucket"))
+                 .withColumn("_negc", -F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
     val = chunked_lag(val, list(series), ["_neg"], "_negc", "bucket", "_next")
     seg = (val.withColumn("_seg_end", F.coalesce(F.col("_next") - 1, end_b))
-              .withColumn("_c", F.coalesce(compare(F.col(measure), op, threshold), F.lit(False)))
+              .withColumn("_c", F.coalesce(condition, F.lit(False)))
               .withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
     seg = chunked_running(seg, list(series), ["bucket"], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
     runs = (seg.filter("_c").groupBy(*series, "_run")
@@ -241,6 +273,18 @@ def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int,
                        F.when(fire_b <= F.col("_eb"), (fire_b + 1) * F.lit(step_us)).alias("fire_us"))
 
 
+def gauge_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int, op: str, threshold: float,
+                          hold_s: int, chunk_us: int = DAY_US, end_us: int | None = None) -> DataFrame:
+    """Alert intervals of a gauge rule: equal to :func:`alert_intervals` over
+    :func:`gauge_grid`, but evaluated only in steps that hold a sample, so the
+    work follows the samples and not the span."""
+    step_us = step_s * US
+    points = last_in_step(samples, series, step_us)
+    end_b = last_bucket(samples, step_us, end_us)
+    return point_intervals(points.where(F.col("bucket") <= end_b), series, compare(F.col("_v"), op, threshold),
+                           end_b, step_us, hold_s, max(1, chunk_us // step_us))
+
+
 def firing_now(intervals: DataFrame, evaluations: DataFrame, series: Sequence[str],
                ts_us: str = "eval_us") -> DataFrame:
     """Alerts firing at the last evaluation of their series."""
@@ -280,7 +324,16 @@ def service_down(job: str) -> AlertRule:
 
 
 def compare(c: Column, op: str, threshold: float) -> Column:
-    return {">": c > threshold, "<": c < threshold, "==": c == threshold, ">=": c >= threshold}[op]
+    """``c op threshold``; NaN (the quantile of an empty window) never holds,
+    although Spark orders it above every number."""
+    return ~F.isnan(c) & {">": c > threshold, "<": c < threshold, "==": c == threshold, ">=": c >= threshold}[op]
+
+
+def last_in_step(samples: DataFrame, series: Sequence[str], step_us: int) -> DataFrame:
+    """``_v``: the last value of every series in each step that has a sample."""
+    b = (samples.withColumn("ts_us", epoch_us("ts"))
+                .withColumn("bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long")))
+    return b.groupBy(*series, "bucket").agg(F.max_by("value", F.struct("ts_us", "value")).alias("_v"))
 
 
 def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int, chunk_us: int = DAY_US,
@@ -289,9 +342,7 @@ def gauge_grid(samples: DataFrame, series: Sequence[str], step_s: int, chunk_us:
     evaluation (carried forward over empty steps, across time chunks), up to
     ``end_us`` or the latest sample of all series."""
     step_us = step_s * US
-    b = (samples.withColumn("ts_us", epoch_us("ts"))
-                .withColumn("bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long")))
-    last = b.groupBy(*series, "bucket").agg(F.max_by("value", F.struct("ts_us", "value")).alias("_v"))
+    last = last_in_step(samples, series, step_us)
     span = (last.groupBy(*series).agg(F.min("bucket").alias("_lo"))
                 .withColumn("_hi", last_bucket(samples, step_us, end_us)).where("_lo <= _hi"))
     chunk_buckets = max(1, chunk_us // step_us)
@@ -308,21 +359,14 @@ def evaluate_rule(samples: DataFrame, rule: AlertRule, series: Sequence[str],
     """Alert intervals of one rule on its evaluation grid (E7 -> E6), up to
     ``end_us``.
 
-    ``rate`` rules use the counter grid, ``value`` rules the gauge grid and
-    ``p95`` rules the bucket-rate grid (label ``le``) reduced by D8.
+    ``rate`` and ``value`` rules are evaluated at their change points; ``p95``
+    rules on the bucket-rate grid (label ``le``) reduced by D8.
     """
     s = select_series(samples, rule.metric, **rule.matchers)
     if rule.expr == "rate":  # change points only, no dense grid
         return rate_alert_intervals(s, series, step_s, rule.window_s, rule.op, rule.threshold, rule.hold_s,
                                     end_us=end_us)
     if rule.expr == "value":
-        grid = gauge_grid(s, series, step_s, end_us=end_us)
-        measure = F.col("value")
-    else:
-        rates = evaluation_grid(s, [*series, "le"], step_s, rule.window_s, end_us=end_us)
-        hist = (rates.withColumn("le_value", F.when(F.col("le") == "+Inf", F.lit(float("inf")))
-                                              .otherwise(F.col("le").cast("double")))
-                     .withColumn("cumulative_count", F.col("rate")))
-        grid = histogram_quantile(hist, 0.95, [*series, "eval_us"])
-        measure = F.col("value")
-    return alert_intervals(grid, series, compare(measure, rule.op, rule.threshold), rule.hold_s)
+        return gauge_alert_intervals(s, series, step_s, rule.op, rule.threshold, rule.hold_s, end_us=end_us)
+    grid = rate_quantile(s, 0.95, series, step_s, rule.window_s, end_us=end_us)
+    return alert_intervals(grid, series, compare(F.col("value"), rule.op, rule.threshold), rule.hold_s)

@@ -380,6 +380,23 @@ def q_d9_total(spark, sf_dir):
     return SR.sum_counter(FX.counter_samples(spark, sf_dir), SERIES, EVAL_AT).select(r6("value"))
 
 
+@query("d9_increase_by_status")
+def q_d9_increase(spark, sf_dir):
+    out = SR.sum_increase(FX.counter_samples(spark, sf_dir), SERIES, EVAL_AT, 3600, by=["status"])
+    return out.select("status", r6("increase"), F.round(F.col("rate") * 60, 6).alias("per_minute"))
+
+
+@query("d8_rate_quantile")
+def q_d8_rate(spark, sf_dir):
+    """Windows with an observation only."""
+    s = FX.duration_samples(spark, sf_dir, HIST_BOUNDS)
+    rates = SR.evaluation_grid(s, ["source", "le"], 3600, 10800).withColumn(
+        "le_value", SR.bucket_bound(F.col("le"))).withColumn("cumulative_count", F.col("rate"))
+    by = ["source", "eval_us"]
+    out = SR.histogram_quantile(rates, 0.5, by).unionByName(SR.histogram_quantile(rates, 0.95, by))
+    return out.where(~F.isnan("value")).select("source", "eval_us", "q", r6("value"))
+
+
 # ------------------------------------------------------ series
 @query("e4_counter_rate")
 def q_e4(spark, sf_dir):
@@ -426,6 +443,31 @@ def q_e6_sparse(spark, sf_dir):
     return iv.select("source", "status", "start_us", "end_us", "fire_us")
 
 
+def rule_samples(spark, sf_dir, rule) -> tuple[DataFrame, list[str]]:
+    """Samples and series of a rule's metric; an ingest counts for 60, so that
+    rates reach the rule's threshold."""
+    if rule.metric == "up":
+        return FX.up_samples(spark, sf_dir), ["metric", "job", "source"]
+    if rule.metric == "circuit_breaker_state":
+        return FX.gauge_samples(spark, sf_dir), ["metric", "source"]
+    if rule.metric == "provider_fetch_duration_seconds":
+        return FX.duration_samples(spark, sf_dir, HIST_BOUNDS), ["metric", "source"]
+    return FX.counter_samples(spark, sf_dir).withColumn("value", F.col("value") * 60), SERIES
+
+
+@query("e6_rules")
+def q_e6_rules(spark, sf_dir):
+    """The six alert rules at their own step: intervals per rule and series."""
+    out = None
+    for rule in [*SR.ALERT_PRESETS.values(), SR.service_down("crawler")]:
+        samples, series = rule_samples(spark, sf_dir, rule)
+        iv = SR.evaluate_rule(samples, rule, series)
+        status = F.col("status") if "status" in series else F.lit("")
+        iv = iv.select(F.lit(rule.name).alias("rule"), "source", status.alias("status"), "start_us", "end_us", "fire_us")
+        out = iv if out is None else out.unionByName(iv)
+    return out
+
+
 # ------------------------------------------------------ retention
 @query("i1_age_tier")
 def q_i1(spark, sf_dir):

@@ -298,6 +298,32 @@ def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.floor("value") % 3).cast("double").alias("value"))
 
 
+def up_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as samples of ``up`` per instance (user) of two jobs: 0 at
+    an error, else 1."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.lit("up").alias("metric"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"),
+                     F.when(F.col("user_id") % 2 == 0, F.lit("kafka")).otherwise(F.lit("crawler")).alias("job"),
+                     F.col("ts").cast("timestamp").alias("ts"),
+                     (F.col("event_type") != "error").cast("double").alias("value"))
+
+
+def duration_samples(spark: SparkSession, sf_dir: str, bounds) -> DataFrame:
+    """``events`` as samples of cumulative duration buckets per event type:
+    one sample of every bucket in each minute with an event."""
+    from articleflow.operators.skew import chunked_running
+    ev = table(spark, sf_dir, "events").where("ts is not null")
+    les = [(format(float(b), "g"), F.col("value") <= b) for b in bounds] + [("+Inf", F.col("value").isNotNull())]
+    per = (ev.groupBy(F.col("event_type").alias("source"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("ts"))
+             .agg(*[F.count_if(c).alias(le) for le, c in les])
+             .select("source", "ts", F.to_date("ts").alias("day"),
+                     F.explode(F.map_from_arrays(F.array(*[F.lit(le) for le, _ in les]),
+                                                 F.array(*[F.col(f"`{le}`") for le, _ in les]))).alias("le", "n")))
+    run = chunked_running(per, ["source", "le"], ["ts"], "day", {"total": ("sum", F.col("n"))})
+    return run.select(F.lit("provider_fetch_duration_seconds").alias("metric"), "source", "le", "ts",
+                      F.col("total").cast("double").alias("value"))
+
+
 def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as articles for freshness: published at the order date,
     fetched ``o_totalprice`` seconds later, per order priority."""

@@ -486,3 +486,84 @@ twice AS (SELECT source, nullif(status, 'success') AS status, ts_us, value FROM
 d2 AS (SELECT *, lag(value) OVER (PARTITION BY source, status ORDER BY ts_us, value) AS prev FROM twice)
 SELECT source, status, round(sum(CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev ELSE value END), 6) AS total,
        count(*) AS n FROM d2 GROUP BY source, status"""
+
+ORACLE["d9_increase_by_status"] = f"""WITH {_SAMPLES.strip()}
+SELECT status, round(i, 6) AS increase, round(i / 3600.0 * 60, 6) AS per_minute
+FROM (SELECT status, sum(CASE WHEN ts_us >= {_AT_US} - 3600000000 THEN delta ELSE 0.0 END) AS i
+      FROM deltas WHERE ts_us <= {_AT_US} GROUP BY status)"""
+
+# the first minute of a series has no earlier sample: its observations do not count
+_MINUTES = f"""
+minutes AS (SELECT event_type AS source, date_trunc('minute', ts) AS m, count(value) AS nt,
+                   {", ".join(f"count(*) FILTER (WHERE value <= {float(b)!r}) AS n{i}" for i, b in enumerate(_HIST_BOUNDS))}
+            FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+later AS (SELECT *, epoch_us(m) AS ts_us, m > min(m) OVER (PARTITION BY source) AS counts FROM minutes)"""
+
+
+def _rate_quantile_sql(q: float) -> str:
+    n = len(_HIST_BOUNDS)
+    names = [f"n{i}" for i in range(n)] + ["nt"]
+    hourly = ", ".join(f"sum(CASE WHEN counts THEN {x} ELSE 0 END) AS {x}" for x in names)
+    w = "OVER (PARTITION BY source ORDER BY bucket ROWS 2 PRECEDING)"
+    sums = ", ".join(f"CAST(sum(coalesce({x}, 0)) {w} AS DOUBLE) / 10800.0::DOUBLE AS {'c' + x[1:] if x != 'nt' else 'total'}"
+                     for x in names)
+    inner = f"""(WITH {_MINUTES.strip()},
+h AS (SELECT source, CAST(floor(ts_us / 3600000000) AS BIGINT) AS bucket, {hourly} FROM later GROUP BY ALL),
+grid AS (SELECT source, unnest(range(min(bucket), (SELECT max(bucket) FROM h) + 3)) AS bucket FROM h GROUP BY source)
+SELECT source, (bucket + 1) * 3600000000 AS eval_us, {sums} FROM grid LEFT JOIN h USING (source, bucket))"""
+    body = _quantile_sql(q).replace("SELECT event_type,", "SELECT source, eval_us,", 1)
+    body = body.replace(f"{q!r} * total", f"{q!r}::DOUBLE * total")
+    return body[:body.index("FROM (SELECT event_type, count(*)")] + f"FROM {inner} WHERE total > 0"
+
+
+ORACLE["d8_rate_quantile"] = _rate_quantile_sql(0.5) + "\nUNION ALL\n" + _rate_quantile_sql(0.95)
+
+
+def _rule_sql(rule: str, points: str, last: str, condition: str, hold: int) -> str:
+    """Intervals of a rule from its change points (source, status, b, and what
+    the condition reads); ``hold`` in steps of 30 s."""
+    part = "PARTITION BY source, status ORDER BY b"
+    return f"""
+SELECT '{rule}' AS rule, source, status, (sb + 1) * 30000000 AS start_us, (eb + 1) * 30000000 AS end_us,
+       CASE WHEN sb + {hold} <= eb THEN (sb + {hold} + 1) * 30000000 END AS fire_us
+FROM (SELECT source, status, run, min(b) AS sb, max(upto) AS eb
+      FROM (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER ({part} ROWS UNBOUNDED PRECEDING) AS run
+            FROM (SELECT *, {condition} AS hit, coalesce(lead(b) OVER ({part}) - 1, ({last})) AS upto FROM {points}))
+      WHERE hit GROUP BY source, status, run)"""
+
+
+def _windows_sql(name: str, steps: str, cols: list[str]) -> str:
+    """CTE ``name``: sums over 10 steps at every step where one can change."""
+    sums = ", ".join(f"sum({c}) OVER (PARTITION BY source, status ORDER BY b RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS {c}"
+                     for c in cols)
+    zero = ", ".join(f"0 AS {c}" for c in cols)
+    return f"""{name} AS (SELECT DISTINCT source, status, b, {sums} FROM (
+  SELECT source, status, b, {", ".join(cols)} FROM {steps}
+  UNION ALL SELECT source, status, b + 10, {zero} FROM {steps} WHERE b < (SELECT max(b) FROM {steps})))"""
+
+
+def _gauge_sql(name: str, value: str, where: str) -> str:
+    return f"""{name} AS (SELECT 'u' || user_id AS source, '' AS status, CAST(floor(epoch_us(ts) / 30000000) AS BIGINT) AS b,
+  arg_max({value}, struct_pack(t := epoch_us(ts), v := {value})) AS v FROM events WHERE {where} GROUP BY ALL)"""
+
+
+_STEP = "CAST(floor(ts_us / 30000000) AS BIGINT) AS b"
+ORACLE["e6_rules"] = f"""WITH {_SAMPLES.strip()}, {_MINUTES.strip()},
+every_step AS (SELECT source, status, {_STEP}, sum(delta) * 60 AS v FROM deltas GROUP BY ALL),
+error_step AS (SELECT * FROM every_step WHERE status = 'error_crawl'),
+slow_step AS (SELECT source, '' AS status, {_STEP}, sum(CASE WHEN counts THEN n3 ELSE 0 END) AS upto10,
+                     sum(CASE WHEN counts THEN nt ELSE 0 END) AS total FROM later GROUP BY ALL),
+{_windows_sql("every_at", "every_step", ["v"])},
+{_windows_sql("error_at", "error_step", ["v"])},
+{_windows_sql("slow_at", "slow_step", ["upto10", "total"])},
+{_gauge_sql("kafka_at", "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END", "user_id % 2 = 0")},
+{_gauge_sql("crawler_at", "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END", "user_id % 2 <> 0")},
+{_gauge_sql("breaker_at", "CAST(floor(value) AS BIGINT) % 3", "true")}
+""" + "\nUNION ALL".join([
+    _rule_sql("HighErrorRate", "error_at", "SELECT max(b) + 9 FROM error_step", "v / 300.0 > 0.16", 4),
+    _rule_sql("NoArticlesProcessed", "every_at", "SELECT max(b) + 9 FROM every_step", "v = 0", 10),
+    _rule_sql("KafkaConnectionDown", "kafka_at", "SELECT max(b) FROM kafka_at", "v = 0", 2),
+    _rule_sql("ServiceDown", "crawler_at", "SELECT max(b) FROM crawler_at", "v = 0", 2),
+    _rule_sql("CircuitBreakerOpen", "breaker_at", "SELECT max(b) FROM breaker_at", "v = 2", 4),
+    _rule_sql("SlowProviderFetch", "slow_at", "SELECT max(b) + 9 FROM slow_step",
+              "total > 0 AND upto10 / 300.0::DOUBLE < 0.95::DOUBLE * (total / 300.0::DOUBLE)", 10)])

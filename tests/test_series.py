@@ -127,3 +127,37 @@ def test_ties_do_not_count_as_resets(spark):
     for r in (rows, rows[::-1]):
         total = SR.counter_deltas(_samples(spark, r), ["metric", "source"]).groupBy().sum("delta").first()[0]
         assert total == 3
+
+
+def test_empty_windows_never_fire_a_quantile_rule(spark):
+    """After the last fast observation every window is empty (NaN): silence is not slowness."""
+    rows = [("provider_fetch_duration_seconds", "a", "", 30 * i, v, le) for i in range(60)
+            for le, v in (("1", min(i, 5)), ("20", min(i, 5)), ("+Inf", min(i, 5)))]
+    iv = SR.evaluate_rule(_samples(spark, rows), SR.ALERT_PRESETS["SlowProviderFetch"], ["metric", "source"])
+    assert iv.count() == 0
+
+
+def test_gauge_change_points_equal_dense_grid(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for src in ("a", "b", None):
+        t = 0
+        for _ in range(80):
+            t += rnd.choice([0, 5, 20, 30, 90, 400, 9000])
+            rows.append(("circuit_breaker_state", src, "", t, rnd.choice([0, 1, 2, 2])))
+    s = _samples(spark, rows)
+    keys, cols = ["metric", "source"], ["source", "start_us", "end_us", "fire_us"]
+    for end_us in (None, int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000 + 20_000 * 1_000_000):
+        dense = SR.alert_intervals(SR.gauge_grid(s, keys, 30, end_us=end_us), keys, F.col("value") == 2, 120)
+        sparse = SR.gauge_alert_intervals(s, keys, 30, "==", 2.0, 120, end_us=end_us)
+        a, b = (sorted(map(repr, x.select(*cols).collect())) for x in (dense, sparse))
+        assert a == b and a
+
+
+def test_sum_increase_of_a_window(spark):
+    rows = [("m", "a", "x", t, v) for t, v in ((0, 1), (100, 5), (200, 9), (300, 2))] + [("m", "b", "y", 0, 7)]
+    at = T0 + dt.timedelta(seconds=300)
+    out = {r.status: (r.increase, r.rate) for r in SR.sum_increase(
+        _samples(spark, rows), ["metric", "source", "status"], at, 150, by=["status"]).collect()}
+    assert out == {"x": (6.0, 6.0 / 150), "y": (0.0, 0.0)}
