@@ -189,6 +189,13 @@ def q_f1(spark, sf_dir):
     return flat_articles(ST.last_published(store)).select("source", "id", "published_us")
 
 
+@query("f1_last_published_source")
+def q_f1_source(spark, sf_dir):
+    chat = C.with_content_hash(P.parse_items(FX.conversation_pages(spark, sf_dir), dedup=True))
+    store = FX.stored_articles(spark, sf_dir).unionByName(chat.select(*S.ARTICLE_COLS))
+    return flat_articles(ST.last_published(store, "dummy")).select("source", "id", "published_us")
+
+
 @query("f1_last_published_by_type")
 def q_f1_type(spark, sf_dir):
     store = FX.stored_articles(spark, sf_dir)
@@ -483,11 +490,15 @@ def q_i1_expire(spark, sf_dir):
 # ------------------------------------------------------ streaming (A4, H1-H4)
 
 
+CRAWLED_AT = "2024-01-15 12:00:00"
+
+
 def _crawls(spark, sf_dir) -> list[DataFrame]:
     """Raw pages of two crawls of the document feeds, the chat feed with the
     second; each is landed and drained before the next."""
-    return [FX.document_pages(spark, sf_dir, 0),
-            FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))]
+    crawls = [FX.document_pages(spark, sf_dir, 0),
+              FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))]
+    return [c.withColumn("fetched_at", F.lit(CRAWLED_AT).cast("timestamp")) for c in crawls]
 
 
 def _ingest(spark, sf_dir, metrics: str | None = None) -> str:
@@ -524,8 +535,8 @@ def q_h1(spark, sf_dir):
 def q_h1_counters(spark, sf_dir):
     metrics = scratch_path(spark, "metrics")
     _ingest(spark, sf_dir, metrics)
-    return (spark.read.parquet(metrics).groupBy("metric", "source", "status")
-                 .agg(F.sum("value").alias("value")))
+    return (spark.read.parquet(metrics).groupBy("metric", "source", "status", "le")
+                 .agg(F.round(F.sum("value"), 3).alias("value")))
 
 
 @query("h3_run_sync")
@@ -539,6 +550,15 @@ def q_h3(spark, sf_dir):
             .unionByName(spark.read.parquet(dead).select("key", F.lit("dead_letter").alias("route"))))
 
 
+@query("h3_counters")
+def q_h3_counters(spark, sf_dir):
+    metrics = scratch_path(spark, "sync-metrics")
+    IN.run_sync(spark, _ingest(spark, sf_dir), scratch_path(spark, "synced"), scratch_path(spark, "dead"),
+                sync_outcome(), checkpoint=scratch_path(spark, "ckpt-sync"), available_now=True,
+                metrics_path=metrics).awaitTermination()
+    return spark.read.parquet(metrics).groupBy("metric", "source").agg(F.sum("value").alias("value"))
+
+
 @query("h4_sample_nth_stream")
 def q_h4(spark, sf_dir):
     """``events`` land week by week, oldest first, each drained on landing;

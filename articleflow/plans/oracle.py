@@ -171,6 +171,12 @@ SELECT source, id, published_us FROM (
   UNION ALL SELECT source, id, published_us FROM chat)
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY published_us DESC NULLS LAST, id DESC) = 1""")
 
+ORACLE["f1_last_published_source"] = with_common("""
+SELECT source, id, published_us FROM (
+  SELECT source, id, published_us FROM stored
+  UNION ALL SELECT source, id, published_us FROM chat) WHERE source = 'dummy'
+ORDER BY published_us DESC NULLS LAST, id DESC LIMIT 1""")
+
 ORACLE["f1_last_published_by_type"] = with_common("""
 SELECT type, id, published_us FROM stored
 QUALIFY row_number() OVER (PARTITION BY type ORDER BY published_us DESC NULLS LAST, id DESC) = 1""")
@@ -443,9 +449,10 @@ UNION ALL SELECT DISTINCT feed, run_id, page_no FROM arts1
 UNION ALL SELECT DISTINCT feed, run_id, page_no FROM chat""")
 
 _STREAM_PAGES = """
-spages AS (SELECT feed, run_id, page_no, id, content_hash, body FROM uniq0
-           UNION ALL SELECT feed, run_id, page_no, id, content_hash, body FROM uniq1
-           UNION ALL SELECT feed, run_id, page_no, id, sha256('dummy' || url || title || summary || body), body FROM chat),
+spages AS (SELECT feed, run_id, page_no, id, content_hash, body, source, published_us FROM uniq0
+           UNION ALL SELECT feed, run_id, page_no, id, content_hash, body, source, published_us FROM uniq1
+           UNION ALL SELECT feed, run_id, page_no, id, sha256('dummy' || url || title || summary || body), body,
+                  source, published_us FROM chat),
 sfeed AS (SELECT *, lag(content_hash) OVER (PARTITION BY id ORDER BY run_id, feed, page_no) AS prev FROM spages),
 semitted AS (SELECT * FROM sfeed WHERE prev IS NULL OR prev <> content_hash)"""
 
@@ -460,16 +467,34 @@ ORACLE["h4_sample_nth_stream"] = ORACLE["e2_sample_nth"].replace(
 
 ORACLE["e6_alert_intervals_sparse"] = ORACLE["e6_alert_intervals"]
 
-ORACLE["h1_ingest_counters"] = with_common(f""", {_STREAM_PAGES.strip()}
-SELECT 'articles_ingested_total' AS metric, feed AS source, 'success' AS status, CAST(count(*) AS DOUBLE) AS value
+def _fresh_rows() -> str:
+    rows = [(f"'article_freshness_seconds_bucket', feed, '', '{format(float(b), 'g')}'",
+             f"count(*) FILTER (WHERE age <= {float(b)!r})") for b in _FRESH_BOUNDS]
+    rows += [("'article_freshness_seconds_bucket', feed, '', '+Inf'", "count(age)"),
+             ("'article_freshness_seconds_sum', feed, '', ''", "round(sum(age), 3)"),
+             ("'article_freshness_seconds_count', feed, '', ''", "count(age)")]
+    return "".join(f"\nUNION ALL\nSELECT {key}, CAST({v} AS DOUBLE) FROM aged GROUP BY feed" for key, v in rows)
+
+
+ORACLE["h1_ingest_counters"] = with_common(f""", {_STREAM_PAGES.strip()},
+aged AS (SELECT feed, (epoch_us(TIMESTAMP '2024-01-15 12:00:00') - published_us) / 1e6 AS age FROM spages WHERE published_us IS NOT NULL)
+SELECT 'articles_ingested_total' AS metric, feed AS source, 'success' AS status, '' AS le, CAST(count(*) AS DOUBLE) AS value
 FROM sfeed GROUP BY feed
 UNION ALL
-SELECT 'articles_duplicates_skipped_total', feed, '', CAST(count(*) AS DOUBLE)
+SELECT 'articles_duplicates_skipped_total', feed, '', '', CAST(count(*) AS DOUBLE)
 FROM sfeed WHERE prev = content_hash GROUP BY feed
 UNION ALL
-SELECT 'articles_published_total', feed, '',
+SELECT 'articles_published_total', feed, '', '',
        CAST(count(*) FILTER (WHERE prev IS NULL OR prev <> content_hash) AS DOUBLE)
-FROM sfeed GROUP BY feed""")
+FROM sfeed GROUP BY feed
+UNION ALL
+SELECT 'publish_errors_total', feed, '', '', 0.0::DOUBLE FROM sfeed GROUP BY feed{_fresh_rows()}""")
+
+ORACLE["h3_counters"] = with_common(f""", {_STREAM_PAGES.strip()}
+SELECT m.metric, source, CAST(count(*) AS DOUBLE) AS value
+FROM semitted JOIN (VALUES ('cms_articles_processed_total', true), ('cms_sync_errors_total', false),
+                           ('dlq_messages_published_total', false)) m(metric, ok) ON m.ok = (length(body) % 7 <> 0)
+GROUP BY m.metric, source""")
 
 ORACLE["e2_reset_all"] = """
 WITH r AS (SELECT event_id, event_type, ts, coalesce(event_type = 'purchase' AND value > 400, false) AS is_all,

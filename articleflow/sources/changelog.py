@@ -116,16 +116,25 @@ def route_with(articles: DataFrame, call) -> DataFrame:
     return articles.mapInPandas(run, schema)
 
 
+def outcome_table(articles: DataFrame, outcome) -> DataFrame:
+    """Articles with ``synced``, written once, so each article is sent once
+    and later steps agree on its outcome."""
+    marked = route(articles, outcome) if isinstance(outcome, Column) else route_with(articles, outcome)
+    path = scratch_path(articles.sparkSession, "outcome")
+    marked.write.partitionBy("synced").parquet(path)
+    return articles.sparkSession.read.schema(marked.schema).parquet(path)
+
+
+def sides(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(synced, dead_letters)`` of an outcome table."""
+    synced = marked.filter(F.col("synced")).drop("synced")
+    return synced, to_change_events(marked.filter(~F.col("synced")).drop("synced"))
+
+
 def sync_and_route(articles: DataFrame, outcome):
     """``outcome`` (a bool column, or a Python client as in
     :func:`route_with`: downstream call succeeded) splits the decoded
     articles into ``(synced, dead_letters)``; a dead letter is the whole
     article re-encoded with the same key (A6 encoding).  The outcome is
     written once, so each article is sent once and lands on one side."""
-    marked = route(articles, outcome) if isinstance(outcome, Column) else route_with(articles, outcome)
-    path = scratch_path(articles.sparkSession, "outcome")
-    marked.write.partitionBy("synced").parquet(path)
-    marked = articles.sparkSession.read.schema(marked.schema).parquet(path)
-    synced = marked.filter(F.col("synced")).drop("synced")
-    failed = marked.filter(~F.col("synced")).drop("synced")
-    return synced, to_change_events(failed)
+    return sides(outcome_table(articles, outcome))

@@ -10,6 +10,7 @@ replay recomputes the same events against the same store state).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from articleflow import schema as S
 from articleflow.operators import changes as C
+from articleflow.operators import metrics as M
 from articleflow.operators import parse as P
 from articleflow.operators.store import ArticleStore
 from articleflow.session import checkpoint_root, read_if_written
@@ -25,8 +27,10 @@ from articleflow.sources import changelog as CL
 
 CHANGE_EVENT_COLS = ["key", "value", "feed", "run_id", "page_no"]
 # A change-events sink: called once per micro-batch with the events and the
-# batch id; it must be idempotent per batch id (a replay calls it again).
-Sink = Callable[[DataFrame, int], None]
+# batch id; it must be idempotent per batch id (a replay calls it again).  It
+# may return the pages (feed, run_id, page_no) it could not publish; they are
+# counted and the ingest goes on.  If it raises, the batch is run again.
+Sink = Callable[[DataFrame, int], DataFrame | None]
 
 
 def parquet_sink(path: str) -> Sink:
@@ -67,27 +71,49 @@ def walk_decoded(decoded: DataFrame) -> DataFrame:
     return decoded.join(walked, S.PAGE_KEY)
 
 
-def batch_counters(feed: DataFrame, bad_pages: DataFrame, failed_runs: DataFrame | None = None) -> DataFrame:
-    """Counter increments of one batch in long form ``(metric, source,
-    status, value)``, per feed: unique articles ingested (D1), duplicates
-    skipped (D2), articles published (D3) and undecodable pages (D5)."""
-    from articleflow.operators import metrics as M
-    ingested = feed.groupBy("feed").agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("articles_ingested_total").alias("metric"), "feed", F.lit("success").alias("status"), "value")
-    skipped = M.duplicate_counters(feed).select(
-        F.lit("articles_duplicates_skipped_total").alias("metric"), "feed", F.lit("").alias("status"),
-        F.col("skipped").alias("value"))
-    published = M.publish_counters(feed, F.lit(True)).select(
-        F.lit("articles_published_total").alias("metric"), "feed", F.lit("").alias("status"),
-        F.col("published").alias("value"))
-    errors = M.parse_error_counters(bad_pages).select(
-        F.lit("parse_errors_total").alias("metric"), "feed", F.lit("").alias("status"),
-        F.col("parse_errors").alias("value"))
-    out = ingested.unionByName(skipped).unionByName(published).unionByName(errors)
+def _long(df: DataFrame, key: str, metric: str, value: str, status: str = "", le: str = "''") -> DataFrame:
+    """Rows ``(metric, source, status, le, value)``."""
+    return df.select(F.lit(metric).alias("metric"), F.col(key).alias("source"), F.lit(status).alias("status"),
+                     F.expr(le).alias("le"), F.col(value).cast("double").alias("value"))
+
+
+def batch_counters(feed: DataFrame, pages: DataFrame, failed_runs: DataFrame | None = None,
+                   failed_pages: DataFrame | None = None) -> DataFrame:
+    """Increments of one batch in long form ``(metric, source, status, le,
+    value)``, per feed: unique articles ingested (D1), duplicates skipped
+    (D2), articles published and pages that could not be (D3), undecodable
+    pages (D5) and the freshness histogram (D7: age when the page was
+    fetched).  ``pages``: the batch's pages with ``bad`` and ``fetched_at``."""
+    n = F.count(F.lit(1)).alias("n")
+    ok = F.lit(True)
+    if failed_pages is not None:
+        flags = failed_pages.select(*S.PAGE_KEY).distinct().withColumn("_failed", F.lit(True))
+        feed, ok = feed.join(flags, S.PAGE_KEY, "left"), F.col("_failed").isNull()
+    published = M.publish_counters(feed, ok)
+    seen = pages.groupBy(*S.PAGE_KEY).agg(F.max("fetched_at").alias("_seen"))
+    age = M.histogram(M.freshness(feed.join(seen, S.PAGE_KEY), "_seen"), "freshness_s", M.FRESHNESS_BOUNDS, ["feed"])
+    whole = age.filter(F.col("le") == M.INF)
+    parts = [_long(feed.groupBy("feed").agg(n), "feed", "articles_ingested_total", "n", "success"),
+             _long(M.duplicate_counters(feed), "feed", "articles_duplicates_skipped_total", "skipped"),
+             _long(published, "feed", "articles_published_total", "published"),
+             _long(published, "feed", "publish_errors_total", "publish_errors"),
+             _long(M.parse_error_counters(pages.filter("bad")), "feed", "article_parse_errors_total", "parse_errors"),
+             _long(age, "feed", "article_freshness_seconds_bucket", "cumulative_count", le="le"),
+             _long(whole, "feed", "article_freshness_seconds_sum", "sum"),
+             _long(whole, "feed", "article_freshness_seconds_count", "count")]
     if failed_runs is not None:
-        out = out.unionByName(failed_runs.groupBy("feed").agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit("articles_ingested_total").alias("metric"), "feed", F.lit("error_crawl").alias("status"), "value"))
-    return out.withColumnRenamed("feed", "source").withColumn("value", F.col("value").cast("double"))
+        parts.append(_long(failed_runs.groupBy("feed").agg(n), "feed", "articles_ingested_total", "n", "error_crawl"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sync_increments(routed: DataFrame) -> DataFrame:
+    """D4 increments of one batch in the same long form, per article source;
+    a counter appears once it has counted something."""
+    c = M.sync_counters(routed)
+    parts = [_long(c, "source", metric, value) for metric, value in (
+        ("cms_articles_processed_total", "processed"), ("cms_sync_errors_total", "errors"),
+        ("dlq_messages_published_total", "dead_lettered"))]
+    return reduce(DataFrame.unionByName, parts).filter("value > 0")
 
 
 def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: ArticleStore,
@@ -118,14 +144,14 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         # the store is read as three narrow columns, never the article bodies
         current = store.current(before_batch=batch_id, columns=["content_hash"])
         feed = C.change_feed(pages, current)
-        if metrics_path:
-            _overwrite_partition(batch_counters(feed, decoded.filter("bad"), failed_runs), batch_id, metrics_path)
         emitted = feed.filter(F.col("change") != C.UNCHANGED)
         # one event per emitted page row, with its page coordinates so a
         # consumer can order several changes of one id within a batch
         events = emitted.select(F.col("id").alias("key"), CL.article_json(emitted).alias("value"),
                                 "feed", "run_id", "page_no")
-        (sink or parquet_sink(changes_path))(events, batch_id)
+        failed_pages = (sink or parquet_sink(changes_path))(events, batch_id)
+        if metrics_path:
+            _overwrite_partition(batch_counters(feed, decoded, failed_runs, failed_pages), batch_id, metrics_path)
         store.write_batch(batch_id, store.changed_rows(batch_id, C.latest_rows(pages)))
         store.commit(batch_id)
     finally:
@@ -182,32 +208,38 @@ def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, chan
     return w.start()
 
 
-def sync_batch(events: DataFrame, batch_id: int, outcome, synced_path: str, dead_path: str) -> None:
-    """H3 body: decode (A7), call downstream (A8), route failures to the
-    dead-letter table with the same key."""
-    arts = CL.read_changes(events).persist()
-    try:
-        synced, dead = CL.sync_and_route(arts, outcome)
-        _overwrite_partition(synced.select(*S.ARTICLE_COLS), batch_id, synced_path)
-        _overwrite_partition(dead, batch_id, dead_path)
-    finally:
-        arts.unpersist()
+def sync_batch(events: DataFrame, batch_id: int, outcome, synced_path: str, dead_path: str,
+               metrics_path: str | None = None) -> None:
+    """H3 body: decode (A7), call downstream once (A8), route failures to the
+    dead-letter table with the same key, then count (D4)."""
+    marked = CL.outcome_table(CL.read_changes(events), outcome)
+    synced, dead = CL.sides(marked)
+    _overwrite_partition(synced.select(*S.ARTICLE_COLS), batch_id, synced_path)
+    _overwrite_partition(dead, batch_id, dead_path)
+    if metrics_path:
+        _overwrite_partition(sync_increments(marked), batch_id, metrics_path)
 
 
 def run_sync(spark: SparkSession, changes_path: str, synced_path: str, dead_path: str,
              outcome=None, checkpoint: str | None = None,
-             available_now: bool = False, interval: str = "1 minute") -> StreamingQuery:
+             available_now: bool = False, interval: str = "1 minute",
+             metrics_path: str | None = None, stream: DataFrame | None = None) -> StreamingQuery:
     """H3: consume the change log continuously.  ``outcome`` is a bool column
-    or a Python client (see ``changelog.sync_and_route``)."""
+    or a Python client (see ``changelog.sync_and_route``).  ``stream``: any
+    stream with ``key`` and ``value`` text columns (a broker's topic) in
+    place of the Parquet change log; ``metrics_path``: table of the D4
+    increments."""
     from pyspark.sql import types as T
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
                            T.StructField("feed", T.StringType()), T.StructField("run_id", T.LongType()),
                            T.StructField("page_no", T.LongType()), T.StructField("batch_id", T.LongType())])
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/sync-stream"
     outcome = outcome if outcome is not None else F.lit(True)
-    stream = spark.readStream.schema(schema).parquet(changes_path)
+    if stream is None:
+        stream = spark.readStream.schema(schema).parquet(changes_path)
     offset = batch_offset(spark, checkpoint, outputs=(synced_path, dead_path))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-               .foreachBatch(lambda df, bid: sync_batch(df, offset + bid, outcome, synced_path, dead_path)))
+               .foreachBatch(lambda df, bid: sync_batch(df, offset + bid, outcome, synced_path, dead_path,
+                                                        metrics_path)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()

@@ -5,6 +5,8 @@ from articleflow.operators import store as ST
 from articleflow.plans import catalog as Q
 from articleflow.plans import fixtures as FX
 from articleflow.session import scratch_path
+from pyspark.sql import functions as F
+
 from articleflow.streaming import ingest as IN
 
 
@@ -99,7 +101,28 @@ def test_ingest_writes_batch_counters(spark, sf_small):
     assert sum(v for (k, _), v in m.items() if k == "articles_published_total") == n_events
     assert sum(v for (k, _), v in m.items() if k == "articles_ingested_total") == n_events  # empty store: all new
     bad = P.split_bad_pages(raw0, P.PULSELIVE)[1].count()
-    assert sum(v for (k, _), v in m.items() if k == "parse_errors_total") == bad == 1
+    assert sum(v for (k, _), v in m.items() if k == "article_parse_errors_total") == bad == 1
+
+
+def test_pages_the_sink_could_not_publish_are_counted(spark, sf_small):
+    raw = FX.document_pages(spark, sf_small, 0)
+    reg = FX.registry_from_documents(spark, sf_small)
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-p"))
+    metrics = scratch_path(spark, "metrics-p")
+    seen = {}
+
+    def sink(events, batch_id):
+        pages = events.select("feed", "run_id", "page_no").distinct()
+        failed = pages.filter("page_no % 2 = 0")
+        seen["pages"] = failed.count()
+        seen["published"] = events.filter("page_no % 2 <> 0").count()
+        return failed
+    IN.ingest_batch(raw, 0, reg, store, None, metrics_path=metrics, sink=sink)
+    m = spark.read.parquet(metrics).groupBy("metric").agg(F.sum("value").alias("v"))
+    m = {r.metric: r.v for r in m.collect()}
+    assert m["publish_errors_total"] == seen["pages"] > 0
+    assert m["articles_published_total"] == seen["published"] > 0
+    assert store.current().count() > 0       # the store goes on
 
 
 def test_ingest_walk_stops_runs_like_the_crawl(spark):
