@@ -8,8 +8,13 @@ addresses) are far too common alone.  They are reported only where parts
 complete each other within a scope of ``SCOPE`` code points: an identifier
 beside a secret, a secret beside an identifier, an endpoint beside both.
 Base spans count as parts.  The link is an interval join over the parts:
-equal text and neighbouring bins of the scope's width, then the distance.  A
-scope holds a bounded number of parts, so a very long text costs its length.
+equal text and common bins of the scope's width, then the distance.  A scope
+holds a bounded number of parts, so a very long text costs its length.
+
+``redact`` measures the distance as the gap between the spans, so a secret of
+any length is linked on both sides.  ``secret_report`` measures it from start
+to start, as its SQL does: a part that follows a longer one than the scope is
+not linked there.
 
 Positions come from the lengths of the stretches between matches, added up
 by a window over the matches.  DataFrame functions only.
@@ -58,10 +63,11 @@ def _stretches(kind: str) -> Column:
         F.char_length(x["match"]).alias("size"), ok(x).alias("ok"))))
 
 
-def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, by_gap: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, spans).  rows: doc_id, print (hash of the text), rid (of the
     row).  spans: rid, kind, rank (order of kinds), start, end; base spans and
-    linked weak ones."""
+    linked weak ones.  ``by_gap``: the scope is the gap between two spans,
+    otherwise the distance of their starts."""
     ready(docs.sparkSession)
     parts = F.concat(*[F.coalesce(_stretches(k), F.array().cast(
         "array<struct<kind:string,i:int,gap:int,size:int,ok:boolean>>")) for k in KINDS])
@@ -81,25 +87,28 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for role, others in (("id", ["secret"]), ("secret", ["id"]), ("endpoint", ["id", "secret"])):
         mine = weak.where(F.col("part") == role)
         for other in others:
-            mine = _beside(mine, spans.where(F.col("part") == other))
+            mine = _beside(mine, spans.where(F.col("part") == other), by_gap)
         kept = kept.unionByName(mine)
     return found.select("doc_id", "print", "rid"), kept.drop("part")
 
 
-def _beside(mine: DataFrame, other: DataFrame) -> DataFrame:
+def _beside(mine: DataFrame, other: DataFrame, by_gap: bool) -> DataFrame:
     """Rows of ``mine`` with a row of ``other`` within the scope: interval
-    join on the text and the bin of the other's start."""
-    bin_of = F.floor(F.col("start") / SCOPE)
-    left = mine.withColumn("bin", F.explode(F.sequence(bin_of - 1, bin_of + 1)))
-    right = other.select(F.col("rid").alias("o_rid"), F.col("start").alias("o_start"), bin_of.alias("o_bin"))
+    join on the text and the bins that the other and the surroundings of mine
+    reach."""
+    last, o_last = (F.col("end"), F.col("o_end")) if by_gap else (F.col("start"), F.col("o_start"))
+    bin_of = lambda at: F.floor(at / SCOPE)
+    left = mine.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start") - SCOPE), bin_of(last + SCOPE))))
+    right = (other.select(F.col("rid").alias("o_rid"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+             .withColumn("o_bin", F.explode(F.sequence(bin_of(F.col("o_start")), bin_of(o_last)))))
     near = (F.col("rid") == F.col("o_rid")) & (F.col("bin") == F.col("o_bin")) & (
-        F.abs(F.col("start") - F.col("o_start")) <= SCOPE)
+        F.greatest("start", "o_start") - F.least(last, o_last) <= SCOPE)
     return left.join(right, near, "left_semi").drop("bin").distinct()
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row."""
-    rows, spans = find_spans(docs)
+    rows, spans = find_spans(docs, by_gap=False)
     listed = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("s"))
     every = F.coalesce("s", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
     joined = rows.join(listed, "rid", "left").select("doc_id", every.alias("s"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from articleflow.llm import licenses
+from articleflow.llm import licenses, secrets
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,11 @@ def test_a_notice_with_words_between_is_found(scan, name):
     assert name in [x for x, _ in scan("\n".join(lines))]
     spread = [f"{w} x{i} y{i}" if i < 20 else w for i, w in enumerate(words)]
     assert [x for x, _ in scan(" ".join(spread))] == [name]
+
+
+@pytest.mark.parametrize("secret", ["private_key: " + "Ab1/" * 100, "Zx9" * 90])
+def test_a_long_secret_is_masked_on_either_side_of_its_identifier(spark, secret):
+    texts = [f"{secret} client_id: robot77", f"client_id: robot77 {secret}", f"{secret}\nlogin=bob1 end", f"{secret}{' ' * 300}login=bob1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert out == ["[SECRET] [SECRET]", "[SECRET] [SECRET]", "[SECRET]\n[SECRET] end", texts[3]]
