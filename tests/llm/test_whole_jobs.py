@@ -1,8 +1,11 @@
 """Cases that earlier versions of the operators left out."""
 
+import random
+from itertools import combinations
+
 import pytest
 
-from articleflow.llm import licenses, secrets
+from articleflow.llm import decontaminate, licenses, secrets
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +49,49 @@ def test_a_long_secret_is_masked_on_either_side_of_its_identifier(spark, secret)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
     assert out == ["[SECRET] [SECRET]", "[SECRET] [SECRET]", "[SECRET]\n[SECRET] end", texts[3]]
+
+
+def test_short_masks_meet_every_allowed_pattern():
+    for n in range(1, decontaminate.WINDOW):
+        spots = [{s + o for o in m} for m in decontaminate.short_masks(n) for s in range(n - m[-1])]
+        for gone in combinations(range(n), n - decontaminate.short_need(n)):
+            assert any(not x & set(gone) for x in spots), (n, gone)
+
+
+def test_short_and_unspaced_items(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"v{rng.randrange(40)}" for _ in range(n)]
+    items = [(i, say(i % 15 + 1)) for i in range(45)]
+    docs = [(d, say(rng.randint(1, 30))) for d in range(150)]
+    for d, w in docs:
+        _, item = rng.choice(items)
+        item = list(item)
+        for k in rng.sample(range(len(item)), min(len(item), rng.randint(0, 3))):
+            item[k] = "other"
+        w[len(w) // 2:len(w) // 2] = item
+    first = {}
+    for i, w in items:
+        first.setdefault(tuple(w), i)
+    want = {}
+    for d, words in docs:
+        for w, i in first.items():
+            n, size = len(w), min(13, len(w))
+            need = 11 if n >= 13 else -(-4 * n // 5)
+            for s in range(-n, len(words)):
+                same = [0 <= s + k < len(words) and words[s + k] == w[k] for k in range(n)]
+                good = [g for g in range(n - size + 1) if sum(same[g:g + size]) >= need]
+                if good:
+                    m = sum(same[k] and any(g <= k < g + size for g in good) for k in range(n))
+                    want[d, i] = max(want.get((d, i), (0, n)), (m, n))
+    table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string")
+    got = decontaminate.contaminated(table(docs, "doc_id"), table(items, "item_id"), whole=True)
+    assert sorted(map(tuple, got.collect())) == sorted((*k, *v) for k, v in want.items())
+    assert {n for m, n in want.values() if m < n} >= {5, 6, 9, 10, 12}
+
+    question, thai = "今年的春节晚会在哪一天举行呢", "ประเทศไทยอยู่ที่ไหนในโลกนี้"
+    b = spark.createDataFrame([(1, question), (2, thai), (3, "日本"), (4, "")], "item_id long, text string")
+    a = spark.createDataFrame([(1, f"请问{question.replace('晚', '早')}谢谢"), (2, f"xx{thai}yy"), (3, "在日本国"), (4, "日 x 本"), (5, None)],
+                              "doc_id long, text string")
+    rows = {tuple(r)[:2] for r in decontaminate.contaminated(a, b, whole=True).collect()}
+    assert rows == {(1, 1), (2, 2), (3, 3)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(a, b, whole=True).collect()} == {4, 5}
