@@ -123,4 +123,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b AS r"""
 
 
-ORACLE = {"op3_chat_format": OP3, "op4_decontaminate": OP4, "op6_secrets": _op6(), "op7_quality": _op7()}
+def _op11() -> str:
+    """The tree by recursion: a level's nodes from the level below; proofs and
+    folds climb with a row each.  DuckDB has no crc32, so its bits are taken
+    through the polynomial."""
+    h = lambda text: "sha256(concat(" + ", ".join(
+        f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END"
+    byte = "list_reduce([xor(a::BIGINT, b::BIGINT)] || range(8), lambda c, i: " + bit + ")"
+    crc = ("list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')], "
+           f"lambda a, b: {byte})")
+
+    def climb(name, rows):
+        # nodes of all levels of the trees of ``rows`` (tree, pos, h, n)
+        return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, h, n FROM ({rows})
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3)"""
+
+    def proof(name, nodes, rows):
+        # per level the siblings before and after, then one row per leaf
+        return f"""{name} AS (
+  SELECT r.rid, list(struct_pack(l := coalesce(l, ''), r := coalesce(r, '')) ORDER BY level) AS proof FROM (
+    SELECT r.rid, s.level, string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < r.pos // (3 ** s.level)::BIGINT) AS l,
+           string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > r.pos // (3 ** s.level)::BIGINT) AS r
+    FROM {rows} r JOIN {nodes} s ON s.tree = r.tree AND s.n > 1
+     AND s.pos // 3 = r.pos // (3 ** (s.level + 1))::BIGINT
+    GROUP BY r.rid, s.level) AS r GROUP BY r.rid)"""
+
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS tree, {h("text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295::BIGINT) % 2 = 0
+              THEN {h("replace(text, chr(10), '')")} ELSE {h("text")} END AS claimed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{climb("low", "SELECT tree, pos, leaf AS h, n FROM placed")},
+subs AS (SELECT tree AS name, h AS subroot, 'all' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos,
+                count(*) OVER () AS n, row_number() OVER (ORDER BY encode(tree)) AS rid FROM low WHERE n = 1),
+{climb("high", "SELECT tree, pos, subroot AS h, n FROM subs")},
+{proof("low_proof", "low", "placed")},
+{proof("high_proof", "high", "subs")},
+proofs AS (SELECT p.rid, p.doc_id, p.leaf, p.claimed, s.subroot,
+                  coalesce(lp.proof, []) || coalesce(hp.proof, []) AS proof
+           FROM placed p JOIN subs s ON s.name = p.tree LEFT JOIN low_proof lp ON lp.rid = p.rid
+           LEFT JOIN high_proof hp ON hp.rid = s.rid),
+fold AS (SELECT rid, 0 AS i, claimed AS h FROM proofs
+         UNION ALL SELECT f.rid, i + 1, sha256(proof[i + 1].l || h || proof[i + 1].r)
+         FROM fold f JOIN proofs p ON p.rid = f.rid AND i < len(proof)),
+ends AS (SELECT rid, arg_max(h, i) AS folded_root FROM fold GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT max(h) FROM high WHERE n = 1) AS root,
+       sha256(array_to_string([x.l || x.r FOR x IN proof], '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT max(h) FROM high WHERE n = 1) AS verified
+FROM proofs JOIN ends USING (rid)"""
+
+
+ORACLE = {"op3_chat_format": OP3, "op4_decontaminate": OP4, "op6_secrets": _op6(), "op7_quality": _op7(),
+          "op11_merkle": _op11()}

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from articleflow.llm import (
+    alignment,
     chat_format,
     decontaminate,
     language_id,
     licenses,
+    merkle,
     quality,
     secrets,
     sentencepiece_codec,
     simhash,
     suffix_dedup,
     token_count,
+    toxicity,
 )
 
 
@@ -62,5 +65,18 @@ def op10_licenses(spark, sf_dir):
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark, sf_dir):
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_chat_format, op4_decontaminate, op5_simhash,
-                                   op6_secrets, op7_quality, op8_token_count, op9_suffix_dedup, op10_licenses)}
+                                   op6_secrets, op7_quality, op8_token_count, op9_suffix_dedup, op10_licenses, op11_merkle,
+                                   op12_alignment, op13_toxicity)}
