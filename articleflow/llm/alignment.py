@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import append_columns, field, ready, small_side, written
+from articleflow.llm.pieces import MARK, load
 
-CHUNK_BYTES = 6 << 20      # a chunk is closed by the text that reaches this
+CHUNK_BYTES = 4 << 20      # a chunk is closed by the text that reaches this
+ENCODED_AT_ONCE = 1 << 18  # characters given to the library at a time
 PIECE_ENDS = 1 << 16       # ends of both lists in one piece
-LINKS_AT_ONCE = 1 << 21    # links laid out in memory at a time
+LINKS_AT_ONCE = 1 << 19    # links laid out in memory at a time
+WORDS_KEPT_BYTES = 48 << 20  # of the words of B that a worker keeps
 WIDE = 4096                # a group with more links has its repeated ids counted first
 
 
@@ -61,28 +65,68 @@ class Tokenizers:
             self.bytes_a[i] = b"".join(letters.get(c, c.encode()) for c in token)
         n = self.b.get_piece_size()
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
-                        else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+                        else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         self.len_a = np.array([len(x) for x in self.bytes_a])
         self.len_b = np.array([len(x) for x in self.bytes_b])
         # a token as the digest shows it, first of its group or not
         self.shown = [s + str(i) for i in range(len(self.bytes_a)) for s in ",;"]
         self.shown += [s + str(i) for i in range(n) for s in ",|"]
-
-    def encode(self, texts: list[str | None]):
-        """Per text the ids of A and of B as lists, empty where they do not
-        give the bytes back."""
-        at = [i for i, t in enumerate(texts) if t]
-        spaced = [" " + texts[i] for i in at]
-        out = [([], [])] * len(texts)
-        for i, s, x, b in zip(at, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False),
-                              self.b.encode([texts[i] for i in at], num_threads=1), strict=True):
-            raw, a = s.encode(), x.ids
-            if (b"".join(map(self.bytes_a.__getitem__, a)) == raw
-                    and b"".join(map(self.bytes_b.__getitem__, b)) == raw):
-                out[i] = (a, b)
+        # no piece of B crosses a word's end, so its words are encoded once each
+        self.split = load(b_path).splitter()
+        self.words: dict[str, list[int] | None] = {}
+        self.size = 0
+
+    def _word(self, word: str) -> list[int] | None:
+        """Ids of a marked word of B; None if they do not give its bytes."""
+        if word[0] == MARK:                    # the library marks the start itself
+            ids = self.b.encode(word[1:].replace(MARK, " ")) if len(word) > 1 else self.b.encode(" ")[1:]
+        else:
+            ids = self.b.encode("\n" + word)[2:]
+        raw = word.replace(MARK, " ").encode()
+        return ids if b"".join(map(self.bytes_b.__getitem__, ids)) == raw else None
+
+    def _encode_b(self, text: str) -> np.ndarray | None:
+        if MARK in text:                       # comes back as a space
+            return None
+        got, kept = [], self.words
+        for w in self.split(text):
+            ids = kept.get(w, 0)
+            if ids == 0:
+                ids = self._word(w)
+                self.size += len(w) + (0 if ids is None else 8 * len(ids)) + 128
+                if self.size > WORDS_KEPT_BYTES:
+                    kept.clear()
+                    self.size = 0
+                kept[w] = ids
+            if ids is None:
+                return None
+            got.append(ids)
+        return np.fromiter(chain.from_iterable(got), np.int32)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B by text, empty where they do not give the bytes
+        back.  The library sees few texts at a time: what it makes of them is
+        many times larger."""
+        out, at, size = [(_NONE, _NONE)] * len(texts), [], 0
+        for i, t in enumerate(texts):
+            if t:
+                at.append(i)
+                size += len(t)
+            if at and (size >= ENCODED_AT_ONCE or i == len(texts) - 1):
+                spaced = [" " + texts[j] for j in at]
+                for j, s, got in zip(at, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), strict=True):
+                    ids = got.ids
+                    if b"".join(map(self.bytes_a.__getitem__, ids)) == s.encode():
+                        b = self._encode_b(texts[j])
+                        if b is not None:
+                            out[j] = np.array(ids, np.int32), b
+                at, size = [], 0
         return out
 
 
+_NONE = np.zeros(0, np.int32)
+
+
 def _byte_letters() -> dict[str, bytes]:
     """The letter of each byte in a byte-level vocabulary: printable Latin-1
     bytes stand for themselves, the others for U+0100 and on, in order."""
@@ -130,8 +174,8 @@ class Chunk:
         self.tok, self.docs = tok, len(texts)
         self.n_a = np.array([len(a) for a, _ in both], np.int64)
         self.n_b = np.array([len(b) for _, b in both], np.int64)
-        self.a = np.array([i for a, _ in both for i in a], np.int64)
-        self.b = np.array([i for _, b in both for i in b], np.int64)
+        self.a = np.concatenate([_NONE, *[a for a, _ in both]])
+        self.b = np.concatenate([_NONE, *[b for _, b in both]])
         ea, eb = np.cumsum(tok.len_a[self.a]), np.cumsum(tok.len_b[self.b])
         cut_a, cut_b = shared_ends(ea, eb)
         # group g holds the tokens [a0[g], a0[g + 1]) and [b0[g], b0[g + 1])
