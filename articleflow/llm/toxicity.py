@@ -11,11 +11,14 @@
 3. The restored text is scored by a logistic regression over how often its
    words and the beginnings of its words occur.
 
-Learning reads all labelled training rows.  Features are hashed to
-``BUCKETS`` numbers; each task counts, by label, the documents that have one,
-Spark adds the counts up, and the ``KEPT`` features that tell the labels apart
-best (chi-squared, ties by number) get a weight.  So what is broadcast is
-bounded by the alphabet and these two numbers, whatever the data's size.
+The language model counts all texts.  The classifier learns from the
+``TRAIN_ROWS`` labelled doc_ids of the smallest hash (all, if they are fewer),
+so that texts stay where they are and only these ids are broadcast.  Features
+are hashed to ``BUCKETS`` numbers; each task counts, by label, the documents
+that have one, Spark adds the counts up, and the ``KEPT`` features that tell
+the labels apart best (chi-squared, ties by number) get a weight.  So what is
+broadcast is bounded by the alphabet and these three numbers, whatever the
+data's size.
 
 Defined results: a null or empty text scores like any text without features;
 texts are taken whole; without training rows of both labels every score is
@@ -47,13 +50,13 @@ OTHER = 27
 SMOOTH = 8.0               # weight of the shorter context
 BUCKETS = 1 << 18          # hashed features
 KEPT = 4096                # features with a weight
-BEGINNINGS = (4, 5, 6, 7, 8, 9)
-CHARS_KEPT = 4 << 20       # characters of words and spans that a worker keeps results of
+TRAIN_ROWS = 50_000        # bound on the labelled doc_ids that the classifier learns from
+BEGINNINGS = (4, 6, 7, 8)   # in bytes of UTF-8
+BYTES_KEPT = 128 << 20     # of the words and results that a worker keeps, about
 
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-        "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
-        "*": "aeiou", "#": "aeiou"}
+        "@": "a", "$": "s", "!": "il", "|": "il", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
 SEPARATORS = " .-_,/~'"    # fixed value: signs that may stand between the letters of a word
 # Channel costs in nats.
 AS_LETTER, AS_ANY_LETTER, AS_SIGN, DROPPED, AS_BORDER, FOLDED = 1.0, 3.0, 6.0, 0.5, 4.0, 0.5
@@ -68,6 +71,7 @@ SPACED = re.compile(rf"(?<!\S){_ONE}(?: {_ONE}(?!\S)){{2,}}")
 # Inside a run without spaces: single letters with another separator between
 # them; words with signs beside letters (a sign that only ends a word stays);
 # words with a letter three times in a row.
+TRIPLE = re.compile(r"(\w)\1\1")
 MAYBE_SPAN = re.compile(rf"{_SIGN}|({_L})\1\1|{_L}[{re.escape(SEPARATORS)}]{_ONE}[{re.escape(SEPARATORS)}]")
 _REST = rf"(?:{_L}|{_SIGN}{{1,2}}(?={_L}|\s|$))*"
 SPANS = re.compile(                          # words are entered at their first letter only: linear in the run
@@ -161,19 +165,20 @@ def _slots(span: str):
 
 
 class Kept(dict):
-    """Results by word, found when first asked for; starts anew when the words
-    in it have ``CHARS_KEPT`` characters, so its size does not follow the data."""
+    """Results by word, found when first asked for; starts anew when words and
+    results (``weight(result)`` bytes) reach ``BYTES_KEPT``, so its size does
+    not follow the data."""
 
-    def __init__(self, find):
+    def __init__(self, find, weight):
         super().__init__()
-        self.find, self.size = find, 0
+        self.find, self.weight, self.size = find, weight, 0
 
     def __missing__(self, word):
         out = self.find(word)
-        self.size += len(word) + 16
-        if self.size > CHARS_KEPT:
+        self.size += 200 + len(word) + self.weight(out)
+        if self.size > BYTES_KEPT:
             self.clear()
-            self.size = len(word) + 16
+            self.size = 0
         self[word] = out
         return out
 
@@ -184,7 +189,7 @@ class Restorer:
     def __init__(self, surprise: np.ndarray):
         self.surprise = surprise
         self.code = _code()
-        self.runs = Kept(self._run)
+        self.runs = Kept(self._run, len)
 
     def decode(self, span: str) -> str:
         """The cheapest path through the lattice of ``span``."""
@@ -211,27 +216,33 @@ class Restorer:
         return "".join(reversed(out))[:-1]   # without the closing border
 
     def _run(self, run: str) -> str:
-        return SPANS.sub(lambda m: self.decode(m[0]), run) if MAYBE_SPAN.search(run) else run
+        # most are a word and perhaps a stop, which stays whatever it is
+        if (TRIPLE if run.rstrip(".,;:?!").isalpha() else MAYBE_SPAN).search(run):
+            return SPANS.sub(lambda m: self.decode(m[0]), run)
+        return run
 
-    def spaced(self, text: str | None) -> list[str]:
-        """Runs between spaces, spaced-out words already read."""
+    def spaced(self, text: str | None) -> str:
+        """``text`` in lower case with spaced-out words read."""
         text = (text or "").lower()
         if MAYBE_SPACED.search(f" {text} "):
             text = SPACED.sub(lambda m: self.decode(m[0]), text)
-        return text.split(" ")
+        return text
 
     def restore(self, text: str | None) -> str:
         """``text`` in lower case with its spans read."""
-        return " ".join(map(self.runs.__getitem__, self.spaced(text)))
+        return " ".join(map(self.runs.__getitem__, self.spaced(text).split(" ")))
 
 
 _WORD = re.compile(rf"{_L}+")
+_crc, _MASK = zlib.crc32, BUCKETS - 1
 
 
 def _features(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
-    out = [zlib.crc32(("=" + word).encode()) % BUCKETS]
-    out.extend(zlib.crc32(("^" + word[:k]).encode()) % BUCKETS for k in BEGINNINGS if len(word) >= k)
+    raw = word.encode()
+    out = [_crc(raw) & _MASK]
+    n = len(raw)
+    out.extend([_crc(raw[:k], 1) & _MASK for k in BEGINNINGS if n >= k])
     return out
 
 
@@ -242,19 +253,27 @@ class Features:
         self.restorer = Restorer(surprise)
         self.only = only
         # the words of a run of the text, as features of its restored form
-        self.runs = Kept(self._run)
+        self.runs = Kept(self._run, lambda f: 36 * len(f))
 
-    def _run(self, run: str) -> list[int]:
-        f = [x for w in _WORD.findall(self.restorer._run(run)) for x in _features(w)]
-        return f if self.only is None else [x for x in f if x in self.only]
+    def _run(self, run: str):
+        shown = self.restorer._run(run)
+        word = shown.rstrip(".,;:?!")
+        words = (word,) if word.isalpha() else _WORD.findall(shown)
+        f = [x for w in words for x in _features(w)]
+        if self.only is not None:
+            f = [x for x in f if x in self.only]
+        return f or ()
 
     def count(self, text: str | None) -> list[tuple[int, int]]:
         n: Counter = Counter()
-        for run, k in Counter(self.restorer.spaced(text)).items():
+        for run, k in Counter(self.restorer.spaced(text).split()).items():
             for f in self.runs[run]:
                 n[f] += k
         return sorted(n.items())
 
+    def found(self, text: str | None) -> set[int]:
+        return set().union(*map(self.runs.__getitem__, set(self.restorer.spaced(text).split())))
+
 
 def _held(batches, model=None):
     """Documents by label that have a feature, as counts of a task."""
@@ -262,7 +281,7 @@ def _held(batches, model=None):
     sums = np.zeros((2, BUCKETS), np.int64)
     for b in batches:
         for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            sums[toxic, [f for f, _ in features.count(t)]] += 1
+            sums[toxic, list(features.found(t))] += 1
     at = np.flatnonzero(sums.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])],
                                      names=["feature", "clean", "toxic"])
@@ -280,7 +299,7 @@ def _vectors(batches, model=None, weighted=None):
 
 def fit(train: DataFrame, surprise: np.ndarray, kept: int = KEPT) -> tuple[dict[int, float], float]:
     """Weights by feature and the constant, from all rows of ``train`` (text,
-    toxic 0 or 1)."""
+    toxic 0 or 1), which are read three times."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector, VectorUDT
     spark = ready(train.sparkSession)
@@ -351,7 +370,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
                        .alias("held_out"))
     surprise = language_model(rows)
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
-    train = written(rows.where(~F.col("held_out")).join(marks, "doc_id").select("text", "toxic"), "train")
+    learnt = marks.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    learnt = written(learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "labelled")
+    train = rows.join(F.broadcast(learnt), "doc_id").select("text", "toxic")
     weights, constant = fit(train, surprise)
     return (score(rows, surprise, weights, constant)
             .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
