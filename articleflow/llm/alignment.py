@@ -71,23 +71,28 @@ class Tokenizers:
         # a token as the digest shows it, first of its group or not
         self.shown = [s + str(i) for i in range(len(self.bytes_a)) for s in ",;"]
         self.shown += [s + str(i) for i in range(n) for s in ",|"]
-        # no piece of B crosses a word's end, so its words are encoded once each
-        self.split = load(b_path).splitter()
+        # where no piece of B crosses a word's end, its words are encoded once each
+        pieces = load(b_path)
+        self.split = pieces.splitter() if "\n" in pieces.cuts and not pieces.whole else None
         self.words: dict[str, list[int] | None] = {}
         self.size = 0
 
     def _word(self, word: str) -> list[int] | None:
         """Ids of a marked word of B; None if they do not give its bytes."""
-        if word[0] == MARK:                    # the library marks the start itself
-            ids = self.b.encode(word[1:].replace(MARK, " ")) if len(word) > 1 else self.b.encode(" ")[1:]
-        else:
-            ids = self.b.encode("\n" + word)[2:]
+        if word[0] == MARK and len(word) > 1:  # the library marks the start itself
+            ids = self.b.encode(word[1:].replace(MARK, " "))
+        else:                                  # behind a line end, which is two pieces with that mark
+            ids = self.b.encode("\n" + word.replace(MARK, " "))[2:]
         raw = word.replace(MARK, " ").encode()
         return ids if b"".join(map(self.bytes_b.__getitem__, ids)) == raw else None
 
     def _encode_b(self, text: str) -> np.ndarray | None:
         if MARK in text:                       # comes back as a space
             return None
+        if self.split is None:
+            ids = self.b.encode(text)
+            same = b"".join(map(self.bytes_b.__getitem__, ids)) == (" " + text).encode()
+            return np.array(ids, np.int32) if same else None
         got, kept = [], self.words
         for w in self.split(text):
             ids = kept.get(w, 0)
