@@ -49,7 +49,9 @@ CHUNK = 1 << 22          # bytes scanned at once
 BLOCK = 1 << 21          # bytes of distinct stretches whose shards are merged
 SHARD = 1 << 18          # bytes of a shard
 MAX_GROUP = 1 << 15      # distinct stretches of one anchor that a task holds
+SLOTS = 22               # 2 ** SLOTS slots for the hashes of a block's short strings
 _POS = 24                # bits of a place within a chunk
+_MOST = np.iinfo(np.int32).max
 
 
 def _eights(raw: np.ndarray) -> np.ndarray:
@@ -133,20 +135,51 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _spread(*numbers: np.ndarray) -> np.ndarray:
+    """A key of each row alone, for rows that need no company."""
+    x = np.zeros(len(numbers[0]), np.uint64)
+    for y in numbers:
+        x = (x ^ y.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+    return x.view(np.int64)
+
+
+# What a row of an anchor is: to be compared; known to be in two documents;
+# only telling others that the anchor is in its document.
+ASK, KNOWN, TELL = 0, 1, 2
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, print, text) -> (h, doc_id, print, s)."""
+    """(doc_id, print, text) -> (h, doc_id, print, s, kind).  An anchor that
+    two documents of a batch share is known at once: its rows are spread, and
+    two rows tell the other batches, so a common passage does not fill a task."""
     for b in batches:
         doc, prints = b.column(0).to_numpy(), b.column(1).to_numpy()
         for h, i, s, _ in _scan(_bytes(b.column(2))):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i]), pa.array(prints[i]), pa.array(s, pa.int64())],
-                                             names=["h", "doc_id", "print", "s"])
+            if not len(h):
+                continue
+            d, kind = doc[i], np.zeros(len(h), np.int8)
+            order = np.lexsort((d, h))
+            first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+            size = np.diff(np.append(first, len(h)))
+            low, high = order[first], order[first + size - 1]
+            two = d[low] != d[high]
+            kind[order[np.repeat(two, size)]] = KNOWN
+            tell = np.concatenate((low[two], high[two]))
+            key = np.where(kind == KNOWN, _spread(d, s, h), h)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((x, x[tell] if x is not key else h[tell]))) for x in (key, d, prints[i])]
+                + [pa.array(np.concatenate((s, s[tell])), pa.int64()),
+                   pa.array(np.concatenate((kind, np.full(len(tell), TELL, np.int8))))],
+                names=["h", "doc_id", "print", "s", "kind"])
 
 
 def _in_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, print, s) sorted by h and doc_id -> (doc_id, print, s)
-    of the anchors that two documents have."""
+    """Rows (h, doc_id, print, s, kind) sorted by h and doc_id -> (doc_id,
+    print, s) of the anchors that two documents have."""
     def out(rows, some):
-        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in rows[1:]], names=["doc_id", "print", "s"])
+        some = (some | (rows[4] == KNOWN)) & (rows[4] != TELL)
+        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in rows[1:4]], names=["doc_id", "print", "s"])
 
     rest, known = None, None          # rows of the last anchor; it, if it is known to be in two
     for b in batches:
@@ -163,25 +196,39 @@ def _in_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = len(h) if two[-1] else int(first[-1])
         known = h[-1] if two[-1] else None
         rest = None if two[-1] else [c[cut:] for c in rows]
-        if some[:cut].any():
+        if cut:
             yield out([c[:cut] for c in rows], some[:cut])
+    if rest is not None:
+        yield out(rest, np.zeros(len(rest[0]), bool))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, print, text, places) -> (h, piece, doc_id, print, s): bytes of
-    the stretches at the places."""
+    """(doc_id, print, text, places) -> (h, piece, doc_id, print, s, e): bytes
+    of the stretches at the places.  A stretch that an earlier document of the
+    batch has whole is settled at once: a row without bytes, spread."""
     for b in batches:
         doc, prints = b.column(0).to_numpy(), b.column(1).to_numpy()
         texts, places = _bytes(b.column(2)), b.column(3)
         counts = np.array([len(x) for x in places])
         at = (np.repeat(np.arange(len(texts)), counts) << 40) | places.flatten().to_numpy()   # text, place
         for h, i, s, r in _scan(texts):
-            wanted = np.isin((i << 40) | s, at)
+            wanted = np.flatnonzero(np.isin((i << 40) | s, at))
+            if not len(wanted):
+                continue
+            wanted = wanted[np.argsort(doc[i[wanted]], kind="stable")]
             h, i, s, r = h[wanted], i[wanted], s[wanted], r[wanted]
-            pieces = [texts[j][a:a + k + LENGTH - 1] for j, a, k in zip(i.tolist(), s.tolist(), r.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(pieces, pa.binary()), pa.array(doc[i]),
-                                              pa.array(prints[i]), pa.array(s, pa.int64())],
-                                             names=["h", "piece", "doc_id", "print", "s"])
+            d, e = doc[i], s + r + LENGTH - 1
+            first, pieces = {}, []
+            for j, a, z, k in zip(i.tolist(), s.tolist(), e.tolist(), d.tolist()):
+                piece = texts[j][a:z]
+                pieces.append(piece if first.setdefault(piece, k) == k else None)
+            here = np.fromiter((x is None for x in pieces), bool, len(pieces))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(here, _spread(d, s, h), h)), pa.array(pieces, pa.binary()), pa.array(d),
+                 pa.array(prints[i]), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=_PIECE)
+
+
+_PIECE = ["h", "piece", "doc_id", "print", "s", "e"]
 
 
 def _order(numbers: np.ndarray, bits: int) -> np.ndarray:
@@ -212,81 +259,168 @@ def _shard(eight: np.ndarray) -> np.ndarray:
     return order
 
 
-def merged(shards: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def _ranks(shards: list[np.ndarray]) -> np.ndarray:
+    """Rank of the 8 bytes from each place on, every shard read as a circle."""
+    n = sum(map(len, shards))
+    bits = n.bit_length()
+
+    def joined(each):
+        return np.concatenate([each(x) for x in shards])
+    x = joined(lambda x: x).astype(np.int64)
+    circle = lambda step: joined_roll(np.arange(n), shards, step)
+    two = (x << 8) | x[circle(-1)]
+    four = (two << 16) | two[circle(-2)]
+    four = _dense(four, _order(four, bits))
+    wide = int(four.max()).bit_length()
+    if 2 * wide + bits > 63:                 # nearly all of them differ: no room for the place
+        _, rank = np.unique(joined(lambda x: _eights(np.concatenate((x, np.resize(x, 7))))), return_inverse=True)
+        return rank.astype(np.int64)
+    eight = (four << wide) | four[circle(-4)]
+    return _dense(eight, _order(eight, bits))
+
+
+def joined_roll(x: np.ndarray, shards: list[np.ndarray], step: int) -> np.ndarray:
+    """``x`` by place, moved on by ``step`` inside each shard."""
+    return np.concatenate([np.roll(p, step) for p in np.split(x, np.cumsum([len(y) for y in shards])[:-1])])
+
+
+def merged(shards: list[np.ndarray], length: int = LENGTH, live=None) -> tuple[np.ndarray, np.ndarray]:
     """(places, opens) over the bytes of all shards laid end to end: the
     places in the order of their first ``length`` bytes, and where that order
-    passes on to other bytes."""
+    passes on to other bytes.
+
+    ``live(places, opens, depth)`` tells after each round which entries can
+    still matter; the others leave the interleave, and with them every suffix
+    that starts before them (its interval is part of theirs)."""
     sizes = [len(x) for x in shards]
-    _, eight = np.unique(np.concatenate([_eights(np.concatenate((x, np.resize(x, 7)))) for x in shards]),
-                         return_inverse=True)
-    eights = np.split(eight.astype(np.int64), np.cumsum(sizes)[:-1])
-    orders = [_shard(x) for x in eights]
-    place = np.concatenate([o + off for o, off in zip(orders, np.cumsum([0, *sizes[:-1]]))])
-    # the transforms: what stands before each suffix, as a rank of 8 bytes or as the bytes of a shorter step
-    before = np.concatenate([x[o - 8 if len(x) >= 8 else (o - 8) % len(x)] for x, o in zip(eights, orders)])
-    n, short = len(place), length % 8
+    offs = np.cumsum([0, *sizes[:-1]])
+    eight = _ranks(shards)
+    orders = [_shard(x) for x in np.split(eight, np.cumsum(sizes)[:-1])]
+    every = np.concatenate([o + off for o, off in zip(orders, offs)]).astype(np.int32)
+    suffix = every                                                      # of all shards, each in its order
+    n = len(every)
     bits = n.bit_length()
-    which = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)   # the interleave
+    shard_of = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    which = shard_of                                                    # the interleave
     group = np.zeros(n, np.int32)                                       # equal so far: equal number
+    place = np.arange(n, dtype=np.int32)
 
     def entries():
         """The k-th entry of a shard in the interleave is its k-th suffix."""
-        entry = np.empty(n, np.int32)
-        entry[np.argsort(which, kind="stable")] = np.arange(n, dtype=np.int32)
-        return entry
-
-    depth = 0
-    while depth < length:
+        out = np.empty(len(which), np.int32)
+        out[np.argsort(which, kind="stable")] = suffix
+        return out
+
+    depth, opens = 0, np.zeros(0, bool)
+    before = joined_roll(place, shards, 8)
+    while depth < length and len(which):
+        short = length % 8 if not depth else 0
         if short:
-            deal, depth, short = _bytes_before(shards, orders, short)[entries()], short, 0
+            # the first round deals by fewer bytes, as one number
+            here, deal = joined_roll(place, shards, short), np.zeros(n, np.int64)
+            for k in range(short):
+                deal = (deal << 8) | joined_roll(np.concatenate(shards), shards, -k)
         else:
-            deal, depth = before[entries()], depth + 8
-        dealt = np.sort((deal << bits) | np.arange(n))                  # stable: the place in the low bits
+            here, deal = before, eight
+        at = here[entries()]                                            # what stands before each suffix
+        dealt = np.sort((deal[at] << bits) | np.arange(len(at)))        # stable: the place in the low bits
         order = dealt & ((1 << bits) - 1)
         dealt >>= bits
-        which, group = which[order], group[order]
+        at, group, depth = at[order], group[order], depth + (short or 8)
         opens = np.concatenate(([True], (dealt[1:] != dealt[:-1]) | (group[1:] != group[:-1])))
         group = np.cumsum(opens, dtype=np.int32)
-    return place[entries()], opens
-
-
-def _bytes_before(shards: list[np.ndarray], orders: list[np.ndarray], many: int) -> np.ndarray:
-    """The ``many`` bytes before each suffix, as one number."""
-    out = []
-    for x, o in zip(shards, orders):
-        number = np.zeros(len(x), np.int64)
-        for back in range(many, 0, -1):
-            number = (number << 8) | x[(o - back) % len(x)]
-        out.append(number)
-    return np.concatenate(out)
+        if live is not None and (depth > 8 or depth >= length):
+            kept = np.flatnonzero(live(at, opens, depth))
+            at, group = at[kept], group[kept]
+            opens = np.concatenate(([True], group[1:] != group[:-1]))[:len(kept)]
+            some = np.zeros(n, bool)
+            some[at] = True
+            suffix = every[some[every]]
+        which = shard_of[at]
+    return entries(), opens
+
+
+def _in_documents(raw: np.ndarray, ends: np.ndarray, docs: np.ndarray):
+    """(from, to) of the parts of pieces laid end to end, in order of their
+    documents, that can hold a window of two documents: each ``ANCHOR`` bytes
+    of such a window stand in two.  Strings of one hash count as equal, so
+    some parts too many may be kept, none is lost."""
+    n, start = len(raw), ends - np.diff(np.append(0, ends))
+    e = _eights(raw)
+    h = e[:n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += e[ANCHOR - 8:]
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    slot = (h >> np.uint64(64 - SLOTS)).astype(np.int32)
+    doc = np.repeat(docs, ends - start)[:len(slot)]
+    first, last = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
+    last[slot] = doc                          # the last of equal slots stays
+    first[slot[::-1]] = doc[::-1]
+    one = np.ones(n, np.int32)
+    one[:len(slot)] = first[slot] == last[slot]
+    # strings of a window that only one document has
+    many = LENGTH - ANCHOR + 1
+    have = np.concatenate(([0], np.cumsum(one, dtype=np.int32)))
+    window = np.zeros(n + 1, np.int8)
+    window[:n - many + 1] = have[many:] == have[:-many]
+    left = np.repeat(ends, ends - start) - np.arange(n)
+    window[:n][left < LENGTH] = 0
+    edge = np.diff(window, prepend=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + LENGTH - 1
+    # runs of windows less than a window apart share bytes
+    apart = np.flatnonzero(begin[1:] >= end[:-1])
+    return begin[np.append(0, apart + 1)[:len(begin)]], end[np.append(apart, len(end) - 1)[:len(end)]]
 
 
 def settle(raw: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, from, to) as arrays: bytes of each of the pieces laid end to
-    end that are covered by windows also in a piece of a smaller document."""
-    starts = np.concatenate(([0], ends[:-1]))
-    cuts = ends[np.searchsorted(ends, np.arange(SHARD, len(raw), SHARD))]
-    place, opens = merged([x for x in np.split(raw, np.unique(cuts)) if len(x)])
-    piece = np.repeat(np.arange(len(ends)), ends - starts)[place]
-    whole = place + LENGTH <= ends[piece]
-    doc = np.where(whole, docs[piece], np.iinfo(np.int64).max)
-    least = np.minimum.reduceat(doc, np.flatnonzero(opens))
+    end, in order of their documents, that are covered by windows also in a
+    piece of a smaller document."""
+    number = np.unique(docs, return_inverse=True)[1].astype(np.int32)
+    begin, end = _in_documents(raw, ends, number)
+    piece = np.searchsorted(ends, begin, side="right")
+    size = end - begin
+    if not len(size):
+        return (np.zeros(0, np.int64),) * 3
+    stop = np.cumsum(size)
+    inner = np.arange(stop[-1]) - np.repeat(stop - size, size)
+    raw = raw[np.repeat(begin, size) + inner]
+    cuts = stop[np.searchsorted(stop, np.arange(SHARD, len(raw), SHARD))]
+    doc_of = np.repeat(number[piece], size)
+    room = np.minimum(np.repeat(stop, size) - np.arange(len(raw)), 1 << 20).astype(np.int32)   # to the part's end
+
+    def least(place, opens, inside):
+        """Smallest document of each interval, whether it has another, and its size."""
+        first, doc = np.flatnonzero(opens), doc_of[place]
+        low = np.minimum.reduceat(np.where(inside, doc, _MOST), first)
+        high = np.maximum.reduceat(np.where(inside, doc, -1), first)
+        return low, low < high, np.diff(np.append(first, len(place)))
+
+    def live(place, opens, depth):
+        inside = room[place] >= depth
+        _, two, many = least(place, opens, inside)
+        return inside & np.repeat(two, many)
+
+    place, opens = merged([x for x in np.split(raw, np.unique(cuts)) if len(x)], live=live)
     gone = np.zeros(len(raw) + 1, bool)
-    gone[place[whole & (least[np.cumsum(opens) - 1] < doc)]] = True
-    # runs of removed windows, within a piece: a window never starts at a piece's last bytes
+    if len(place):
+        low, _, many = least(place, opens, np.True_)
+        gone[place[np.repeat(low, many) < doc_of[place]]] = True
+    # runs of removed windows, within a part: a window never starts at a part's last bytes
     edge = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
     first, last = edge[::2], edge[1::2] - 1
-    of = np.searchsorted(ends, first, side="right")
-    return of, first - starts[of], last - starts[of] + LENGTH
+    of = np.searchsorted(stop, first, side="right")
+    back = begin[of] - (stop - size)[of] - (ends - np.diff(np.append(0, ends)))[piece[of]]
+    return piece[of], first + back, last + back + LENGTH
 
 
 _OUT = ["doc_id", "print", "s", "e", "window"]
 
 
 def _settled(batches: Iterator[pa.RecordBatch], max_group: int) -> Iterator[pa.RecordBatch]:
-    """Rows (h, piece, doc_id, print, s) sorted by h, piece and doc_id ->
+    """Rows (h, piece, doc_id, print, s, e) sorted by h, piece and doc_id ->
     (doc_id, print, s, e) removed, or with ``window`` set: a window to settle
-    elsewhere."""
+    elsewhere.  Rows without a piece are settled already."""
     def out(doc, prints, s, e, window=None):
         window = pa.nulls(len(doc), pa.binary()) if window is None else pa.array(window, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, prints, s, e)] + [window], names=_OUT)
@@ -301,6 +435,7 @@ def _settled(batches: Iterator[pa.RecordBatch], max_group: int) -> Iterator[pa.R
 
     def settle_block(block):
         t = [pa.concat_arrays(c) for c in zip(*block)]
+        t = [c.take(pc.array_sort_indices(t[2])) for c in t]
         lengths = pc.binary_length(t[1]).to_numpy().astype(np.int64)
         raw = np.frombuffer(b"".join(t[1].to_pylist()), np.uint8)
         doc, prints, s = (t[i].to_numpy() for i in (2, 3, 4))
@@ -322,6 +457,15 @@ def _settled(batches: Iterator[pa.RecordBatch], max_group: int) -> Iterator[pa.R
     # and rest is one row, already sent, that tells the copies of its piece
     block, size, rest, hot = [], 0, None, False
     for last, t in _with_last(_grouped(batches)):
+        told = t[1].is_null()
+        if pc.any(told).as_py():
+            done = [c.filter(told).to_numpy() for c in t[2:]]
+            yield out(*done)
+            t = [c.filter(pc.invert(told)) for c in t]
+        if not len(t[0]) and rest is None:
+            if last and size:
+                yield settle_block(block)
+            continue
         if rest is not None:
             t = [pa.concat_arrays([a, b]) for a, b in zip(rest, t)]
         t, run, spans = firsts(t)
@@ -390,13 +534,13 @@ def removed_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     copies = written(prints.join(firsts, ["print", "print2", "n"]).where("doc_id > first")
                      .select("doc_id", "print", "n").distinct(), "copies")
     texts = every.join(small_side(copies.select("doc_id", "print"), 32), ["doc_id", "print"], "left_anti")
-    anchors = texts.select("doc_id", "print", "text").mapInArrow(_anchors, "h long, doc_id long, print long, s long")
+    anchors = texts.select("doc_id", "print", "text").mapInArrow(_anchors, "h long, doc_id long, print long, s long, kind tinyint")
     shared = (anchors.repartition("h").sortWithinPartitions("h", "doc_id")
               .mapInArrow(_in_two, "doc_id long, print long, s long"))
     shared = written(shared, "shared_anchors", NARROW_ROWS)
     places = shared.groupBy("doc_id", "print").agg(F.collect_set("s").alias("places"))
     pieces = (texts.join(places, ["doc_id", "print"]).select("doc_id", "print", "text", "places")
-              .mapInArrow(_contents, "h long, piece binary, doc_id long, print long, s long"))
+              .mapInArrow(_contents, "h long, piece binary, doc_id long, print long, s long, e long"))
     settled = written(pieces.repartition("h").sortWithinPartitions("h", "piece", "doc_id")
                       .mapInArrow(partial(_settled, max_group=max_group),
                                   "doc_id long, print long, s long, e long, window binary"), "settled")
