@@ -28,8 +28,8 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.llm.common import append_columns, field, ready, small_side, written
-from articleflow.llm.pieces import MARK, load
 
 CHUNK_BYTES = 4 << 20      # a chunk is closed by the text that reaches this
 ENCODED_AT_ONCE = 1 << 18  # characters given to the library at a time
 PIECE_ENDS = 1 << 16       # ends of both lists in one piece
 LINKS_AT_ONCE = 1 << 19    # links laid out in memory at a time
-WORDS_KEPT_BYTES = 48 << 20  # of the words of B that a worker keeps
 WIDE = 4096                # a group with more links has its repeated ids counted first
 
 
@@ -65,70 +63,61 @@ class Tokenizers:
             self.bytes_a[i] = b"".join(letters.get(c, c.encode()) for c in token)
         n = self.b.get_piece_size()
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
-                        else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+                        else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.len_a = np.array([len(x) for x in self.bytes_a])
         self.len_b = np.array([len(x) for x in self.bytes_b])
         # a token as the digest shows it, first of its group or not
         self.shown = [s + str(i) for i in range(len(self.bytes_a)) for s in ",;"]
         self.shown += [s + str(i) for i in range(n) for s in ",|"]
-        # where no piece of B crosses a word's end, its words are encoded once each
-        pieces = load(b_path)
-        self.split = pieces.splitter() if "\n" in pieces.cuts and not pieces.whole else None
-        self.words: dict[str, list[int] | None] = {}
-        self.size = 0
-
-    def _word(self, word: str) -> list[int] | None:
-        """Ids of a marked word of B; None if they do not give its bytes."""
-        if word[0] == MARK and len(word) > 1:  # the library marks the start itself
-            ids = self.b.encode(word[1:].replace(MARK, " "))
-        else:                                  # behind a line end, which is two pieces with that mark
-            ids = self.b.encode("\n" + word.replace(MARK, " "))[2:]
-        raw = word.replace(MARK, " ").encode()
-        return ids if b"".join(map(self.bytes_b.__getitem__, ids)) == raw else None
-
-    def _encode_b(self, text: str) -> np.ndarray | None:
-        if MARK in text:                       # comes back as a space
+        self.fast = self._faster()
+
+    def _faster(self):
+        """The merges of A in a faster library, None unless A is a plain
+        byte-level vocabulary whose ids stand in the order of its merges."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+        kind = json.loads(self.a.to_str())
+        pre, special = kind["pre_tokenizer"] or {}, {x["id"] for x in kind["added_tokens"]}
+        if kind["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
             return None
-        if self.split is None:
-            ids = self.b.encode(text)
-            same = b"".join(map(self.bytes_b.__getitem__, ids)) == (" " + text).encode()
-            return np.array(ids, np.int32) if same else None
-        got, kept = [], self.words
-        for w in self.split(text):
-            ids = kept.get(w, 0)
-            if ids == 0:
-                ids = self._word(w)
-                self.size += len(w) + (0 if ids is None else 8 * len(ids)) + 128
-                if self.size > WORDS_KEPT_BYTES:
-                    kept.clear()
-                    self.size = 0
-                kept[w] = ids
-            if ids is None:
-                return None
-            got.append(ids)
-        return np.fromiter(chain.from_iterable(got), np.int32)
+        ranks = {raw: i for i, raw in enumerate(self.bytes_a) if i not in special}
+        merges = kind["model"]["merges"]
+        if len(ranks) != 256 + len(merges) or sorted(ranks.values()) != list(range(len(ranks))):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        """By the faster library where all characters are of old standing, so
+        that both know the same letters; else by the vocabulary's own."""
+        plain = [self.fast is not None and not _NEWER.search(t) for t in texts]
+        own = iter(self.a.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [self.fast.encode_ordinary(t) if p else next(own).ids for t, p in zip(texts, plain)]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B by text, empty where they do not give the bytes
-        back.  The library sees few texts at a time: what it makes of them is
-        many times larger."""
+        back.  The libraries see few texts at a time: what they make of them
+        is many times larger."""
         out, at, size = [(_NONE, _NONE)] * len(texts), [], 0
         for i, t in enumerate(texts):
             if t:
                 at.append(i)
                 size += len(t)
             if at and (size >= ENCODED_AT_ONCE or i == len(texts) - 1):
-                spaced = [" " + texts[j] for j in at]
-                for j, s, got in zip(at, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), strict=True):
-                    ids = got.ids
-                    if b"".join(map(self.bytes_a.__getitem__, ids)) == s.encode():
-                        b = self._encode_b(texts[j])
-                        if b is not None:
-                            out[j] = np.array(ids, np.int32), b
+                lot = [texts[j] for j in at]
+                spaced = [" " + x for x in lot]
+                for j, s, a, b in zip(at, spaced, self._ids_a(spaced), self.b.encode(lot, num_threads=1), strict=True):
+                    raw = s.encode()
+                    if (b"".join(map(self.bytes_a.__getitem__, a)) == raw
+                            and b"".join(map(self.bytes_b.__getitem__, b)) == raw):
+                        out[j] = np.array(a, np.int32), np.array(b, np.int32)
                 at, size = [], 0
         return out
 
 
+# Letters, marks and ideographs that all versions of Unicode since 6 class alike, and ASCII.
+_NEWER = re.compile("[^\x00-\u02ff\u0400-\u04ff\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 _NONE = np.zeros(0, np.int32)
 
 
