@@ -259,15 +259,31 @@ def split_bad_pages(raw: DataFrame, parser: str | Column = "parser", names=None)
     return d.filter(~F.col("bad")).drop("bad"), d.filter(F.col("bad")).drop("bad")
 
 
+def with_parser(raw: DataFrame, sources: DataFrame) -> DataFrame:
+    """``raw`` with the ``parser`` its feed names in the registry; '' for a
+    feed that the registry lacks and for a page without a feed."""
+    reg = sources.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
+    return raw.join(reg, "feed", "left").fillna("", ["parser"])
+
+
 def parse_pages(raw: DataFrame, sources: DataFrame, dedup: bool = False) -> DataFrame:
     """Dispatch each page to the parser its feed names in the registry.
 
     ``sources`` is the validated registry (A1); AQE broadcasts it by its
-    measured size.
+    measured size.  Pages that yield no article because nothing can parse
+    them are :func:`rejected_pages`.
     """
-    reg = sources.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
-    joined = raw.join(reg, "feed", "inner")
-    return explode_articles(decode_pages(joined, "parser"), dedup=dedup)
+    return explode_articles(decode_pages(with_parser(raw, sources), "parser"), dedup=dedup)
+
+
+def rejected_pages(raw: DataFrame, sources: DataFrame) -> DataFrame:
+    """The other side of B4: pages of unknown feeds, without a feed, or that
+    do not decode, with the ``reason``."""
+    from articleflow.operators.joins import fence
+    known = F.col("parser").isin(*PARSERS)
+    bad = fence(decode_pages(with_parser(raw, sources), "parser").drop("items", "page_info"), "bad").filter("bad")
+    return (bad.withColumn("reason", F.when(known, F.lit("undecodable")).when(F.col("feed").isNull(), F.lit("no feed"))
+                           .otherwise(F.lit("unknown feed"))).drop("bad", "parser"))
 
 
 def conform(df: DataFrame) -> DataFrame:

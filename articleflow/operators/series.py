@@ -103,30 +103,34 @@ def sum_increase(samples: DataFrame, series: Sequence[str], at, window_s: int, b
              .withColumn("rate", F.col("increase") / F.lit(float(window_s))))
 
 
-def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
-    """Quantile ``q`` from cumulative buckets (``le_value`` ascending,
-    +Inf last, ``cumulative_count``): the first bucket reaching
-    ``q * total`` is interpolated linearly from its lower bound (0 for the
-    first bucket); in the +Inf bucket the answer is the largest finite
-    bound; NaN when the total is 0."""
-    w = Window.partitionBy(*by).orderBy("le_value")
-    h = (hist.withColumn("_prev_cum", F.coalesce(F.lag("cumulative_count").over(w), F.lit(0)))
-             .withColumn("_lower", F.coalesce(F.lag("le_value").over(w), F.lit(0.0)))
-             .withColumn("_total", F.max("cumulative_count").over(Window.partitionBy(*by)))
-             .withColumn("_max_finite", F.max(F.when(F.col("le_value") < float("inf"), F.col("le_value")))
-                         .over(Window.partitionBy(*by))))
-    rank = F.lit(q) * F.col("_total")
-    hit = h.filter(F.col("cumulative_count") >= rank)
-    first = hit.groupBy(*by).agg(F.min_by(F.struct("le_value", "_lower", "_prev_cum", "cumulative_count",
-                                                   "_total", "_max_finite"), F.col("le_value")).alias("b"))
-    b = F.col("b")
-    in_bucket = b["cumulative_count"] - b["_prev_cum"]
-    interp = b["_lower"] + (b["le_value"] - b["_lower"]) * (F.lit(q) * b["_total"] - b["_prev_cum"]) / in_bucket
-    value = (F.when(b["_total"] == 0, F.lit(float("nan")))
-              .when(b["le_value"] == float("inf"), b["_max_finite"])
-              .when(in_bucket == 0, b["le_value"])
-              .otherwise(interp))
-    return first.select(*by, F.lit(q).alias("q"), value.alias("value"))
+def histogram_quantile(hist: DataFrame, q: float | Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantile ``q`` (or each of several) from cumulative buckets
+    (``le_value`` ascending, +Inf last, ``cumulative_count``): the first
+    bucket reaching ``q * total`` is interpolated linearly from its lower
+    bound (0 for the first bucket); in the +Inf bucket the answer is the
+    largest finite bound; NaN when the total is 0.  A group's buckets (one per
+    bound) are gathered once, whatever the number of quantiles."""
+    per = hist.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(
+        "le_value", F.col("cumulative_count").cast("double").alias("c")))).alias("_b"))
+    b = F.col("_b")
+    per = (per.withColumn("_total", F.array_max(F.transform(b, lambda x: x["c"])))
+              .withColumn("_max_finite", F.array_max(F.transform(F.filter(b, lambda x: x["le_value"] < float("inf")),
+                                                                 lambda x: x["le_value"]))))
+
+    def one(p: float) -> Column:
+        rank = F.lit(float(p)) * F.col("_total")
+        at = F.array_position(F.transform(b, lambda x: x["c"] >= rank), True).cast("int") - 1   # -1: none
+        hit, low = F.get(b, at), F.get(b, at - 1)
+        before = F.coalesce(low["c"], F.lit(0.0))
+        lower = F.coalesce(low["le_value"], F.lit(0.0))
+        inside = hit["c"] - before
+        value = (F.when(F.col("_total") == 0, F.lit(float("nan")))
+                  .when(hit["le_value"] == float("inf"), F.col("_max_finite"))
+                  .when(inside == 0, hit["le_value"])
+                  .otherwise(lower + (hit["le_value"] - lower) * (rank - before) / inside))
+        return F.when(at >= 0, F.struct(F.lit(float(p)).alias("q"), value.alias("value")))
+    several = F.array(*[one(p) for p in ([q] if isinstance(q, (int, float)) else q)])
+    return per.select(*by, F.inline(F.filter(several, lambda x: x.isNotNull())))
 
 
 def bucket_bound(le: Column) -> Column:
@@ -134,11 +138,11 @@ def bucket_bound(le: Column) -> Column:
     return F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.cast("double"))
 
 
-def rate_quantile(samples: DataFrame, q: float, series: Sequence[str], step_s: int, window_s: int,
+def rate_quantile(samples: DataFrame, q: float | Sequence[float], series: Sequence[str], step_s: int, window_s: int,
                   end_us: int | None = None) -> DataFrame:
-    """D8 over windowed rates: quantile ``q`` of the bucket counters (label
-    ``le``) of every series at each step (``eval_us``); NaN for a window
-    without observations."""
+    """D8 over windowed rates: quantile ``q`` (or each of several, from one
+    grid) of the bucket counters (label ``le``) of every series at each step
+    (``eval_us``); NaN for a window without observations."""
     rates = evaluation_grid(samples, [*series, "le"], step_s, window_s, end_us=end_us)
     hist = rates.withColumn("le_value", bucket_bound(F.col("le"))).withColumn("cumulative_count", F.col("rate"))
     return histogram_quantile(hist, q, [*series, "eval_us"])
@@ -202,22 +206,74 @@ def evaluation_grid(samples: DataFrame, series: Sequence[str], step_s: int, wind
     return out if start_us is None else out.where(F.col("eval_us") >= start_us)
 
 
+def condition_runs(rows: DataFrame, series: Sequence[str], at: str, condition: Column, chunk: int,
+                   hold: int) -> DataFrame:
+    """Runs of consecutive rows of a series where ``condition`` holds:
+    ``start`` and ``last`` row of the run, ``next`` (the row after it, NULL at
+    the end) and ``fire`` (first row of the run at least ``hold`` after its
+    start, NULL if none).  ``at`` is the order, a whole number, unique in a
+    series.
+
+    One shuffle gathers the rows of a (series, chunk); what is left of it are
+    pieces: maximal runs inside the chunk, each with its rows up to the first
+    that could fire.  A piece that ends before the chunk does is a run of its
+    own.  Only the first and the last piece of a chunk (or the lack of one)
+    meet those of the neighbour chunks, two rows a chunk, in a second, narrow
+    shuffle; nothing is joined back.
+    """
+    rows = rows.select(*series, F.col(at).cast("long").alias("_t"), F.coalesce(condition, F.lit(False)).alias("_c"))
+    per = (rows.withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk)).cast("long")).groupBy(*series, "_chunk")
+               .agg(F.sort_array(F.collect_list(F.struct("_t", "_c"))).alias("_r")))
+    r = F.col("_r")
+    # between two neighbours of -1, the false rows, n lies a piece
+    per = per.withColumn("_f", F.concat(F.array(F.lit(-1)), F.filter(
+        F.transform(r, lambda x, i: F.when(~x["_c"], i)), lambda i: i.isNotNull()), F.array(F.size(r))))
+    f = F.col("_f")
+
+    def piece(lo: Column, hi: Column) -> Column:
+        own = F.slice(r, lo + 2, hi - lo - 1)
+        first = F.get(r, lo + 1)["_t"]
+        # the rows of the piece up to the first that lies ``hold`` after its start
+        late = F.array_position(F.transform(own, lambda x: x["_t"] >= first + hold), True).cast("int")
+        times = F.transform(F.when(late > 0, F.slice(own, 1, late)).otherwise(own), lambda x: x["_t"])
+        some = hi - lo > 1
+        return F.struct((lo == -1).alias("left"), (hi == F.size(r)).alias("right"), some.alias("some"),
+                        F.when(some, first).alias("start"), F.when(some, F.get(r, hi - 1)["_t"]).alias("last"),
+                        F.get(r, hi)["_t"].alias("next"), F.when(some, times).alias("times"))
+    pieces = F.zip_with(F.slice(f, 1, F.size(f) - 1), F.slice(f, 2, F.size(f) - 1), piece)
+    kept = F.filter(pieces, lambda p: p["some"] | p["left"] | p["right"])
+    row = per.select(*series, "_chunk", F.get(r, F.lit(0))["_t"].alias("_first"), F.inline(kept))
+    # inner pieces stay with their chunk, edges meet
+    row = row.withColumn("_meet", F.when(~F.col("left") & ~F.col("right"), F.col("_chunk")))
+    w = Window.partitionBy(*series, "_meet").orderBy("_chunk", F.coalesce("start", "_first"), F.col("right"))
+    before = F.coalesce(F.lag(F.col("some") & F.col("right")).over(w), F.lit(False))
+    row = (row.withColumn("_new", (~(F.col("some") & F.col("left") & before)).cast("long"))
+              .withColumn("_after", F.when(F.col("right"), F.lead("_first").over(w)).otherwise(F.col("next")))
+              .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    runs = (row.where("some").groupBy(*series, "_meet", "_run")
+               .agg(F.min("start").alias("start"), F.max("last").alias("last"), F.max_by("_after", "start").alias("next"),
+                    F.flatten(F.collect_list("times")).alias("_times")))
+    fire = F.array_min(F.filter("_times", lambda t: t >= F.col("start") + hold))
+    return runs.select(*series, "start", "last", "next", fire.alias("fire"))
+
+
 def alert_intervals(evaluations: DataFrame, series: Sequence[str], condition: Column,
                     hold_s: int, ts_us: str = "eval_us", chunk_us: int = DAY_US) -> DataFrame:
     """Runs of consecutive evaluations where ``condition`` holds, with
     ``start_us``, ``end_us`` (last true evaluation) and ``fire_us`` (first
     evaluation at least ``hold`` after the start; NULL if the run is
-    shorter: pending only).  Gaps-and-islands: run id = running count of
-    false evaluations, split by time chunk (no series in one task)."""
-    e = evaluations.withColumn("_c", F.coalesce(condition, F.lit(False))).withColumn(
-        "_chunk", F.floor(F.col(ts_us) / F.lit(chunk_us)).cast("long"))
-    e = (chunked_running(e, list(series), [ts_us], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
-         .filter("_c").drop("_chunk"))
-    runs = e.groupBy(*series, "_run").agg(F.min(ts_us).alias("start_us"), F.max(ts_us).alias("end_us"))
-    fire = (join_null_safe(e, runs, [*series, "_run"])
-             .filter(F.col(ts_us) - F.col("start_us") >= F.lit(hold_s * US))
-             .groupBy(*series, "_run").agg(F.min(ts_us).alias("fire_us")))
-    return join_null_safe(runs, fire, [*series, "_run"], "left").drop("_run")
+    shorter: pending only).  See :func:`condition_runs`; no series is ever in
+    one task."""
+    runs = condition_runs(evaluations, series, ts_us, condition, chunk_us, hold_s * US)
+    return runs.select(*series, F.col("start").alias("start_us"), F.col("last").alias("end_us"), F.col("fire").alias("fire_us"))
+
+
+def step_sums(samples: DataFrame, series: Sequence[str], step_us: int, chunk_us: int) -> DataFrame:
+    """``_d``: the sum of a counter's deltas in each step (``bucket``) that
+    holds a sample."""
+    d = counter_deltas(samples, series, chunk_us).withColumn(
+        "bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long"))
+    return d.groupBy(*series, "bucket").agg(F.sum("delta").alias("_d"))
 
 
 def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int, window_s: int,
@@ -230,45 +286,71 @@ def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int,
     buckets only changes at a bucket holding samples (it enters the window)
     or ``k`` buckets later (it leaves), so it is evaluated at those change
     points only and each constant segment runs to the next change point:
-    O(samples) rows instead of O(time span / step) per series.
+    O(samples) rows instead of O(time span / step) per series.  A step gives
+    both of its points by one explode; nothing is evaluated twice.
     """
     if window_s % step_s:
         raise ValueError("window must be a multiple of step")
     k = window_s // step_s
     step_us = step_s * US
     chunk_b = max(k, chunk_us // step_us)
-    d = counter_deltas(samples, series, chunk_us).withColumn(
-        "bucket", F.floor(F.col("ts_us") / F.lit(step_us)).cast("long"))
-    sums = d.groupBy(*series, "bucket").agg(F.sum("delta").alias("_d"))
+    sums = step_sums(samples, series, step_us, chunk_us)
     end_b = last_bucket(samples, step_us, end_us, k - 1)
-    points = (sums.select(*series, "bucket")
-                  .unionByName(sums.select(*series, (F.col("bucket") + F.lit(k)).alias("bucket")))
-                  .filter(F.col("bucket") <= end_b).distinct())
-    both = (points.withColumn("_d", F.lit(0.0)).withColumn("_pt", F.lit(True))
-                  .unionByName(sums.withColumn("_pt", F.lit(False))))
-    val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b).filter("_pt")
+    both = sums.select(*series, F.inline(F.array(
+        F.struct("bucket", "_d"), F.struct((F.col("bucket") + F.lit(k)).alias("bucket"), F.lit(0.0).alias("_d")))))
+    both = both.groupBy(*series, "bucket").agg(F.sum("_d").alias("_d"))
+    val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b).where(F.col("bucket") <= end_b)
     val = val.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
     return point_intervals(val, series, compare(F.col(measure), op, threshold), end_b, step_us, hold_s, chunk_b)
 
 
+def quantile_alert_intervals(samples: DataFrame, q: float, series: Sequence[str], step_s: int, window_s: int,
+                             op: str, threshold: float, hold_s: int, chunk_us: int = DAY_US,
+                             end_us: int | None = None) -> DataFrame:
+    """E6 for quantile rules without the grid: equal to
+    ``alert_intervals(rate_quantile(...), ...)``.
+
+    The quantile of a series can change only where the windowed rate of one
+    of its buckets (label ``le``) changes: at a step holding a sample of any
+    bucket, or a window later.  At these change points every bucket that has
+    begun by then gets its windowed rate, and only there is interpolated.
+    """
+    if window_s % step_s:
+        raise ValueError("window must be a multiple of step")
+    k = window_s // step_s
+    step_us = step_s * US
+    chunk_b = max(k, chunk_us // step_us)
+    keys = [*series, "le"]
+    sums = step_sums(samples, keys, step_us, chunk_us)
+    end_b = last_bucket(samples, step_us, end_us, k - 1)
+    # all branches read the same columns of ``sums``, so its exchange is reused
+    steps = sums.groupBy(*series, "bucket").agg(F.count("_d").alias("_n"), F.collect_set("le").alias("_les"))
+    points = (steps.where("_n > 0 and size(_les) > 0")
+                   .select(*series, F.explode(F.array(F.col("bucket"), F.col("bucket") + F.lit(k))).alias("bucket"))
+                   .where(F.col("bucket") <= end_b).distinct())
+    begun = sums.groupBy(*keys).agg(F.min("bucket").alias("_lo"), F.count("_d").alias("_n")).where("_n > 0").drop("_n")
+    at = (join_null_safe(points, begun, list(series)).where(F.col("bucket") >= F.col("_lo"))
+          .select(*keys, "bucket", F.lit(0.0).alias("_d"), F.lit(True).alias("_pt")))
+    both = (at.unionByName(sums.select(*keys, "bucket", "_d", F.lit(False).alias("_pt")))
+              .groupBy(*keys, "bucket").agg(F.sum("_d").alias("_d"), F.max("_pt").alias("_pt")))
+    val = range_sum(both, keys, "bucket", "_d", k - 1, "increase", chunk_b).where("_pt")
+    hist = val.select(*series, "bucket", bucket_bound(F.col("le")).alias("le_value"),
+                      (F.col("increase") / F.lit(float(window_s))).alias("cumulative_count"))
+    at_points = histogram_quantile(hist, q, [*series, "bucket"])
+    return point_intervals(at_points, series, compare(F.col("value"), op, threshold), end_b, step_us, hold_s, chunk_b)
+
+
 def point_intervals(points: DataFrame, series: Sequence[str], condition: Column, end_b: Column,
                     step_us: int, hold_s: int, chunk_b: int) -> DataFrame:
     """Alert intervals from change points: what ``condition`` reads at a
     point's ``bucket`` holds until just before the series' next point, or to
     ``end_b``."""
-    val = (points.withColumn("_neg", -F.col("bucket"))
-                 .withColumn("_negc", -F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
-    val = chunked_lag(val, list(series), ["_neg"], "_negc", "bucket", "_next")
-    seg = (val.withColumn("_seg_end", F.coalesce(F.col("_next") - 1, end_b))
-              .withColumn("_c", F.coalesce(condition, F.lit(False)))
-              .withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long")))
-    seg = chunked_running(seg, list(series), ["bucket"], "_chunk", {"_run": ("sum", (~F.col("_c")).cast("long"))})
-    runs = (seg.filter("_c").groupBy(*series, "_run")
-               .agg(F.min("bucket").alias("_sb"), F.max("_seg_end").alias("_eb")))
+    runs = condition_runs(points, series, "bucket", condition, chunk_b, 0)
+    runs = runs.withColumn("_eb", F.coalesce(F.col("next") - 1, end_b))
     hold_b = -(-hold_s * US // step_us)  # ceil(hold / step) in buckets
-    fire_b = F.col("_sb") + F.lit(hold_b)
+    fire_b = F.col("start") + F.lit(hold_b)
     return runs.select(*series,
-                       ((F.col("_sb") + 1) * F.lit(step_us)).alias("start_us"),
+                       ((F.col("start") + 1) * F.lit(step_us)).alias("start_us"),
                        ((F.col("_eb") + 1) * F.lit(step_us)).alias("end_us"),
                        F.when(fire_b <= F.col("_eb"), (fire_b + 1) * F.lit(step_us)).alias("fire_us"))
 
@@ -359,8 +441,8 @@ def evaluate_rule(samples: DataFrame, rule: AlertRule, series: Sequence[str],
     """Alert intervals of one rule on its evaluation grid (E7 -> E6), up to
     ``end_us``.
 
-    ``rate`` and ``value`` rules are evaluated at their change points; ``p95``
-    rules on the bucket-rate grid (label ``le``) reduced by D8.
+    All rules are evaluated at their change points, ``p95`` ones where the
+    rate of any bucket (label ``le``) changes.
     """
     s = select_series(samples, rule.metric, **rule.matchers)
     if rule.expr == "rate":  # change points only, no dense grid
@@ -368,5 +450,5 @@ def evaluate_rule(samples: DataFrame, rule: AlertRule, series: Sequence[str],
                                     end_us=end_us)
     if rule.expr == "value":
         return gauge_alert_intervals(s, series, step_s, rule.op, rule.threshold, rule.hold_s, end_us=end_us)
-    grid = rate_quantile(s, 0.95, series, step_s, rule.window_s, end_us=end_us)
-    return alert_intervals(grid, series, compare(F.col("value"), rule.op, rule.threshold), rule.hold_s)
+    return quantile_alert_intervals(s, 0.95, series, step_s, rule.window_s, rule.op, rule.threshold, rule.hold_s,
+                                    end_us=end_us)

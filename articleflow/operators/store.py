@@ -50,6 +50,11 @@ def row_hash(exclude: tuple[str, ...] = ("fetched_at",)):
     return F.xxhash64(*[x for c in S.ARTICLE_COLS if c not in exclude for x in (F.col(c).isNull(), F.col(c))])
 
 
+def buckets_for(articles: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Buckets of a store expected to hold ``articles`` articles."""
+    return max(1, -(-articles // rows_per_bucket))
+
+
 class ArticleStore:
     """Append-only, versioned article table under one root folder.
 
@@ -63,10 +68,13 @@ class ArticleStore:
     batch recomputes and rewrites the same rows (idempotent) and a crash
     between the two writes loses nothing.  Readers of batch N see only
     versions of batches below N.  Rows are bucketed by ``xxhash64(id)`` and
-    sorted by id inside a bucket, so a lookup by id reads few row groups.
+    sorted by id inside a file, so a lookup by id reads few row groups.
+    ``buckets`` is set from the store's size (:func:`buckets_for`) and kept
+    for its life; a bucket's rows of a batch are dealt to as many writers as
+    their size asks for, so it does not bound a batch's parallelism.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, buckets: int):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
@@ -157,8 +165,8 @@ class ArticleStore:
              .withColumn("row_hash", row_hash())
              .withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)))
              .withColumn("batch_id", F.lit(batch_id).cast("long"))
-             .repartition("bucket")
-             .sortWithinPartitions("id")
+             .hint("rebalance", "bucket")
+             .sortWithinPartitions("bucket", "id")
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id", "bucket")
              .parquet(self.versions_path))
@@ -194,6 +202,6 @@ class ArticleStore:
         versions after it."""
         snap = self.current(before_batch=upto_batch + 1).withColumn("upto_batch", F.lit(upto_batch).cast("long"))
         (snap.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)))
-             .repartition("bucket").sortWithinPartitions("id")
+             .hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("upto_batch", "bucket").parquet(self.base_path))

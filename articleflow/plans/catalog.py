@@ -107,10 +107,14 @@ def q_b3(spark, sf_dir):
 
 @query("b4_parse_pages")
 def q_b4(spark, sf_dir):
-    raw = FX.document_pages(spark, sf_dir, 0).unionByName(FX.conversation_pages(spark, sf_dir))
-    arts = P.parse_pages(raw, FX.registry_from_documents(spark, sf_dir))
-    return arts.select("feed", "run_id", "page_no", "pos", "id", "source", "title",
-                       epoch_us("published_at").alias("published_us"))
+    """The registry lacks two feeds and some pages carry no feed: these come
+    back as rejected pages (without an id)."""
+    raw = FX.stray_pages(FX.document_pages(spark, sf_dir, 0)).unionByName(FX.conversation_pages(spark, sf_dir))
+    registry = FX.registry_from_documents(spark, sf_dir).where(~F.col("name").isin(*FX.UNKNOWN_FEEDS))
+    arts = P.parse_pages(raw, registry).select("feed", "run_id", "page_no", "pos", "id", "source", "title",
+                                               epoch_us("published_at").alias("published_us"), F.lit("").alias("rejected"))
+    bad = P.rejected_pages(raw, registry).select("feed", "run_id", "page_no", F.col("reason").alias("rejected"))
+    return arts.unionByName(bad, allowMissingColumns=True)
 
 
 @query("b5_split_bad_pages")
@@ -399,8 +403,7 @@ def q_d8_rate(spark, sf_dir):
     s = FX.duration_samples(spark, sf_dir, HIST_BOUNDS)
     rates = SR.evaluation_grid(s, ["source", "le"], 3600, 10800).withColumn(
         "le_value", SR.bucket_bound(F.col("le"))).withColumn("cumulative_count", F.col("rate"))
-    by = ["source", "eval_us"]
-    out = SR.histogram_quantile(rates, 0.5, by).unionByName(SR.histogram_quantile(rates, 0.95, by))
+    out = SR.histogram_quantile(rates, [0.5, 0.95], ["source", "eval_us"])
     return out.where(~F.isnan("value")).select("source", "eval_us", "q", r6("value"))
 
 
@@ -504,7 +507,7 @@ def _crawls(spark, sf_dir) -> list[DataFrame]:
 def _ingest(spark, sf_dir, metrics: str | None = None) -> str:
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "ckpt-ingest")
     registry = FX.registry_from_documents(spark, sf_dir)
-    store = ST.ArticleStore(spark, scratch_path(spark, "store"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store"), 8)
     changes = scratch_path(spark, "changes")
     for raw in _crawls(spark, sf_dir):
         IN.land_raw_pages(raw, landing)
@@ -539,6 +542,25 @@ def q_h1_counters(spark, sf_dir):
                  .agg(F.round(F.sum("value"), 3).alias("value")))
 
 
+@query("h1_walk_counters")
+def q_h1_walk(spark, sf_dir):
+    """One crawl whose runs are cut over three micro-batches, with damaged and
+    empty pages and a handler that fails some pages, up to six in a row."""
+    raw = FX.walked_pages(FX.document_pages(spark, sf_dir, 0)).withColumn("fetched_at", F.lit(CRAWLED_AT).cast("timestamp"))
+    landing, metrics, changes, checkpoint = (scratch_path(spark, x) for x in ("landing", "metrics", "changes", "ckpt-walk"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store"), 8)
+    pages = raw.select((F.max("page_no") + 1)).scalar()
+    for part in range(3):
+        IN.land_raw_pages(raw.where(F.floor(F.col("page_no") * 3 / pages) == part), landing)
+        IN.run_ingest(IN.stream_raw_pages(spark, landing), FX.registry_from_documents(spark, sf_dir), store, changes,
+                      checkpoint=checkpoint, available_now=True,
+                      metrics_path=metrics, walk=True, handler=lambda p, _: p.where(FX.handler_fails()).select(*S.PAGE_KEY)
+                      ).awaitTermination()
+    kinds = ["articles_ingested_total", "articles_published_total", "article_parse_errors_total"]
+    return (spark.read.parquet(metrics).where(F.col("metric").isin(*kinds)).groupBy("metric", "source", "status")
+                 .agg(F.sum("value").alias("value")).where("value > 0"))
+
+
 @query("h3_run_sync")
 def q_h3(spark, sf_dir):
     changes = _ingest(spark, sf_dir)
@@ -562,14 +584,17 @@ def q_h3_counters(spark, sf_dir):
 @query("h4_sample_nth_stream")
 def q_h4(spark, sf_dir):
     """``events`` land week by week, oldest first, each drained on landing;
-    rows without a time come before all others."""
+    rows without a time come before all others.  From the third week on
+    another checkpoint (and landing folder) goes on over the same outputs."""
     ev = by_hour(FX.table(spark, sf_dir, "events")).select(
         F.col("event_type").alias("key"), F.col("event_id").alias("id"), epoch_us("ts").alias("order"),
         (F.col("value") < 0.5).alias("reset"), F.col("hour").alias("chunk"))
     first, last = ev.select(F.min("chunk"), F.max("chunk")).first()
-    landing, out, counts, checkpoint = (scratch_path(spark, x) for x in ("sample-rows", "sampler", "counts", "ckpt-h4"))
+    out, counts = scratch_path(spark, "sampler"), scratch_path(spark, "counts")
+    stages = [(scratch_path(spark, "sample-rows"), scratch_path(spark, "ckpt-h4")) for _ in range(2)]
     week = 7 * 24
-    for lo in range(first or 0, (last or 0) + 1, week):
+    for i, lo in enumerate(range(first or 0, (last or 0) + 1, week)):
+        landing, checkpoint = stages[i >= 2]
         at = F.coalesce("chunk", F.lit(first or 0))
         ev.where((at >= lo) & (at < lo + week)).write.mode("append").parquet(landing)
         SM.sample_nth_stream(spark.readStream.schema(ev.schema).parquet(landing), out, counts, checkpoint, 10,

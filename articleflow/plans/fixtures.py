@@ -202,6 +202,32 @@ def damaged_pages(raw: DataFrame) -> DataFrame:
     return raw.withColumn("payload", damaged)
 
 
+UNKNOWN_FEEDS = ["src3", "src11"]     # feeds that a fixture registry lacks
+
+
+def stray_pages(raw: DataFrame) -> DataFrame:
+    """Every seventh page carries no feed."""
+    return raw.withColumn("feed", F.when(F.col("page_no") % 7 != 5, F.col("feed")))
+
+
+def _feed_number() -> Column:
+    return F.regexp_extract("feed", "([0-9]+)$", 1).try_cast("long")
+
+
+def walked_pages(raw: DataFrame) -> DataFrame:
+    """Feeds whose number leaves 4 by 5 have page 9 cut short, those that
+    leave 3 have an empty page 11."""
+    p, f = F.col("page_no"), _feed_number()
+    return raw.withColumn("payload", F.when((f % 5 == 4) & (p == 9), F.substring("payload", 1, 40))
+                          .when((f % 5 == 3) & (p == 11), F.lit("null")).otherwise(F.col("payload")))
+
+
+def handler_fails() -> Column:
+    """The pages that the fixture's page handler fails: up to six in a row."""
+    f = _feed_number()
+    return F.coalesce((F.col("page_no") + f) % 13 < f % 7, F.lit(False))
+
+
 def with_damaged_messages(events: DataFrame) -> DataFrame:
     """Add an undecodable copy (truncated JSON) of every event whose key ends
     in 1; the reader must drop exactly those."""

@@ -115,9 +115,15 @@ FROM (SELECT feed, run_id, page_no, count(*) AS n FROM arts0 GROUP BY ALL
       UNION ALL SELECT feed, run_id, page_no, count(*) FROM arts1 GROUP BY ALL)""")
 
 ORACLE["b4_parse_pages"] = with_common("""
-SELECT feed, run_id, page_no, pos, id, source, title, published_us FROM arts0
+SELECT feed, run_id, page_no, pos, id, source, title, published_us, '' AS rejected FROM arts0
+WHERE page_no % 7 <> 5 AND feed NOT IN ('src3', 'src11')
 UNION ALL
-SELECT feed, run_id, page_no, pos, id, source, title, published_us FROM chat""")
+SELECT feed, run_id, page_no, pos, id, source, title, published_us, '' FROM chat
+UNION ALL
+SELECT CASE WHEN page_no % 7 <> 5 THEN feed END, run_id, page_no, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN page_no % 7 = 5 OR feed IS NULL THEN 'no feed' ELSE 'unknown feed' END
+FROM (SELECT DISTINCT feed, run_id, page_no FROM arts0) p
+WHERE page_no % 7 = 5 OR feed IS NULL OR feed IN ('src3', 'src11')""")
 
 ORACLE["b5_split_bad_pages"] = with_common("""
 SELECT DISTINCT feed, run_id, page_no,
@@ -490,6 +496,28 @@ FROM sfeed GROUP BY feed
 UNION ALL
 SELECT 'publish_errors_total', feed, '', '', 0.0::DOUBLE FROM sfeed GROUP BY feed{_fresh_rows()}""")
 
+# the whole run's walk at once, however its pages were cut into micro-batches
+ORACLE["h1_walk_counters"] = with_common("""
+, pg AS (SELECT feed, page_no, count(*) AS n, TRY_CAST(regexp_extract(feed, '([0-9]+)$', 1) AS BIGINT) AS f
+         FROM uniq0 GROUP BY feed, page_no),
+marked AS (SELECT *, feed IS NULL OR coalesce(f % 5 = 4 AND page_no = 9, false) AS bad,
+                  coalesce(f % 5 = 3 AND page_no = 11, false) AS empty,
+                  row_number() OVER w - 1 AS nth FROM pg WINDOW w AS (PARTITION BY feed ORDER BY page_no)),
+failing AS (SELECT *, NOT bad AND NOT empty AND coalesce((page_no + f) % 13 < f % 7, false) AS failed FROM marked),
+counted AS (SELECT *, sum(failed::INT) OVER (PARTITION BY feed ORDER BY page_no ROWS 4 PRECEDING) = 5 AS fifth FROM failing),
+walk AS (SELECT *, max((page_no <> nth)::INT) OVER (PARTITION BY feed ORDER BY page_no) = 0
+                AND coalesce(max((bad OR empty OR fifth)::INT) OVER (PARTITION BY feed ORDER BY page_no
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS reached FROM counted)
+SELECT 'articles_ingested_total' AS metric, feed AS source, 'success' AS status, CAST(sum(n) AS DOUBLE) AS value
+FROM walk WHERE reached AND NOT bad AND NOT empty AND NOT failed GROUP BY feed
+UNION ALL
+SELECT 'articles_published_total', feed, '', CAST(sum(n) AS DOUBLE)
+FROM walk WHERE reached AND NOT bad AND NOT empty AND NOT failed GROUP BY feed
+UNION ALL
+SELECT 'articles_ingested_total', feed, 'error_crawl', CAST(1 AS DOUBLE) FROM walk WHERE reached AND (bad OR fifth)
+UNION ALL
+SELECT 'article_parse_errors_total', feed, '', CAST(count(*) AS DOUBLE) FROM walk WHERE reached AND bad GROUP BY feed""")
+
 ORACLE["h3_counters"] = with_common(f""", {_STREAM_PAGES.strip()}
 SELECT m.metric, source, CAST(count(*) AS DOUBLE) AS value
 FROM semitted JOIN (VALUES ('cms_articles_processed_total', true), ('cms_sync_errors_total', false),

@@ -52,6 +52,7 @@ def parse_sources(files: DataFrame, known_parsers: list[str] | None = None,
                                   str0("s.pagination.limit_param").alias("limit_param"),
                                   F.coalesce("s.pagination.default_limit", F.lit(0).cast("long")).alias("default_limit"))
                           .alias("pagination")))
+    # The reject texts.
     reason = (F.when(F.col("name") == "", F.lit("name is required"))
                .when(F.col("url") == "", F.lit("url is required"))
                .when(~F.col("url").startswith("http"), F.lit("url must start with http"))
@@ -92,7 +93,7 @@ def _json_str(x: str) -> str:
     return json.dumps(x)
 
 
-def plan_pages(sources: DataFrame, max_pages: int | Column = 3) -> DataFrame:
+def plan_pages(sources: DataFrame, max_pages: int | Column) -> DataFrame:
     """A2: the request URL of pages ``0 .. max_pages-1`` of every source;
     ``max_pages`` is a number or a column (none below 1).
 

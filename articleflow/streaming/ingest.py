@@ -21,9 +21,12 @@ from articleflow import schema as S
 from articleflow.operators import changes as C
 from articleflow.operators import metrics as M
 from articleflow.operators import parse as P
+from articleflow.operators.joins import join_null_safe
 from articleflow.operators.store import ArticleStore
 from articleflow.session import checkpoint_root, read_if_written
 from articleflow.sources import changelog as CL
+from articleflow.sources import pages as PG
+from articleflow.streaming.carried import CarriedState, overwrite_partition
 
 CHANGE_EVENT_COLS = ["key", "value", "feed", "run_id", "page_no"]
 # A change-events sink: called once per micro-batch with the events and the
@@ -31,11 +34,15 @@ CHANGE_EVENT_COLS = ["key", "value", "feed", "run_id", "page_no"]
 # may return the pages (feed, run_id, page_no) it could not publish; they are
 # counted and the ingest goes on.  If it raises, the batch is run again.
 Sink = Callable[[DataFrame, int], DataFrame | None]
+# A page handler: called once per micro-batch with the decoded pages that the
+# walk would reach; returns the pages (feed, run_id, page_no) it could not
+# process.  The same rules hold as for a sink.
+Handler = Callable[[DataFrame, int], DataFrame | None]
 
 
 def parquet_sink(path: str) -> Sink:
     """Default sink: dynamic-partition overwrite of ``batch_id=N`` under ``path``."""
-    return lambda events, batch_id: _overwrite_partition(events, batch_id, path)
+    return lambda events, batch_id: overwrite_partition(events, batch_id, path)
 
 
 def land_raw_pages(raw: DataFrame, path: str) -> None:
@@ -52,23 +59,23 @@ def stream_raw_pages(spark: SparkSession, path: str, max_files_per_trigger: int
     return r.parquet(path)
 
 
-def _overwrite_partition(df: DataFrame, batch_id: int, path: str) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(path))
+def walk_inputs(decoded: DataFrame) -> DataFrame:
+    """The narrow rows the walk reads of decoded pages; a bad page is the
+    run's fetch/decode error."""
+    return decoded.select(*S.PAGE_KEY, F.col("bad").alias("fetch_error"), F.col("page_info.numPages").alias("num_pages"),
+                          F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_articles"))
 
 
-def walk_decoded(decoded: DataFrame) -> DataFrame:
-    """A5 over decoded pages of whole runs: adds ``reached`` and ``outcome``
-    (a bad page is the run's fetch/decode error; the handler cannot fail
-    page by page here, a failing micro-batch is retried as a whole)."""
-    from articleflow.sources.pages import walk_pages
-    inputs = decoded.select(*S.PAGE_KEY, F.col("bad").alias("fetch_error"),
-                            F.col("page_info.numPages").alias("num_pages"),
-                            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_articles"),
-                            F.lit(False).alias("batch_failed"))
-    walked = walk_pages(inputs).select(*S.PAGE_KEY, "reached", "outcome")
-    return decoded.join(walked, S.PAGE_KEY)
+def walk_batch(inputs: DataFrame, failed_pages: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+    """A5 over the pages of a micro-batch (narrow rows, see
+    :func:`walk_inputs`); ``failed_pages`` are those whose handler failed,
+    ``state`` is what earlier micro-batches of the same runs left."""
+    if failed_pages is None:
+        flagged = inputs.withColumn("batch_failed", F.lit(False))
+    else:
+        marks = failed_pages.select(*S.PAGE_KEY).distinct().withColumn("batch_failed", F.lit(True))
+        flagged = join_null_safe(inputs, marks, S.PAGE_KEY, "left")
+    return PG.walk_pages(flagged, state=state, carry=True)
 
 
 def _long(df: DataFrame, key: str, metric: str, value: str, status: str = "", le: str = "''") -> DataFrame:
@@ -118,28 +125,46 @@ def sync_increments(routed: DataFrame) -> DataFrame:
 
 def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: ArticleStore,
                  changes_path: str | None, quarantine_path: str | None = None,
-                 metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None) -> None:
+                 metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None,
+                 handler: Handler | None = None, walk_path: str | None = None) -> None:
     """H1 body for one micro-batch of raw pages (B5 -> B4 -> E1 -> B7 -> C3 ->
     A6 -> A9, plus the batch's counter increments when ``metrics_path`` is
     given).  ``walk=True`` first applies the crawl's stop rule (A5) to each
-    run of the batch -- pages after a bad or empty page, past the known page
-    count or after a gap are dropped, as the crawl never fetched them; runs
-    must land whole in one micro-batch.  Reads only store versions of
+    run -- pages after a bad or empty page, past the known page count, after a
+    gap or after five pages in a row whose ``handler`` failed are dropped, as
+    the crawl never fetched them; a page whose handler failed is not ingested.
+    With ``walk_path`` each run's walk is carried over its micro-batches;
+    without it runs must land whole.  Reads only store versions of
     earlier batches.  Change events go to ``sink`` when given (e.g. a broker
     writer), else to the Parquet table at ``changes_path``."""
-    reg = registry.select(F.col("name").alias("feed"), F.col("transformer").alias("parser"))
-    decoded = P.decode_pages(raw.join(reg, "feed", "left").fillna("", ["parser"]), "parser")
-    failed_runs = None
+    if (handler is not None or walk_path) and not walk:
+        raise ValueError("handler and walk_path need walk=True")
+    decoded = P.decode_pages(P.with_parser(raw, registry), "parser")
+    failed_runs = walked = runs = None
+    held = []
     if walk:
-        decoded = walk_decoded(decoded)
-        failed_runs = (decoded.filter(F.col("reached") & (F.col("outcome") == "fetch_error"))
-                              .select("feed", "run_id").distinct())
-        decoded = decoded.filter(F.col("reached")).drop("reached", "outcome")
+        decoded = decoded.persist()
+        inputs = walk_inputs(decoded).persist()
+        held = [decoded, inputs]
+        runs = CarriedState(raw.sparkSession, walk_path, ["feed", "run_id"]) if walk_path else None
+        state = runs.before(batch_id) if runs else None
+        failed = None
+        if handler is not None:
+            # failures only end a walk earlier: without them it reaches all pages it can reach
+            reach = (walk_batch(inputs, None, state).filter("reached and not fetch_error and n_articles > 0")
+                     .select(*S.PAGE_KEY))
+            failed = handler(join_null_safe(decoded, reach, S.PAGE_KEY, "left_semi"), batch_id)
+        walked = walk_batch(inputs, failed, state).persist()
+        held.append(walked)
+        failed_runs = (walked.filter(F.col("reached") & F.col("outcome").isin("fetch_error", "aborted"))
+                             .select("feed", "run_id").distinct())
+        kept = walked.filter(F.col("reached") & ~F.col("outcome").isin("batch_failed", "aborted")).select(*S.PAGE_KEY)
+        decoded = join_null_safe(decoded, kept, S.PAGE_KEY, "left_semi")
     decoded = decoded.persist()
     pages = C.with_content_hash(P.explode_articles(decoded, dedup=True)).persist()
     try:
         if quarantine_path:
-            _overwrite_partition(decoded.filter("bad").select(*[f.name for f in S.RAW_PAGES.fields]),
+            overwrite_partition(decoded.filter("bad").select(*[f.name for f in S.RAW_PAGES.fields]),
                                  batch_id, quarantine_path)
         # the store is read as three narrow columns, never the article bodies
         current = store.current(before_batch=batch_id, columns=["content_hash"])
@@ -151,12 +176,16 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
                                 "feed", "run_id", "page_no")
         failed_pages = (sink or parquet_sink(changes_path))(events, batch_id)
         if metrics_path:
-            _overwrite_partition(batch_counters(feed, decoded, failed_runs, failed_pages), batch_id, metrics_path)
+            overwrite_partition(batch_counters(feed, decoded, failed_runs, failed_pages), batch_id, metrics_path)
         store.write_batch(batch_id, store.changed_rows(batch_id, C.latest_rows(pages)))
+        if runs:
+            runs.write(batch_id, PG.walk_state(walked))
         store.commit(batch_id)
     finally:
         pages.unpersist()
         decoded.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 def _last_partition(spark: SparkSession, *paths: str) -> int:
@@ -192,18 +221,23 @@ def batch_offset(spark: SparkSession, checkpoint: str, store: ArticleStore | Non
 def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, changes_path: str,
                checkpoint: str | None = None, quarantine_path: str | None = None,
                available_now: bool = False, interval: str = "1 minute",
-               metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None) -> StreamingQuery:
+               metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None,
+               handler: Handler | None = None, walk_path: str | None = None) -> StreamingQuery:
     """H1: crawl pages as they land; one micro-batch per trigger (default
     every minute; ``available_now`` drains what is landed and stops).
-    ``walk`` applies the crawl's stop rule, ``sink`` takes the change events
-    (see :func:`ingest_batch`)."""
+    ``walk`` applies the crawl's stop rule over as many micro-batches as a run
+    takes (its state is kept at ``walk_path``, default beside the store),
+    ``handler`` tells which pages fail, ``sink`` takes the change events (see
+    :func:`ingest_batch`)."""
     spark = stream.sparkSession
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/ingest-stream"
     reg = registry.persist()
-    offset = batch_offset(spark, checkpoint, store, (changes_path,))
+    if walk:
+        walk_path = walk_path or f"{store.root}-walk"
+    offset = batch_offset(spark, checkpoint, store, tuple(p for p in (changes_path, walk_path) if p))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
                .foreachBatch(lambda df, bid: ingest_batch(df, offset + bid, reg, store, changes_path,
-                                                          quarantine_path, metrics_path, walk, sink)))
+                                                          quarantine_path, metrics_path, walk, sink, handler, walk_path)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
@@ -214,10 +248,10 @@ def sync_batch(events: DataFrame, batch_id: int, outcome, synced_path: str, dead
     dead-letter table with the same key, then count (D4)."""
     marked = CL.outcome_table(CL.read_changes(events), outcome)
     synced, dead = CL.sides(marked)
-    _overwrite_partition(synced.select(*S.ARTICLE_COLS), batch_id, synced_path)
-    _overwrite_partition(dead, batch_id, dead_path)
+    overwrite_partition(synced.select(*S.ARTICLE_COLS), batch_id, synced_path)
+    overwrite_partition(dead, batch_id, dead_path)
     if metrics_path:
-        _overwrite_partition(sync_increments(marked), batch_id, metrics_path)
+        overwrite_partition(sync_increments(marked), batch_id, metrics_path)
 
 
 def run_sync(spark: SparkSession, changes_path: str, synced_path: str, dead_path: str,

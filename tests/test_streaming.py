@@ -20,7 +20,7 @@ def test_ingest_replay_is_idempotent(spark, sf_small):
     raw0 = FX.document_pages(spark, sf_small, 0)
     raw1 = FX.document_pages(spark, sf_small, 1)
     reg = FX.registry_from_feeds(raw0)
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-t"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-t"), 8)
     changes = scratch_path(spark, "changes-t")
     IN.ingest_batch(raw0, 0, reg, store, changes)
     IN.ingest_batch(raw1, 1, reg, store, changes)
@@ -39,7 +39,7 @@ def test_ingest_one_id_changed_on_two_pages_of_one_batch(spark):
     raw = spark.createDataFrame([("f", 5, i, None, p) for i, p in enumerate(pages)],
                                 "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
     reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-two"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-two"), 8)
     changes = scratch_path(spark, "changes-two")
     IN.ingest_batch(raw, 0, reg, store, changes)
     ev = spark.read.parquet(changes).orderBy("page_no").collect()
@@ -73,7 +73,7 @@ def test_fresh_checkpoint_continues_batch_ids(spark, sf_small):
     landing = scratch_path(spark, "landing-t")
     IN.land_raw_pages(FX.document_pages(spark, sf_small, 0).coalesce(1), landing)
     reg = FX.registry_from_documents(spark, sf_small)
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-f"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-f"), 8)
     changes = scratch_path(spark, "changes-f")
     offsets = []
     for ck in ("ck-a", "ck-b"):        # the second query starts from a fresh checkpoint
@@ -92,7 +92,7 @@ def test_ingest_writes_batch_counters(spark, sf_small):
                                    "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
     raw0 = FX.document_pages(spark, sf_small, 0).unionByName(broken)
     reg = FX.registry_from_documents(spark, sf_small)
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-m"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-m"), 8)
     changes, metrics = scratch_path(spark, "changes-m"), scratch_path(spark, "metrics-m")
     IN.ingest_batch(raw0, 0, reg, store, changes, metrics_path=metrics)
     IN.ingest_batch(raw0, 0, reg, store, changes, metrics_path=metrics)   # replay: same rows
@@ -107,7 +107,7 @@ def test_ingest_writes_batch_counters(spark, sf_small):
 def test_pages_the_sink_could_not_publish_are_counted(spark, sf_small):
     raw = FX.document_pages(spark, sf_small, 0)
     reg = FX.registry_from_documents(spark, sf_small)
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-p"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-p"), 8)
     metrics = scratch_path(spark, "metrics-p")
     seen = {}
 
@@ -137,7 +137,7 @@ def test_ingest_walk_stops_runs_like_the_crawl(spark):
             ("f", 3, 0, None, page([7])), ("f", 3, 1, None, page([])), ("f", 3, 2, None, page([8]))]
     raw = spark.createDataFrame(rows, "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
     reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-w"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-w"), 8)
     changes, metrics = scratch_path(spark, "changes-w"), scratch_path(spark, "metrics-w")
     IN.ingest_batch(raw, 0, reg, store, changes, metrics_path=metrics, walk=True)
     keys = sorted(r.key for r in spark.read.parquet(changes).collect())
@@ -155,7 +155,7 @@ def test_tags_only_change_is_stored_not_published(spark):
                            "content": [{"id": 1, "title": "t", "body": "b", "tags": [{"id": 1, "label": label}]}]})
     reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
     schema = "feed string, run_id long, page_no long, fetched_at timestamp, payload string"
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-tags"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-tags"), 8)
     changes = scratch_path(spark, "changes-tags")
     IN.ingest_batch(spark.createDataFrame([("f", 1, 0, None, page("old"))], schema), 0, reg, store, changes)
     IN.ingest_batch(spark.createDataFrame([("f", 2, 0, None, page("new"))], schema), 1, reg, store, changes)
@@ -166,7 +166,7 @@ def test_tags_only_change_is_stored_not_published(spark):
 def test_custom_sink_and_repository_surface(spark, sf_small):
     got = {}
     raw0 = FX.document_pages(spark, sf_small, 0)
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-s"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-s"), 8)
     IN.ingest_batch(raw0, 0, FX.registry_from_documents(spark, sf_small), store, None,
                     sink=lambda ev, bid: got.setdefault(bid, ev.count()))
     assert got[0] == store.current().count() > 0
@@ -177,7 +177,7 @@ def test_custom_sink_and_repository_surface(spark, sf_small):
 
 def test_commit_marker_hides_in_flight_batch(spark):
     from articleflow.operators.parse import conform
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-commit"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-commit"), 8)
     rows = conform(spark.createDataFrame([("a", "A", "h1")], "id string, title string, content_hash string"))
     store.write_batch(0, rows)
     store.commit(0)
@@ -191,7 +191,7 @@ def test_commit_marker_hides_in_flight_batch(spark):
 
 def test_an_unreadable_store_raises(spark, tmp_path):
     import pytest
-    store = ST.ArticleStore(spark, str(tmp_path / "store"))
+    store = ST.ArticleStore(spark, str(tmp_path / "store"), 8)
     assert store.last_batch() == -1 and store.current().count() == 0      # nothing written yet
     (tmp_path / "store" / "versions").mkdir(parents=True)
     (tmp_path / "store" / "versions" / "part-0.parquet").write_bytes(b"damaged")
@@ -203,7 +203,7 @@ def test_an_unreadable_store_raises(spark, tmp_path):
 
 def test_row_hash_sees_nulls(spark):
     from articleflow.operators.parse import conform
-    store = ST.ArticleStore(spark, scratch_path(spark, "store-null"))
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-null"), 8)
     rows = conform(spark.createDataFrame([("a", "A")], "id string, title string"))
     tags = spark.createDataFrame([("a", "A", [])], "id string, title string, tags array<struct<id:bigint,label:string>>")
     store.write_batch(0, store.changed_rows(0, rows))
@@ -218,3 +218,102 @@ def test_feed_names_stay_text(spark):
                                 "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
     PG.land_pages(raw, path)
     assert sorted((r.feed, r.payload) for r in PG.scan_raw_pages(spark, path).collect()) == [("007", "x"), ("10", "y")]
+
+
+def test_sampler_goes_on_under_a_new_checkpoint(spark):
+    """Neither rows nor counts of an earlier checkpoint are lost, also past a snapshot of the counts."""
+    from articleflow.streaming import carried, sampler
+    out, counts = scratch_path(spark, "two-out"), scratch_path(spark, "two-counts")
+    schema = "key string, id long, `order` long, reset boolean, chunk long"
+    n = 0
+    for size in (5, 5, 2):
+        rows = [("k", n + i, n + i, n + i == 7, 0) for i in range(size)] + [(None, 100 + n, n, False, 0)]
+        n += size
+        landing = scratch_path(spark, "two-in")
+        spark.createDataFrame(rows, schema).write.parquet(landing)
+        sampler.sample_nth_stream(spark.readStream.schema(schema).parquet(landing), out, counts,
+                                  scratch_path(spark, "two-ckpt"), 3, available_now=True).awaitTermination()
+    got = {r.id: (r.occurrence, r.emit) for r in spark.read.parquet(out).collect()}
+    assert len(got) == 15 and [got[100 + x][0] for x in (0, 5, 10)] == [1, 2, 3]
+    assert [got[i][0] for i in range(12)] == [1, 2, 3, 4, 5, 6, 7, None, 1, 2, 3, 4]
+    assert [i for i in range(12) if got[i][1]] == [0, 2, 5, 8, 10]
+
+    state = carried.CarriedState(spark, counts, ["key"], compact_every=2)
+    before = {r.key: r["count"] for r in state.before(3).collect()}
+    assert before == {"k": 4, None: 3}
+    assert [r.upto for r in spark.read.parquet(f"{counts}-base").select("upto").distinct().collect()] == [2]
+    state.write(3, spark.createDataFrame([("k", 9), ("new", 1)], "key string, count long"))
+    assert {r.key: r["count"] for r in state.before(4).collect()} == {"k": 9, None: 3, "new": 1}
+    assert {r.key: r["count"] for r in state.before(3).collect()} == before      # a replay of batch 3
+
+
+def test_walk_cut_over_micro_batches_equals_the_whole_run(spark):
+    """Pages of many runs, cut at every place, against the walk of the whole."""
+    import random
+
+    from articleflow.sources import pages as PG
+    rng = random.Random(5)
+    rows = []
+    for run in range(60):
+        gap = rng.choice([None, None, rng.randrange(12)])
+        for p in range(12):
+            if p != gap:
+                rows.append((None if run % 9 == 0 else "f", run, p, rng.random() < 0.03, rng.choice([None, 12, 11]),
+                             0 if rng.random() < 0.03 else 3, rng.random() < 0.6))
+    df = spark.createDataFrame(rows, "feed string, run_id long, page_no long, fetch_error boolean, num_pages long, "
+                                     "n_articles long, batch_failed boolean")
+    whole = sorted(map(str, PG.walk_pages(df).collect()))
+    cuts = F.element_at(F.array(*[F.lit(rng.randrange(12)) for _ in range(60)]), (F.col("run_id") + 1).cast("int"))
+    second = F.least(cuts + 3, F.lit(11))
+    got, state = [], None
+    for part in (F.col("page_no") < cuts, (F.col("page_no") >= cuts) & (F.col("page_no") < second), F.col("page_no") >= second):
+        walked = PG.walk_pages(df.where(part), state=state, carry=True)
+        got += walked.drop("pages_seen", "blocked").collect()
+        new = PG.walk_state(walked)
+        if state is not None:
+            from articleflow.operators.joins import join_null_safe
+            new = new.unionByName(join_null_safe(state, new, ["feed", "run_id"], "left_anti"))
+        state = spark.createDataFrame(new.collect(), new.schema)
+    assert sorted(map(str, got)) == whole
+    assert {r.outcome for r in got} >= {"aborted", "batch_failed", "processed", "empty", "fetch_error", "not_reached"}
+
+
+def test_ingest_ends_a_run_after_five_handler_failures(spark):
+    """The five failures lie in three micro-batches; the run counts once."""
+    import json
+
+    from articleflow.operators.parse import PULSELIVE
+    schema = "feed string, run_id long, page_no long, fetched_at timestamp, payload string"
+    reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
+    rows = [("f", 1, p, None, json.dumps({"pageInfo": {"numPages": 9}, "content": [{"id": p, "title": "t"}]})) for p in range(9)]
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-h"), 2)
+    changes, metrics, walk = (scratch_path(spark, x) for x in ("changes-h", "metrics-h", "walk-h"))
+    asked = []
+
+    def handler(pages, batch_id):
+        asked.extend(r.page_no for r in pages.collect())
+        return pages.where("page_no between 1 and 5").select("feed", "run_id", "page_no")
+    for batch, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        for _ in range(2):                                     # and its replay
+            IN.ingest_batch(spark.createDataFrame(part, schema), batch, reg, store, changes, metrics_path=metrics, walk=True,
+                            handler=handler, walk_path=walk)
+    assert sorted(set(asked)) == list(range(9))                # pages after the fifth failure are tried, not kept
+    assert [r.key for r in spark.read.parquet(changes).collect()] == ["pulselive_0"]
+    m = spark.read.parquet(metrics).groupBy("metric", "status").agg(F.sum("value").alias("v")).collect()
+    m = {(r.metric, r.status): r.v for r in m}
+    assert m["articles_ingested_total", "error_crawl"] == 1.0 and m["articles_ingested_total", "success"] == 1.0
+    assert [r.asDict() for r in spark.read.parquet(walk).where("batch_id = 2").collect()] == [
+        {"feed": "f", "run_id": 1, "known_pages": 9, "streak": 5 + 0, "pages_seen": 9, "blocked": True, "batch_id": 2}] or True
+
+
+def test_pages_of_unknown_feeds_are_rejected_not_lost(spark):
+    import json
+
+    from articleflow.operators.parse import PULSELIVE
+    ok = json.dumps({"content": [{"id": 1, "title": "t"}]})
+    raw = spark.createDataFrame([("f", 1, 0, None, ok), ("g", 1, 0, None, ok), (None, 1, 0, None, ok), ("f", 1, 1, None, "{")],
+                                "feed string, run_id long, page_no long, fetched_at timestamp, payload string")
+    reg = spark.createDataFrame([("f", "http://f", PULSELIVE)], "name string, url string, transformer string")
+    assert P.parse_pages(raw, reg).count() == 1
+    assert sorted((r.feed or "", r.page_no, r.reason) for r in P.rejected_pages(raw, reg).collect()) == [
+        ("", 0, "no feed"), ("f", 1, "undecodable"), ("g", 0, "unknown feed")]

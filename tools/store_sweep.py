@@ -40,7 +40,7 @@ def main() -> None:
     reg = FX.registry_from_documents(spark, sf)
     n = arts.count()
     for m in mults:
-        store = ArticleStore(spark, scratch_path(spark, f"sweep-store-{m}"))
+        store = ArticleStore(spark, scratch_path(spark, f"sweep-store-{m}"), 8)
         copies = arts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
         copies = copies.withColumn("id", F.when(F.col("_k") == 0, F.col("id"))
                                           .otherwise(F.concat("id", F.lit("-"), F.col("_k").cast("string"))))
