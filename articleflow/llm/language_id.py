@@ -1,6 +1,7 @@
 """Operator 2: language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  An n-gram's vector binds its
+Every letter has a random vector of +1 and -1, hashed from its code point and a
+seed, so letters of all scripts differ.  An n-gram's vector binds its
 letters' vectors, each rotated by its place, by multiplication; a text's
 vector bundles its n-grams by addition (words are bounded by a vector of
 their own).  A language's prototype bundles the unit vectors of its training
@@ -14,7 +15,8 @@ per language, Spark adds these up, and only the prototypes (languages x
 Defined results: null text or a text without a letter: ``und``, score 0; texts
 are taken whole; a tie goes to the language first in order; null ``lang`` does
 not train; without training rows every text is ``und``; repeated rows each
-give a row and train as often.
+give a row and train as often; an empty table gives no row; ``predict`` keeps
+other columns and refuses an input column named like an output.
 """
 
 from __future__ import annotations
@@ -29,37 +31,43 @@ from pyspark.sql import functions as F
 from articleflow.llm.common import append_columns, field, ready
 
 DIM = 1024
-LETTERS = 128            # vectors; code points beyond the first share them
+BITS = 21                # of a code point; three fit in the code of an n-gram
 ROWS_AT_ONCE = 64        # texts of one matrix product
 GRAMS_KEPT = 16_384      # n-gram vectors that a worker keeps
 UNIT = 1 << 20           # unit vectors are rounded to this many steps
 MAX_LANGS = 2_000        # bound on what the driver and each worker hold (16 MB)
 
 
+def letter_vectors(points: np.ndarray, seed: int) -> np.ndarray:
+    """Vectors of +1 and -1 of some code points (0: the border of a word),
+    from 64 hashed bits at a time."""
+    x = points.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64)
+    x += np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(32)
+    return np.unpackbits(x.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+
+
 class Profiler:
     """Vectors of texts; the letters' vectors follow from the seed."""
 
     def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        letter = rng.integers(0, 2, (LETTERS, DIM), dtype=np.int8) * 2 - 1
-        self.last, self.mid, self.first = letter, np.roll(letter, 1, 1), np.roll(letter, 2, 1)
+        self.seed = seed
         n = 0x110000
-        code = np.zeros(n, np.int64)          # 0: no letter
-        is_letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
-        code[is_letter] = 1 + np.flatnonzero(is_letter) % (LETTERS - 1)
-        self.code = code
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
         self.rows: dict[int, int] = {}
         self.table = np.empty((GRAMS_KEPT, DIM), np.float32)
 
     def grams(self, text: str | None):
         """Codes and counts of the letter 3-grams; None without a letter."""
         raw = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-        c = self.code[raw]
+        c = np.where(self.letter[raw], raw, 0).astype(np.int64)
         c = np.concatenate(([0], c, [0]))
         c = c[(c > 0) | (np.concatenate(([1], c[:-1])) > 0)]     # one boundary between words
         if len(c) < 3:
             return None
-        return np.unique((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], return_counts=True)
+        return np.unique((c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:], return_counts=True)
 
     def _vectors(self, codes: np.ndarray) -> np.ndarray:
         new = [g for g in codes.tolist() if g not in self.rows]
@@ -75,8 +83,11 @@ class Profiler:
         return self.table[[self.rows[g] for g in codes.tolist()]]
 
     def _bind(self, codes):
-        a, b, c = codes // LETTERS**2, codes // LETTERS % LETTERS, codes % LETTERS
-        return (self.first[a] * self.mid[b] * self.last[c]).astype(np.float32)
+        low = (1 << BITS) - 1
+        points, at = np.unique(np.concatenate((codes >> 2 * BITS, (codes >> BITS) & low, codes & low)), return_inverse=True)
+        letter = letter_vectors(points, self.seed)
+        a, b, c = np.split(at, 3)
+        return (np.roll(letter, 2, 1)[a] * np.roll(letter, 1, 1)[b] * letter[c]).astype(np.float32)
 
     def vectors(self, texts: list[str | None]):
         """(rows with a letter, their integer vectors), a few texts at a time."""
@@ -150,6 +161,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language of each whole text and its cosine."""
     ready(docs.sparkSession)
+    for out in (lang_out, score_out):
+        if out in docs.columns:
+            raise ValueError(f"the input has a column {out!r}; name another one")
     names = sorted(prototypes)
     table = _unit(np.array([prototypes[n] for n in names])) if names else np.empty((0, DIM))
     return append_columns(docs, [text_col], partial(_make_predict, names, table),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from articleflow.llm.chat_format import END, START, TEXT, TURN
+from articleflow.llm.decontaminate import UNSPACED
 from articleflow.llm.quality import CUTOFFS, RULES
 from articleflow.llm.secrets import KINDS, SCOPE
 
@@ -26,25 +29,30 @@ SELECT conv_id, count(*) AS n_turns,
          AS formatted_chars
 FROM c GROUP BY conv_id"""
 
+# as in the operator, with code points written for this engine
+_UNSPACED = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", UNSPACED)
+
 OP4 = r"""
 WITH raw AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-split AS (SELECT side, id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w
+split AS (SELECT side, id, [x FOR x IN string_split_regex(regexp_replace(lower(coalesce(text, '')), '""" + _UNSPACED + r"""', ' \0 ', 'g'),
+                                                      '[^\p{L}\p{N}]+') IF x <> ''] AS w
           FROM raw),
-items AS (SELECT min(id) AS item_id, w, len(w) AS n FROM split WHERE side = 'b' AND len(w) >= 5 GROUP BY w),
+items AS (SELECT min(id) AS item_id, w, len(w) AS n FROM split WHERE side = 'b' AND len(w) > 0 GROUP BY w),
 dw AS (SELECT id AS doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM split WHERE side = 'd'),
 iw AS (SELECT item_id, n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM items),
--- two substitutions among 13 words leave 4 equal words in a row; shorter items start with 4 equal words
+-- two substitutions among 13 words leave 4 equal words in a row; a shorter item has an equal word somewhere
 d4 AS (SELECT doc_id, p, concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v) AS g
        FROM dw WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
 i4 AS (SELECT item_id, p, concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v) AS g
-       FROM iw WINDOW v AS (PARTITION BY item_id ORDER BY p)),
-shifts AS (SELECT DISTINCT doc_id, item_id, d4.p - i4.p AS s FROM d4 JOIN i4 USING (g)),
+       FROM iw WHERE n >= 13 WINDOW v AS (PARTITION BY item_id ORDER BY p)),
+shifts AS (SELECT DISTINCT doc_id, item_id, d4.p - i4.p AS s FROM d4 JOIN i4 USING (g)
+           UNION SELECT DISTINCT doc_id, item_id, dw.p - iw.p FROM dw JOIN iw USING (w) WHERE n < 13),
 eq AS (SELECT s.doc_id, s.item_id, s.s, iw.p, iw.n, (dw.w IS NOT NULL AND dw.w = iw.w)::INT AS e
        FROM shifts s JOIN iw USING (item_id) LEFT JOIN dw ON dw.doc_id = s.doc_id AND dw.p = iw.p + s.s),
 win AS (SELECT *, sum(e) OVER (PARTITION BY doc_id, item_id, s ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k
         FROM eq),
-good AS (SELECT *, CASE WHEN n >= 13 THEN p <= n - 12 AND k >= 11 ELSE p = 1 AND k = n END AS ok FROM win),
+good AS (SELECT *, CASE WHEN n >= 13 THEN p <= n - 12 AND k >= 11 ELSE p = 1 AND k >= (4 * n + 4) // 5 END AS ok FROM win),
 cover AS (SELECT *, max(ok::INT) OVER (PARTITION BY doc_id, item_id, s ORDER BY p
                                        ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS c FROM good),
 per AS (SELECT doc_id, item_id, s, n, sum(e * c) AS n_match FROM cover GROUP BY ALL HAVING max(c) = 1)
@@ -61,7 +69,7 @@ def _op6() -> str:
                generate_subscripts(string_split_regex(text, {quote(p)}), 1) AS i
         FROM d WHERE regexp_matches(text, {quote(p)})) WHERE match IS NOT NULL"""
             for k, (p, rank, part, _) in KINDS.items()]
-    near = ("EXISTS (SELECT 1 FROM spans o WHERE o.rid = s.rid AND o.part = '{}' AND abs(o.start - s.start) <= %d)" % SCOPE)
+    near = ("EXISTS (SELECT 1 FROM spans o WHERE o.rid = s.rid AND o.part = '{}' AND greatest(o.start, s.start) - least(o.stop, s.stop) <= %d)" % SCOPE)
     listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

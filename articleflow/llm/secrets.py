@@ -21,7 +21,9 @@ by a window over the matches.  DataFrame functions only.
 
 Defined results: null text: empty; offsets are code points, end exclusive;
 rows are taken one by one, so repeated rows and null ids each give a row;
-spans are ordered by start, then kind; an empty table gives no row.
+spans are ordered by start, then kind; texts are taken whole; the report
+leaves other columns out and ``redact`` keeps them, so their names cannot
+clash; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -63,11 +65,10 @@ def _stretches(kind: str) -> Column:
         F.char_length(x["match"]).alias("size"), ok(x).alias("ok"))))
 
 
-def find_spans(docs: DataFrame, by_gap: bool = True) -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans).  rows: doc_id, print (hash of the text), rid (of the
     row).  spans: rid, kind, rank (order of kinds), start, end; base spans and
-    linked weak ones.  ``by_gap``: the scope is the gap between two spans,
-    otherwise the distance of their starts."""
+    linked weak ones.  The scope is the gap between two spans."""
     ready(docs.sparkSession)
     parts = F.concat(*[F.coalesce(_stretches(k), F.array().cast(
         "array<struct<kind:string,i:int,gap:int,size:int,ok:boolean>>")) for k in KINDS])
@@ -87,16 +88,16 @@ def find_spans(docs: DataFrame, by_gap: bool = True) -> tuple[DataFrame, DataFra
     for role, others in (("id", ["secret"]), ("secret", ["id"]), ("endpoint", ["id", "secret"])):
         mine = weak.where(F.col("part") == role)
         for other in others:
-            mine = _beside(mine, spans.where(F.col("part") == other), by_gap)
+            mine = _beside(mine, spans.where(F.col("part") == other))
         kept = kept.unionByName(mine)
     return found.select("doc_id", "print", "rid"), kept.drop("part")
 
 
-def _beside(mine: DataFrame, other: DataFrame, by_gap: bool) -> DataFrame:
+def _beside(mine: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of ``mine`` with a row of ``other`` within the scope: interval
     join on the text and the bins that the other and the surroundings of mine
     reach."""
-    last, o_last = (F.col("end"), F.col("o_end")) if by_gap else (F.col("start"), F.col("o_start"))
+    last, o_last = F.col("end"), F.col("o_end")
     bin_of = lambda at: F.floor(at / SCOPE)
     left = mine.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start") - SCOPE), bin_of(last + SCOPE))))
     right = (other.select(F.col("rid").alias("o_rid"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
@@ -108,7 +109,7 @@ def _beside(mine: DataFrame, other: DataFrame, by_gap: bool) -> DataFrame:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row."""
-    rows, spans = find_spans(docs, by_gap=False)
+    rows, spans = find_spans(docs)
     listed = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("s"))
     every = F.coalesce("s", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
     joined = rows.join(listed, "rid", "left").select("doc_id", every.alias("s"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from articleflow.llm.common import append_columns, field, ready
 from articleflow.llm.pieces import MARK, Pieces, shared
 
-WORDS_KEPT = 200_000  # encodings kept by a worker (some 50 MB); beyond, the table starts anew
+BYTES_KEPT = 48 << 20  # of the words and encodings that a worker keeps, about; beyond, the table starts anew
 
 
 def viterbi_sorted(words: list[str], pieces: Pieces, tails: set[str]) -> dict[str, bytes]:
@@ -75,6 +75,7 @@ def viterbi_sorted(words: list[str], pieces: Pieces, tails: set[str]) -> dict[st
 
 
 _KEPT: dict[str, dict] = {}
+_SIZE = [0]
 
 
 def _make_encode(table):
@@ -84,16 +85,19 @@ def _make_encode(table):
     key = f"{len(pieces.ids)}:{hash(frozenset(pieces.scores.items()))}"
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = {}
+        _KEPT[key], _SIZE[0] = {}, 0
 
     def run(texts):
         known = _KEPT[key]
         cut = [words(t) for t in texts.to_pylist()]
         missing = sorted({w for ws in cut for w in ws if w not in known})
-        if len(known) + len(missing) > WORDS_KEPT:
+        if _SIZE[0] > BYTES_KEPT:
             known.clear()
+            _SIZE[0] = 0
             missing = sorted({w for ws in cut for w in ws})
-        known.update(viterbi_sorted(missing, pieces, tails))
+        new = viterbi_sorted(missing, pieces, tails)
+        _SIZE[0] += sum(150 + 4 * len(w) + len(x) for w, x in new.items())
+        known.update(new)
         get = known.__getitem__
         found = [b"".join(map(get, ws)) for ws in cut]
         ends = np.cumsum([0, *map(len, found)]) // 4

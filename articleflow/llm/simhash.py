@@ -192,18 +192,19 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the
-    component's.  Of repeated rows of an id, and of rows without an id in a
-    component that has none, one stays."""
+    """``docs`` with one row of each component: one whose id is the
+    component's.  It is decided by row, not by id: rows that share an id and
+    lie in different components do not speak for each other.  Of rows without
+    an id in a component that has none, one of each fingerprint stays."""
     found = written(near_duplicates(docs, shingle, max_bits), "components")
-    spare = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id = component_id or component_id is null").groupBy("doc_id").count().where("count > 1")
-    unnamed = found.where("doc_id is null and component_id is not null").limit(1).count()
-    out = docs.join(written(spare, "spare"), "doc_id", "left_anti")
-    if unnamed or not twice.isEmpty():        # rare: ids are missing or repeated
-        shown = with_fingerprint(out, shingle, out="__fp")
-        named = shown.where("doc_id is not null").dropDuplicates(["doc_id"])
-        alone = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-        out = named.unionByName(shown.where("doc_id is null").dropDuplicates(["__fp"])
-                                .join(alone, "__fp", "left_semi").select(*shown.columns)).drop("__fp")
-    return out
+    ids = found.groupBy("doc_id").count()
+    if ids.where("count > 1 or doc_id is null").isEmpty():
+        spare = found.where("doc_id <> component_id").select("doc_id")
+        return docs.join(written(spare, "spare"), "doc_id", "left_anti")
+    # rare: ids are missing or repeated, and a row is known by its id and fingerprint
+    stay = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("__fp"))
+    stay = stay.unionByName(found.where("component_id is null").select("component_id", F.col("fp").alias("__fp")).distinct())
+    stay = written(stay.select(F.col("component_id").alias("__id"), F.col("__fp").alias("__print")), "stay")
+    shown = with_fingerprint(docs, shingle, out="__fp")
+    out = shown.join(stay, shown["doc_id"].eqNullSafe(stay["__id"]) & (shown["__fp"] == stay["__print"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "__fp"]).drop("__fp")

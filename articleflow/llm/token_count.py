@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from articleflow.llm.common import append_columns, field, ready
 from articleflow.llm.pieces import Pieces, shared
 
-WORDS_KEPT = 500_000  # counts kept by a worker; beyond, the table starts anew
+BYTES_KEPT = 64 << 20  # of the words that a worker keeps counts of, about; beyond, the table starts anew
 
 
 def count_word(word: str, scores: dict[str, float], known: set[str]) -> int:
@@ -72,11 +72,14 @@ class _Counts(dict):
         super().__init__()
         self.scores = pieces.scores
         self.known = {p for p in pieces.ids if len(p) == 1}
+        self.size = 0
 
     def __missing__(self, word):
         n = count_word(word, self.scores, self.known)
-        if len(self) >= WORDS_KEPT:
+        self.size += 120 + 4 * len(word)
+        if self.size > BYTES_KEPT:
             self.clear()
+            self.size = 0
         self[word] = n
         return n
 

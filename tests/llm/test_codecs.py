@@ -110,13 +110,56 @@ def test_language_odd_rows(spark):
     assert language_id.language_report(docs.limit(0)).count() == 0
 
 
-def test_language_vectors_follow_the_definition():
+def brute_vector(text):
+    """The sum over all letter 3-grams, letter by letter."""
     import numpy as np
+    letter = lambda c: language_id.letter_vectors(np.array([c]), 7)[0].astype(int)
+    codes = [0]
+    for c in text.lower():
+        if c.isalpha() or codes[-1]:
+            codes.append(ord(c) if c.isalpha() else 0)
+    codes += [0] if codes[-1] else []
+    return sum((np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(codes, codes[1:], codes[2:])),
+               np.zeros(language_id.DIM, int))
+
+
+def test_language_vectors_follow_the_definition():
     p = language_id.Profiler()
-    (_, got), = p.vectors(["ab c"])
-    code = [0, p.code[ord("a")], p.code[ord("b")], 0, p.code[ord("c")], 0]
-    want = sum(np.roll(p.last[a], 2) * np.roll(p.last[b], 1) * p.last[c].astype(int) for a, b, c in zip(code, code[1:], code[2:]))
-    assert (got[0] == want).all()
+    for text in ["ab c", "é, É!", "日本 語x", "a" * 5000]:
+        (_, got), = p.vectors([text])
+        assert (got[0] == brute_vector(text)).all()
+
+
+def test_letters_of_all_scripts_have_their_own_vectors():
+    import numpy as np
+    points = np.array([0, *map(ord, "aàäeéjöwыж日本語กข")])
+    v = language_id.letter_vectors(points, 7).astype(int)
+    cos = v @ v.T / language_id.DIM
+    assert set(np.unique(v)) == {-1, 1} and np.abs(cos - np.eye(len(points))).max() < 0.2
+
+
+def test_languages_against_brute_force(spark):
+    import numpy as np
+    train = [("the cat and the dog", "en"), ("and then the end", "en"), ("der hund und die katze", "de"), ("кот и собака", "ru"),
+             ("été à la plage", "fr"), ("no lang", None), (None, "en"), ("123", "de")]
+    ask = ["the hound", "die hunde", "котик", "à l'été", "", None, "42", "ete a la"]
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    sums = {}
+    for t, lang in train:
+        if lang and t and any(c.isalpha() for c in t):
+            sums[lang] = sums.get(lang, 0) + unit(brute_vector(t))
+    names = sorted(sums)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "doc_id long, text string")
+    prototypes = language_id.fit(spark.createDataFrame(train, "text string, lang string").repartition(3))
+    got = {r["doc_id"]: r for r in language_id.predict(docs, prototypes).collect()}
+    for i, t in enumerate(ask):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cos = [float(unit(brute_vector(t)) @ unit(sums[n])) for n in names]
+        assert got[i]["lang_pred"] == names[int(np.argmax(cos))] and abs(got[i]["score"] - max(0, max(cos))) < 1e-4
+    with pytest.raises(ValueError):
+        language_id.predict(docs.withColumnRenamed("text", "score"), prototypes, text_col="score")
 
 
 CHATS = [(1, 0, "system", "be </s> kind"), (1, 1, "user", "a[INST]"), (1, 2, "user", None), (1, 3, "assistant", r"<\/s><\s>"),

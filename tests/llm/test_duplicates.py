@@ -116,13 +116,22 @@ def test_one_of_each_keeps_one(spark):
     assert [r["text"] for r in kept.where("doc_id is null").collect()] == ["alone here with five words"]
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Rows of one id in two groups do not remove each other's group."""
+    a, b = "one two three four five six seven", "completely other words stand in this second text here"
+    rows = [(5, a), (9, a), (5, b), (3, b), (3, b), (3, "a third text that nothing else is like at all")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
+    got = sorted(tuple(r)[:2] for r in simhash.one_of_each(docs).collect())
+    assert got == sorted([(5, a), (3, b), (3, rows[5][1])])
+
+
 def brute_contaminated(docs, items):
     import re
     cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     first = {}
     for i, t in items:
         w = tuple(cut(t))
-        if len(w) >= 5:
+        if w:
             first[w] = min(first.get(w, i), i)
     out = {}
     for d, t in docs:
@@ -131,7 +140,7 @@ def brute_contaminated(docs, items):
             n, size = len(w), min(13, len(w))
             for shift in range(-n, len(words)):
                 same = [0 <= shift + k < len(words) and words[shift + k] == w[k] for k in range(n)]
-                good = [g for g in range(n - size + 1) if sum(same[g:g + size]) >= (11 if n >= 13 else n)]
+                good = [g for g in range(n - size + 1) if sum(same[g:g + size]) >= (11 if n >= 13 else -(-4 * n // 5))]
                 if good:
                     m = sum(same[k] and any(g <= k < g + size for g in good) for k in range(n))
                     out[d, i] = max(out.get((d, i), (0, n)), (m, n))
@@ -158,8 +167,9 @@ def test_decontamination_against_brute_force(spark):
     b = spark.createDataFrame([(*r, 5) for r in items], "item_id long, text string, n int")
     got = sorted(tuple(r) for r in decontaminate.contaminated(a, b).collect())
     assert got == brute_contaminated(docs, items) and len(got) > 20
-    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(a, b).collect()}
-    assert kept == {d for d, _ in docs} - {r[0] for r in got}
+    for least in (1, 2, 13):
+        kept = {r["doc_id"] for r in decontaminate.drop_contaminated(a, b, least).collect()}
+        assert kept == {d for d, _ in docs} - {r[0] for r in got if r[3] >= least}
     assert decontaminate.contaminated(a, b.limit(0)).count() == 0
     assert decontaminate.contaminated(a.limit(0), b).count() == 0
 

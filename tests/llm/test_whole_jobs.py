@@ -47,6 +47,8 @@ def test_a_notice_with_words_between_is_found(scan, name):
 def test_a_long_secret_is_masked_on_either_side_of_its_identifier(spark, secret):
     texts = [f"{secret} client_id: robot77", f"client_id: robot77 {secret}", f"{secret}\nlogin=bob1 end", f"{secret}{' ' * 300}login=bob1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secret_report(docs).collect()}
+    assert all("weak_id" in spans[i] for i in range(3)) and "weak_id" not in spans[3]
     out = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
     assert out == ["[SECRET] [SECRET]", "[SECRET] [SECRET]", "[SECRET]\n[SECRET] end", texts[3]]
 
@@ -84,7 +86,7 @@ def test_short_and_unspaced_items(spark):
                     m = sum(same[k] and any(g <= k < g + size for g in good) for k in range(n))
                     want[d, i] = max(want.get((d, i), (0, n)), (m, n))
     table = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string")
-    got = decontaminate.contaminated(table(docs, "doc_id"), table(items, "item_id"), whole=True)
+    got = decontaminate.contaminated(table(docs, "doc_id"), table(items, "item_id"))
     assert sorted(map(tuple, got.collect())) == sorted((*k, *v) for k, v in want.items())
     assert {n for m, n in want.values() if m < n} >= {5, 6, 9, 10, 12}
 
@@ -92,6 +94,6 @@ def test_short_and_unspaced_items(spark):
     b = spark.createDataFrame([(1, question), (2, thai), (3, "日本"), (4, "")], "item_id long, text string")
     a = spark.createDataFrame([(1, f"请问{question.replace('晚', '早')}谢谢"), (2, f"xx{thai}yy"), (3, "在日本国"), (4, "日 x 本"), (5, None)],
                               "doc_id long, text string")
-    rows = {tuple(r)[:2] for r in decontaminate.contaminated(a, b, whole=True).collect()}
+    rows = {tuple(r)[:2] for r in decontaminate.contaminated(a, b).collect()}
     assert rows == {(1, 1), (2, 2), (3, 3)}
-    assert {r["doc_id"] for r in decontaminate.drop_contaminated(a, b, whole=True).collect()} == {4, 5}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(a, b).collect()} == {4, 5}
