@@ -8,6 +8,8 @@ rounded to 6 places.
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,7 @@ from articleflow.operators import series as SR
 from articleflow.operators import store as ST
 from articleflow.operators import streaks as SK
 from articleflow.plans import fixtures as FX
-from articleflow.session import scratch_path
+from articleflow.session import read_if_written, scratch_path
 from articleflow.sources import changelog as CL
 from articleflow.sources import logs as LG
 from articleflow.sources import pages as PG
@@ -280,6 +282,16 @@ def q_a10(spark, sf_dir):
     return out.select("event_id", "k", "error", "environment", "application")
 
 
+@query("a10_ingest_objects")
+def q_a10_objects(spark, sf_dir):
+    """Every key of every record: undeclared keys, explicit nulls over a
+    column, objects, the time field, lines that do not decode."""
+    lines = FX.object_lines(spark, sf_dir)
+    out = LG.ingest_objects(lines, "message", {"environment": "local"})
+    each = out.select("event_id", epoch_us("ts").alias("ts_us"), F.explode("record").alias("key", "value"))
+    return each.where("key <> 'message'").select("event_id", "ts_us", "key", F.to_json("value").alias("value"))
+
+
 # ----------------------------------------------------- streaks & sampling
 def by_hour(ev: DataFrame) -> DataFrame:
     """``events`` plus ``hour``, the chunk of the skew-split windows: a key's
@@ -490,6 +502,27 @@ def q_i1_expire(spark, sf_dir):
     return RT.expire(FX.table(spark, sf_dir, "events"), "ts", "2024-01-31 00:00:00").select("event_id")
 
 
+@query("i1_expire_days")
+def q_i1_days(spark, sf_dir):
+    """``events`` landed by day, expired days removed, the rest read back."""
+    path, now = scratch_path(spark, "events-by-day"), datetime(2024, 1, 24)
+    RT.land_by_day(FX.table(spark, sf_dir, "events").select("event_id", "ts"), "ts", path)
+    RT.drop_expired(spark, path, now)
+    return spark.read.parquet(path).select("event_id", F.col("day").cast("string").alias("day"))
+
+
+@query("i1_tier_days")
+def q_i1_tier_days(spark, sf_dir):
+    """``events`` landed by day in the hot table, aged twice."""
+    roots = {t: scratch_path(spark, f"tier-{t}") for t in ("hot", "warm", "cold")}
+    RT.land_by_day(FX.table(spark, sf_dir, "events").select("event_id", "ts"), "ts", roots["hot"])
+    for now in (datetime(2024, 1, 20), datetime(2024, 2, 5)):
+        RT.move_tiers(spark, roots, now)
+    parts = [read_if_written(spark, p) for p in roots.values()]
+    parts = [d.select("event_id", F.lit(t).alias("tier")) for t, d in zip(roots, parts) if d is not None]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------ streaming (A4, H1-H4)
 
 

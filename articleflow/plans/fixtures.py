@@ -202,6 +202,22 @@ def damaged_pages(raw: DataFrame) -> DataFrame:
     return raw.withColumn("payload", damaged)
 
 
+def object_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as log lines: a JSON object with a key per event type, ``k``
+    over the line's own column (null in every fifth), an object, a time field
+    in two of three; every 17th does not decode."""
+    ev = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    text = F.concat(F.lit('{"seen_'), F.col("event_type"), F.lit('": '), F.col("user_id").cast("string"),
+                    F.when(i % 5 == 0, F.lit(', "k": null')).when(i % 5 == 1, F.lit("")).otherwise(
+                        F.concat(F.lit(', "k": "'), F.col("event_type"), F.lit('"'))),
+                    F.when(i % 3 != 0, F.concat(F.lit(', "@timestamp": "2024-03-'), _pad2(1 + i % 28), F.lit('T'),
+                                                _pad2(i % 24), F.lit(':00:00Z"'))).otherwise(F.lit("")),
+                    F.lit(', "o": {"a": ['), i.cast("string"), F.lit(", true]}}"))
+    return ev.select("event_id", F.col("user_id").alias("k"),
+                     F.when(i % 17 == 0, F.substring(text, 1, 12)).otherwise(text).alias("message"))
+
+
 UNKNOWN_FEEDS = ["src3", "src11"]     # feeds that a fixture registry lacks
 
 

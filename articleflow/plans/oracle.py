@@ -286,6 +286,21 @@ SELECT event_id,
        'local' AS environment, 'articleflow' AS application
 FROM events"""
 
+ORACLE["a10_ingest_objects"] = """
+WITH e AS (SELECT *, event_id % 17 <> 0 AS ok,
+                  '2024-03-' || lpad(CAST(1 + event_id % 28 AS VARCHAR), 2, '0') || 'T' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0')
+                    || ':00:00Z' AS stamp FROM events),
+r AS (SELECT event_id, 'event_id' AS key, CAST(event_id AS VARCHAR) AS value FROM e
+      UNION ALL SELECT event_id, 'k', CASE WHEN ok AND event_id % 5 = 0 THEN 'null'
+                WHEN ok AND event_id % 5 <> 1 THEN '"' || event_type || '"' ELSE CAST(user_id AS VARCHAR) END FROM e
+      UNION ALL SELECT event_id, 'environment', '"local"' FROM e
+      UNION ALL SELECT event_id, 'error', '"failed to decode message as JSON"' FROM e WHERE NOT ok
+      UNION ALL SELECT event_id, 'seen_' || event_type, CAST(user_id AS VARCHAR) FROM e WHERE ok
+      UNION ALL SELECT event_id, 'o', '{"a":[' || event_id || ',true]}' FROM e WHERE ok
+      UNION ALL SELECT event_id, '@timestamp', '"' || stamp || '"' FROM e WHERE ok AND event_id % 3 <> 0)
+SELECT event_id, CASE WHEN ok AND event_id % 3 <> 0 THEN epoch_us(CAST(replace(replace(stamp, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS ts_us,
+       r.key, r.value FROM r JOIN e USING (event_id)"""
+
 ORACLE["e2_sample_nth"] = """
 WITH r AS (SELECT event_id, event_type, ts, value < 0.5 AS is_reset,
                   CAST(sum(CASE WHEN value < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id
@@ -448,6 +463,15 @@ ORACLE["i1_expire_samples"] = """
 SELECT event_id FROM events
 WHERE epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) < 15 * 86400000000"""
 
+# a day goes when its last moment is old enough
+ORACLE["i1_expire_days"] = """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events
+WHERE ts IS NULL OR date_diff('day', CAST(ts AS DATE) + 1, DATE '2024-01-24') < 15"""
+
+ORACLE["i1_tier_days"] = """
+SELECT event_id, CASE WHEN ts IS NULL THEN 'hot' WHEN a >= 30 THEN 'cold' WHEN a >= 7 THEN 'warm' ELSE 'hot' END AS tier
+FROM (SELECT *, date_diff('day', CAST(ts AS DATE) + 1, DATE '2024-02-05') AS a FROM events)"""
+
 # ---------------------------------------------------------------- streaming
 ORACLE["a4_stream_raw_pages"] = with_common("""
 SELECT DISTINCT feed, run_id, page_no FROM arts0

@@ -144,3 +144,55 @@ def test_age_tier_boundaries(spark):
     assert got == {k: k for k in ages}
     kept = [r.want for r in RT.expire(df, "ts", "2024-06-01 00:00:00", 15).collect()]
     assert sorted(kept) == ["hot", "warm"]
+
+
+def test_log_records_of_all_keys(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from articleflow.sources import logs as LG
+    rows = ['{"k":null,"level":"warn","@timestamp":"2024-01-02T03:04:05Z"}', '{"k":9,"o":{"a":[1]}}', "x", "[1]", None, '{"k":1,"k":2}',
+            "{}", '{"@timestamp":5}', '{"message":"own","error":"e"}']
+    df = spark.createDataFrame([(7, r) for r in rows], "k long, message string")
+    out = LG.ingest_objects(df, constants={"env": "x"})
+    got = {r.message: ({k: v for k, v in r.m.items() if k not in ("message", "env")}, str(r.ts), r.k) for r in out.select(
+        "message", "k", F.col("ts"), F.transform_values("record", lambda k, v: F.to_json(v)).alias("m")).collect()}
+    error = {"k": "7", "error": f'"{LG.DECODE_ERROR}"'}
+    assert got[rows[0]] == ({"k": "null", "level": '"warn"', "@timestamp": '"2024-01-02T03:04:05Z"'}, "2024-01-02 03:04:05", 7)
+    assert got[rows[1]] == ({"k": "9", "o": '{"a":[1]}'}, "None", 7)
+    assert all(got[r] == (error, "None", 7) for r in ("x", "[1]", None, rows[5]))
+    assert got["{}"][0] == {"k": "7"} and got[rows[7]] == ({"k": "7", "@timestamp": "5"}, "None", 7)
+    assert got[rows[8]][0] == {"k": "7", "error": '"e"'}
+    declared = LG.ingest_logs(df, T.StructType([T.StructField("k", T.LongType())])).collect()
+    assert [r.k for r in declared][:5] == [None, 9, 7, 7, 7] and declared[6].k == 7
+
+
+def test_days_expire_and_move_without_touching_others(spark):
+    import os
+    from datetime import date, datetime, timedelta
+
+    from articleflow.operators import retention as RT
+    from articleflow.session import scratch_path
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=7 * i)) for i in range(100)] + [(100, None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp")
+    path = scratch_path(spark, "by-day")
+    RT.land_by_day(df, "ts", path)
+    files = lambda: {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    assert RT.drop_expired(spark, path, datetime(2024, 1, 20, 5)) == [date(2024, 1, d) for d in range(1, 5)]
+    assert RT.drop_expired(spark, path, datetime(2024, 1, 20, 5)) == []
+    assert files().items() <= before.items()              # no file of a kept day was written again
+    kept = spark.read.parquet(path)
+    assert kept.where("ts is null").count() == 1 and kept.agg({"day": "min"}).first()[0] == date(2024, 1, 5)
+    exact = {r.id for r in RT.expire(kept, "ts", "2024-01-20 05:00:00").collect()}
+    assert exact == {i for i, t in rows if t and datetime(2024, 1, 20, 5) - t < timedelta(days=15)}
+
+    roots = {"hot": path, "warm": scratch_path(spark, "warm"), "cold": scratch_path(spark, "cold")}
+    RT.land_by_day(df.where("id = 20"), "ts", roots["warm"])            # the day is already there
+    went = RT.move_tiers(spark, roots, datetime(2024, 1, 20))
+    assert set(went.values()) == {"warm"} and max(went) == date(2024, 1, 12)
+    assert RT.move_tiers(spark, roots, datetime(2024, 1, 20)) == {}
+    warm = spark.read.parquet(roots["warm"])
+    assert warm.where("id = 20").count() == 2 and warm.where("id = 21").count() == 1
+    assert set(RT.move_tiers(spark, roots, datetime(2025, 1, 1)).values()) == {"delete"}
+    assert [r.id for r in spark.read.parquet(path).collect()] == [100]
