@@ -170,10 +170,9 @@ def close_links(fps: DataFrame, max_bits: int = 4, blocks: int = 6, max_bucket:
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 6,
-                    max_bucket: int = 16_384) -> DataFrame:
-    """doc_id, fp (long), component_id: smallest doc_id that chains of close
-    fingerprints reach."""
+def _rooted(docs: DataFrame, shingle: int, max_bits: int, blocks: int, max_bucket: int) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component) and
+    component_id of each row."""
     ready(docs.sparkSession)
     prints = written(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "prints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
@@ -181,8 +180,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 6,
+                    max_bucket: int = 16_384) -> DataFrame:
+    """doc_id, fp (long), component_id: smallest doc_id that chains of close
+    fingerprints reach."""
+    return _rooted(docs, shingle, max_bits, blocks, max_bucket).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -191,20 +196,19 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                                         "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int = 6,
+                max_bucket: int = 16_384) -> DataFrame:
     """``docs`` with one row of each component: one whose id is the
     component's.  It is decided by row, not by id: rows that share an id and
-    lie in different components do not speak for each other.  Of rows without
-    an id in a component that has none, one of each fingerprint stays."""
-    found = written(near_duplicates(docs, shingle, max_bits), "components")
-    ids = found.groupBy("doc_id").count()
-    if ids.where("count > 1 or doc_id is null").isEmpty():
+    lie in different components do not speak for each other."""
+    found = written(_rooted(docs, shingle, max_bits, blocks, max_bucket), "components")
+    if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         spare = found.where("doc_id <> component_id").select("doc_id")
         return docs.join(written(spare, "spare"), "doc_id", "left_anti")
     # rare: ids are missing or repeated, and a row is known by its id and fingerprint
-    stay = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("__fp"))
-    stay = stay.unionByName(found.where("component_id is null").select("component_id", F.col("fp").alias("__fp")).distinct())
-    stay = written(stay.select(F.col("component_id").alias("__id"), F.col("__fp").alias("__print")), "stay")
+    stay = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .groupBy("root", F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__print")).drop("root"))
+    stay = written(stay, "stay")
     shown = with_fingerprint(docs, shingle, out="__fp")
     out = shown.join(stay, shown["doc_id"].eqNullSafe(stay["__id"]) & (shown["__fp"] == stay["__print"]), "left_semi")
     return out.dropDuplicates(["doc_id", "__fp"]).drop("__fp")
