@@ -42,7 +42,7 @@ def letter_vectors(points: np.ndarray, seed: int) -> np.ndarray:
     """Vectors of +1 and -1 of some code points (0: the border of a word),
     from 64 hashed bits at a time."""
     x = points.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64)
-    x += np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    x += np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     x ^= x >> np.uint64(32)
