@@ -68,7 +68,7 @@ def parse_error_counters(bad_pages: DataFrame, feed: str = "feed") -> DataFrame:
     return bad_pages.groupBy(feed).agg(F.count(F.lit(1)).alias("parse_errors"))
 
 
-def _le_text(b: float) -> str:
+def le_text(b: float) -> str:
     return format(float(b), "g")
 
 
@@ -83,7 +83,7 @@ def histogram(df: DataFrame, value: str | Column, bounds: Sequence[float] = DEFA
     aggs = [F.count_if(v <= F.lit(b)).alias(f"_b{i}") for i, b in enumerate(bounds)]
     aggs += [F.count(v).alias("count"), F.sum(v).alias("sum")]
     wide = df.groupBy(*by).agg(*aggs)
-    pairs = ", ".join(f"'{_le_text(b)}', CAST({b!r} AS DOUBLE), _b{i}" for i, b in enumerate(bounds))
+    pairs = ", ".join(f"'{le_text(b)}', CAST({b!r} AS DOUBLE), _b{i}" for i, b in enumerate(bounds))
     stack = F.expr(f"stack({len(bounds) + 1}, {pairs}, '{INF}', CAST('Infinity' AS DOUBLE), count)"
                    ).alias("le", "le_value", "cumulative_count")
     return wide.select(*by, stack, "sum", "count")
@@ -94,6 +94,10 @@ def freshness(articles: DataFrame, now: str | Column = "fetched_at",
     """Age of each article at ``now`` in seconds (``freshness_s``);
     rows without a publication time (zero time) are skipped.  ``now`` is a
     column -- the page's fetch time -- never the wall clock."""
+    return articles.filter(F.col(published).isNotNull()).withColumn("freshness_s", age_s(now, published))
+
+
+def age_s(now: str | Column, published: str) -> Column:
+    """Age in seconds at ``now``, NULL without a publication time."""
     now_c = F.col(now) if isinstance(now, str) else now
-    return (articles.filter(F.col(published).isNotNull())
-                    .withColumn("freshness_s", (epoch_us(now_c) - epoch_us(published)) / F.lit(1e6)))
+    return (epoch_us(now_c) - epoch_us(published)) / F.lit(1e6)

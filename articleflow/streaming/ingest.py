@@ -90,27 +90,48 @@ def batch_counters(feed: DataFrame, pages: DataFrame, failed_runs: DataFrame | N
     value)``, per feed: unique articles ingested (D1), duplicates skipped
     (D2), articles published and pages that could not be (D3), undecodable
     pages (D5) and the freshness histogram (D7: age when the page was
-    fetched).  ``pages``: the batch's pages with ``bad`` and ``fetched_at``."""
-    n = F.count(F.lit(1)).alias("n")
+    fetched).  ``pages``: the batch's pages with ``bad`` and ``fetched_at``.
+
+    The feed is read once: conditional aggregates by page, summed by feed,
+    turned into rows at the end (the same rules as D1-D3 and D7 apply)."""
     ok = F.lit(True)
     if failed_pages is not None:
         flags = failed_pages.select(*S.PAGE_KEY).distinct().withColumn("_failed", F.lit(True))
         feed, ok = feed.join(flags, S.PAGE_KEY, "left"), F.col("_failed").isNull()
-    published = M.publish_counters(feed, ok)
     seen = pages.groupBy(*S.PAGE_KEY).agg(F.max("fetched_at").alias("_seen"))
-    age = M.histogram(M.freshness(feed.join(seen, S.PAGE_KEY), "_seen"), "freshness_s", M.FRESHNESS_BOUNDS, ["feed"])
-    whole = age.filter(F.col("le") == M.INF)
-    parts = [_long(feed.groupBy("feed").agg(n), "feed", "articles_ingested_total", "n", "success"),
-             _long(M.duplicate_counters(feed), "feed", "articles_duplicates_skipped_total", "skipped"),
-             _long(published, "feed", "articles_published_total", "published"),
-             _long(published, "feed", "publish_errors_total", "publish_errors"),
-             _long(M.parse_error_counters(pages.filter("bad")), "feed", "article_parse_errors_total", "parse_errors"),
-             _long(age, "feed", "article_freshness_seconds_bucket", "cumulative_count", le="le"),
-             _long(whole, "feed", "article_freshness_seconds_sum", "sum"),
-             _long(whole, "feed", "article_freshness_seconds_count", "count")]
+    rows = feed.select(*S.PAGE_KEY, "change", "published_at", ok.alias("_ok")).join(seen, S.PAGE_KEY)
+    published, age = F.col("published_at").isNotNull(), M.age_s("_seen", "published_at")
+    bounds = sorted(float(b) for b in M.FRESHNESS_BOUNDS)
+    changed = F.count_if(F.col("change") != C.UNCHANGED)
+    per_page = rows.groupBy(*S.PAGE_KEY).agg(
+        F.count(F.lit(1)).alias("n"), changed.alias("changed"), F.first("_ok").alias("ok"),
+        F.count_if(published).alias("dated"), F.count(age).alias("aged"), F.sum(age).alias("age"),
+        *[F.count_if(age <= b).alias(f"_b{i}") for i, b in enumerate(bounds)])
+    counts = per_page.groupBy("feed").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") - F.col("changed")).alias("same"),
+        F.sum(F.when(F.col("ok"), F.col("changed")).otherwise(0)).alias("published"),
+        F.count_if(~F.col("ok") & (F.col("changed") > 0)).alias("errors"),
+        *[F.sum(c).alias(c) for c in ("dated", "aged", "age", *[f"_b{i}" for i in range(len(bounds))])])
+
+    def row(metric: str, value: str, status: str = "", le: str = "", present: str = "true"):
+        return F.when(F.expr(present), F.struct(F.lit(metric).alias("metric"), F.lit(status).alias("status"),
+                                                F.lit(le).alias("le"), F.col(value).cast("double").alias("value")))
+    each = [row("articles_ingested_total", "n", "success"),
+            row("articles_duplicates_skipped_total", "same", present="same > 0"),
+            row("articles_published_total", "published"), row("publish_errors_total", "errors"),
+            *[row("article_freshness_seconds_bucket", f"_b{i}", le=M.le_text(b), present="dated > 0")
+              for i, b in enumerate(bounds)],
+            row("article_freshness_seconds_bucket", "aged", le=M.INF, present="dated > 0"),
+            row("article_freshness_seconds_sum", "age", present="dated > 0"),
+            row("article_freshness_seconds_count", "aged", present="dated > 0")]
+    out = (counts.select(F.col("feed").alias("source"), F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+                 .select("metric", "source", "status", "le", "value"))
+    out = out.unionByName(_long(M.parse_error_counters(pages.filter("bad")), "feed", "article_parse_errors_total",
+                                "parse_errors"))
     if failed_runs is not None:
-        parts.append(_long(failed_runs.groupBy("feed").agg(n), "feed", "articles_ingested_total", "n", "error_crawl"))
-    return reduce(DataFrame.unionByName, parts)
+        ended = failed_runs.groupBy("feed").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(_long(ended, "feed", "articles_ingested_total", "n", "error_crawl"))
+    return out
 
 
 def sync_increments(routed: DataFrame) -> DataFrame:
