@@ -16,7 +16,8 @@ The language model counts all texts.  The classifier learns from the
 so that texts stay where they are and only these ids are broadcast.  Features
 are hashed to ``BUCKETS`` numbers; each task counts, by label, the documents
 that have one, Spark adds the counts up, and the ``KEPT`` features that tell
-the labels apart best (chi-squared, ties by number) get a weight.  So what is
+the labels apart best (chi-squared, ties by number) get a weight; toxic rows, the fewer, count
+``TOXIC_WEIGHT`` times.  So what is
 broadcast is bounded by the alphabet and these three numbers, whatever the
 data's size.
 
@@ -51,6 +52,7 @@ SMOOTH = 8.0               # weight of the shorter context
 BUCKETS = 1 << 18          # hashed features
 KEPT = 4096                # features with a weight
 TRAIN_ROWS = 50_000        # bound on the labelled doc_ids that the classifier learns from
+TOXIC_WEIGHT = 3.0         # of a toxic row, which are the fewer
 BEGINNINGS = (4, 6, 7, 8)   # in bytes of UTF-8
 BYTES_KEPT = 128 << 20     # of the words and results that a worker keeps, about
 
@@ -320,8 +322,9 @@ def fit(train: DataFrame, surprise: np.ndarray, kept: int = KEPT) -> tuple[dict[
     vector = F.udf(lambda i, x: SparseVector(size, i, x), VectorUDT())
     table = written(rows.mapInArrow(partial(_vectors, model=model, weighted=weighted),
                                     "i array<int>, x array<double>, toxic int"), "toxic")
-    lr = LogisticRegression(labelCol="toxic", maxIter=60, regParam=1e-3, standardization=False)
-    got = lr.fit(table.select(vector("i", "x").alias("features"), "toxic"))
+    weight = F.when(F.col("toxic") == 1, TOXIC_WEIGHT).otherwise(1.0)
+    lr = LogisticRegression(labelCol="toxic", weightCol="weight", maxIter=60, regParam=1e-3, standardization=False)
+    got = lr.fit(table.select(vector("i", "x").alias("features"), "toxic", weight.alias("weight")))
     w = got.coefficients.toArray()
     return {f: float(w[i]) for f, i in weighted.items()}, float(got.intercept)
 
