@@ -8,7 +8,7 @@ keep the rest), and the persistent store is an append-only table of versions
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow import schema as S
@@ -159,15 +159,20 @@ class ArticleStore:
             best = max(best, -1 if m is None else int(m))
         return best
 
-    def write_batch(self, batch_id: int, rows: DataFrame) -> None:
-        """Write the changed rows of ``batch_id`` (overwrite of its partition)."""
-        (rows.select(*S.ARTICLE_COLS)
-             .withColumn("row_hash", row_hash())
-             .withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)))
-             .withColumn("batch_id", F.lit(batch_id).cast("long"))
-             .hint("rebalance", "bucket")
+    def bucket(self) -> Column:
+        """The bucket of an article id."""
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets))
+
+    def write_batch(self, batch_id: int, rows: DataFrame, dealt: bool = False) -> None:
+        """Write the changed rows of ``batch_id`` (overwrite of its partition).
+        ``dealt``: the rows lie by bucket already, so they are not shuffled."""
+        rows = (rows.select(*S.ARTICLE_COLS)
+                    .withColumn("row_hash", row_hash())
+                    .withColumn("bucket", self.bucket())
+                    .withColumn("batch_id", F.lit(batch_id).cast("long")))
+        ((rows if dealt else rows.hint("rebalance", "bucket"))
              .sortWithinPartitions("bucket", "id")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
              .partitionBy("batch_id", "bucket")
              .parquet(self.versions_path))
 
@@ -201,7 +206,7 @@ class ArticleStore:
         stay readable until removed), so later reads aggregate only the
         versions after it."""
         snap = self.current(before_batch=upto_batch + 1).withColumn("upto_batch", F.lit(upto_batch).cast("long"))
-        (snap.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)))
+        (snap.withColumn("bucket", self.bucket())
              .hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
              .partitionBy("upto_batch", "bucket").parquet(self.base_path))

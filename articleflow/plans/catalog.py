@@ -529,11 +529,11 @@ def q_i1_tier_days(spark, sf_dir):
 CRAWLED_AT = "2024-01-15 12:00:00"
 
 
-def _crawls(spark, sf_dir) -> list[DataFrame]:
+def _crawls(spark, sf_dir, docs: DataFrame | None = None) -> list[DataFrame]:
     """Raw pages of two crawls of the document feeds, the chat feed with the
     second; each is landed and drained before the next."""
-    crawls = [FX.document_pages(spark, sf_dir, 0),
-              FX.document_pages(spark, sf_dir, 1).unionByName(FX.conversation_pages(spark, sf_dir))]
+    crawls = [FX.document_pages(spark, sf_dir, 0, docs),
+              FX.document_pages(spark, sf_dir, 1, docs).unionByName(FX.conversation_pages(spark, sf_dir))]
     return [c.withColumn("fetched_at", F.lit(CRAWLED_AT).cast("timestamp")) for c in crawls]
 
 
@@ -542,10 +542,14 @@ def _ingest(spark, sf_dir, metrics: str | None = None) -> str:
     registry = FX.registry_from_documents(spark, sf_dir)
     store = ST.ArticleStore(spark, scratch_path(spark, "store"), 8)
     changes = scratch_path(spark, "changes")
-    for raw in _crawls(spark, sf_dir):
-        IN.land_raw_pages(raw, landing)
-        IN.run_ingest(IN.stream_raw_pages(spark, landing), registry, store, changes, checkpoint=checkpoint,
-                      available_now=True, metrics_path=metrics).awaitTermination()
+    docs = FX.documents_by_page(spark, sf_dir).persist()     # both crawls are made of them: shuffled once
+    try:
+        for raw in _crawls(spark, sf_dir, docs):
+            IN.land_raw_pages(raw, landing)
+            IN.run_ingest(IN.stream_raw_pages(spark, landing), registry, store, changes, checkpoint=checkpoint,
+                          available_now=True, metrics_path=metrics).awaitTermination()
+    finally:
+        docs.unpersist()
     return changes
 
 

@@ -98,8 +98,14 @@ def pages_from_items(items: DataFrame, page_size: int = DOCS_PER_PAGE) -> DataFr
     ``page_size`` ids, so ``collect_list`` per page is bounded).  The page
     count is a scalar subquery (one aggregate value), not a join."""
     num_pages = items.select((F.max("page_no") + 1).alias("num_pages")).scalar()
-    its = F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("its")
-    grouped = items.groupBy(*S.PAGE_KEY).agg(its)
+    return _page_payloads(_gathered(items), num_pages, page_size)
+
+
+def _gathered(items: DataFrame) -> DataFrame:
+    return items.groupBy(*S.PAGE_KEY).agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("its"))
+
+
+def _page_payloads(grouped: DataFrame, num_pages: Column, page_size: int) -> DataFrame:
     payload = F.to_json(F.struct(
         F.struct(F.col("page_no").alias("page"), num_pages.alias("numPages"),
                  F.lit(page_size).cast("long").alias("pageSize"),
@@ -108,9 +114,31 @@ def pages_from_items(items: DataFrame, page_size: int = DOCS_PER_PAGE) -> DataFr
     return grouped.select(*S.PAGE_KEY, F.lit(None).cast("timestamp").alias("fetched_at"), payload.alias("payload"))
 
 
-def document_pages(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
-    """First-feed raw pages of one crawl, derived from ``documents``."""
-    return pages_from_items(document_items(spark, sf_dir, run))
+def documents_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, those of a page brought together: what the pages of every
+    crawl are made of."""
+    return (table(spark, sf_dir, "documents")
+            .select("doc_id", "source", "lang", "n_chars", "text", (F.col("doc_id") / DOCS_PER_PAGE).cast("long").alias("page_no"))
+            .repartition("source", "page_no"))
+
+
+def document_pages(spark: SparkSession, sf_dir: str, run: int = 0, docs: DataFrame | None = None) -> DataFrame:
+    """First-feed raw pages of one crawl, derived from ``documents``: the pages
+    of :func:`document_items`.
+
+    The documents of a page become items only once they lie together (``docs``,
+    see :func:`documents_by_page`), so the shuffle moves each text once, not
+    the fields cut from it nor the repeats."""
+    docs = documents_by_page(spark, sf_dir) if docs is None else docs
+    item = _doc_item(docs, run)
+    each = F.array(F.struct(F.col("doc_id").alias("ord"), item.alias("item")))
+    if run == 0:
+        copy = F.struct((F.col("doc_id") + F.lit(10**12)).alias("ord"), item.withField("title", F.lit("(copy)")).alias("item"))
+        each = F.when(F.col("doc_id") % 10 == 7, F.concat(each, F.array(copy))).otherwise(each)
+    items = docs.select(F.col("source").alias("feed"), F.lit(run).cast("long").alias("run_id"), "page_no", F.inline(each))
+    first = F.lit(RUN1_BASE * run)
+    num_pages = docs.select((F.max("page_no") + first + 1).alias("num_pages")).scalar()
+    return _page_payloads(_gathered(items).withColumn("page_no", F.col("page_no") + first), num_pages, DOCS_PER_PAGE)
 
 
 CHAT_PAGE_TURNS = 20  # turns per second-feed page

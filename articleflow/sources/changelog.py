@@ -121,7 +121,7 @@ def outcome_table(articles: DataFrame, outcome) -> DataFrame:
     and later steps agree on its outcome."""
     marked = route(articles, outcome) if isinstance(outcome, Column) else route_with(articles, outcome)
     path = scratch_path(articles.sparkSession, "outcome")
-    marked.write.partitionBy("synced").parquet(path)
+    marked.write.option("compression", "zstd").partitionBy("synced").parquet(path)
     return articles.sparkSession.read.schema(marked.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from articleflow.session import read_if_written
 def overwrite_partition(df: DataFrame, value: int, path: str, column: str = "batch_id") -> None:
     """Replace the partition ``column=value`` of the table at ``path``."""
     (df.withColumn(column, F.lit(value).cast("long"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
        .partitionBy(column).parquet(path))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,7 +22,7 @@ from articleflow.operators import changes as C
 from articleflow.operators import metrics as M
 from articleflow.operators import parse as P
 from articleflow.operators.joins import join_null_safe
-from articleflow.operators.store import ArticleStore
+from articleflow.operators.store import ArticleStore, row_hash
 from articleflow.session import checkpoint_root, read_if_written
 from articleflow.sources import changelog as CL
 from articleflow.sources import pages as PG
@@ -47,7 +47,7 @@ def parquet_sink(path: str) -> Sink:
 
 def land_raw_pages(raw: DataFrame, path: str) -> None:
     """Append raw pages to the landing table the ingest stream reads."""
-    raw.select(*[f.name for f in S.RAW_PAGES.fields]).write.mode("append").parquet(path)
+    raw.select(*[f.name for f in S.RAW_PAGES.fields]).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def stream_raw_pages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -144,6 +144,58 @@ def sync_increments(routed: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).filter("value > 0")
 
 
+def without_good_payloads(decoded: DataFrame) -> DataFrame:
+    """Decoded pages whose payload is kept only where it did not decode: a
+    good page's text is in its items."""
+    return decoded.withColumn("payload", F.when(F.col("bad"), F.col("payload")))
+
+
+def article_rows(decoded: DataFrame) -> DataFrame:
+    """The unique, hashed article rows of decoded pages (E1, B7), with the
+    ``row_hash`` by which the store tells versions apart."""
+    return C.with_content_hash(P.explode_articles(decoded, dedup=True)).withColumn("row_hash", row_hash())
+
+
+# The order in which a batch's rows apply; the last two only order a page that
+# landed twice.  With the id these columns name a row, copies of a page apart.
+ROW_ORDER = ["run_id", "feed", "page_no", "pos", "row_hash"]
+ROW_KEY = ["id", *ROW_ORDER]
+
+
+def row_marks(rows: DataFrame, feed: DataFrame, current: DataFrame) -> DataFrame:
+    """What becomes of the rows of a batch, one narrow row per ``ROW_KEY`` with
+    anything to do: ``n_emit``, how many of its copies are published, and
+    ``n_store``, 1 if it is the last of its id and differs from the stored row
+    in any field but ``fetched_at``."""
+    latest = rows.groupBy("id").agg(F.max(F.struct(*ROW_ORDER)).alias("_l")).select("id", "_l.*")
+    stored = latest.join(current.select("id", "row_hash"), ["id", "row_hash"], "left_anti")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    emitted = feed.filter(F.col("change") != C.UNCHANGED).select(*ROW_KEY, one.alias("n_emit"), none.alias("n_store"))
+    return (emitted.unionByName(stored.select(*ROW_KEY, none.alias("n_emit"), one.alias("n_store")))
+                   .groupBy(*ROW_KEY).agg(F.sum("n_emit").alias("n_emit"), F.max("n_store").alias("n_store")))
+
+
+def marked_rows(articles: DataFrame, marks: DataFrame, store: ArticleStore) -> DataFrame:
+    """The article rows that ``marks`` names, with ``emitted`` and ``stored``,
+    dealt out by the store's buckets.
+
+    Rows and marks go through one shuffle together and meet in a window of
+    one ``ROW_KEY``, the mark first: the article bodies move once, for the
+    join with what is to be done and for the store's layout alike.  A key is
+    one row of one page, so no id can fill a task."""
+    todo = ["n_emit", "n_store"]
+    both = (articles.withColumns({c: F.lit(None).cast("long") for c in todo})
+                    .unionByName(marks, allowMissingColumns=True)
+                    .withColumn("bucket", store.bucket()).withColumn("_spread", F.xxhash64(*ROW_KEY))
+                    .repartitionByRange("bucket", "_spread"))
+    w = Window.partitionBy("bucket", "_spread", *ROW_KEY).orderBy(F.col("n_emit").isNull())
+    copy = F.row_number().over(w) - 1
+    return (both.withColumns({"_copy": copy, "_row": F.col("n_emit").isNull(), **{f"_{c}": F.first(c).over(w) for c in todo}})
+                .filter("_row and (_copy <= _n_emit or _copy <= _n_store)")
+                .withColumns({"emitted": F.col("_copy") <= F.col("_n_emit"), "stored": F.col("_copy") <= F.col("_n_store")})
+                .drop("_spread", "_copy", "_row", "bucket", *todo, *[f"_{c}" for c in todo]))
+
+
 def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: ArticleStore,
                  changes_path: str | None, quarantine_path: str | None = None,
                  metrics_path: str | None = None, walk: bool = False, sink: Sink | None = None,
@@ -161,6 +213,8 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
     if (handler is not None or walk_path) and not walk:
         raise ValueError("handler and walk_path need walk=True")
     decoded = P.decode_pages(P.with_parser(raw, registry), "parser")
+    if handler is None:
+        decoded = without_good_payloads(decoded)
     failed_runs = walked = runs = None
     held = []
     if walk:
@@ -180,17 +234,22 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         failed_runs = (walked.filter(F.col("reached") & F.col("outcome").isin("fetch_error", "aborted"))
                              .select("feed", "run_id").distinct())
         kept = walked.filter(F.col("reached") & ~F.col("outcome").isin("batch_failed", "aborted")).select(*S.PAGE_KEY)
-        decoded = join_null_safe(decoded, kept, S.PAGE_KEY, "left_semi")
+        decoded = join_null_safe(without_good_payloads(decoded), kept, S.PAGE_KEY, "left_semi")
     decoded = decoded.persist()
-    pages = C.with_content_hash(P.explode_articles(decoded, dedup=True)).persist()
+    held.append(decoded)
     try:
         if quarantine_path:
             overwrite_partition(decoded.filter("bad").select(*[f.name for f in S.RAW_PAGES.fields]),
                                  batch_id, quarantine_path)
-        # the store is read as three narrow columns, never the article bodies
-        current = store.current(before_batch=batch_id, columns=["content_hash"])
-        feed = C.change_feed(pages, current)
-        emitted = feed.filter(F.col("change") != C.UNCHANGED)
+        # all that is ordered, compared and counted are narrow rows; the store is
+        # read as three columns, the article bodies only to be written
+        rows = article_rows(decoded).select(*S.PAGE_KEY, "pos", "id", "published_at", "content_hash", "row_hash").persist()
+        current = store.current(before_batch=batch_id, columns=["content_hash", "row_hash"])
+        feed = C.change_feed(rows, current, ROW_ORDER).persist()
+        held += [rows, feed]
+        marked = marked_rows(article_rows(decoded), row_marks(rows, feed, current), store).persist()
+        held.append(marked)
+        emitted = marked.filter("emitted")
         # one event per emitted page row, with its page coordinates so a
         # consumer can order several changes of one id within a batch
         events = emitted.select(F.col("id").alias("key"), CL.article_json(emitted).alias("value"),
@@ -198,14 +257,12 @@ def ingest_batch(raw: DataFrame, batch_id: int, registry: DataFrame, store: Arti
         failed_pages = (sink or parquet_sink(changes_path))(events, batch_id)
         if metrics_path:
             overwrite_partition(batch_counters(feed, decoded, failed_runs, failed_pages), batch_id, metrics_path)
-        store.write_batch(batch_id, store.changed_rows(batch_id, C.latest_rows(pages)))
+        store.write_batch(batch_id, marked.filter("stored"), dealt=True)
         if runs:
             runs.write(batch_id, PG.walk_state(walked))
         store.commit(batch_id)
     finally:
-        pages.unpersist()
-        decoded.unpersist()
-        for df in held:
+        for df in reversed(held):
             df.unpersist()
 
 
@@ -253,6 +310,7 @@ def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, chan
     spark = stream.sparkSession
     checkpoint = checkpoint or f"{checkpoint_root(spark)}/ingest-stream"
     reg = registry.persist()
+    reg.count()     # its size is known from here on: a small one is broadcast, the pages are not shuffled by feed
     if walk:
         walk_path = walk_path or f"{store.root}-walk"
     offset = batch_offset(spark, checkpoint, store, tuple(p for p in (changes_path, walk_path) if p))
