@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -324,13 +324,21 @@ def run_ingest(stream: DataFrame, registry: DataFrame, store: ArticleStore, chan
 def sync_batch(events: DataFrame, batch_id: int, outcome, synced_path: str, dead_path: str,
                metrics_path: str | None = None) -> None:
     """H3 body: decode (A7), call downstream once (A8), route failures to the
-    dead-letter table with the same key, then count (D4)."""
-    marked = CL.outcome_table(CL.read_changes(events), outcome)
-    synced, dead = CL.sides(marked)
-    overwrite_partition(synced.select(*S.ARTICLE_COLS), batch_id, synced_path)
-    overwrite_partition(dead, batch_id, dead_path)
-    if metrics_path:
-        overwrite_partition(sync_increments(marked), batch_id, metrics_path)
+    dead-letter table with the same key, then count (D4).  A client's outcomes
+    are written before they are used; a column sends nothing, its outcomes are
+    only kept."""
+    articles = CL.read_changes(events)
+    kept = isinstance(outcome, Column)
+    marked = CL.route(articles, outcome).persist() if kept else CL.outcome_table(articles, outcome)
+    try:
+        synced, dead = CL.sides(marked)
+        overwrite_partition(synced.select(*S.ARTICLE_COLS), batch_id, synced_path)
+        overwrite_partition(dead, batch_id, dead_path)
+        if metrics_path:
+            overwrite_partition(sync_increments(marked), batch_id, metrics_path)
+    finally:
+        if kept:
+            marked.unpersist()
 
 
 def run_sync(spark: SparkSession, changes_path: str, synced_path: str, dead_path: str,
@@ -338,7 +346,7 @@ def run_sync(spark: SparkSession, changes_path: str, synced_path: str, dead_path
              available_now: bool = False, interval: str = "1 minute",
              metrics_path: str | None = None, stream: DataFrame | None = None) -> StreamingQuery:
     """H3: consume the change log continuously.  ``outcome`` is a bool column
-    or a Python client (see ``changelog.sync_and_route``).  ``stream``: any
+    (deterministic) or a Python client (see ``changelog.sync_and_route``).  ``stream``: any
     stream with ``key`` and ``value`` text columns (a broker's topic) in
     place of the Parquet change log; ``metrics_path``: table of the D4
     increments."""

@@ -11,6 +11,7 @@ from articleflow.operators import store as ST
 from articleflow.operators.parse import PULSELIVE
 from articleflow.plans import fixtures as FX
 from articleflow.session import scratch_path
+from articleflow.sources import changelog as CL
 from articleflow.streaming import ingest as IN
 
 RAW = "feed string, run_id long, page_no long, fetched_at timestamp, payload string"
@@ -91,3 +92,22 @@ def test_pages_of_gathered_documents_equal_grouped_items(spark, sf_small, run):
     assert a.exceptAll(b).count() == 0
     c = FX.document_pages(spark, sf_small, run, FX.documents_by_page(spark, sf_small))
     assert c.exceptAll(a).count() == 0
+
+
+def test_a_column_outcome_is_not_written_twice(spark, monkeypatch):
+    """Only a client's outcomes need a table of their own."""
+    store = ST.ArticleStore(spark, scratch_path(spark, "store-out"), 2)
+    changes = scratch_path(spark, "changes-out")
+    pages = [_page("f", 1, 0, [(i, "ab"[i % 2], "x") for i in range(6)])]
+    IN.ingest_batch(spark.createDataFrame(pages, RAW), 0, _registry(spark, "f"), store, changes)
+    table, used = CL.outcome_table, []
+    monkeypatch.setattr(CL, "outcome_table", lambda *a: used.append(1) or table(*a))
+    results = []
+    for outcome in (F.col("title") == "a", lambda pdf: pdf["title"] == "a"):
+        synced, dead, metrics = (scratch_path(spark, x) for x in ("synced-o", "dead-o", "metrics-o"))
+        IN.sync_batch(spark.read.parquet(changes), 0, outcome, synced, dead, metrics)
+        results.append((sorted(r.id for r in spark.read.parquet(synced).collect()),
+                        sorted(r.key for r in spark.read.parquet(dead).collect()),
+                        sorted((r.metric, r.value) for r in spark.read.parquet(metrics).collect())))
+        assert used == [1] * (len(results) - 1)
+    assert results[0] == results[1] and len(results[0][0]) == len(results[0][1]) == 3
