@@ -583,16 +583,19 @@ def q_h1_counters(spark, sf_dir):
 def q_h1_walk(spark, sf_dir):
     """One crawl whose runs are cut over three micro-batches, with damaged and
     empty pages and a handler that fails some pages, up to six in a row."""
-    raw = FX.walked_pages(FX.document_pages(spark, sf_dir, 0)).withColumn("fetched_at", F.lit(CRAWLED_AT).cast("timestamp"))
+    docs = FX.documents_by_page(spark, sf_dir).persist()     # all three parts are made of them: shuffled once
+    raw = FX.walked_pages(FX.document_pages(spark, sf_dir, 0, docs)).withColumn("fetched_at", F.lit(CRAWLED_AT).cast("timestamp"))
     landing, metrics, changes, checkpoint = (scratch_path(spark, x) for x in ("landing", "metrics", "changes", "ckpt-walk"))
     store = ST.ArticleStore(spark, scratch_path(spark, "store"), 8)
-    pages = raw.select((F.max("page_no") + 1)).scalar()
-    for part in range(3):
-        IN.land_raw_pages(raw.where(F.floor(F.col("page_no") * 3 / pages) == part), landing)
-        IN.run_ingest(IN.stream_raw_pages(spark, landing), FX.registry_from_documents(spark, sf_dir), store, changes,
-                      checkpoint=checkpoint, available_now=True,
-                      metrics_path=metrics, walk=True, handler=lambda p, _: p.where(FX.handler_fails()).select(*S.PAGE_KEY)
-                      ).awaitTermination()
+    pages = docs.select((F.max("page_no") + 1)).scalar()
+    try:
+        for part in range(3):
+            IN.land_raw_pages(raw.where(F.floor(F.col("page_no") * 3 / pages) == part), landing)
+            IN.run_ingest(IN.stream_raw_pages(spark, landing), FX.registry_from_documents(spark, sf_dir), store, changes,
+                          checkpoint=checkpoint, available_now=True, metrics_path=metrics, walk=True,
+                          handler=lambda p, _: p.where(FX.handler_fails()).select(*S.PAGE_KEY)).awaitTermination()
+    finally:
+        docs.unpersist()
     kinds = ["articles_ingested_total", "articles_published_total", "article_parse_errors_total"]
     return (spark.read.parquet(metrics).where(F.col("metric").isin(*kinds)).groupBy("metric", "source", "status")
                  .agg(F.sum("value").alias("value")).where("value > 0"))
