@@ -51,12 +51,13 @@ def counter_deltas(samples: DataFrame, series: Sequence[str], chunk_us: int = DA
 
 
 def range_sum(df: DataFrame, keys: Sequence[str], ts_us: str, value: str, window_us: int,
-              out: str, chunk_us: int | None = None) -> DataFrame:
+              out: str, chunk_us: int | None = None, keep_chunk: bool = False) -> DataFrame:
     """``out`` = sum of ``value`` over the key's rows with ``ts`` in
     ``[ts - window, ts]`` -- a RANGE window, split into time chunks of at
     least the window: each row also joins the next chunk as context when it
     is within one window of it, so every task sees a bounded slice of a
-    series and no self join is needed."""
+    series and no self join is needed.  ``keep_chunk`` leaves the row's chunk
+    number in ``_chunk``."""
     chunk_us = max(chunk_us or DAY_US, window_us)
     c = F.floor(F.col(ts_us) / F.lit(chunk_us)).cast("long")
     own = df.withColumn("_chunk", c).withColumn("_own", F.lit(True))
@@ -65,7 +66,7 @@ def range_sum(df: DataFrame, keys: Sequence[str], ts_us: str, value: str, window
     w = (Window.partitionBy(*keys, "_chunk").orderBy(F.col(ts_us))
          .rangeBetween(-window_us, Window.currentRow))
     return (own.unionByName(ctx).withColumn(out, F.sum(value).over(w))
-               .filter("_own").drop("_own", "_chunk"))
+               .filter("_own").drop("_own", *([] if keep_chunk else ["_chunk"])))
 
 
 def counter_increase(samples: DataFrame, series: Sequence[str], window_s: int,
@@ -299,9 +300,9 @@ def rate_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int,
     both = sums.select(*series, F.inline(F.array(
         F.struct("bucket", "_d"), F.struct((F.col("bucket") + F.lit(k)).alias("bucket"), F.lit(0.0).alias("_d")))))
     both = both.groupBy(*series, "bucket").agg(F.sum("_d").alias("_d"))
-    val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b).where(F.col("bucket") <= end_b)
+    val = range_sum(both, series, "bucket", "_d", k - 1, "increase", chunk_b, keep_chunk=True).where(F.col("bucket") <= end_b)
     val = val.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
-    return point_intervals(val, series, compare(F.col(measure), op, threshold), end_b, step_us, hold_s, chunk_b)
+    return point_intervals(val, series, compare(F.col(measure), op, threshold), end_b, step_us, hold_s)
 
 
 def quantile_alert_intervals(samples: DataFrame, q: float, series: Sequence[str], step_s: int, window_s: int,
@@ -336,16 +337,49 @@ def quantile_alert_intervals(samples: DataFrame, q: float, series: Sequence[str]
     val = range_sum(both, keys, "bucket", "_d", k - 1, "increase", chunk_b).where("_pt")
     hist = val.select(*series, "bucket", bucket_bound(F.col("le")).alias("le_value"),
                       (F.col("increase") / F.lit(float(window_s))).alias("cumulative_count"))
-    at_points = histogram_quantile(hist, q, [*series, "bucket"])
-    return point_intervals(at_points, series, compare(F.col("value"), op, threshold), end_b, step_us, hold_s, chunk_b)
+    at_points = in_chunks(histogram_quantile(hist, q, [*series, "bucket"]), chunk_b)
+    return point_intervals(at_points, series, compare(F.col("value"), op, threshold), end_b, step_us, hold_s)
+
+
+def condition_spans(rows: DataFrame, series: Sequence[str], order: Sequence[str], at: str,
+                    condition: Column) -> DataFrame:
+    """Runs of consecutive rows of a series where ``condition`` holds:
+    ``start`` and ``next`` (the row after the run, NULL at the end), as
+    :func:`condition_runs` without its last and firing rows.  ``rows`` have
+    their chunk number in ``_chunk``; ``order`` sorts a chunk and agrees with
+    ``at``, a whole number, unique in a series.
+
+    Only rows at which the condition turns go on.  The first row of a chunk and
+    a run that is open at its end meet those of the neighbour chunks in a
+    second, narrow shuffle.
+    """
+    w = Window.partitionBy(*series, "_chunk").orderBy(*order)
+    df = rows.select(*series, "_chunk", *order, F.col(at).cast("long").alias("_t"),
+                     F.coalesce(condition, F.lit(False)).alias("_c"))
+    df = df.withColumn("_p", F.lag("_c").over(w)).where("_p is null or _p <> _c").withColumn("_n", F.lead("_t").over(w))
+    df = df.where("_p is null or _c").select(
+        *series, "_chunk", "_t", "_c", "_n", F.col("_p").isNull().alias("_first"), F.expr("_c and _n is null").alias("_open"))
+    # runs that lie inside a chunk stay with it, edges meet
+    df = df.withColumn("_meet", F.when(~F.col("_first") & ~F.col("_open"), F.col("_chunk")))
+    # a chunk's first row tells where a run open before it ends, NULL if not in the chunk
+    ends = F.when(F.col("_first"), F.when(F.col("_c"), F.col("_n")).otherwise(F.col("_t")))
+    back = Window.partitionBy(*series, "_meet").orderBy(F.col("_chunk").desc(), F.col("_t").desc())
+    df = df.withColumns({"_later": F.last(ends, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+                         "_before": F.coalesce(F.lead("_open").over(back), F.lit(False))})
+    return (df.where("_c and not (_first and _before)")
+              .select(*series, F.col("_t").alias("start"), F.when(F.col("_open"), F.col("_later")).otherwise(F.col("_n")).alias("next")))
+
+
+def in_chunks(points: DataFrame, chunk_b: int) -> DataFrame:
+    return points.withColumn("_chunk", F.floor(F.col("bucket") / F.lit(chunk_b)).cast("long"))
 
 
 def point_intervals(points: DataFrame, series: Sequence[str], condition: Column, end_b: Column,
-                    step_us: int, hold_s: int, chunk_b: int) -> DataFrame:
-    """Alert intervals from change points: what ``condition`` reads at a
-    point's ``bucket`` holds until just before the series' next point, or to
-    ``end_b``."""
-    runs = condition_runs(points, series, "bucket", condition, chunk_b, 0)
+                    step_us: int, hold_s: int, order: Sequence[str] = ("bucket",)) -> DataFrame:
+    """Alert intervals from change points (with their ``_chunk``): what
+    ``condition`` reads at a point's ``bucket`` holds until just before the
+    series' next point, or to ``end_b``."""
+    runs = condition_spans(points, series, list(order), "bucket", condition)
     runs = runs.withColumn("_eb", F.coalesce(F.col("next") - 1, end_b))
     hold_b = -(-hold_s * US // step_us)  # ceil(hold / step) in buckets
     fire_b = F.col("start") + F.lit(hold_b)
@@ -359,12 +393,18 @@ def gauge_alert_intervals(samples: DataFrame, series: Sequence[str], step_s: int
                           hold_s: int, chunk_us: int = DAY_US, end_us: int | None = None) -> DataFrame:
     """Alert intervals of a gauge rule: equal to :func:`alert_intervals` over
     :func:`gauge_grid`, but evaluated only in steps that hold a sample, so the
-    work follows the samples and not the span."""
+    work follows the samples and not the span.  The last sample of a step is
+    found in the order in which the intervals are: one shuffle, one sort."""
     step_us = step_s * US
-    points = last_in_step(samples, series, step_us)
     end_b = last_bucket(samples, step_us, end_us)
-    return point_intervals(points.where(F.col("bucket") <= end_b), series, compare(F.col("_v"), op, threshold),
-                           end_b, step_us, hold_s, max(1, chunk_us // step_us))
+    ts_us = epoch_us("ts")
+    points = samples.select(*series, ts_us.alias("ts_us"), F.col("value").alias("_v"),
+                            F.floor(ts_us / F.lit(step_us)).cast("long").alias("bucket"))
+    points = in_chunks(points.where(F.col("bucket") <= end_b), max(1, chunk_us // step_us))
+    order = ["ts_us", "_v"]
+    after = F.lead("bucket").over(Window.partitionBy(*series, "_chunk").orderBy(*order))
+    points = points.withColumn("_after", after).where("_after is null or _after <> bucket")
+    return point_intervals(points, series, compare(F.col("_v"), op, threshold), end_b, step_us, hold_s, order)
 
 
 def firing_now(intervals: DataFrame, evaluations: DataFrame, series: Sequence[str],

@@ -10,11 +10,11 @@ per chunk and is computed with a partial (map-side) aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from articleflow.operators.joins import join_null_safe
-
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -23,17 +23,18 @@ def _cols(xs):
 def chunked_lag(df: DataFrame, keys: list[str], order: list[str], chunk: str,
                 value: str, out: str) -> DataFrame:
     """``out`` = ``value`` of the previous row of the same key in ``order``
-    (NULL for the key's first row).  ``value`` must not be NULL."""
-    w = Window.partitionBy(*keys, chunk).orderBy(*_cols(order))
-    local = (df.withColumn("_is_first", F.lag(F.lit(1)).over(w).isNull())
-               .withColumn(out, F.lag(value).over(w)))
+    (NULL for the key's first row).  ``value`` must not be NULL.
+
+    What a chunk takes over from the one before is a row of its own, ahead of
+    the chunk's rows in the window: no join shuffles and sorts them again."""
     last = (df.groupBy(*keys, chunk)
               .agg(F.max_by(F.col(value), F.struct(*_cols(order))).alias("_last")))
     carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(chunk)))
-                 .drop("_last"))
-    return (join_null_safe(local, carry, [*keys, chunk], "left")
-                 .withColumn(out, F.when(F.col("_is_first"), F.col("_carry")).otherwise(F.col(out)))
-                 .drop("_is_first", "_carry"))
+                 .drop("_last").where("_carry is not null"))
+    own = F.col("_carry").isNull()
+    w = Window.partitionBy(*keys, chunk).orderBy(own, *_cols(order))
+    return (df.unionByName(carry, allowMissingColumns=True)
+              .withColumn(out, F.lag(F.coalesce("_carry", value)).over(w)).where(own).drop("_carry"))
 
 
 _COMBINE = {
@@ -56,11 +57,6 @@ def chunked_running(df: DataFrame, keys: list[str], order: list[str], chunk: str
     ``agg(expr).over(partitionBy(keys).orderBy(order)
     .rowsBetween(unboundedPreceding, currentRow))``.
     """
-    w = (Window.partitionBy(*keys, chunk).orderBy(*_cols(order))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = df
-    for name, (kind, expr) in specs.items():
-        local = local.withColumn(f"_l_{name}", _AGG[kind](expr).over(w))
     def chunk_total(kind, e, n):
         if kind == "last":  # the chunk's last non-NULL value
             return F.max_by(e, F.when(e.isNotNull(), F.struct(*_cols(order)))).alias(f"_t_{n}")
@@ -70,11 +66,19 @@ def chunked_running(df: DataFrame, keys: list[str], order: list[str], chunk: str
     carry_kind = {"count": "sum"}
     for name, (kind, _) in specs.items():
         tot = tot.withColumn(f"_c_{name}", _AGG[carry_kind.get(kind, kind)](f"_t_{name}").over(wc))
-    tot = tot.select(*keys, chunk, *[f"_c_{n}" for n in specs])
-    res = join_null_safe(local, tot, [*keys, chunk], "left")
+    carried = [f"_c_{n}" for n in specs]
+    some = reduce(lambda x, y: x | y, [F.col(c).isNotNull() for c in carried])
+    tot = tot.select(*keys, chunk, *carried, F.lit(True).alias("_carry")).where(some)
+    # a chunk's carry is a row ahead of its rows, so nothing is joined back
+    own = F.col("_carry").isNull()
+    w = (Window.partitionBy(*keys, chunk).orderBy(own, *_cols(order))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    res = df.unionByName(tot, allowMissingColumns=True)
+    res = res.withColumns({**{f"_l_{n}": _AGG[k](F.when(own, e)).over(w) for n, (k, e) in specs.items()},
+                           **{f"_f_{n}": F.first(f"_c_{n}").over(w) for n in specs}}).where(own)
     for name, (kind, _) in specs.items():
-        res = res.withColumn(name, _COMBINE[kind](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    return res.drop(*[f"_l_{n}" for n in specs], *[f"_c_{n}" for n in specs])
+        res = res.withColumn(name, _COMBINE[kind](F.col(f"_f_{name}"), F.col(f"_l_{name}")))
+    return res.drop("_carry", *[f"{x}{n}" for n in specs for x in ("_l_", "_f_", "_c_")])
 
 
 def chunked_row_number(df: DataFrame, keys: list[str], order: list[str], chunk: str,

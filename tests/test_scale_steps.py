@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from articleflow.operators import changes as C
+from articleflow.operators import series as SR
 from articleflow.operators import store as ST
 from articleflow.operators.parse import PULSELIVE
 from articleflow.plans import fixtures as FX
@@ -111,3 +112,27 @@ def test_a_column_outcome_is_not_written_twice(spark, monkeypatch):
                         sorted((r.metric, r.value) for r in spark.read.parquet(metrics).collect())))
         assert used == [1] * (len(results) - 1)
     assert results[0] == results[1] and len(results[0][0]) == len(results[0][1]) == 3
+
+
+def test_gauge_intervals_need_two_shuffles(spark):
+    """One by chunk of a series and a narrow one of its edges, besides the scalar end."""
+    s = spark.createDataFrame([("g", "a", 1.0)], "metric string, source string, value double").withColumn(
+        "ts", F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    iv = SR.gauge_alert_intervals(s, ["metric", "source"], 30, "==", 2.0, 120, end_us=1_800_000_000_000_000)
+    assert iv._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_condition_spans_equal_a_loop(spark):
+    """Runs inside chunks, over their borders, over whole chunks and at the end."""
+    rnd = random.Random(9)
+    rows, expected = [], []
+    for key, p in (("a", 0.5), ("b", 0.9), (None, 0.1), ("d", 1.0), ("e", 0.0)):
+        times = sorted(rnd.sample(range(300), 90))
+        held = [rnd.random() < p for _ in times]
+        rows += [(key, t, c, t // 10) for t, c in zip(times, held)]
+        for i, (t, c) in enumerate(zip(times, held)):
+            if c and (i == 0 or not held[i - 1]):
+                expected.append((key, t, next((u for u, d in zip(times[i:], held[i:]) if not d), None)))
+    df = spark.createDataFrame(rows, "k string, t long, c boolean, _chunk long").repartition(3)
+    got = [tuple(r) for r in SR.condition_spans(df, ["k"], ["t"], "t", F.col("c")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and len(got) > 30
