@@ -11,10 +11,12 @@ stitched at their border.  Between shared ends lie the groups; a token of A
 and a token of B in one group are linked.
 
 A chunk row keeps, by document, the distinct linked identifier pairs and how
-often each is linked, and once for the chunk how many of its documents hold a
-pair.  Spark adds these up by pair, and every chunk gets back the counts of
-its own pairs.  A pair takes one row of a chunk, so the most common pair has
-no more rows than there are chunks.
+often each is linked, both in the fewest bytes a number that hold the chunk's
+largest, and once for the chunk how many of its documents hold a pair.  Spark
+adds these up by pair, and every chunk gets back the counts of its own pairs.
+A pair takes one row of a chunk, so the most common pair has no more rows than
+there are chunks.  Chunk rows are shuffled and sorted whole, several at a time,
+so a chunk is closed by its documents too, empty ones among them.
 
 Defined results: a null or empty text, or one that a tokenizer does not give
 back byte by byte (the library drops or rewrites something), has no tokens:
@@ -36,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import append_columns, field, ready, small_side, written
+from articleflow.llm.common import LARGE_ROWS, append_columns, field, ready, small_side, written
 
-CHUNK_BYTES = 4 << 20      # a chunk is closed by the text that reaches this
+CHUNK_BYTES = 1 << 20      # a chunk is closed by the text that reaches this, so that its row stays well below a MB
+DOC_BYTES = 128            # what a document adds to a chunk besides its text
 ENCODED_AT_ONCE = 1 << 18  # characters given to the library at a time
 PIECE_ENDS = 1 << 16       # ends of both lists in one piece
 LINKS_AT_ONCE = 1 << 19    # links laid out in memory at a time
@@ -275,6 +278,15 @@ def alignments(docs: DataFrame, text_col: str = "text", out: str = "groups", a_p
                           [field(out, "array<struct<start:long,stop:long,a:array<int>,b:array<int>>>")])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest bytes each."""
+    return x.astype(np.min_scalar_type(x.max(initial=0)).newbyteorder("<")).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 _CHUNK = {"chunk": "long", "pair": "array<long>", "held": "array<int>", "doc_id": "array<long>", "n_a": "array<long>",
           "n_b": "array<long>", "n_groups": "array<long>", "n_links": "array<long>", "groups_sha256": "array<string>",
           "kinds": "array<int>", "at": "binary", "times": "binary"}
@@ -290,7 +302,7 @@ def _chunks(a_path, b_path, batches):
         doc, pair, times = c.pairs()
         pairs, at, held = np.unique(pair, return_inverse=True, return_counts=True)
         row = [(task << 32) + n, pairs, held, ids, c.n_a, c.n_b, np.diff(c.g0), c.links(), c.digests(),
-               np.bincount(doc, minlength=c.docs), at.astype("<u4").tobytes(), times.astype("<u8").tobytes()]
+               np.bincount(doc, minlength=c.docs), _packed(at), _packed(times)]
         types = [pa.list_(_ARROW[t[6:-1]]) if t.startswith("array") else _ARROW[t] for t in _CHUNK.values()]
         return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, types, strict=True)], names=list(_CHUNK))
 
@@ -299,7 +311,7 @@ def _chunks(a_path, b_path, batches):
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)
-            size += len(t or "")
+            size += len(t or "") + DOC_BYTES
             if size >= CHUNK_BYTES:
                 yield close(ids, texts)
                 ids, texts, size, n = [], [], 0, n + 1
@@ -311,7 +323,8 @@ def chunks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     """``docs`` (doc_id, text) as a written table of chunks (``_CHUNK``)."""
     ready(docs.sparkSession)
     return written(docs.select("doc_id", "text").mapInArrow(partial(_chunks, a_path, b_path),
-                                                               ", ".join(f"{c} {t}" for c, t in _CHUNK.items())), "chunks")
+                                                               ", ".join(f"{c} {t}" for c, t in _CHUNK.items())), "chunks",
+                   options=LARGE_ROWS)
 
 
 def pair_counts(parts: DataFrame) -> DataFrame:
@@ -325,10 +338,10 @@ def _reports(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             get = {c: batch.column(i)[row] for i, c in enumerate(batch.schema.names)}
-            at, times = np.frombuffer(get["at"].as_py(), "<u4"), np.frombuffer(get["times"].as_py(), "<u8").astype(np.int64)
+            to = np.append(0, np.cumsum(get["kinds"].values.to_numpy()))
+            at, times = (_unpacked(get[c].as_py(), to[-1]) for c in ("at", "times"))
             n_docs, best = (get[c].values.to_numpy(zero_copy_only=False) if get[c].is_valid else np.zeros(0, np.int64)
                             for c in ("n_docs", "best"))
-            to = np.append(0, np.cumsum(get["kinds"].values.to_numpy()))
             sums = [np.append(0, np.cumsum(x[at] * times))[to] for x in (best, n_docs)]
             cols = [get[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array(np.diff(s)) for s in sums], get["groups_sha256"].values],

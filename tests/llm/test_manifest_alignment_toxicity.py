@@ -132,6 +132,42 @@ def test_alignments_keep_texts_and_columns(spark):
         alignment.alignments(docs, out="a")
 
 
+def test_chunk_rows_and_their_row_groups_stay_small(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from articleflow.llm import common
+    monkeypatch.setitem(common.LARGE_ROWS, "parquet.block.size", str(64 << 10))
+    rng = np.random.default_rng(5)
+    words = np.array([f"{a}{b}{c}" for a in ("stone", "river", "old", "Mountain") for b in ("ly", "ness", "er", "-") for c in range(40)])
+    rows = [(i, " ".join(rng.choice(words, 800))) for i in range(400)]
+    parts = alignment.chunks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    got = parts.selectExpr("length(at) + length(times) + 12 * size(pair) + 120 * size(doc_id) AS b", "size(doc_id) AS n",
+                           "aggregate(kinds, 0, (x, y) -> x + y) AS links", "length(at) + length(times) AS packed").collect()
+    assert sum(r["n"] for r in got) == len(rows) and len(got) > 1 and max(r["b"] for r in got) < 1 << 20
+    assert all(r["packed"] <= 4 * r["links"] for r in got)          # numbers below 65,536, two bytes each at most
+    for f in parts.inputFiles():
+        m = pq.ParquetFile(f.removeprefix("file://")).metadata
+        assert [m.row_group(i).num_rows for i in range(m.num_row_groups)] == [1] * m.num_rows
+
+
+def test_documents_without_text_close_chunks(spark):
+    docs = spark.range(20_000).coalesce(1).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', NULL) AS text")
+    sizes = [r[0] for r in alignment.chunks(docs).selectExpr("size(doc_id)").collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= alignment.CHUNK_BYTES // alignment.DOC_BYTES
+    got = alignment.alignment_report(docs)
+    assert got.count() == 20_000 and got.distinct().where("n_a + n_b + n_groups + n_links + n_best + count_sum = 0 "
+                                                          "AND groups_sha256 = ''").count() == 20_000
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [0, 255], [256, 0], [65_536], [3, 2 ** 32 - 1], [2 ** 32, 1], [2 ** 62]):
+        x = np.array(x, np.int64)
+        raw = alignment._packed(x)
+        back = alignment._unpacked(raw, len(x))
+        assert back.dtype == np.int64 and back.tolist() == x.tolist()
+    assert len(alignment._packed(np.array([0, 255]))) == 2 and len(alignment._packed(np.array([256, 0]))) == 4
+
+
 INSULT = ["stupid", "worthless", "moron", "pathetic"]
 HIDDEN = ["5tup1d", "st*pid", "s t u p i d", "s.t.u.p.i.d", "stuuuupid", "$tupid", "w0rthl3ss", "m0r0n", "m-o-r-o-n", "p4thetic"]
 PLAIN = "the quick brown fox walks over some old stones and the people of this town see it as they stand there".split()
